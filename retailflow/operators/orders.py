@@ -40,15 +40,14 @@ def first_orders(orders: DataFrame, user_state: DataFrame | None = None) -> Data
     return earliest.join(consumed, F.col("user_id").cast("string") == F.col("_user"), "left_anti")
 
 
-def first_order_flag(orders: DataFrame, user_state: DataFrame | None = None) -> DataFrame:
-    """Sets `if_first_order`: "1" on the earliest order (create_time, then id) of a user without
-    earlier consumption, "0" on all others.
+def set_first_flag(orders: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Sets `if_first_order` from the ids of first orders.
 
     The flag comes back by order id, not by user: order ids are unique, so a user with a large
     part of all orders loads no single task, and the join with the order lines that follows can
     reuse the partitioning by order id.
     """
-    flags = first_orders(orders, user_state).select("id", F.lit("1").alias("_flag")).distinct()
+    flags = firsts.select("id", F.lit("1").alias("_flag"))
     kept = [c for c in orders.columns if c != "if_first_order"]
     return (
         orders.select(*kept)
@@ -58,6 +57,12 @@ def first_order_flag(orders: DataFrame, user_state: DataFrame | None = None) ->
     )
 
 
+def first_order_flag(orders: DataFrame, user_state: DataFrame | None = None) -> DataFrame:
+    """"1" on the earliest order (create_time, then id) of a user without earlier consumption,
+    "0" on all others."""
+    return set_first_flag(orders, first_orders(orders, user_state))
+
+
 def new_consumers(orders: DataFrame) -> DataFrame:
     return orders.filter(F.col("if_first_order") == "1").select(
         F.col("user_id").cast("string").alias("user_id"), F.lit("1").alias("if_consumed")

@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "date": T.DateType()}
 
 
-STARTUP_LOG = _schema(
-    "common struct<mid: string, uid: string, ar: string, ch: string, vc: string>, start string, ts bigint"
+def _schema(fields: str) -> T.StructType:
+    """"name type, name type" to a schema (usable before a session exists)."""
+    pairs = (field.split() for field in fields.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+STARTUP_LOG = T.StructType(
+    [T.StructField("common", _schema("mid string, uid string, ar string, ch string, vc string"))]
+    + _schema("start string, ts bigint").fields
 )
 
 DAU_INFO = _schema(

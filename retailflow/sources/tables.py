@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailflow.functions import name_id, to_cents
-from retailflow.session import pin_time_zone
+from retailflow.session import configure
 
 AS_OF = "2021-02-16"
 
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = pin_time_zone(spark)
+        self.spark = configure(spark)
         self.sf_dir = sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
