@@ -51,6 +51,13 @@ def first_seen(startups: DataFrame) -> DataFrame:
     )
 
 
+def first_seen_counts(startups: DataFrame) -> DataFrame:
+    """(day, mid, n): how many startups each device had on each day."""
+    return startups.groupBy(
+        F.timestamp_millis("ts").cast("date").alias("day"), F.col("common.mid").alias("mid")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
 def unseen(rows: DataFrame, seen: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows whose key is not in the seen table, one per key. Deduplicated first: that shrinks a
     hot key to one row before the anti join shuffles anything."""

@@ -72,8 +72,8 @@ def dau_hour_map(startups: DataFrame, date: str | None = None) -> DataFrame:
 
 
 def dau_hour_compare(startups: DataFrame, date: str | None = None) -> DataFrame:
-    """Per day and hour: the count of the day itself and of the day before; NULL where that hour
-    has no bucket. Each count is emitted once for its own day and once for the next."""
+    """Two series per day, `today` and `yesterday` (the day before), over the hours that have a
+    bucket. Each count is emitted once for its own day and once for the next."""
     counts = _by_hour(on_day(startups, date, days_before=1))
     placed = counts.select(
         F.explode(
@@ -84,34 +84,26 @@ def dau_hour_compare(startups: DataFrame, date: str | None = None) -> DataFrame:
         ).alias("p"),
         "hour",
         "n",
-    ).select("p.day", "p.label", "hour", "n")
-    if date is not None:
-        placed = placed.filter(F.col("day") == F.lit(date).cast("date"))
-    pivoted = placed.groupBy("day", "hour").agg(
-        F.sum(F.when(F.col("label") == "yesterday", F.col("n"))).alias("yesterday"),
-        F.sum(F.when(F.col("label") == "today", F.col("n"))).alias("today"),
     )
-    return pivoted.select(
-        F.col("day").cast("string").alias("dt"), _hour_text(F.col("hour")).alias("hr"), "yesterday", "today"
+    if date is not None:
+        placed = placed.filter(F.col("p.day") == F.lit(date).cast("date"))
+    return placed.select(
+        F.col("p.day").cast("string").alias("dt"), "p.label", _hour_text(F.col("hour")).alias("hr"), "n"
     )
 
 
 def hour_zero_fill(compared: DataFrame) -> DataFrame:
-    """Both series on all 24 hours of every day, 0 where there is no bucket. The day's hours are
-    collected (at most 24) and looked up, so this needs no join."""
-    per_day = compared.groupBy("dt").agg(
-        F.map_from_entries(F.collect_list(F.struct("hr", F.struct("yesterday", "today")))).alias("_h")
-    )
-    grid = per_day.select(
-        "dt", "_h", F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).alias("_hour")
-    ).withColumn("hr", _hour_text(F.col("_hour")))
-    found = F.try_element_at("_h", F.col("hr"))
-    return grid.select(
-        "dt",
-        "hr",
-        F.coalesce(found["yesterday"], F.lit(0)).alias("yesterday"),
-        F.coalesce(found["today"], F.lit(0)).alias("today"),
-    )
+    """Both series on all 24 hours of every day, 0 where there is no bucket. A day's buckets (at
+    most 48) are collected and looked up, so this needs no join."""
+    slot = F.struct(F.concat("label", "hr").alias("k"), F.col("n").alias("v"))
+    per_day = compared.groupBy("dt").agg(F.map_from_entries(F.collect_list(slot)).alias("_found"))
+    hours = F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).alias("_hour")
+    grid = per_day.select("dt", "_found", hours).withColumn("hr", _hour_text(F.col("_hour")))
+
+    def series(label: str) -> Column:
+        return F.coalesce(F.try_element_at("_found", F.concat(F.lit(label), F.col("hr"))), F.lit(0)).alias(label)
+
+    return grid.select("dt", "hr", series("yesterday"), series("today"))
 
 
 def kpi_tiles(startups: DataFrame) -> DataFrame:
@@ -228,3 +220,21 @@ def doc_search(
     found = docs.filter(F.arrays_overlap(words(text), F.array(*[F.lit(w) for w in wanted])))
     found = found.filter(F.exists(nested, lambda entry: entry["name"] == term))
     return found if number is None else found.filter(F.col(number_column) == number)
+
+
+def topk_terms(rows: DataFrame, field: str, size: int = HOURS) -> DataFrame:
+    """The most frequent values of a field with their counts; ties by value."""
+    counts = rows.groupBy(F.col(field).alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.desc("n"), "term").limit(size)
+
+
+def kpi_of_day(startups: DataFrame, date: str) -> DataFrame:
+    """Both tiles of one day; 0 where the day has no data."""
+    active = first_seen(on_day(startups, date)).agg(F.count(F.lit(1)).alias("value"))
+    debut = startups.groupBy("common.mid").agg(F.min("ts").alias("ts"))
+    fresh = on_day(debut, date).agg(F.count(F.lit(1)).alias("value"))
+
+    def tile(names: tuple[str, str], counted: DataFrame) -> DataFrame:
+        return counted.select(F.lit(names[0]).alias("id"), F.lit(names[1]).alias("name"), "value")
+
+    return tile(DAU_TILE, active).unionByName(tile(NEW_DEVICE_TILE, fresh))
