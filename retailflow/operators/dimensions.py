@@ -25,15 +25,11 @@ def lookup(facts: DataFrame, dim: DataFrame, fact_key: Column, dim_key: str, col
     )
 
 
-def user_dim(users: DataFrame, as_of: str) -> DataFrame:
-    return users.select(
-        "id",
-        "user_level",
-        "birthday",
-        "gender",
-        age_group("birthday", as_of).alias("age_group"),
-        gender_name("gender").alias("gender_name"),
-    )
+def user_dim(users: DataFrame, as_of: Column | str) -> DataFrame:
+    """User rows with age group (on the day `as_of`) and gender label."""
+    derived = {"age_group": age_group("birthday", as_of), "gender_name": gender_name("gender")}
+    kept = [c for c in users.columns if c not in derived]
+    return users.select(*kept, *[c.alias(n) for n, c in derived.items()])
 
 
 def sku_dims(skus: DataFrame, category3: DataFrame, trademark: DataFrame, spu: DataFrame) -> DataFrame:

@@ -19,27 +19,36 @@ def gross_line_amount(sku_num: Column | str = "sku_num", price: Column | str = "
     return num * unit
 
 
-def wide_merge(orders: DataFrame, details: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Inner join on the order id, projected to the wide record. `final_detail_amount` is 0 until
-    the paid amount is split. `carry` names further detail columns to keep."""
-    # Fields of the wide record that come from the order, resp. the line, under another name.
-    from_order = {"order_id": "id", "dt": "create_date"}
-    from_detail = {"order_detail_id": "id", "sku_price": "order_price"}
-    detail_fields = {"order_detail_id", "sku_id", "sku_price", "sku_num", "sku_name", "spu_id", "tm_id",
-                     "category3_id", "spu_name", "tm_name", "category3_name"}
-    o, d = orders.alias("o"), details.alias("d")
-    columns = []
-    for field in schemas.ORDER_WIDE.fields:
-        name = field.name
+# Fields of the wide record that come from the order line, and fields with another name there.
+FROM_DETAIL = {
+    "order_detail_id": "id", "sku_id": "sku_id", "sku_price": "order_price", "sku_num": "sku_num",
+    "sku_name": "sku_name", "spu_id": "spu_id", "tm_id": "tm_id", "category3_id": "category3_id",
+    "spu_name": "spu_name", "tm_name": "tm_name", "category3_name": "category3_name",
+}
+RENAMED_FROM_ORDER = {"order_id": "id", "dt": "create_date"}
+
+
+def wide_columns(order: str, detail: str) -> list[Column]:
+    """The wide record from a join of both sides under these aliases. `final_detail_amount` is 0
+    until the paid amount is split."""
+
+    def source(name: str) -> Column:
         if name == "final_detail_amount":
-            source = F.lit(0.0)
-        elif name in detail_fields:
-            source = F.col(f"d.{from_detail.get(name, name)}")
-        else:
-            source = F.col(f"o.{from_order.get(name, name)}")
-        columns.append(source.cast(field.dataType).alias(name))
-    return o.join(d, F.col("o.id") == F.col("d.order_id"), "inner").select(
-        *columns, *[F.col(f"d.{c}").alias(c) for c in carry]
+            return F.lit(0.0)
+        if name in FROM_DETAIL:
+            return F.col(f"{detail}.{FROM_DETAIL[name]}")
+        return F.col(f"{order}.{RENAMED_FROM_ORDER.get(name, name)}")
+
+    return [source(f.name).cast(f.dataType).alias(f.name) for f in schemas.ORDER_WIDE.fields]
+
+
+def wide_merge(orders: DataFrame, details: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Inner join on the order id, projected to the wide record. `carry` names further detail
+    columns to keep."""
+    return (
+        orders.alias("o")
+        .join(details.alias("d"), F.col("o.id") == F.col("d.order_id"), "inner")
+        .select(*wide_columns("o", "d"), *[F.col(f"d.{c}").alias(c) for c in carry])
     )
 
 
@@ -68,7 +77,7 @@ def proportional_share(gross: str, paid: str, original: str) -> Column:
     )
 
 
-def _with_cents(wide: DataFrame) -> DataFrame:
+def with_cents(wide: DataFrame) -> DataFrame:
     return (
         wide.withColumn("_gross", to_cents(gross_line_amount()))
         .withColumn("_paid", to_cents("final_total_amount"))
@@ -94,13 +103,40 @@ def pay_apportion(wide: DataFrame, close_on: str = "original", hot_rows: int = r
     """Splits every order's paid total over its lines, in line-id order, to the cent. `close_on`
     names the total that tells the last line: "original" is right, "final" is the variant that
     only sees a last line when nothing was reduced."""
-    rows = running.running_totals(_with_cents(wide), "order_id", "order_detail_id", SUMS_BEFORE, hot_rows)
+    rows = running.running_totals(with_cents(wide), "order_id", "order_detail_id", SUMS_BEFORE, hot_rows)
     return _close(rows, close_on)
 
 
+def pay_apportion_on(
+    wide: DataFrame, sums: DataFrame, close_on: str = "original", hot_rows: int = running.HOT_ROWS
+) -> DataFrame:
+    """The same for lines of orders that may have lines in earlier batches: `sums` holds their
+    (order_id, gross, share) increments in cents."""
+    earlier = sums.groupBy(F.col("order_id").alias("_order")).agg(
+        F.sum("gross").alias("_gross_earlier"), F.sum("share").alias("_share_earlier")
+    )
+    rows = running.running_totals(with_cents(wide), "order_id", "order_detail_id", SUMS_BEFORE, hot_rows)
+    rows = rows.join(earlier, F.col("order_id") == F.col("_order"), "left")
+
+    def added(inside: str, before: str) -> Column:
+        nothing = F.col(inside).isNull() & F.col(before).isNull()
+        return F.when(~nothing, F.coalesce(inside, F.lit(0)) + F.coalesce(before, F.lit(0)))
+
+    rows = rows.withColumn("_gross_before", added("_gross_before", "_gross_earlier"))
+    rows = rows.withColumn("_share_before", added("_share_before", "_share_earlier"))
+    return _close(rows, close_on).drop("_order", "_gross_earlier", "_share_earlier")
+
+
+def order_sums(split: DataFrame) -> DataFrame:
+    """Gross and paid amount of these lines per order, in cents."""
+    return split.groupBy("order_id").agg(
+        F.sum(to_cents(gross_line_amount())).alias("gross"), F.sum(to_cents("final_detail_amount")).alias("share")
+    )
+
+
 def order_running_sums(wide: DataFrame, hot_rows: int = running.HOT_ROWS) -> DataFrame:
     """Per line: gross and proportional share of the order's lines up to this one, in cents."""
-    rows = running.running_totals(_with_cents(wide), "order_id", "order_detail_id", SUMS_BEFORE, hot_rows)
+    rows = running.running_totals(with_cents(wide), "order_id", "order_detail_id", SUMS_BEFORE, hot_rows)
     return rows.withColumn("gross_so_far", F.coalesce("_gross_before", F.lit(0)) + F.col("_gross")).withColumn(
         "share_so_far", F.coalesce("_share_before", F.lit(0)) + F.col("_share")
     )
@@ -127,13 +163,13 @@ def order_wide(
     hot = marked.filter(F.col("_extent").isNotNull())
 
     plain = running.totals_before(
-        _with_cents(wide_merge(orders, usual)), "order_id", "order_detail_id", SUMS_BEFORE
+        with_cents(wide_merge(orders, usual)), "order_id", "order_detail_id", SUMS_BEFORE
     )
     hot_ids = extents.select(F.col("order_id").alias("_hot"))
     hot_orders = orders.join(F.broadcast(hot_ids), F.col("id") == F.col("_hot"), "left_semi")
     hot_wide = wide_merge(F.broadcast(hot_orders), hot, carry=("_extent",))
     blocked = running.totals_before_blocked(
-        running.with_block(_with_cents(hot_wide), "order_detail_id", hot_rows),
+        running.with_block(with_cents(hot_wide), "order_detail_id", hot_rows),
         "order_id", "order_detail_id", SUMS_BEFORE,
     ).drop("_extent", "_block")
     return _close(plain.unionByName(blocked), close_on)

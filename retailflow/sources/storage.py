@@ -20,7 +20,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int, partitions: tuple[str, ...] = ()) -> None:
+def write_batch(
+    rows: DataFrame, path: str, batch_id: int, partitions: tuple[str, ...] = (), tasks: int | None = None
+) -> None:
+    """Writes rows as batch `batch_id`, below one folder per value of `partitions`.
+
+    With partition columns the rows are brought together by folder first, so that there are not as
+    many files as tasks times folders; a folder with much data is split over several tasks again.
+    `tasks` sets the number of writing tasks for batches that fill very many small folders.
+    """
+    if partitions and tasks:
+        row_hash = F.xxhash64(*rows.columns)
+        rows = rows.repartitionByRange(tasks, *[F.col(p) for p in partitions], row_hash)
+    elif partitions:
+        rows = rows.hint("rebalance", *[F.col(p) for p in partitions])
     (
         rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -96,9 +109,9 @@ def write_bucketed(rows: DataFrame, name: str, path: str, key: str = "id", bucke
 # -- document index per day ---------------------------------------------------------------------
 
 
-def upsert_docs(rows: DataFrame, path: str, batch_id: int, day: str = "dt") -> None:
+def upsert_docs(rows: DataFrame, path: str, batch_id: int, day: str = "dt", tasks: int | None = None) -> None:
     """Documents into their day's index. The day is the event's day, not the day of writing."""
-    write_batch(rows, path, batch_id, (day,))
+    write_batch(rows, path, batch_id, (day,), tasks)
 
 
 def read_docs(spark: SparkSession, path: str, schema: T.StructType, key: str, day: str = "dt") -> DataFrame:
@@ -140,7 +153,7 @@ def append_olap_jdbc(
 def archive_raw(lines: DataFrame, path: str, batch_id: int) -> None:
     """Raw log lines (dt, value) as text, one folder per day."""
     (
-        lines.select("dt", "value", F.lit(batch_id).cast("bigint").alias("batch_id"))
+        lines.hint("rebalance", F.col("dt")).select("dt", "value", F.lit(batch_id).cast("bigint").alias("batch_id"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("dt", "batch_id").text(path)
     )

@@ -24,8 +24,9 @@ def write_topic(messages: DataFrame, root: str, batch_id: int) -> None:
     same batch again replaces it, so a replayed micro-batch changes nothing."""
     seq = F.col("seq") if "seq" in messages.columns else F.monotonically_increasing_id()
     key = F.col("key") if "key" in messages.columns else F.lit(None).cast("string")
+    # One file per topic and micro-batch rather than one per task; a large topic is split again.
     (
-        messages.select(
+        messages.hint("rebalance", F.col("topic")).select(
             "topic", key.alias("key"), "value", seq.cast("bigint").alias("seq"),
             F.lit(batch_id).cast("bigint").alias("batch_id"),
         )
