@@ -37,10 +37,10 @@ def mark_hot(rows: DataFrame, extents: DataFrame, key: str) -> DataFrame:
 def with_block(rows: DataFrame, order: str, limit: int = HOT_ROWS) -> DataFrame:
     """Adds `_block`, the number of a hot row's block: equal steps of the order column, about
     `limit` rows each. The order column must be integral."""
-    blocks = F.expr(f"_extent.n div {int(limit)} + 1")
-    # Halves keep hi - lo from overflowing when the values span most of the bigint range.
-    step = F.expr("(_extent.hi div 2 - _extent.lo div 2 + 1) div _blocks + 1")
-    place = F.expr(f"({order} div 2 - _extent.lo div 2) div _step")
+    blocks = F.expr(f"_extent.n div {max(int(limit), 1)} + 1")
+    # Quarters keep hi - lo from overflowing when the values span most of the bigint range.
+    step = F.expr("(_extent.hi div 4 - _extent.lo div 4 + 1) div _blocks + 1")
+    place = F.expr(f"({order} div 4 - _extent.lo div 4) div _step")
     return (
         rows.withColumn("_blocks", blocks).withColumn("_step", step).withColumn("_block", place)
         .drop("_blocks", "_step")
@@ -76,10 +76,17 @@ def totals_before_blocked(rows: DataFrame, key: str, order: str, sums: dict[str,
 
 
 def running_totals(
-    rows: DataFrame, key: str, order: str, sums: dict[str, str], limit: int = HOT_ROWS
+    rows: DataFrame,
+    key: str,
+    order: str,
+    sums: dict[str, str],
+    limit: int = HOT_ROWS,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Totals of the rows before each row, for groups of any size."""
-    marked = mark_hot(rows, hot_extents(rows, key, order, limit), key)
+    """Totals of the rows before each row, for groups of any size. `sizes_from` may name a cheaper
+    frame with at least the same (key, order) pairs to find large groups in."""
+    counted = (rows if sizes_from is None else sizes_from).select(key, order)
+    marked = mark_hot(rows, hot_extents(counted, key, order, limit), key)
     usual = marked.filter(F.col("_extent").isNull()).drop("_extent")
     hot = with_block(marked.filter(F.col("_extent").isNotNull()), order, limit)
     return totals_before(usual, key, order, sums).unionByName(

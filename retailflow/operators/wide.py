@@ -99,23 +99,37 @@ def _close(rows: DataFrame, close_on: str) -> DataFrame:
     return rows.withColumn("final_detail_amount", cents / 100.0).drop(*helpers)
 
 
-def pay_apportion(wide: DataFrame, close_on: str = "original", hot_rows: int = running.HOT_ROWS) -> DataFrame:
+def _totals(wide: DataFrame, hot_rows: int, sizes_from: DataFrame | None) -> DataFrame:
+    return running.running_totals(
+        with_cents(wide), "order_id", "order_detail_id", SUMS_BEFORE, hot_rows, sizes_from
+    )
+
+
+def pay_apportion(
+    wide: DataFrame,
+    close_on: str = "original",
+    hot_rows: int = running.HOT_ROWS,
+    sizes_from: DataFrame | None = None,
+) -> DataFrame:
     """Splits every order's paid total over its lines, in line-id order, to the cent. `close_on`
     names the total that tells the last line: "original" is right, "final" is the variant that
     only sees a last line when nothing was reduced."""
-    rows = running.running_totals(with_cents(wide), "order_id", "order_detail_id", SUMS_BEFORE, hot_rows)
-    return _close(rows, close_on)
+    return _close(_totals(wide, hot_rows, sizes_from), close_on)
 
 
 def pay_apportion_on(
-    wide: DataFrame, sums: DataFrame, close_on: str = "original", hot_rows: int = running.HOT_ROWS
+    wide: DataFrame,
+    sums: DataFrame,
+    close_on: str = "original",
+    hot_rows: int = running.HOT_ROWS,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """The same for lines of orders that may have lines in earlier batches: `sums` holds their
     (order_id, gross, share) increments in cents."""
     earlier = sums.groupBy(F.col("order_id").alias("_order")).agg(
         F.sum("gross").alias("_gross_earlier"), F.sum("share").alias("_share_earlier")
     )
-    rows = running.running_totals(with_cents(wide), "order_id", "order_detail_id", SUMS_BEFORE, hot_rows)
+    rows = _totals(wide, hot_rows, sizes_from)
     rows = rows.join(earlier, F.col("order_id") == F.col("_order"), "left")
 
     def added(inside: str, before: str) -> Column:
@@ -134,9 +148,11 @@ def order_sums(split: DataFrame) -> DataFrame:
     )
 
 
-def order_running_sums(wide: DataFrame, hot_rows: int = running.HOT_ROWS) -> DataFrame:
+def order_running_sums(
+    wide: DataFrame, hot_rows: int = running.HOT_ROWS, sizes_from: DataFrame | None = None
+) -> DataFrame:
     """Per line: gross and proportional share of the order's lines up to this one, in cents."""
-    rows = running.running_totals(with_cents(wide), "order_id", "order_detail_id", SUMS_BEFORE, hot_rows)
+    rows = _totals(wide, hot_rows, sizes_from)
     return rows.withColumn("gross_so_far", F.coalesce("_gross_before", F.lit(0)) + F.col("_gross")).withColumn(
         "share_so_far", F.coalesce("_share_before", F.lit(0)) + F.col("_share")
     )

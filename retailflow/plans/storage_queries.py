@@ -11,7 +11,7 @@ from retailflow.operators import active, dimensions, routing, wide
 from retailflow.plans import warehouse
 from retailflow.plans.oracle import sql
 from retailflow.plans.registry import query
-from retailflow.plans.table_queries import amounts_only
+from retailflow.plans.table_queries import amounts_only, line_ids
 from retailflow.session import run_dir
 from retailflow.sources import storage, tables, topics
 from retailflow.sources.tables import AS_OF, Tables
@@ -117,7 +117,7 @@ def index_alias(t: Tables) -> DataFrame:
 def olap_append(t: Tables) -> DataFrame:
     """Two appends, the second of them repeated."""
     path = run_dir(t.spark, "s12")
-    rows = wide.pay_apportion(amounts_only(t))
+    rows = wide.pay_apportion(amounts_only(t), sizes_from=line_ids(t))
     for n, part in ((0, 0), (1, 1), (1, 1)):
         storage.append_olap(rows.filter(F.col("order_id") % 2 == part), path, n)
     stored = t.spark.read.parquet(path)

@@ -209,20 +209,20 @@ def _money(*names: str) -> list:
 @query("a7_order_running_sums", sql("""
     SELECT order_id, order_detail_id, gross_so_far, share_so_far FROM sums""", "sums"))
 def order_running_sums(t: Tables) -> DataFrame:
-    return wide.order_running_sums(amounts_only(t)).select(*LINE, "gross_so_far", "share_so_far")
+    return wide.order_running_sums(amounts_only(t), sizes_from=line_ids(t)).select(*LINE, "gross_so_far", "share_so_far")
 
 
 @query("w3_pay_apportion", sql("""
     SELECT order_id, order_detail_id, paid AS final_total_cents, final_cents AS final_detail_cents FROM split""", "split"))
 def pay_apportion(t: Tables) -> DataFrame:
-    return wide.pay_apportion(amounts_only(t)).select(*LINE, *_money("final_total_amount", "final_detail_amount"))
+    return wide.pay_apportion(amounts_only(t), sizes_from=line_ids(t)).select(*LINE, *_money("final_total_amount", "final_detail_amount"))
 
 
 @query("w3_pay_apportion_blocks", sql("""
     SELECT order_id, order_detail_id, paid AS final_total_cents, final_cents AS final_detail_cents FROM split""", "split"))
 def pay_apportion_blocks(t: Tables) -> DataFrame:
     """The path for very large orders, taken here by every order of more than three lines."""
-    return wide.pay_apportion(amounts_only(t), hot_rows=3).select(
+    return wide.pay_apportion(amounts_only(t), hot_rows=3, sizes_from=line_ids(t)).select(
         *LINE, *_money("final_total_amount", "final_detail_amount")
     )
 
@@ -233,7 +233,11 @@ def pay_apportion_blocks(t: Tables) -> DataFrame:
     FROM sums""", "sums"))
 def pay_apportion_final(t: Tables) -> DataFrame:
     """The variant that recognises the last line by the paid total."""
-    return wide.pay_apportion(amounts_only(t), close_on="final").select(*LINE, *_money("final_detail_amount"))
+    return wide.pay_apportion(amounts_only(t), close_on="final", sizes_from=line_ids(t)).select(*LINE, *_money("final_detail_amount"))
+
+
+def line_ids(t: Tables) -> DataFrame:
+    return t.order_detail.select("order_id", F.col("id").alias("order_detail_id"))
 
 
 def amounts_only(t: Tables) -> DataFrame:

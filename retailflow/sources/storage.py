@@ -1,7 +1,7 @@
 """Keyed tables and document indexes as partitioned parquet folders.
 
-Every write names its batch and replaces exactly that batch's partitions; reading takes the
-newest row per key. So writes are idempotent under replay, and no update in place is needed.
+Every write names its batch and replaces exactly that batch's folder; reading takes the newest
+row per key. So writes are idempotent under replay, and no update in place is needed.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 def write_batch(
     rows: DataFrame, path: str, batch_id: int, partitions: tuple[str, ...] = (), tasks: int | None = None
 ) -> None:
-    """Writes rows as batch `batch_id`, below one folder per value of `partitions`.
+    """Writes rows as batch `batch_id`, below one folder per value of `partitions`. The batch has
+    a folder of its own, which is replaced as a whole.
 
     With partition columns the rows are brought together by folder first, so that there are not as
     many files as tasks times folders; a folder with much data is split over several tasks again.
@@ -34,11 +35,7 @@ def write_batch(
         rows = rows.repartitionByRange(tasks, *[F.col(p) for p in partitions], row_hash)
     elif partitions:
         rows = rows.hint("rebalance", *[F.col(p) for p in partitions])
-    (
-        rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions, "batch_id").parquet(path)
-    )
+    rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
@@ -152,8 +149,5 @@ def append_olap_jdbc(
 
 def archive_raw(lines: DataFrame, path: str, batch_id: int) -> None:
     """Raw log lines (dt, value) as text, one folder per day."""
-    (
-        lines.hint("rebalance", F.col("dt")).select("dt", "value", F.lit(batch_id).cast("bigint").alias("batch_id"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dt", "batch_id").text(path)
-    )
+    by_day = lines.select("dt", "value").hint("rebalance", F.col("dt"))
+    by_day.write.mode("overwrite").partitionBy("dt").text(f"{path}/batch_id={batch_id}")

@@ -72,8 +72,22 @@ class Warehouse:
         schema, key = DIMENSIONS[table]
         return storage.read_dim(self.spark, self.folder("dim", table), schema, key)
 
-    def launch(self, rows: DataFrame, job: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
-        writer = rows.writeStream.queryName(job).foreachBatch(handle).option(
+    def launch(
+        self, rows: DataFrame, job: str, handle: Callable[[DataFrame, int], None], reused: bool = True
+    ) -> StreamingQuery:
+        """Starts a job. `reused`: the handler looks at its batch more than once. It is then kept
+        for the time of the batch, so that neither the source is read nor a stateful operator run
+        twice, and empty batches are passed over."""
+
+        def keep(batch: DataFrame, n: int) -> None:
+            kept = batch.persist()
+            try:
+                if not kept.isEmpty():
+                    handle(kept, n)
+            finally:
+                kept.unpersist()
+
+        writer = rows.writeStream.queryName(job).foreachBatch(keep if reused else handle).option(
             "checkpointLocation", self.folder("checkpoint", job)
         )
         if self.available_now:
@@ -115,7 +129,7 @@ def split_changes(wh: Warehouse, changes: DataFrame, arrays: bool = False) -> St
         key = F.get_json_object("value", "$.id")
         topics.write_topic(route(batch).withColumn("key", key), wh.topics, n)
 
-    return wh.launch(changes, "split_changes_arrays" if arrays else "split_changes", handle)
+    return wh.launch(changes, "split_changes_arrays" if arrays else "split_changes", handle, reused=False)
 
 
 # -- daily actives ------------------------------------------------------------------------------
@@ -146,7 +160,7 @@ def dau_with_expiry(wh: Warehouse, ttl: str = "24 hours") -> StreamingQuery:
     def handle(batch: DataFrame, n: int) -> None:
         storage.upsert_docs(batch.select(*schemas.DAU_INFO.fieldNames()), wh.folder("docs", "dau_info"), n)
 
-    return wh.launch(fresh, "dau_with_expiry", handle)
+    return wh.launch(fresh, "dau_with_expiry", handle, reused=False)
 
 
 def dau_docs(wh: Warehouse) -> DataFrame:
@@ -233,7 +247,7 @@ def wide_batch(wh: Warehouse, batch: DataFrame, n: int, lookback: int = LOOKBACK
     seen = storage.read_batches(wh.spark, wh.order_wide, schemas.ORDER_WIDE, before=n).filter(recent)
     fresh = active.unseen(batch, seen, lines, ["create_time"])
     sums = storage.read_batches(wh.spark, sums_path, ORDER_SUMS, before=n).filter(recent)
-    split = wide.pay_apportion_on(fresh, sums).persist()
+    split = wide.pay_apportion_on(fresh, sums, sizes_from=batch).persist()
     try:
         storage.append_olap(split.select(*schemas.ORDER_WIDE.fieldNames()), wh.order_wide, n)
         storage.write_batch(wide.order_sums(split), sums_path, n)
