@@ -6,6 +6,7 @@ from retailflow.functions.scalars import (  # noqa: F401
     hour_of_ms,
     hour_of_text,
     name_id,
+    number_id,
     previous_day,
     round_half_up,
     to_cents,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from retailflow.functions.scalars import AGE_MIDDLE, AGE_OLD, AGE_YOUNG, GENDER_FEMALE, GENDER_MALE
+from retailflow.functions.scalars import AGE_MIDDLE, AGE_OLD, AGE_YOUNG, GENDER_FEMALE, GENDER_MALE, ID_MODULI
 from retailflow.sources.tables import AS_OF
 
 
@@ -21,11 +21,21 @@ def change_kind(number: str) -> str:
     )
 
 
-_LINE = "concat_ws(':', " + ", ".join(
-    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "CAST(l_quantity AS BIGINT)"]
+def number_id(values: list[str]) -> str:
+    halves = []
+    for modulus, factor in ID_MODULI:
+        half = "CAST(0 AS BIGINT)"
+        for value in values:
+            half = f"(({half} * {factor} + {value}) % {modulus})"
+        halves.append(half)
+    return f"({halves[0]} * 1073741824 + {halves[1]})"
+
+
+_LINE = (
+    [f"CAST({c} AS BIGINT)" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")]
     + [cents(c) for c in ("l_extendedprice", "l_discount", "l_tax")]
-    + ["l_returnflag", "l_linestatus", "strftime(l_shipdate, '%Y-%m-%d')"]
-) + ")"
+    + ["ascii(l_returnflag)", "ascii(l_linestatus)", "date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))"]
+)
 
 CTES = {
     "logs": """
@@ -74,7 +84,7 @@ CTES = {
         FROM flagged f LEFT JOIN users u USING (user_id) LEFT JOIN provinces p ON u.province_id = p.id
              LEFT JOIN totals t ON f.id = t.id""",
     "details": f"""
-        SELECT {name_id(_LINE)} AS id, l_orderkey AS order_id, l_partkey AS sku_id, CAST(l_quantity AS BIGINT) AS sku_num,
+        SELECT {number_id(_LINE)} AS id, l_orderkey AS order_id, l_partkey AS sku_id, CAST(l_quantity AS BIGINT) AS sku_num,
                {cents('CAST(l_quantity AS BIGINT) * (l_extendedprice / l_quantity)')} AS gross
         FROM lineitem""",
     "wide": """

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailflow.functions import name_id, to_cents
+from retailflow.functions import name_id, number_id, to_cents
 from retailflow.session import configure
 
 AS_OF = "2021-02-16"
@@ -205,17 +205,14 @@ def order_detail(lineitem: DataFrame) -> DataFrame:
     """Order lines. (l_orderkey, l_linenumber) repeats, whole rows do not, so the id is a number
     taken from the whole row: no ranking, hence no shuffle, and any order may be arbitrarily long.
     Being 60 bits it is unique within an order; it is always used together with order_id."""
-    row = F.concat_ws(
-        ":",
-        *[F.col(c).cast("bigint").cast("string")
-          for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")],
-        *[to_cents(c).cast("string") for c in ("l_extendedprice", "l_discount", "l_tax")],
-        "l_returnflag",
-        "l_linestatus",
-        F.date_format("l_shipdate", "yyyy-MM-dd"),
-    )
+    row = [
+        *[F.col(c).cast("bigint") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")],
+        *[to_cents(c) for c in ("l_extendedprice", "l_discount", "l_tax")],
+        *[F.ascii(c).cast("bigint") for c in ("l_returnflag", "l_linestatus")],
+        F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint"),
+    ]
     return lineitem.select(
-        name_id(row).alias("id"),
+        number_id(row).alias("id"),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("sku_id"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("order_price"),
