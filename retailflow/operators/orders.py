@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailflow.functions import day_of_text, hour_of_text
@@ -14,11 +14,17 @@ def with_create_day_hour(orders: DataFrame) -> DataFrame:
     )
 
 
+def _number(text_id: str) -> Column:
+    """The state table keeps ids as text. Comparing numbers leaves the orders' side of a join as
+    it is partitioned already."""
+    return F.expr(f"try_cast({text_id} AS bigint)")
+
+
 def order_flag_lookup(orders: DataFrame, user_state: DataFrame) -> DataFrame:
     """Flag from the state table alone: "0" for users known to have consumed, else "1"."""
-    state = user_state.select(F.col("user_id").alias("_user"), "if_consumed")
+    state = user_state.select(_number("user_id").alias("_user"), "if_consumed")
     return (
-        orders.join(state, F.col("user_id").cast("string") == F.col("_user"), "left")
+        orders.join(state, F.col("user_id") == F.col("_user"), "left")
         .withColumn(
             "if_first_order", F.when(F.coalesce("if_consumed", F.lit("")) == "1", "0").otherwise("1")
         )
@@ -36,8 +42,8 @@ def first_orders(orders: DataFrame, user_state: DataFrame | None = None) -> Data
     )
     if user_state is None:
         return earliest
-    consumed = user_state.filter(F.col("if_consumed") == "1").select(F.col("user_id").alias("_user"))
-    return earliest.join(consumed, F.col("user_id").cast("string") == F.col("_user"), "left_anti")
+    consumed = user_state.filter(F.col("if_consumed") == "1").select(_number("user_id").alias("_user"))
+    return earliest.join(consumed, F.col("user_id") == F.col("_user"), "left_anti")
 
 
 def set_first_flag(orders: DataFrame, firsts: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from retailflow.operators import dimensions, orders, wide
+from retailflow.sources import tables
 from retailflow.sources.tables import AS_OF, Tables
 
 
@@ -17,13 +18,13 @@ def skus(t: Tables) -> DataFrame:
 
 
 def dwd_orders(t: Tables) -> DataFrame:
-    """Orders with every field filled. The user lookup comes first and the flag last: what is
-    joined by user shares one partitioning, what is joined by order id another, which the join
-    with the lines reuses."""
-    plain = orders.with_create_day_hour(t.order_info)
-    placed = dimensions.order_province(dimensions.order_user(plain, users(t)), t.province)
-    firsts = orders.first_orders(t.order_heads, t.user_state)
-    return orders.set_first_flag(placed, firsts)
+    """Orders with every field filled. What is joined by user comes first and shares one
+    partitioning, what is joined by order id comes last and shares another, which the join with
+    the lines reuses: orders are shuffled twice in all."""
+    placed = dimensions.order_user(t.order_placed, users(t))
+    placed = dimensions.order_province(orders.with_create_day_hour(placed), t.province)
+    priced = tables.with_totals(placed, t.raw("lineitem"))
+    return orders.set_first_flag(priced, orders.first_orders(t.order_heads, t.user_state))
 
 
 def dwd_details(t: Tables) -> DataFrame:

@@ -51,6 +51,10 @@ class Tables:
     def order_heads(self) -> DataFrame:
         return order_heads(self.raw("orders"))
 
+    @cached_property
+    def order_placed(self) -> DataFrame:
+        return order_placed(self.raw("orders"), self.raw("customer"))
+
     @cached_property
     def order_info(self) -> DataFrame:
         return order_info(self.raw("orders"), self.raw("customer"), self.raw("lineitem"))
@@ -177,30 +181,32 @@ def order_totals(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def order_info(orders: DataFrame, customer: DataFrame, lineitem: DataFrame) -> DataFrame:
+def order_placed(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """Order heads with the province of their user."""
     home = customer.select(
         F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("bigint").alias("province_id")
     )
+    return order_heads(orders).join(home, "user_id", "left")
+
+
+def with_totals(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Adds the amounts of an order, which the tables only have per line."""
     original = F.coalesce("_original", F.lit(0))
     paid = F.coalesce("_paid", F.lit(0))
     return (
-        order_heads(orders)
-        .join(home, "user_id", "left")
-        .join(order_totals(lineitem), "id", "left")
-        .select(
-            "id",
-            "province_id",
-            "order_status",
-            "user_id",
-            (paid / 100.0).alias("final_total_amount"),
-            ((original - paid) / 100.0).alias("benefit_reduce_amount"),
-            (original / 100.0).alias("original_total_amount"),
-            F.lit(0.0).alias("feight_fee"),
-            "create_time",
-        )
+        orders.join(order_totals(lineitem), "id", "left")
+        .withColumn("final_total_amount", paid / 100.0)
+        .withColumn("benefit_reduce_amount", (original - paid) / 100.0)
+        .withColumn("original_total_amount", original / 100.0)
+        .withColumn("feight_fee", F.lit(0.0))
+        .drop("_original", "_paid")
     )
 
 
+def order_info(orders: DataFrame, customer: DataFrame, lineitem: DataFrame) -> DataFrame:
+    return with_totals(order_placed(orders, customer), lineitem)
+
+
 def order_detail(lineitem: DataFrame) -> DataFrame:
     """Order lines. (l_orderkey, l_linenumber) repeats, whole rows do not, so the id is a number
     taken from the whole row: no ranking, hence no shuffle, and any order may be arbitrarily long.
