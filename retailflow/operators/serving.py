@@ -38,6 +38,18 @@ def on_day(startups: DataFrame, date: str | None, days_before: int = 0) -> DataF
     )
 
 
+def index_total(docs: DataFrame, date: str | None = None) -> DataFrame:
+    """Daily actives from the daily document index: the number of its documents. The day is a
+    partition of the index."""
+    rows = docs if date is None else docs.filter(F.col("dt") == date)
+    return rows.groupBy("dt").agg(F.count(F.lit(1)).alias("total"))
+
+
+def index_by_hour(docs: DataFrame, date: str | None = None) -> DataFrame:
+    rows = docs if date is None else docs.filter(F.col("dt") == date)
+    return rows.groupBy("dt", "hr").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _by_hour(startups: DataFrame) -> DataFrame:
     return (
         first_seen(startups)

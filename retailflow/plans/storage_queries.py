@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailflow import schemas
-from retailflow.operators import active, dimensions, routing, wide
+from retailflow.operators import active, dimensions, routing, serving, wide
 from retailflow.plans import warehouse
 from retailflow.plans.oracle import sql
 from retailflow.plans.registry import query
@@ -98,15 +98,29 @@ def doc_upsert_daily(t: Tables) -> DataFrame:
     return storage.read_docs(t.spark, path, schemas.DAU_INFO, "mid").select("mid", "dt", "hr", "vc", "ts")
 
 
+def stored_dau(t: Tables, name: str) -> DataFrame:
+    path = run_dir(t.spark, name)
+    storage.upsert_docs(active.dau_dedup(t.startups).drop("seq"), path, 0)
+    return storage.read_docs(t.spark, path, schemas.DAU_INFO, "mid")
+
+
+@query("a1_index_total", sql("SELECT dt, count(DISTINCT mid) AS total FROM logs GROUP BY 1", "logs"))
+def index_total(t: Tables) -> DataFrame:
+    """Daily actives as the document count of each day's index."""
+    return serving.index_total(stored_dau(t, "a1"))
+
+
+@query("a2_index_by_hour", sql("SELECT dt, hr, count(*) AS n FROM firsts GROUP BY 1, 2", "firsts"))
+def index_by_hour(t: Tables) -> DataFrame:
+    return serving.index_by_hour(stored_dau(t, "a2"))
+
+
 @query("s11_index_alias", sql("""
     SELECT 'all' AS name, dt, count(*) AS n FROM firsts GROUP BY dt
     UNION ALL SELECT 'day', dt, count(*) FROM firsts WHERE dt = '2024-01-03' GROUP BY dt""", "firsts"))
 def index_alias(t: Tables) -> DataFrame:
     """SQL over the view of all days and over the view of one."""
-    path = run_dir(t.spark, "s11")
-    storage.upsert_docs(active.dau_dedup(t.startups).drop("seq"), path, 0)
-    docs = storage.read_docs(t.spark, path, schemas.DAU_INFO, "mid")
-    storage.index_views(docs, "dau_info", ("2024-01-03",))
+    storage.index_views(stored_dau(t, "s11"), "dau_info", ("2024-01-03",))
     return t.spark.sql("""
         SELECT 'all' AS name, dt, count(*) AS n FROM dau_info_query GROUP BY dt
         UNION ALL SELECT 'day', dt, count(*) FROM dau_info_2024_01_03_query GROUP BY dt""")

@@ -11,7 +11,7 @@ from retailflow.operators import active, orders, serving
 from retailflow.plans import row_queries, table_queries, warehouse  # noqa: F401
 from retailflow.plans.registry import QUERIES
 
-SINKS = ("s1_", "s2_", "s4_", "s6_", "s7_", "s9_", "s11_", "s12_", "s13_", "s14_", "s15_", "t", "j6_")
+SINKS = ("s1_", "s2_", "s4_", "s6_", "s7_", "s9_", "s11_", "s12_", "s13_", "s14_", "s15_", "t", "j6_", "a1_index", "a2_index")
 BATCH = sorted(n for n in QUERIES if not n.startswith(SINKS) or n.startswith(("t2_sliding_window",)) and "stream" not in n)
 
 
@@ -88,3 +88,10 @@ def test_page_is_a_bounded_top_k(tables):
     docs = tables.raw("part")
     text = plan(serving.page(docs, [F.desc("p_retailprice")], 40, 20))
     assert "TakeOrderedAndProject" in text and "Exchange" not in text
+
+
+def test_day_of_the_index_is_a_partition_filter(spark, tables):
+    from retailflow.plans.storage_queries import stored_dau
+
+    text = plan(serving.index_total(stored_dau(tables, "plan"), "2024-01-03"))
+    assert re.search(r"PartitionFilters: \[[^\]]*dt[^\]]*2024-01-03", text)
