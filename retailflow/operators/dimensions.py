@@ -85,10 +85,18 @@ def detail_sku(details: DataFrame, skus: DataFrame) -> DataFrame:
     return named.withColumn("sku_name", F.coalesce("_own_name", "sku_name")).drop("_own_name")
 
 
-def dim_lookup_in(dim: DataFrame, ids: DataFrame, dim_key: str, id_column: str) -> DataFrame:
+def dim_lookup_in(
+    dim: DataFrame, ids: DataFrame, dim_key: str, id_column: str, broadcast_up_to: int | None = None
+) -> DataFrame:
     """Only the dimension rows whose key occurs among the ids. The ids are made distinct with
-    map-side combine first, so a hot id is shuffled once per task."""
+    map-side combine first, so a hot id is shuffled once per task.
+
+    `broadcast_up_to` is for micro-batches: the distinct ids are counted, and up to that many are
+    broadcast, so that a large dimension is scanned but not shuffled. More are joined as usual.
+    """
     wanted = ids.select(F.col(id_column).cast("string").alias("_wanted")).distinct()
+    if broadcast_up_to is not None and wanted.count() <= broadcast_up_to:
+        wanted = F.broadcast(wanted)
     return dim.join(wanted, F.col(dim_key) == F.col("_wanted"), "left_semi")
 
 

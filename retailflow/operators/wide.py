@@ -142,8 +142,8 @@ def pay_apportion_on(
 
 
 def order_sums(split: DataFrame) -> DataFrame:
-    """Gross and paid amount of these lines per order, in cents."""
-    return split.groupBy("order_id").agg(
+    """Gross and paid amount of these lines per order, in cents, with the order's time."""
+    return split.groupBy("order_id", "create_time").agg(
         F.sum(to_cents(gross_line_amount())).alias("gross"), F.sum(to_cents("final_detail_amount")).alias("share")
     )
 

@@ -6,6 +6,8 @@ row per key. So writes are idempotent under replay, and no update in place is ne
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,8 +72,15 @@ def _snapshot_level(spark: SparkSession, path: str) -> int | None:
     return folders.agg(F.max("upto")).first()[0]
 
 
-def read_dim(spark: SparkSession, path: str, schema: T.StructType, key: str = "id") -> DataFrame:
-    """The current row per key: the newest snapshot plus the batches after it."""
+def read_dim(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    key: str = "id",
+    only: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """The current row per key: the newest snapshot plus the batches after it. `only` may narrow
+    the stored rows by key; it is applied before versions are compared."""
     full = _with_seq(schema)
     changes = read_batches(spark, f"{path}/changes", full)
     level = _snapshot_level(spark, path)
@@ -79,6 +88,8 @@ def read_dim(spark: SparkSession, path: str, schema: T.StructType, key: str = "i
         base = spark.read.schema(T.StructType(full.fields + [T.StructField("upto", LONG)])).parquet(f"{path}/snapshot")
         base = base.filter(F.col("upto") == level).withColumnRenamed("upto", "batch_id")
         changes = base.unionByName(changes.filter(F.col("batch_id") > level))
+    if only is not None:
+        changes = only(changes)
     newest = first_per_key(changes, [key], [F.desc("batch_id"), F.desc("seq")])
     return newest.select(*schema.fieldNames())
 

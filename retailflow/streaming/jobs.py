@@ -26,7 +26,7 @@ INTERVAL = "5 seconds"
 DWD_ORDER_INFO = "DWD_ORDER_INFO"
 DWD_ORDER_DETAIL = "DWD_ORDER_DETAIL"
 
-# How far back replayed lines and running sums are looked for: a week of micro-batches.
+# How far back repeated lines and running sums are looked for: a week of micro-batches.
 LOOKBACK_BATCHES = 7 * 24 * 3600 // 5
 
 DIMENSIONS = {
@@ -38,8 +38,17 @@ DIMENSIONS = {
     "sku_info": (schemas.SKU_INFO, "id"),
 }
 
+# Up to this many ids of a micro-batch are broadcast to where a large dimension or state table lies
+# (20 MB of numbers as text); beyond, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
 ORDER_SUMS = T.StructType(
-    [T.StructField("order_id", T.LongType()), T.StructField("gross", T.LongType()), T.StructField("share", T.LongType())]
+    [
+        T.StructField("order_id", T.LongType()),
+        T.StructField("create_time", T.StringType()),
+        T.StructField("gross", T.LongType()),
+        T.StructField("share", T.LongType()),
+    ]
 )
 
 
@@ -69,9 +78,18 @@ class Warehouse:
         return topics.stream_topic(self.spark, self.topics, topic, self.files_per_trigger)
 
     def dim(self, table: str) -> DataFrame:
+        """All current rows of a dimension."""
         schema, key = DIMENSIONS[table]
         return storage.read_dim(self.spark, self.folder("dim", table), schema, key)
 
+    def dim_of(self, table: str, batch: DataFrame, id_column: str) -> DataFrame:
+        """The current rows of a large dimension that this batch refers to."""
+        schema, key = DIMENSIONS[table]
+        return storage.read_dim(
+            self.spark, self.folder("dim", table), schema, key,
+            only=lambda rows: dimensions.dim_lookup_in(rows, batch, key, id_column, BROADCAST_IDS),
+        )
+
     def launch(
         self, rows: DataFrame, job: str, handle: Callable[[DataFrame, int], None], reused: bool = True
     ) -> StreamingQuery:
@@ -199,8 +217,10 @@ def order_batch(wh: Warehouse, batch: DataFrame, n: int) -> None:
     state_path = wh.folder("state", "user_state")
     plain = orders.with_create_day_hour(wh.good(batch, schemas.ORDER_INFO, "order_info", n))
     before = storage.read_batches(wh.spark, state_path, schemas.USER_STATE, before=n)
+    before = dimensions.dim_lookup_in(before, plain, "user_id", "user_id", BROADCAST_IDS)
     flagged = orders.first_order_flag(plain, before)
-    placed = dimensions.order_user(dimensions.order_province(flagged, wh.dim("base_province")), wh.dim("user_info"))
+    users = wh.dim_of("user_info", plain, "user_id")
+    placed = dimensions.order_user(dimensions.order_province(flagged, wh.dim("base_province")), users)
     placed = placed.persist()
     try:
         storage.write_batch(orders.new_consumers(placed), state_path, n)
@@ -222,7 +242,7 @@ def order_info(wh: Warehouse) -> StreamingQuery:
 
 def detail_batch(wh: Warehouse, batch: DataFrame, n: int) -> None:
     plain = wh.good(batch, schemas.ORDER_DETAIL, "order_detail", n)
-    named = schemas.conform(dimensions.detail_sku(plain, wh.dim("sku_info")), schemas.ORDER_DETAIL)
+    named = schemas.conform(dimensions.detail_sku(plain, wh.dim_of("sku_info", plain, "sku_id")), schemas.ORDER_DETAIL)
     topics.write_topic(_messages(named, DWD_ORDER_DETAIL), wh.topics, n)
 
 
@@ -242,11 +262,14 @@ def wide_batch(wh: Warehouse, batch: DataFrame, n: int, lookback: int = LOOKBACK
     """Splits the paid totals of the pairs of one batch and appends them. Running sums of orders
     whose lines came in several batches are kept as a table of increments."""
     sums_path = wh.folder("state", "order_sums")
-    recent = F.col("batch_id") >= n - lookback
+    # A line that comes again has the time of its order, so what was stored is narrowed to the
+    # times of this batch: file statistics skip the rest.
+    times = batch.agg(F.min("create_time").alias("lo"), F.max("create_time").alias("hi")).first()
+    known = (F.col("batch_id") >= n - lookback) & F.col("create_time").between(times.lo, times.hi)
     lines = ["order_id", "order_detail_id"]
-    seen = storage.read_batches(wh.spark, wh.order_wide, schemas.ORDER_WIDE, before=n).filter(recent)
+    seen = storage.read_batches(wh.spark, wh.order_wide, schemas.ORDER_WIDE, before=n).filter(known)
     fresh = active.unseen(batch, seen, lines, ["create_time"])
-    sums = storage.read_batches(wh.spark, sums_path, ORDER_SUMS, before=n).filter(recent)
+    sums = storage.read_batches(wh.spark, sums_path, ORDER_SUMS, before=n).filter(known)
     split = wide.pay_apportion_on(fresh, sums, sizes_from=batch).persist()
     try:
         storage.append_olap(split.select(*schemas.ORDER_WIDE.fieldNames()), wh.order_wide, n)

@@ -155,7 +155,7 @@ def test_wide_job_late_line_and_repeated_line(spark, rows, wh):
 
 
 def test_wide_batch_replay(spark, rows, wh):
-    base = {"sku_num": 1, "sku_price": 40.0, "original_total_amount": 120.0, "final_total_amount": 100.0}
+    base = {"create_time": "2021-02-13 10:00:00", "sku_num": 1, "sku_price": 40.0, "original_total_amount": 120.0, "final_total_amount": 100.0}
 
     def batch(*ids):
         return schemas.conform(rows([(1, i) for i in ids], "order_id bigint, order_detail_id bigint").select(
@@ -220,6 +220,6 @@ def test_warehouse_in_several_batches(spark, tables):
     firsts = jobs.order_docs(wh).groupBy("user_id").agg(F.sum(F.col("if_first_order").cast("int")).alias("n"))
     assert {r.n for r in firsts.collect()} == {1}
     sums = wide.order_sums(rows)
-    state_sums = storage.read_batches(spark, wh.folder("state", "order_sums"), jobs.ORDER_SUMS).groupBy("order_id").agg(
+    state_sums = storage.read_batches(spark, wh.folder("state", "order_sums"), jobs.ORDER_SUMS).groupBy("order_id", "create_time").agg(
         F.sum("gross").alias("gross"), F.sum("share").alias("share"))
     assert sums.exceptAll(state_sums).count() == 0
