@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailflow.llm import exact_dedup, mixing, url_filter
-from retailflow.llm.common import table
+from retailflow.llm import exact_dedup, language_model, mixing, packing, quality, tokens, url_filter, warc
+from retailflow.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,16 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_language_model")
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from nine tenths of the documents and scores all."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(fold("doc_id"), F.lit(10)) == 0
+    model = language_model.fit(docs.where(~held_out))
+    return language_model.scored(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 #: Hosts with one of these in their name are listed, page by page.
 LISTED_HOSTS = "ads-track|cheap-pills"
 
@@ -61,3 +71,40 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_mix_sources")
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+VOCABULARY = "word_bpe_49k.json"
+MOST_TOKENS = 2048
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.counted(table(spark, sf_dir, "documents"), VOCABULARY).withColumn("over_limit", F.col("n_tokens") > MOST_TOKENS)
+
+
+@query("op7_warc", r"""
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, refers_to, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, payload_digest
+FROM (SELECT page_id, html, nullif(min(page_id) OVER (PARTITION BY coalesce(html, '')), page_id) AS refers_to,
+             (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (CAST('0x' || substr(sha1(coalesce(html, '')), 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) % 32, 1), '' ORDER BY i)
+              FROM range(32) AS r(i)) AS payload_digest
+      FROM pages)""")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+#: Scores from here on count as good.
+LEAST_QUALITY = 0.7
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from three quarters of the labels; the last is held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(fold("doc_id"), F.lit(4)) == 2
+    machine = quality.fitted(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return quality.scored(docs, machine).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"))
