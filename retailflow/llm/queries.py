@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailflow.llm import exact_dedup, language_model, mixing, packing, quality, tokens, url_filter, warc
+from retailflow.llm import exact_dedup, language_model, mixing, ngram_join, packing, quality, tokens, url_filter, warc
 from retailflow.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counted(table(spark, sf_dir, "documents"), VOCABULARY).withColumn("over_limit", F.col("n_tokens") > MOST_TOKENS)
 
 
+@query("op6_ngram_jaccard_join")
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.clusters(table(spark, sf_dir, "documents"))
+
+
 @query("op7_warc", r"""
 SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, refers_to, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, payload_digest
 FROM (SELECT page_id, html, nullif(min(page_id) OVER (PARTITION BY coalesce(html, '')), page_id) AS refers_to,
