@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailflow.llm import exact_dedup, language_model, mixing, ngram_join, packing, quality, tokens, url_filter, warc
+from retailflow.llm import embedding_forest, exact_dedup, language_model, mixing, ngram_join, packing, quality, tokens, url_filter, warc
 from retailflow.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,11 @@ def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+@query("op2_embedding_forest")
+def op2_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_forest.linked(table(spark, sf_dir, "embeddings"))
+
+
 #: Hosts with one of these in their name are listed, page by page.
 LISTED_HOSTS = "ads-track|cheap-pills"
 
@@ -113,3 +119,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(fold("doc_id"), F.lit(4)) == 2
     machine = quality.fitted(docs, table(spark, sf_dir, "labels").where(~held_out))
     return quality.scored(docs, machine).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
