@@ -69,6 +69,6 @@ def _result(rows: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: one row for each group."""
     keep = groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256")).distinct()
-    keyed = docs.withColumn("kept_digest", digest(normal(F.col("text"))))
-    same = keyed["doc_id"].eqNullSafe(keep["kept_id"]) & (keyed["kept_digest"] == keep["kept_sha256"])
-    return keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "kept_digest"]).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), digest(normal(F.col("text"))).alias("sha256"))
+    same = rows["id"].eqNullSafe(keep["kept_id"]) & (rows["sha256"] == keep["kept_sha256"])
+    return rows.join(keep, same, "left_semi").dropDuplicates(["id", "sha256"]).select("row.*")

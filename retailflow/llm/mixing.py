@@ -214,19 +214,21 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     parts of a text are joined by single spaces. n_chars, where there is one, is that of the new text."""
     got = mixed(docs, mix)
     part = F.struct("start", "words", "times")
-    plan = got.parts.groupBy(_ROW).agg(F.array_sort(F.collect_list(part)).alias("_parts"), F.max("times").alias("_passes"))
-    columns, small = docs.columns, got.sources.select("source_no", F.col("source").alias("_s"))
-    rows = docs.withColumn("size", size_of(F.col("text"))) if "size" not in columns else docs.withColumn("_size", F.col("size")).withColumn("size", size_of(F.col("text")))
-    rows = rows.join(F.broadcast(small), F.col("source").eqNullSafe(F.col("_s")), "left")
+    plan = got.parts.groupBy(_ROW).agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max("times").alias("passes"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.col("source").alias("s"), size_of(F.col("text")).alias("size"))
+    small = got.sources.select("source_no", F.col("source").alias("of"))
+    rows = rows.join(F.broadcast(small), F.col("s").eqNullSafe(F.col("of"))).drop("s", "of")
     rows = rows.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "size", "source_no").orderBy(F.lit(1))))
-    rows = _joined(rows, plan).where("_passes IS NOT NULL")
-    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_passes").cast("int"))))
-    rows = rows.withColumn("_parts", F.filter("_parts", lambda p: p["times"] >= F.col("_pass")))
-    length = F.aggregate("_parts", F.lit(0).cast("long"), lambda n, p: n + p["words"])
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["start"] + 1).cast("int"), p["words"].cast("int"))))
-    rows = rows.withColumn("_whole", length == F.col("size")).withColumn("_words", F.when(~F.col("_whole"), words))
-    rows = rows.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(F.array_join(cut, " ")))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[F.col("_size").alias(c) if c == "size" else F.col(c) for c in columns])
+    rows = _joined(rows, plan).where("passes IS NOT NULL")
+    rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
+    rows = rows.withColumn("taken", F.filter("parts", lambda p: p["times"] >= F.col("turn")))
+    length = F.aggregate("taken", F.lit(0).cast("long"), lambda n, p: n + p["words"])
+    rows = rows.withColumn("whole", length == F.col("size"))
+    words = F.when(~F.col("whole"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    rows = rows.withColumn("words", words)
+    cut = F.flatten(F.transform("taken", lambda p: F.slice(F.col("words"), (p["start"] + 1).cast("int"), p["words"].cast("int"))))
+    rows = rows.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(F.array_join(cut, " ")))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -84,19 +84,20 @@ def pack(pieces: Sequence[int], packing: Packing) -> tuple[list[int], list[int]]
 def packed(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
     """doc_id, piece, start, length, group_no, bin_no, bin_length, bin_start: a row for each piece of each
     document; a bin is (group_no, bin_no), bin_start the piece's first place in it."""
-    rows = written(sizes(docs), "packing-sizes")
+    # Repeated rows are numbered, not told apart by where they lie: reruns agree.
+    rows = sizes(docs).groupBy("doc_id", "size").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    rows = written(rows.select("doc_id", "size", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")), "packing-sizes")
     most = max(packing.lengths)
     total = rows.agg(F.sum(F.expr(f"(size + {most - 1}) div {most}"))).first()[0] or 0
     groups = max(1, -(-total // packing.group))
     piece = F.explode(F.sequence(F.lit(0), F.expr(f"cast((size - 1) div {most} as int)"))).alias("piece")
-    # The row number tells repeated rows apart and takes part in dealing out the pieces.
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "size", piece)
+    rows = rows.select("doc_id", "copy", "size", piece)
     length = F.least(F.lit(most), F.col("size") - F.col("piece") * most).cast("int")
-    rows = rows.select("doc_id", "row", "piece", (F.col("piece") * most).cast("long").alias("start"), length.alias("length"),
-                       F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(groups)).cast("int").alias("group_no"))
+    rows = rows.select("doc_id", "copy", "piece", (F.col("piece") * most).cast("long").alias("start"), length.alias("length"),
+                       F.pmod(F.xxhash64("doc_id", "copy", "piece", "size"), F.lit(groups)).cast("int").alias("group_no"))
 
     def fill(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("row", "ascending"), ("piece", "ascending")])
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("copy", "ascending"), ("piece", "ascending")])
         length = group["length"].to_numpy()
         bins, lengths = pack(length.tolist(), packing)
         bins = np.array(bins, np.int32)
@@ -107,7 +108,7 @@ def packed(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
         starts -= np.repeat(starts[heads], np.diff(np.r_[heads, len(order)]))
         places = np.empty(len(order), np.int32)
         places[order] = starts
-        return group.drop_columns(["row"]).append_column("bin_no", pa.array(bins)) \
+        return group.drop_columns(["copy"]).append_column("bin_no", pa.array(bins)) \
             .append_column("bin_length", pa.array(np.array(lengths, np.int32)[bins])).append_column("bin_start", pa.array(places))
 
     kind = docs.schema["doc_id"].dataType.simpleString()

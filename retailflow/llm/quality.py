@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailflow.llm.common import bounded_batches
@@ -40,10 +40,10 @@ STATISTICS = KINDS + 8
 class Fit:
     rows: int = 4000
     rank: int = 8
-    epochs: int = 12
+    steps: int = 300
     batch: int = 256
-    rate: float = 0.02
-    decay: float = 1e-4
+    rate: float = 0.01
+    decay: float = 5e-3
     seed: int = 5
 
 
@@ -143,30 +143,27 @@ def train(x: np.ndarray, target: np.ndarray, statistics: np.ndarray, fit: Fit) -
     values = [np.array(np.log(share / (1 - share)), np.float32), np.zeros(x.shape[1], np.float32),
               random.normal(0, 0.02, (x.shape[1], fit.rank)).astype(np.float32)]
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
-    step = 0
-    for _ in range(fit.epochs):
-        order = random.permutation(len(x))
-        for at in range(0, len(x), fit.batch):
-            rows = order[at : at + fit.batch]
-            b, t = x[rows], target[rows]
-            bias, w, v = values
-            s, b2 = b @ v, b * b
-            raw = bias + b @ w + 0.5 * (s**2 - b2 @ v**2).sum(1)
-            g = ((1 / (1 + np.exp(-np.clip(raw, -40, 40))) - t) / len(rows)).astype(np.float32)
-            slopes = [g.sum(), b.T @ g + fit.decay * w, b.T @ (g[:, None] * s) - v * (b2.T @ g)[:, None] + fit.decay * v]
-            step += 1
-            for i, slope in enumerate(slopes):
-                m, u = moments[i]
-                m[...] = 0.9 * m + 0.1 * slope
-                u[...] = 0.999 * u + 0.001 * slope * slope
-                values[i] = values[i] - np.float32(fit.rate) * (m / (1 - 0.9**step)) / (np.sqrt(u / (1 - 0.999**step)) + 1e-8)
+    order = np.concatenate([random.permutation(len(x)) for _ in range(-(-fit.steps * fit.batch // len(x)))])
+    for step in range(1, fit.steps + 1):
+        rows = order[(step - 1) * fit.batch : step * fit.batch]
+        b, t = x[rows], target[rows]
+        bias, w, v = values
+        s, b2 = b @ v, b * b
+        raw = bias + b @ w + 0.5 * (s**2 - b2 @ v**2).sum(1)
+        g = ((1 / (1 + np.exp(-np.clip(raw, -40, 40))) - t) / len(rows)).astype(np.float32)
+        slopes = [g.sum(), b.T @ g + fit.decay * w, b.T @ (g[:, None] * s) - v * (b2.T @ g)[:, None] + fit.decay * v]
+        for i, slope in enumerate(slopes):
+            m, u = moments[i]
+            m[...] = 0.9 * m + 0.1 * slope
+            u[...] = 0.999 * u + 0.001 * slope * slope
+            values[i] = values[i] - np.float32(fit.rate) * (m / (1 - 0.9**step)) / (np.sqrt(u / (1 - 0.999**step)) + 1e-8)
     bias, w, v = values
     return Machine(float(bias), w, v, mean, scale)
 
 
-def _read(docs: DataFrame, *more: Column) -> DataFrame:
+def _read(docs: DataFrame) -> DataFrame:
     n_chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    return docs.select("doc_id", "text", n_chars.alias("n_chars"), *more)
+    return docs.select("doc_id", "text", n_chars.alias("n_chars"))
 
 
 def _numbers(column: pa.Array) -> np.ndarray:
@@ -180,7 +177,8 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Machine:
     # At most fit.rows ids, bounded by the parameter, and so their texts' features.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.rows)
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), known.schema)
-    rows = _read(docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_known")), F.col("doc_id") == F.col("_known")), F.col("target"))
+    chosen = F.broadcast(chosen.withColumnRenamed("doc_id", "known"))
+    rows = _read(docs).join(chosen, F.col("doc_id") == F.col("known")).drop("known")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
