@@ -16,7 +16,9 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from retailflow.plans.catalogue import QUERIES  # noqa: E402
+from retailflow.plans.warehouse import stored_wide  # noqa: E402
 from retailflow.session import build_session  # noqa: E402
+from retailflow.sources.tables import Tables  # noqa: E402
 
 HEADLINE = [
     "p1_route_log",
@@ -57,6 +59,11 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
+    if any(n.startswith(("a9", "a1", "p15")) for n in names):
+        # The reports read the stored wide table; building it is timed by itself.
+        start = time.perf_counter()
+        stored_wide(Tables(spark, sf_dir))
+        times["stored_wide_build"] = round(time.perf_counter() - start, 3)
     for name in names:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         start = time.perf_counter()

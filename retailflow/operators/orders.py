@@ -69,7 +69,14 @@ def first_order_flag(orders: DataFrame, user_state: DataFrame | None = None) ->
     return set_first_flag(orders, first_orders(orders, user_state))
 
 
+def first_order_flag_again(orders: DataFrame, user_state: DataFrame) -> DataFrame:
+    """The same where an order may come again after its user's state was written: the state names
+    the first order, whose repetition is "1" as before."""
+    known = user_state.filter(F.col("order_id").isNotNull()).select(F.col("order_id").alias("id"))
+    firsts = first_orders(orders, user_state).select("id").unionByName(known).distinct()
+    return set_first_flag(orders, firsts)
+
+
 def new_consumers(orders: DataFrame) -> DataFrame:
-    return orders.filter(F.col("if_first_order") == "1").select(
-        F.col("user_id").cast("string").alias("user_id"), F.lit("1").alias("if_consumed")
-    )
+    first = orders.filter(F.col("if_first_order") == "1")
+    return first.select(F.col("user_id").cast("string").alias("user_id"), F.lit("1").alias("if_consumed"), F.col("id").alias("order_id"))

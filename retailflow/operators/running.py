@@ -3,78 +3,56 @@
 A window function puts every group into one task. That is right for ordinary groups, but one
 group may hold a large share of all rows. Groups above `limit` rows are therefore cut into
 blocks along the order column; a block's rows start from the totals of the blocks before it.
-The result is the same for both.
+The result is the same for both. Where there is no such group, which is counted first, there is
+one window and nothing else.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000
-
-
-def hot_extents(rows: DataFrame, key: str, order: str, limit: int = HOT_ROWS) -> DataFrame:
-    """(key, _extent) of the groups above `limit` rows; `_extent` holds the row count and the
-    lowest and highest order value. There are at most rows/limit such groups, so with the default
-    a table of 10**12 lines has at most a million of them."""
-    return (
-        rows.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"))
-        # The second test always holds. It keeps all three aggregates in every pruned copy of
-        # this plan, so that all copies share one shuffle.
-        .filter((F.col("n") > limit) & (F.col("hi") >= F.col("lo")))
-        .select(key, F.struct("n", "lo", "hi").alias("_extent"))
-    )
-
-
-def mark_hot(rows: DataFrame, extents: DataFrame, key: str) -> DataFrame:
-    """Adds the group's `_extent` to rows of hot groups, NULL to all others. The broadcast is
-    bounded by construction; when there is no hot group, the join is dropped at run time."""
-    return rows.join(F.broadcast(extents), key, "left")
-
-
-def with_block(rows: DataFrame, order: str, limit: int = HOT_ROWS) -> DataFrame:
-    """Adds `_block`, the number of a hot row's block: equal steps of the order column, about
-    `limit` rows each. The order column must be integral."""
-    blocks = F.expr(f"_extent.n div {max(int(limit), 1)} + 1")
-    # Quarters keep hi - lo from overflowing when the values span most of the bigint range.
-    step = F.expr("(_extent.hi div 4 - _extent.lo div 4 + 1) div _blocks + 1")
-    place = F.expr(f"({order} div 4 - _extent.lo div 4) div _step")
-    return (
-        rows.withColumn("_blocks", blocks).withColumn("_step", step).withColumn("_block", place)
-        .drop("_blocks", "_step")
-    )
-
-
-def totals_before(rows: DataFrame, key: str, order: str, sums: dict[str, str]) -> DataFrame:
-    """For ordinary groups: adds each sum (result name to value column) over the rows before this
-    one; NULL on a group's first row."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+#: Sampled rows of a block, by which its borders are set.
+SAMPLED = 16
+
+
+def block_borders(rows: DataFrame, key: str, order: str, limit: int = HOT_ROWS) -> DataFrame | None:
+    """(key, _borders) of the groups above `limit` rows, None if there are none: values of the order
+    column that cut a group into blocks of about `limit` rows, wherever its values lie.
+
+    The borders are taken from the rows whose order value has a hash of few, so they are the same
+    in every run. There are at most rows/limit borders in all, which go through the driver: a million
+    for 10**12 rows.
+    """
+    limit = max(int(limit), 1)
+    if rows.count() <= limit:
+        return None
+    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(key)
+    drawn = F.pmod(F.xxhash64(order), F.lit(limit)) < SAMPLED
+    values = F.array_sort(F.collect_list(F.when(drawn, F.col(order))))
+    step = max(1, min(SAMPLED, limit))
+    borders = F.filter(values, lambda v, i: i % step == step - 1)
+    found = rows.select(key, order).join(large, key, "left_semi").groupBy(key).agg(borders.alias("_borders"))
+    kept = found.collect()
+    if not kept:
+        return None
+    kind = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("_borders", T.ArrayType(rows.schema[order].dataType))])
+    return rows.sparkSession.createDataFrame([tuple(r) for r in kept], kind)
+
+
+def with_block(rows: DataFrame, borders: DataFrame, key: str, order: str) -> DataFrame:
+    """Adds `_block`: how many borders of its group lie at or before a row; NULL in ordinary groups."""
+    return rows.join(borders, key, "left").withColumn("_block", F.size(F.filter("_borders", lambda b: b <= F.col(order)))) \
+        .withColumn("_block", F.when(F.col("_borders").isNotNull(), F.col("_block"))).drop("_borders")
+
+
+def _before(rows: DataFrame, keys: list[str], order: str, sums: dict[str, str]) -> DataFrame:
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.select("*", *[F.sum(v).over(before).alias(n) for n, v in sums.items()])
 
 
-def totals_before_blocked(rows: DataFrame, key: str, order: str, sums: dict[str, str]) -> DataFrame:
-    """The same for rows with `_block`. Per-block totals are combined before the shuffle; there
-    are at most 2 * rows/limit of them, again a bound on what is broadcast."""
-    per_block = rows.groupBy(key, "_block").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
-    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_block.select(
-        key, "_block", *[F.sum(f"_t_{n}").over(earlier).alias(f"_s_{n}") for n in sums]
-    )
-    within = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.select("*", *[F.sum(v).over(within).alias(f"_w_{n}") for n, v in sums.items()])
-    joined = inside.join(F.broadcast(starts), [key, "_block"], "left")
-
-    def combined(n: str):
-        start, inner = F.col(f"_s_{n}"), F.col(f"_w_{n}")
-        return F.when(start.isNull() & inner.isNull(), F.lit(None)).otherwise(
-            F.coalesce(start, F.lit(0)) + F.coalesce(inner, F.lit(0))
-        )
-
-    return joined.select(*rows.columns, *[combined(n).alias(n) for n in sums])
-
-
 def running_totals(
     rows: DataFrame,
     key: str,
@@ -83,12 +61,20 @@ def running_totals(
     limit: int = HOT_ROWS,
     sizes_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Totals of the rows before each row, for groups of any size. `sizes_from` may name a cheaper
-    frame with at least the same (key, order) pairs to find large groups in."""
-    counted = (rows if sizes_from is None else sizes_from).select(key, order)
-    marked = mark_hot(rows, hot_extents(counted, key, order, limit), key)
-    usual = marked.filter(F.col("_extent").isNull()).drop("_extent")
-    hot = with_block(marked.filter(F.col("_extent").isNotNull()), order, limit)
-    return totals_before(usual, key, order, sums).unionByName(
-        totals_before_blocked(hot, key, order, sums).drop("_extent", "_block")
-    )
+    """Adds each sum (result name to value column) over the rows before this one in its group; NULL
+    on a group's first row. Groups may have any size. `sizes_from` may name a cheaper frame with at
+    least the same (key, order) pairs to find large groups in."""
+    borders = block_borders((rows if sizes_from is None else sizes_from).select(key, order), key, order, limit)
+    if borders is None:
+        return _before(rows, [key], order, sums)
+    blocked = with_block(rows, borders, key, order)
+    # Totals of whole blocks are combined before their shuffle; only large groups have blocks.
+    totals = blocked.filter(F.col("_block").isNotNull()).groupBy(key, "_block").agg(*[F.sum(v).alias(f"_s_{n}") for n, v in sums.items()])
+    starts = _before(totals, [key], "_block", {f"_t_{n}": f"_s_{n}" for n in sums}).select(key, "_block", *[f"_t_{n}" for n in sums])
+    joined = _before(blocked, [key, "_block"], order, sums).join(starts, [key, "_block"], "left")
+
+    def combined(n: str) -> Column:
+        start, inner = F.col(f"_t_{n}"), F.col(n)
+        return F.when(start.isNotNull() | inner.isNotNull(), F.coalesce(start, F.lit(0)) + F.coalesce(inner, F.lit(0)))
+
+    return joined.select(*rows.columns, *[combined(n).alias(n) for n in sums])

@@ -175,12 +175,15 @@ def page(rows: DataFrame, order: list[Column], start: int, size: int) -> DataFra
     return rows.orderBy(*order).offset(start).limit(size)
 
 
-def facet_search(wide: DataFrame, date: str | None, keyword: str, start: int, size: int) -> DataFrame:
-    """One answer in long form: `section` is total, age, gender or detail (one page, most paid
-    first). Total and both facets come from one aggregation."""
-    hits = dashboard_filter(wide, date, keyword)
+def page_order() -> list[Column]:
+    """Most paid first."""
+    return [F.desc("final_detail_amount"), F.asc("order_id"), F.asc("order_detail_id")]
+
+
+def facet_counts(hits: DataFrame) -> DataFrame:
+    """(section, name, value): total and both facets, from one aggregation."""
     groups = hits.groupBy("user_age_group", "user_gender").agg(F.count(F.lit(1)).alias("n"))
-    facets = (
+    return (
         groups.select(
             F.explode(
                 F.array(
@@ -194,25 +197,38 @@ def facet_search(wide: DataFrame, date: str | None, keyword: str, start: int, si
         .groupBy("s.section", "s.name")
         .agg(F.sum("n").alias("value"))
     )
-    order = [F.desc("final_detail_amount"), F.asc("order_id"), F.asc("order_detail_id")]
-    detail = page(hits, order, start, size).select(
-        F.lit("detail").alias("section"),
-        F.col("sku_name").alias("name"),
-        F.col("order_detail_id").alias("value"),
+
+
+def ranked_page(rows: DataFrame, start: int, size: int) -> DataFrame:
+    """One page with each row's `rank` in the whole order, from 1. The window sees the page only."""
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*page_order())) + start
+    return page(rows, page_order(), start, size).withColumn("rank", rank)
+
+
+def facet_search(wide: DataFrame, date: str | None, keyword: str, start: int, size: int) -> DataFrame:
+    """One answer in long form: `section` is total, age, gender or detail (one page, with `rank`)."""
+    hits = dashboard_filter(wide, date, keyword)
+    detail = ranked_page(hits, start, size).select(
+        F.lit("detail").alias("section"), F.col("sku_name").alias("name"), F.col("order_detail_id").alias("value"), "rank"
     )
-    return facets.unionByName(detail)
+    return facet_counts(hits).withColumn("rank", F.lit(None).cast("int")).unionByName(detail)
 
 
-def facet_response(answer: DataFrame) -> DataFrame:
-    """The long form as one row (total, detail, stat). It holds one page and five groups."""
+def facet_response(wide: DataFrame, date: str | None, keyword: str, start: int, size: int) -> DataFrame:
+    """The answer as one row: total, detail (whole records in page order) and stat (age and gender
+    groups). It holds one page and five groups."""
+    hits = dashboard_filter(wide, date, keyword)
+    record = F.struct("rank", *[c for c in wide.columns if c != "rank"])
+    detail = ranked_page(hits, start, size).select(F.lit("detail").alias("section"), record.alias("record"))
+    rows = facet_counts(hits).unionByName(detail, allowMissingColumns=True)
     pair = F.struct("name", "value")
 
     def part(section: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("section") == section, pair)))
 
-    return answer.agg(
-        F.max(F.when(F.col("section") == "total", F.col("value"))).alias("total"),
-        part("detail").alias("detail"),
+    return rows.agg(
+        F.coalesce(F.max(F.when(F.col("section") == "total", F.col("value"))), F.lit(0)).alias("total"),
+        F.sort_array(F.collect_list("record")).alias("detail"),
         F.array(F.struct(part("age").alias("group")), F.struct(part("gender").alias("group"))).alias("stat"),
     )
 

@@ -142,8 +142,8 @@ def pay_apportion_on(
 
 
 def order_sums(split: DataFrame) -> DataFrame:
-    """Gross and paid amount of these lines per order, in cents, with the order's time."""
-    return split.groupBy("order_id", "create_time").agg(
+    """Gross and paid amount of these lines per order, in cents, with the order's day."""
+    return split.groupBy("order_id", "dt").agg(
         F.sum(to_cents(gross_line_amount())).alias("gross"), F.sum(to_cents("final_detail_amount")).alias("share")
     )
 
@@ -165,27 +165,8 @@ def order_wide(
     hot_rows: int = running.HOT_ROWS,
     sizes_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Join, merge and split in one plan.
-
-    Ordinary orders: one shuffle of the lines by order id serves the join and the window. Lines of
-    hot orders never go through that shuffle: their orders, at most lines/hot_rows of them, are
-    broadcast to where the lines are, and the running totals work block by block. `sizes_from`
-    may name the details before enrichment, so that counting lines per order reads two columns.
-    """
-    lines = (sizes_from if sizes_from is not None else details).select("order_id", "id")
-    extents = running.hot_extents(lines, "order_id", "id", hot_rows)
-    marked = running.mark_hot(details, extents, "order_id")
-    usual = marked.filter(F.col("_extent").isNull()).drop("_extent")
-    hot = marked.filter(F.col("_extent").isNotNull())
-
-    plain = running.totals_before(
-        with_cents(wide_merge(orders, usual)), "order_id", "order_detail_id", SUMS_BEFORE
-    )
-    hot_ids = extents.select(F.col("order_id").alias("_hot"))
-    hot_orders = orders.join(F.broadcast(hot_ids), F.col("id") == F.col("_hot"), "left_semi")
-    hot_wide = wide_merge(F.broadcast(hot_orders), hot, carry=("_extent",))
-    blocked = running.totals_before_blocked(
-        running.with_block(with_cents(hot_wide), "order_detail_id", hot_rows),
-        "order_id", "order_detail_id", SUMS_BEFORE,
-    ).drop("_extent", "_block")
-    return _close(plain.unionByName(blocked), close_on)
+    """Join, merge and split in one plan. One shuffle of the lines by order id serves the join and
+    the running totals; oversized partitions of the join are split at run time. `sizes_from` may
+    name the details before enrichment, so that looking for large orders reads two columns."""
+    lines = (sizes_from if sizes_from is not None else details).select("order_id", F.col("id").alias("order_detail_id"))
+    return pay_apportion(wide_merge(orders, details), close_on, hot_rows, lines)

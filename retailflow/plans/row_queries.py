@@ -118,7 +118,7 @@ def wide_merge(t: Tables) -> DataFrame:
 @query("p11_new_consumers", sql("""
     SELECT CAST(user_id AS VARCHAR) AS user_id, '1' AS if_consumed FROM flagged WHERE if_first_order = '1'""", "flagged"))
 def new_consumers(t: Tables) -> DataFrame:
-    return orders.new_consumers(orders.first_order_flag(t.order_heads, t.user_state))
+    return orders.new_consumers(orders.first_order_flag(t.order_heads, t.user_state)).select("user_id", "if_consumed")
 
 
 @query("p12_gross_line_amount", sql("SELECT id, order_id, gross AS gross_cents FROM details", "details"))
@@ -166,14 +166,14 @@ def doc_search_number(t: Tables) -> DataFrame:
     SELECT order_detail_id, order_id, sku_name, dt FROM wide
     WHERE dt = '1998-03-04' AND contains(sku_name, 'red')""", "wide"))
 def dashboard_filter(t: Tables) -> DataFrame:
-    rows = wide.wide_merge(warehouse.dwd_orders(t), warehouse.dwd_details(t))
+    rows = warehouse.stored_wide(t, "1998-03-04")
     return serving.dashboard_filter(rows, "1998-03-04", "red").select("order_detail_id", "order_id", "sku_name", "dt")
 
 
 @query("p15_dashboard_keyword", sql("""
     SELECT order_detail_id, order_id, sku_name, dt FROM wide WHERE contains(sku_name, 'ring')""", "wide"))
 def dashboard_keyword(t: Tables) -> DataFrame:
-    rows = wide.wide_merge(warehouse.dwd_orders(t), warehouse.dwd_details(t))
+    rows = warehouse.stored_wide(t)
     return serving.dashboard_filter(rows, None, "ring").select("order_detail_id", "order_id", "sku_name", "dt")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailflow import schemas
+from retailflow.functions import to_cents
 from retailflow.operators import active, dimensions, routing, serving, wide
 from retailflow.plans import warehouse
 from retailflow.plans.oracle import sql
@@ -127,16 +128,15 @@ def index_alias(t: Tables) -> DataFrame:
 
 
 @query("s12_olap_append", sql("""
-    SELECT order_id, count(*) AS lines, CAST(sum(final_cents) AS BIGINT) AS final_cents FROM split GROUP BY 1""", "split"))
+    SELECT order_id, order_detail_id, final_cents FROM split""", "split"))
 def olap_append(t: Tables) -> DataFrame:
     """Two appends, the second of them repeated."""
     path = run_dir(t.spark, "s12")
-    rows = wide.pay_apportion(amounts_only(t), sizes_from=line_ids(t))
+    rows = schemas.conform(wide.pay_apportion(amounts_only(t), sizes_from=line_ids(t)), schemas.ORDER_WIDE)
     for n, part in ((0, 0), (1, 1), (1, 1)):
         storage.append_olap(rows.filter(F.col("order_id") % 2 == part), path, n)
-    stored = t.spark.read.parquet(path)
-    cents = F.sum(F.floor(F.col("final_detail_amount") * 100 + 0.5)).cast("bigint")
-    return stored.groupBy("order_id").agg(F.count(F.lit(1)).alias("lines"), cents.alias("final_cents"))
+    stored = storage.read_olap(t.spark, path, schemas.ORDER_WIDE)
+    return stored.select("order_id", "order_detail_id", to_cents("final_detail_amount").alias("final_cents"))
 
 
 @query("s13_backfill", sql("""
@@ -161,6 +161,40 @@ def backfill(t: Tables) -> DataFrame:
     return storage.read_dim(t.spark, path, schemas.USER_INFO).select("id", "user_level", "age_group", "gender_name")
 
 
+@query("s13_backfill_after_snapshot", sql("""
+    SELECT CAST(user_id AS VARCHAR) AS id, CASE WHEN user_id % 3 = 0 THEN 'CHANGED' WHEN user_id % 3 = 1 THEN 'BACKFILL' ELSE 'SECOND' END AS user_level
+    FROM users""", "users"))
+def backfill_after_snapshot(t: Tables) -> DataFrame:
+    """Every third user changes; the table is folded twice, and rows come in from before all
+    changes between and after the folds. They fill gaps and lose to what was there."""
+    path = run_dir(t.spark, "s13-folded")
+    users = warehouse.users(t)
+    third = F.col("id").cast("bigint") % 3
+
+    def put(rows: DataFrame, level: str, n: int) -> None:
+        storage.upsert_dim(rows.withColumn("user_level", F.lit(level)), path, n)
+
+    put(users.filter(third == 0), "CHANGED", 0)
+    storage.compact_dim(t.spark, path, schemas.USER_INFO)
+    put(users.filter(third <= 1), "BACKFILL", topics.BACKFILL_BATCH)
+    put(users.filter(third == 0), "CHANGED", 1)
+    storage.compact_dim(t.spark, path, schemas.USER_INFO)
+    put(users, "SECOND", topics.BACKFILL_BATCH - 1)
+    return storage.read_dim(t.spark, path, schemas.USER_INFO).select("id", "user_level")
+
+
+@query("s10_doc_put_one", sql("""
+    SELECT mid, dt, hr, CASE WHEN row_number() OVER (ORDER BY dt, mid) = 1 THEN 'put' ELSE 'v1.' || (seq % 4) END AS vc FROM firsts""", "firsts"))
+def doc_put_one(t: Tables) -> DataFrame:
+    """One document is put over an existing one of a full index."""
+    path = run_dir(t.spark, "s10")
+    docs = active.dau_dedup(t.startups).drop("seq")
+    storage.upsert_docs(docs, path, 0)
+    one = docs.orderBy("dt", "mid").limit(1).withColumn("vc", F.lit("put"))
+    storage.upsert_docs(one, path, 1)
+    return storage.read_docs(t.spark, path, schemas.DAU_INFO, "mid").select("mid", "dt", "hr", "vc")
+
+
 @query("s14_salted_table", sql("""
     SELECT u.province_id AS province_id, u.age_group, count(*) AS orders
     FROM heads h JOIN users u USING (user_id) GROUP BY 1, 2""", "heads", "users"))
@@ -173,6 +207,7 @@ def salted_table(t: Tables) -> DataFrame:
     placed = t.order_heads.select(F.col("user_id").cast("string").alias("id"), F.col("id").alias("order_id"))
     storage.write_bucketed(users, f"users_{suffix}", f"{root}/users")
     storage.write_bucketed(placed, f"orders_{suffix}", f"{root}/orders")
+    # The join below reads the tables; they go with the warehouse folder of the run.
     joined = t.spark.table(f"orders_{suffix}").join(t.spark.table(f"users_{suffix}"), "id")
     return joined.groupBy("province_id", "age_group").agg(F.count(F.lit(1)).alias("orders"))
 

@@ -3,17 +3,16 @@ takes all files in one micro-batch unless it says otherwise."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailflow import schemas
 from retailflow.functions import to_cents
-from retailflow.operators import routing
+from retailflow.operators import orders, routing, wide
 from retailflow.plans import warehouse
 from retailflow.plans.oracle import change_kind, sql
 from retailflow.plans.registry import query
 from retailflow.plans.row_queries import database_changes
-from retailflow.plans.table_queries import amounts_only
 from retailflow.session import run_dir
 from retailflow.sources import storage, tables, topics
 from retailflow.sources.tables import AS_OF, Tables
@@ -60,12 +59,12 @@ def topic_source(t: Tables) -> DataFrame:
 @query("t1_microbatch", """
     SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1""")
 def microbatch(t: Tables) -> DataFrame:
-    """Three files, one per micro-batch; the counts of the batches are added up."""
+    """At least three files, one per micro-batch; the counts of the batches are added up."""
     root = run_dir(t.spark, "t1")
     events = t.raw("events").select("event_id", "event_type")
     for n in range(3):
-        storage.write_batch(events.filter(F.col("event_id") % 3 == n).coalesce(1), f"{root}/in", n)
-    source = t.spark.readStream.schema("event_id bigint, event_type string, batch_id bigint").option(
+        storage.write_batch(events.filter(F.col("event_id") % 3 == n), f"{root}/in/part={n}", n)
+    source = t.spark.readStream.schema("event_id bigint, event_type string, part bigint, batch_id bigint").option(
         "maxFilesPerTrigger", 1).parquet(f"{root}/in")
 
     def handle(batch: DataFrame, n: int) -> None:
@@ -151,24 +150,110 @@ def join_seen_state(t: Tables) -> DataFrame:
     return finished(once.select("order_id", "order_detail_id"), "t4-out")
 
 
+def order_messages(placed: DataFrame) -> DataFrame:
+    return placed.select(F.col("id").alias("seq"), *schemas.encode("id", placed.columns))
+
+
+def feed_orders(t: Tables, wh: jobs.Warehouse, parts: list[DataFrame]) -> None:
+    """Users with earlier orders are known; then each part goes through the order job as a micro-batch."""
+    known = schemas.conform(t.user_state, schemas.USER_STATE)
+    storage.write_batch(known, wh.folder("state", "user_state"), topics.BACKFILL_BATCH)
+    for n, part in enumerate(parts):
+        to_topic(order_messages(part), wh, "ODS_ORDER_INFO", n)
+        jobs.order_info(wh).awaitTermination()
+
+
 @query("t5_user_first_order_state", sql("SELECT id, user_id, if_first_order FROM flagged", "flagged"))
 def user_first_order_state(t: Tables) -> DataFrame:
-    placed = tables.order_heads(t.raw_stream("orders"))
-    return finished(state.stream_first_order(placed, t.user_state).select("id", "user_id", "if_first_order"), "t5")
+    """The order job over three micro-batches, each with a third of each user's
+    orders, by time: so the first order of a user comes first."""
+    wh = warehouse_at(t, "t5")
+    third = F.ntile(3).over(Window.partitionBy("user_id").orderBy("create_time", "id"))
+    placed = t.order_heads.withColumn("third", third)
+    feed_orders(t, wh, [placed.filter(F.col("third") == n).drop("third") for n in (1, 2, 3)])
+    return jobs.order_docs(wh).select("id", "user_id", "if_first_order")
+
+
+_REPEATED = sql("""
+    SELECT 'document' AS sink, id, user_id, if_first_order FROM flagged
+    UNION ALL SELECT 'message', id, user_id, if_first_order FROM flagged""", "flagged")
+
+
+@query("t9_repeated_orders", _REPEATED)
+def repeated_orders(t: Tables) -> DataFrame:
+    """Every order comes twice, in different micro-batches: the flag stays what it was, in the documents
+    and in every message."""
+    wh = warehouse_at(t, "t9r")
+    even = t.order_heads.filter(F.col("user_id") % 2 == 0)
+    odd = t.order_heads.filter(F.col("user_id") % 2 == 1)
+    feed_orders(t, wh, [even, even.unionByName(odd), odd])
+    documents = jobs.order_docs(wh).select(F.lit("document").alias("sink"), "id", "user_id", "if_first_order")
+    messages = schemas.decode(topics.read_topic(t.spark, wh.topics, jobs.DWD_ORDER_INFO), schemas.ORDER_INFO)
+    distinct = messages.select(F.lit("message").alias("sink"), "id", "user_id", "if_first_order").distinct()
+    return documents.unionByName(distinct)
+
+
+_LINES = sql("SELECT order_id, order_detail_id, dt, paid AS final_total_cents, final_cents AS final_detail_cents FROM split", "split")
+
 
+def wide_result(wh: jobs.Warehouse) -> DataFrame:
+    return jobs.wide_rows(wh).select(
+        "order_id", "order_detail_id", "dt", to_cents("final_total_amount").alias("final_total_cents"),
+        to_cents("final_detail_amount").alias("final_detail_cents"))
 
-@query("t6_order_split_state", sql("""
-    SELECT order_id, count(*) AS lines, CAST(sum(final_cents) AS BIGINT) AS final_cents, max(paid) AS paid_cents
-    FROM split GROUP BY 1""", "split"))
+
+def line_thirds(t: Tables) -> DataFrame:
+    """Wide rows, the lines of each order in three parts by line id."""
+    rows = wide.wide_merge(orders.with_create_day_hour(t.order_info.withColumns({
+        c: F.lit(None).cast("string") for c in ("if_first_order", "province_name", "province_area_code", "user_age_group", "user_gender")})),
+        t.order_detail.withColumns({c: F.lit(None) for c in ("sku_name", "spu_id", "tm_id", "category3_id", "spu_name", "tm_name", "category3_name")}))
+    return rows.withColumn("third", F.ntile(3).over(Window.partitionBy("order_id").orderBy("order_detail_id")))
+
+
+@query("t6_order_split_state", _LINES)
 def order_split_state(t: Tables) -> DataFrame:
-    """Lines of an order may come in any order; what they add up to is fixed."""
-    source = staged(amounts_only(t), run_dir(t.spark, "t6"))
-    split = finished(state.stream_pay_apportion(source), "t6-out")
-    return split.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.sum(to_cents("final_detail_amount")).alias("final_cents"),
-        F.max(to_cents("final_total_amount")).alias("paid_cents"),
-    )
+    """The lines of every order over three micro-batches, in line order: line by line what one batch gives."""
+    wh = warehouse_at(t, "t6")
+    rows = line_thirds(t).persist()
+    for n in range(3):
+        jobs.wide_batch(wh, rows.filter(F.col("third") == n + 1).drop("third"), n)
+    rows.unpersist()
+    return wide_result(wh)
+
+
+@query("t4_wide_repeats_after_weeks", _LINES)
+def wide_repeats_after_weeks(t: Tables) -> DataFrame:
+    """After more than two weeks of micro-batches lines come again, with the ones that close their
+    orders; the tables have been folded twice by then."""
+    wh = warehouse_at(t, "t4w")
+    rows = line_thirds(t).persist()
+    jobs.wide_batch(wh, rows.filter("third = 1").drop("third"), 0)
+    jobs.wide_fold(wh, 0)
+    jobs.wide_batch(wh, rows.filter("third <= 2").drop("third"), 300_000)
+    jobs.wide_fold(wh, 300_000)
+    jobs.wide_batch(wh, rows.drop("third"), 600_000)
+    rows.unpersist()
+    return wide_result(wh)
+
+
+@query("t10_wide_late_orders", _LINES)
+def wide_late_orders(t: Tables) -> DataFrame:
+    """Orders and their lines in three micro-batches against the order of their own times, with all of the
+    micro-batch before once more. They meet by arrival."""
+    wh = warehouse_at(t, "t10w")
+    third = F.ntile(3).over(Window.orderBy(F.desc("day")))
+    days = t.order_heads.select(F.to_date("create_time").alias("day")).distinct().withColumn("third", third)
+    placed = orders.with_create_day_hour(t.order_info.join(days, F.to_date("create_time") == F.col("day")).drop("day")).persist()
+    lines = t.order_detail.join(placed.select(F.col("id").alias("order_id"), "third"), "order_id").persist()
+    for n in range(3):
+        now = F.col("third").isin(n, n + 1)
+        to_topic(order_messages(placed.filter(now).drop("third")), wh, jobs.DWD_ORDER_INFO, n)
+        to_topic(order_messages(lines.filter(now).drop("third")), wh, jobs.DWD_ORDER_DETAIL, n)
+        # Machines that run queries are slow: what was sent together may arrive minutes apart.
+        jobs.order_wide(wh, tolerance="1 hour", watermark="1 hour").awaitTermination()
+    placed.unpersist()
+    lines.unpersist()
+    return wide_result(wh)
 
 
 def dims_ready(t: Tables, wh: jobs.Warehouse) -> None:
@@ -177,10 +262,9 @@ def dims_ready(t: Tables, wh: jobs.Warehouse) -> None:
 
 
 @query("t7_fan_out", sql("""
-    SELECT 'documents' AS sink, count(*) AS n, count(*) FILTER (WHERE if_first_order = '1') AS firsts,
-           count(DISTINCT province_name) AS provinces FROM fresh
-    UNION ALL SELECT 'messages', count(*), count(*) FILTER (WHERE if_first_order = '1'), count(DISTINCT province_name) FROM fresh
-    UNION ALL SELECT 'user_state', count(*), count(*), 0 FROM fresh WHERE if_first_order = '1'""",
+    SELECT 'documents' AS sink, id, user_id, if_first_order, province_name FROM fresh
+    UNION ALL SELECT 'messages', id, user_id, if_first_order, province_name FROM fresh
+    UNION ALL SELECT 'user_state', id, user_id, if_first_order, NULL FROM fresh WHERE if_first_order = '1'""",
     "full_orders", then="""fresh AS (
         SELECT * REPLACE (CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY create_time, id) = 1
                                THEN '1' ELSE '0' END AS if_first_order) FROM full_orders)"""))
@@ -188,26 +272,16 @@ def fan_out(t: Tables) -> DataFrame:
     """The order job, starting without any user state, and what its three sinks hold."""
     wh = warehouse_at(t, "t7")
     dims_ready(t, wh)
-    source = t.order_info.select(F.col("id").alias("seq"), *schemas.encode("id", t.order_info.columns))
-    to_topic(source, wh, "ODS_ORDER_INFO")
+    to_topic(order_messages(t.order_info), wh, "ODS_ORDER_INFO")
     jobs.order_info(wh).awaitTermination()
-
-    def summary(rows: DataFrame, sink: str, provinces: bool = True) -> DataFrame:
-        # Grouped first, so that counting distinct provinces needs no copy of the rows.
-        province = F.col("province_name") if provinces else F.lit(None).cast("string")
-        parts = rows.groupBy(province.alias("p")).agg(
-            F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("if_first_order") == "1", 1)).alias("firsts"))
-        return parts.agg(
-            F.lit(sink).alias("sink"), F.sum("n").alias("n"), F.sum("firsts").alias("firsts"),
-            F.count("p").alias("provinces"))
-
+    fields = ["id", "user_id", "if_first_order", "province_name"]
     messages = schemas.decode(topics.read_topic(t.spark, wh.topics, jobs.DWD_ORDER_INFO), schemas.ORDER_INFO)
     states = storage.read_batches(t.spark, wh.folder("state", "user_state"), schemas.USER_STATE)
-    return (
-        summary(jobs.order_docs(wh), "documents")
-        .unionByName(summary(messages, "messages"))
-        .unionByName(summary(states.withColumnRenamed("if_consumed", "if_first_order"), "user_state", False))
-    )
+    states = states.select(F.col("order_id").alias("id"), F.col("user_id").cast("bigint").alias("user_id"),
+                           F.col("if_consumed").alias("if_first_order"), F.lit(None).cast("string").alias("province_name"))
+    rows = {"documents": jobs.order_docs(wh).select(fields), "messages": messages.select(fields), "user_state": states}
+    parts = [frame.select(F.lit(sink).alias("sink"), *fields) for sink, frame in rows.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("t8_dim_refresh", sql("""
@@ -256,23 +330,48 @@ def late_data(t: Tables) -> DataFrame:
 
 @query("t11_stream_route", sql(f"""
     SELECT CASE WHEN event_type IN ('signup', 'view') THEN '{routing.STARTUP_TOPIC}' ELSE '{routing.EVENT_TOPIC}' END
-           AS topic, count(*) AS n FROM events GROUP BY 1
+           AS topic, event_id AS seq, CAST(NULL AS BIGINT) AS id FROM events
     UNION ALL
-    SELECT topic, count(*) FROM (
-        SELECT 'ODS_ORDER_INFO' AS topic, o_orderkey AS seq FROM orders
-        UNION ALL SELECT 'ODS_ORDER_DETAIL', l_orderkey FROM lineitem
-        UNION ALL SELECT 'ODS_USER_INFO', c_custkey FROM customer
-        UNION ALL SELECT 'ODS_SKU_INFO', p_partkey FROM part
-        UNION ALL SELECT 'ODS_BASE_PROVINCE', n_nationkey FROM nation)
-    WHERE {change_kind('seq')} <> 'delete' AND (topic <> 'ODS_ORDER_INFO' OR {change_kind('seq')} = 'insert')
-    GROUP BY 1"""))
+    SELECT topic, seq, id FROM (
+        SELECT 'ODS_ORDER_INFO' AS topic, o_orderkey AS seq, o_orderkey AS id FROM orders
+        UNION ALL SELECT 'ODS_ORDER_DETAIL', order_id, id FROM details
+        UNION ALL SELECT 'ODS_USER_INFO', c_custkey, c_custkey FROM customer
+        UNION ALL SELECT 'ODS_SKU_INFO', p_partkey, p_partkey FROM part
+        UNION ALL SELECT 'ODS_BASE_PROVINCE', n_nationkey, n_nationkey FROM nation)
+    WHERE {change_kind('seq')} <> 'delete' AND (topic <> 'ODS_ORDER_INFO' OR {change_kind('seq')} = 'insert')""", "details"))
 def stream_route(t: Tables) -> DataFrame:
     """Both routing jobs at work on staged files."""
     wh = warehouse_at(t, "t11")
     jobs.split_logs(wh, staged(t.app_logs, f"{wh.root}/in/logs")).awaitTermination()
     jobs.split_changes(wh, staged(database_changes(t), f"{wh.root}/in/changes")).awaitTermination()
     routed = t.spark.read.parquet(wh.topics)
-    return routed.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    return routed.select("topic", "seq", F.get_json_object("value", "$.id").cast("bigint").alias("id"))
+
+
+@query("t11_two_routers", sql(f"""
+    SELECT 'ODS_USER_INFO' AS topic, 'split_changes' AS producer, c_custkey AS id FROM customer WHERE {change_kind('c_custkey')} <> 'delete'
+    UNION ALL SELECT 'ODS_USER_INFO', 'split_changes_arrays', c_custkey FROM customer
+    UNION ALL SELECT 'ODS_SKU_INFO', 'split_changes_arrays', p_partkey FROM part
+    UNION ALL SELECT 'quarantine', producer, NULL FROM (VALUES ('split_changes'), ('split_changes_arrays')) v(producer)"""))
+def two_routers(t: Tables) -> DataFrame:
+    """Both forms of the change router write into one topic, each its first batch; a message that is no
+    envelope goes to each one's quarantine."""
+    wh = warehouse_at(t, "t11r")
+    broken = t.spark.createDataFrame([(0, '{"table": ')], "seq bigint, value string")
+
+    def arrays(rows: DataFrame, table: str) -> DataFrame:
+        envelope = F.to_json(F.struct(F.lit(table).alias("table"), F.array(F.struct(*rows.columns)).alias("data")))
+        return rows.select(F.col("id").cast("bigint").alias("seq"), envelope.alias("value"))
+
+    single = tables.change_log(t.user_rows, "user_info", "id").select("seq", "value").unionByName(broken)
+    many = arrays(t.user_rows, "user_info").unionByName(arrays(t.sku_rows, "sku_info")).unionByName(broken)
+    jobs.split_changes(wh, staged(single, f"{wh.root}/in/single")).awaitTermination()
+    jobs.split_changes(wh, staged(many, f"{wh.root}/in/many"), arrays=True).awaitTermination()
+    routed = t.spark.read.parquet(wh.topics).select("topic", "producer", F.get_json_object("value", "$.id").cast("bigint").alias("id"))
+    for job in ("split_changes", "split_changes_arrays"):
+        bad = t.spark.read.parquet(wh.folder("quarantine", job))
+        routed = routed.unionByName(bad.select(F.lit("quarantine").alias("topic"), F.lit(job).alias("producer"), F.lit(None).cast("bigint").alias("id")))
+    return routed
 
 
 @query("t12_stream_warehouse", sql(f"""
@@ -326,4 +425,4 @@ def run_all(t: Tables, wh: jobs.Warehouse, batches: int) -> None:
         jobs.split_changes(wh, source).awaitTermination()
         jobs.order_info(wh).awaitTermination()
         jobs.order_detail(wh).awaitTermination()
-    jobs.order_wide(wh).awaitTermination()
+    jobs.order_wide(wh, tolerance="1 hour", watermark="1 hour").awaitTermination()

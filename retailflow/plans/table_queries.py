@@ -314,14 +314,14 @@ def batch_count(t: Tables) -> DataFrame:
     SELECT user_gender AS name, count(*) AS value, count(*) / CAST(sum(count(*)) OVER () AS BIGINT) AS share
     FROM wide GROUP BY 1""", "wide"))
 def gender_share(t: Tables) -> DataFrame:
-    return serving.gender_share(_merged(t))
+    return serving.gender_share(warehouse.stored_wide(t))
 
 
 @query("a10_age_share", sql("""
     SELECT user_age_group AS name, count(*) AS value, count(*) / CAST(sum(count(*)) OVER () AS BIGINT) AS share
     FROM wide GROUP BY 1""", "wide"))
 def age_share(t: Tables) -> DataFrame:
-    return serving.age_share(_merged(t))
+    return serving.age_share(warehouse.stored_wide(t))
 
 
 @query("a11_province_sales", sql("""
@@ -329,30 +329,45 @@ def age_share(t: Tables) -> DataFrame:
            CASE WHEN sum(sku_num) >= 600 THEN 7 ELSE CAST(floor(sum(sku_num) / 100.0) AS BIGINT) + 1 END AS band
     FROM wide GROUP BY 1""", "wide"))
 def province_sales(t: Tables) -> DataFrame:
-    return serving.province_sales(_merged(t))
+    return serving.province_sales(warehouse.stored_wide(t))
 
 
 @query("a12_name_num_bars", sql("""
     SELECT sku_name AS name, CAST(sum(sku_num) AS BIGINT) AS num FROM wide GROUP BY 1""", "wide"))
 def name_num_bars(t: Tables) -> DataFrame:
-    return serving.name_num_bars(_merged(t))
+    return serving.name_num_bars(warehouse.stored_wide(t))
 
 
-def _merged(t: Tables) -> DataFrame:
-    """Wide rows for reports that do not look at the split amount."""
-    return wide.wide_merge(warehouse.dwd_orders(t), warehouse.dwd_details(t))
+_HITS = """hits AS (SELECT * FROM split WHERE contains(sku_name, 'red')),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY final_cents DESC, order_id, order_detail_id) AS n FROM hits)"""
 
 
 @query("a13_facet_search", sql("""
-    SELECT 'total' AS section, 'total' AS name, count(*) AS value FROM hits
-    UNION ALL SELECT 'age', user_age_group, count(*) FROM hits GROUP BY 2
-    UNION ALL SELECT 'gender', user_gender, count(*) FROM hits GROUP BY 2
-    UNION ALL SELECT 'detail', sku_name, order_detail_id FROM (
-        SELECT * FROM hits ORDER BY final_cents DESC, order_id, order_detail_id LIMIT 10 OFFSET 20)""", "split",
-    then="hits AS (SELECT * FROM split WHERE contains(sku_name, 'red'))"))
+    SELECT 'total' AS section, 'total' AS name, count(*) AS value, NULL AS rank FROM hits
+    UNION ALL SELECT 'age', user_age_group, count(*), NULL FROM hits GROUP BY 2
+    UNION ALL SELECT 'gender', user_gender, count(*), NULL FROM hits GROUP BY 2
+    UNION ALL SELECT 'detail', sku_name, order_detail_id, n FROM ranked WHERE n BETWEEN 21 AND 30""", "split",
+    then=_HITS))
 def facet_search(t: Tables) -> DataFrame:
     """Third page of ten, with the counts over all hits of the keyword."""
-    return serving.facet_search(warehouse.order_wide(t), None, "red", 20, 10)
+    return serving.facet_search(warehouse.stored_wide(t), None, "red", 20, 10)
+
+
+@query("a13_facet_response", sql("""
+    SELECT (SELECT count(*) FROM hits) AS total,
+           (SELECT string_agg(order_id || ' ' || order_detail_id || ' ' || sku_name || ' ' || dt || ' ' || province_name || ' ' || final_cents, ', ' ORDER BY n)
+            FROM ranked WHERE n BETWEEN 21 AND 30) AS detail,
+           (SELECT string_agg(user_age_group || ' ' || n, ', ' ORDER BY user_age_group) FROM (SELECT user_age_group, count(*) AS n FROM hits GROUP BY 1)) AS age,
+           (SELECT string_agg(user_gender || ' ' || n, ', ' ORDER BY user_gender) FROM (SELECT user_gender, count(*) AS n FROM hits GROUP BY 1)) AS gender""",
+    "split", then=_HITS))
+def facet_response(t: Tables) -> DataFrame:
+    """The same as one row; its lists as text, the page in its order."""
+    answer = serving.facet_response(warehouse.stored_wide(t), None, "red", 20, 10)
+    text = lambda items, *columns: F.array_join(F.transform(items, lambda x: F.concat_ws(" ", *[x[c] for c in columns])), ", ")
+    record = F.transform("detail", lambda x: F.concat_ws(
+        " ", x["order_id"], x["order_detail_id"], x["sku_name"], x["dt"], x["province_name"], to_cents(x["final_detail_amount"])))
+    stat = lambda i: text(F.col("stat")[i]["group"], "name", "value")
+    return answer.select("total", F.array_join(record, ", ").alias("detail"), stat(0).alias("age"), stat(1).alias("gender"))
 
 
 @query("w4_page_sort_limit", """

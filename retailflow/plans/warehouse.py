@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from retailflow import schemas
 from retailflow.operators import dimensions, orders, wide
-from retailflow.sources import tables
+from retailflow.session import run_dir
+from retailflow.sources import storage, tables
 from retailflow.sources.tables import AS_OF, Tables
 
 
@@ -33,3 +35,17 @@ def dwd_details(t: Tables) -> DataFrame:
 
 def order_wide(t: Tables) -> DataFrame:
     return wide.order_wide(dwd_orders(t), dwd_details(t), sizes_from=t.order_detail)
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_wide(t: Tables, date: str | None = None) -> DataFrame:
+    """The wide table as the analytical store holds it, by month: what the reports read. Built once per
+    application and source folder, by the first report that asks."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _STORED:
+        path = run_dir(t.spark, "order-wide")
+        storage.append_olap(order_wide(t), path, 0)
+        _STORED[key] = path
+    return storage.read_olap(t.spark, _STORED[key], schemas.ORDER_WIDE, date)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "date": T.DateType()}
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "date": T.DateType(),
+          "timestamp": T.TimestampType()}
 
 
 def _schema(fields: str) -> T.StructType:
@@ -72,22 +73,12 @@ SKU_INFO = _schema(
 SPU_INFO = _schema("id string, spu_name string")
 TRADEMARK = _schema("tm_id string, tm_name string")
 CATEGORY3 = _schema("id string, name string, category2_id string")
-USER_STATE = _schema("user_id string, if_consumed string")
-
-# One message of a topic in the file backend. `batch_id` and `seq` are its position.
-TOPIC_MESSAGE = _schema("key string, value string, seq bigint, batch_id bigint")
-
-# What every source table's CDC row decodes to, by table name.
-CDC_TABLES = {
-    "order_info": ORDER_INFO,
-    "order_detail": ORDER_DETAIL,
-    "base_province": PROVINCE,
-    "user_info": USER_INFO,
-    "base_category3": CATEGORY3,
-    "base_trademark": TRADEMARK,
-    "spu_info": SPU_INFO,
-    "sku_info": SKU_INFO,
-}
+# `order_id` is the order that was the user's first; unknown for users taken over from elsewhere.
+USER_STATE = _schema("user_id string, if_consumed string, order_id bigint")
+
+# One message of a topic in the file backend. `producer`, `batch_id` and `seq` are its position,
+# `arrived` the time at which it was written.
+TOPIC_MESSAGE = _schema("key string, value string, seq bigint, arrived timestamp, producer string, batch_id bigint")
 
 
 def decode(messages: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:

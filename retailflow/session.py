@@ -44,10 +44,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see. The cluster names it in spark.checkpoint.dir; only a
-    session without one (local tests) falls back to a fresh folder."""
+    """The folder all executors see. The cluster names it in spark.checkpoint.dir; only a session
+    within one process (local tests) may do without and gets a fresh folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="retailflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

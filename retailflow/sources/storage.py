@@ -1,11 +1,13 @@
 """Keyed tables and document indexes as partitioned parquet folders.
 
-Every write names its batch and replaces exactly that batch's folder; reading takes the newest
-row per key. So writes are idempotent under replay, and no update in place is needed.
+Every write names its batch and replaces exactly that batch's rows; reading takes the newest
+row per key. So writes are idempotent under replay, and no update in place is needed. Batches fold
+into a base from time to time; readers see the same rows before and after.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +18,49 @@ from retailflow.operators.active import first_per_key
 
 LONG = T.LongType()
 
+#: Up to so many days of a batch are read by folder; a batch with more is joined with the whole table.
+MOST_DAYS = 1000
+_NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
-def exists(spark: SparkSession, path: str) -> bool:
+
+def _place(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _place(spark, path)
+    return files.exists(target)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    files, target = _place(spark, path)
+    files.mkdirs(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this run made."""
+    files, target = _place(spark, path)
+    files.delete(target, True)
+
+
+def _numbered(spark: SparkSession, path: str, name: str, nested: bool = False) -> dict[int, list[str]]:
+    """Folders `name`=<number> below a path, and below its folders by day or month, by number."""
+    files, target = _place(spark, path)
+    found: dict[int, list[str]] = {}
+    for pattern in (f"{path}/{name}=*", f"{path}/*=*/{name}=*") if nested else (f"{path}/{name}=*",):
+        for status in files.globStatus(_place(spark, pattern)[1]) or []:
+            place = status.getPath()
+            if number := re.fullmatch(rf"{name}=(-?\d+)", place.getName()):
+                found.setdefault(int(number[1]), []).append(place.toString())
+    return found
 
 
 def write_batch(
     rows: DataFrame, path: str, batch_id: int, partitions: tuple[str, ...] = (), tasks: int | None = None
 ) -> None:
-    """Writes rows as batch `batch_id`, below one folder per value of `partitions`. The batch has
-    a folder of its own, which is replaced as a whole.
+    """Writes rows as batch `batch_id`. The batch has a folder of its own, below one folder per value
+    of `partitions`, and is replaced as a whole.
 
     With partition columns the rows are brought together by folder first, so that there are not as
     many files as tasks times folders; a folder with much data is split over several tasks again.
@@ -37,18 +71,87 @@ def write_batch(
         rows = rows.repartitionByRange(tasks, *[F.col(p) for p in partitions], row_hash)
     elif partitions:
         rows = rows.hint("rebalance", *[F.col(p) for p in partitions])
-    rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/batch_id={batch_id}")
+    if not partitions:
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        return
+    numbered = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batch_id").parquet(path)
 
 
-def read_batches(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """All batches written so far (or those before one); empty when nothing was written yet."""
+def read_batches(
+    spark: SparkSession, path: str, schema: T.StructType, before: int | None = None,
+    day: str | None = None, days: list[str | None] | None = None,
+) -> DataFrame:
+    """All batches written so far (or those before one), with their `batch_id`; empty when nothing was
+    written yet. With `days`, only the folders of these values of `day` are listed and read."""
     full = T.StructType([f for f in schema.fields if f.name != "batch_id"] + [T.StructField("batch_id", LONG)])
-    if not exists(spark, path):
-        return spark.createDataFrame([], full)
-    rows = spark.read.schema(full).parquet(path)
+
+    def read(root: str, schema: T.StructType) -> DataFrame:
+        paths = [root] if days is None else [f"{root}/{day}={_NO_DAY if d is None else d}" for d in days]
+        paths = [p for p in paths if exists(spark, p)]
+        if not paths:
+            return spark.createDataFrame([], schema)
+        return spark.read.option("basePath", root).schema(schema).parquet(*paths)
+
+    rows = read(path, full)
+    levels = [n for n in _numbered(spark, f"{path}-folded", "upto") if before is None or n < before]
+    if levels:
+        # What came in before its time after the fold (backfills) is not in the base yet.
+        level = max(levels)
+        folded = _folded_backfills(spark, path, level)
+        missing = (F.col("batch_id") < 0) & ~F.col("batch_id").isin(folded) if folded else F.col("batch_id") < 0
+        rows = read(f"{path}-folded/upto={level}", full).unionByName(rows.filter((F.col("batch_id") > level) | missing))
     return rows if before is None else rows.filter(F.col("batch_id") < before)
 
 
+def read_days(
+    spark: SparkSession, path: str, schema: T.StructType, batch: DataFrame, day: str, before: int | None = None
+) -> DataFrame:
+    """The stored rows of the days that occur in a batch."""
+    found = batch.select(day).distinct()
+    days = [r[0] for r in found.limit(MOST_DAYS + 1).collect()]
+    if len(days) <= MOST_DAYS:
+        return read_batches(spark, path, schema, before, day, days)
+    wanted = found.withColumnRenamed(day, "_day")
+    return read_batches(spark, path, schema, before).join(wanted, F.col(day).eqNullSafe(F.col("_day")), "left_semi")
+
+
+def _folded_backfills(spark: SparkSession, path: str, level: int) -> list[int]:
+    place = f"{path}-folded-backfills/upto={level}"
+    return [r[0] for r in spark.read.schema("batch_id bigint").parquet(place).collect()] if exists(spark, place) else []
+
+
+def fold(
+    spark: SparkSession, path: str, schema: T.StructType, reduce: Callable[[DataFrame], DataFrame],
+    upto: int | None = None, partitions: tuple[str, ...] = (),
+) -> None:
+    """Folds all batches up to `upto` (default: all there are) into a base of the rows that `reduce`
+    leaves of them; `batch_id` stays theirs. Batches that the fold before this one took in, and
+    older bases, are deleted: readers under way since then still find theirs."""
+    batches = _numbered(spark, path, "batch_id", nested=True)
+    earlier = sorted(_numbered(spark, f"{path}-folded", "upto"))
+    known = [n for n in batches if n >= 0] + earlier
+    if upto is None:
+        upto = max(known, default=None)
+    if upto is None or not any(n <= upto for n in batches):
+        return
+    backfills = [n for n in batches if n < 0]
+    rows = reduce(read_batches(spark, path, schema, before=upto + 1))
+    rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}-folded/upto={upto}")
+    if backfills:
+        spark.createDataFrame([(n,) for n in backfills], "batch_id bigint").write.mode("overwrite").parquet(f"{path}-folded-backfills/upto={upto}")
+    last = max((n for n in earlier if n < upto), default=None)
+    if last is not None:
+        for n, places in batches.items():
+            if 0 <= n <= last:
+                for place in places:
+                    remove(spark, place)
+        for n in earlier:
+            if n < last:
+                remove(spark, f"{path}-folded/upto={n}")
+                remove(spark, f"{path}-folded-backfills/upto={n}")
+
+
 # -- dimensions ---------------------------------------------------------------------------------
 
 
@@ -64,12 +167,8 @@ def upsert_dim(rows: DataFrame, path: str, batch_id: int, key: str = "id") -> No
     write_batch(first_per_key(rows, [key], [F.desc("seq")]), f"{path}/changes", batch_id)
 
 
-def _snapshot_level(spark: SparkSession, path: str) -> int | None:
-    """Batch up to which the newest snapshot reaches. Reads no data column."""
-    if not exists(spark, f"{path}/snapshot"):
-        return None
-    folders = spark.read.schema("upto bigint").parquet(f"{path}/snapshot").select("upto").distinct()
-    return folders.agg(F.max("upto")).first()[0]
+def _newest(rows: DataFrame, key: str) -> DataFrame:
+    return first_per_key(rows, [key], [F.desc("batch_id"), F.desc("seq")])
 
 
 def read_dim(
@@ -79,38 +178,26 @@ def read_dim(
     key: str = "id",
     only: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """The current row per key: the newest snapshot plus the batches after it. `only` may narrow
-    the stored rows by key; it is applied before versions are compared."""
-    full = _with_seq(schema)
-    changes = read_batches(spark, f"{path}/changes", full)
-    level = _snapshot_level(spark, path)
-    if level is not None:
-        base = spark.read.schema(T.StructType(full.fields + [T.StructField("upto", LONG)])).parquet(f"{path}/snapshot")
-        base = base.filter(F.col("upto") == level).withColumnRenamed("upto", "batch_id")
-        changes = base.unionByName(changes.filter(F.col("batch_id") > level))
+    """The current row per key. `only` may narrow the stored rows by key; it is applied before
+    versions are compared."""
+    changes = read_batches(spark, f"{path}/changes", _with_seq(schema))
     if only is not None:
         changes = only(changes)
-    newest = first_per_key(changes, [key], [F.desc("batch_id"), F.desc("seq")])
-    return newest.select(*schema.fieldNames())
+    return _newest(changes, key).select(*schema.fieldNames())
 
 
-def compact_dim(spark: SparkSession, path: str, schema: T.StructType, key: str = "id") -> None:
-    """Folds all batches so far into a new snapshot; afterwards readers touch only that snapshot
-    and later batches. Older files stay for readers under way."""
-    last = read_batches(spark, f"{path}/changes", schema).agg(F.max("batch_id")).first()[0]
-    if last is None:
-        return
-    rows = read_dim(spark, path, schema, key).withColumn("seq", F.lit(0).cast("bigint"))
-    (
-        rows.withColumn("upto", F.lit(last).cast("bigint"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("upto").parquet(f"{path}/snapshot")
-    )
+def compact_dim(spark: SparkSession, path: str, schema: T.StructType, key: str = "id", upto: int | None = None) -> None:
+    """Folds the batches so far; afterwards readers touch only the base and later batches. A row of a
+    backfill loses to any other, also one that was folded before it came."""
+    fold(spark, f"{path}/changes", _with_seq(schema), lambda rows: _newest(rows, key), upto)
 
 
-def write_bucketed(rows: DataFrame, name: str, path: str, key: str = "id", buckets: int = 3) -> None:
-    """A dimension spread over hash buckets of its key, sorted within: joins on the key with a
-    table bucketed alike need no shuffle."""
+def write_bucketed(rows: DataFrame, name: str, path: str, key: str = "id", buckets: int | None = None) -> None:
+    """A table spread over hash buckets of its key, sorted within: joins on the key with a table
+    bucketed alike need no shuffle. A bucket is one task of such a join; by default there are as many as
+    the session has shuffle partitions."""
+    if buckets is None:
+        buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
 
 
@@ -124,8 +211,15 @@ def upsert_docs(rows: DataFrame, path: str, batch_id: int, day: str = "dt", task
 
 def read_docs(spark: SparkSession, path: str, schema: T.StructType, key: str, day: str = "dt") -> DataFrame:
     """The newest document per day and id."""
-    rows = read_batches(spark, path, schema)
-    return first_per_key(rows, [day, key], [F.desc("batch_id")]).select(*schema.fieldNames())
+    return _newest_docs(read_batches(spark, path, schema), key, day).select(*schema.fieldNames())
+
+
+def _newest_docs(rows: DataFrame, key: str, day: str) -> DataFrame:
+    return first_per_key(rows, [day, key], [F.desc("batch_id")])
+
+
+def fold_docs(spark: SparkSession, path: str, schema: T.StructType, key: str, day: str = "dt", upto: int | None = None) -> None:
+    fold(spark, path, schema, lambda rows: _newest_docs(rows, key, day), upto, (day,))
 
 
 def index_views(docs: DataFrame, name: str, days: tuple[str, ...] = (), day: str = "dt") -> None:
@@ -139,16 +233,32 @@ def index_views(docs: DataFrame, name: str, days: tuple[str, ...] = (), day: str
 # -- analytical table and raw archive -----------------------------------------------------------
 
 
+def by_month(rows: DataFrame, day: str = "dt") -> DataFrame:
+    """Adds the month, by which tables of facts lie. Days would be folders of a few rows each."""
+    return rows.withColumn("month", F.substring(day, 1, 7))
+
+
+def monthly(schema: T.StructType) -> T.StructType:
+    return T.StructType(schema.fields + [T.StructField("month", T.StringType())])
+
+
 def append_olap(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Wide rows into the analytical table; a replayed batch replaces itself."""
-    write_batch(rows, path, batch_id)
+    """Wide rows into the analytical table, by month; a replayed batch replaces itself."""
+    write_batch(by_month(rows), path, batch_id, ("month",))
+
+
+def read_olap(spark: SparkSession, path: str, schema: T.StructType, date: str | None = None) -> DataFrame:
+    """The table's rows, of one day if it is named: only that month's folder is read."""
+    months = None if date is None else [date[:7]]
+    rows = read_batches(spark, path, monthly(schema), day="month", days=months)
+    return (rows if date is None else rows.filter(F.col("dt") == date)).select(*schema.fieldNames())
 
 
 def append_olap_jdbc(
-    rows: DataFrame, url: str, table: str, driver: str, writers: int | None = 1, batch_size: int = 100
+    rows: DataFrame, url: str, table: str, driver: str, writers: int | None = None, batch_size: int = 100
 ) -> None:
     """The same by JDBC, without a transaction: rows in inserts of `batch_size` over `writers`
-    connections (None: one per partition). Not idempotent, and not tested here: it needs a
+    connections (default: one per partition). Not idempotent, and not tested here: it needs a
     database."""
     if writers is not None:
         rows = rows.coalesce(writers)

@@ -1,7 +1,7 @@
 """Topics: append-only logs of (key, value) messages.
 
 Two backends with one message shape. The file backend keeps a topic under
-`<root>/topic=<name>/batch_id=<n>/` and is what the tests run. The Kafka backend only sets
+`<root>/topic=<name>/producer=<job>/batch_id=<n>/` and is what the tests run. The Kafka backend only sets
 options of Spark's own source and sink; its connector is not part of a plain Spark install, so
 it is not exercised here.
 """
@@ -14,24 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailflow import schemas
-from retailflow.sources.storage import exists
+from retailflow.sources.storage import exists, make_folder
 
 BACKFILL_BATCH = -1
 
 
-def write_topic(messages: DataFrame, root: str, batch_id: int) -> None:
-    """Appends messages (topic, key, value and optionally seq) as batch `batch_id`. Writing the
-    same batch again replaces it, so a replayed micro-batch changes nothing."""
+def write_topic(messages: DataFrame, root: str, batch_id: int, producer: str = "main") -> None:
+    """Appends messages (topic, key, value and optionally seq) as batch `batch_id` of this
+    producer. Writing the same batch again replaces it, so a replayed micro-batch changes nothing;
+    other producers' batches stay."""
     seq = F.col("seq") if "seq" in messages.columns else F.monotonically_increasing_id()
     key = F.col("key") if "key" in messages.columns else F.lit(None).cast("string")
     # One file per topic and micro-batch rather than one per task; a large topic is split again.
     (
         messages.hint("rebalance", F.col("topic")).select(
-            "topic", key.alias("key"), "value", seq.cast("bigint").alias("seq"),
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
+            "topic", key.alias("key"), "value", seq.cast("bigint").alias("seq"), F.current_timestamp().alias("arrived"),
+            F.lit(producer).alias("producer"), F.lit(batch_id).cast("bigint").alias("batch_id"),
         )
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("topic", "batch_id").parquet(root)
+        .partitionBy("topic", "producer", "batch_id").parquet(root)
     )
 
 
@@ -52,8 +53,9 @@ def read_topic(
 
 
 def stream_topic(spark: SparkSession, root: str, topic: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A topic as a stream. Consumers keep their position in their own checkpoint; several
-    consumers of one topic do not disturb each other."""
+    """A topic as a stream, which may not have a message yet. Consumers keep their position in
+    their own checkpoint; several consumers of one topic do not disturb each other."""
+    make_folder(spark, f"{root}/topic={topic}")
     reader = spark.readStream.schema(schemas.TOPIC_MESSAGE)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -83,9 +85,9 @@ def _from_kafka(rows: DataFrame) -> DataFrame:
         F.col("key").cast("string").alias("key"),
         F.col("value").cast("string").alias("value"),
         F.col("offset").alias("seq"),
+        F.col("timestamp").alias("arrived"),
         "topic",
         "partition",
-        "timestamp",
     )
 
 

@@ -3,7 +3,7 @@
 Every job applies the same functions as the batch plans to one micro-batch and writes under the
 batch's number, so a batch that is run again replaces what it wrote before. What a job reads as
 its own state is limited to earlier batches, so the second run sees what the first one saw.
-Dimensions are read anew in every batch.
+Dimensions are read anew in every batch. Every `fold_every` batches a job folds its tables.
 """
 
 from __future__ import annotations
@@ -26,9 +26,6 @@ INTERVAL = "5 seconds"
 DWD_ORDER_INFO = "DWD_ORDER_INFO"
 DWD_ORDER_DETAIL = "DWD_ORDER_DETAIL"
 
-# How far back repeated lines and running sums are looked for: a week of micro-batches.
-LOOKBACK_BATCHES = 7 * 24 * 3600 // 5
-
 DIMENSIONS = {
     "base_province": (schemas.PROVINCE, "id"),
     "user_info": (schemas.USER_INFO, "id"),
@@ -45,7 +42,7 @@ BROADCAST_IDS = 1_000_000
 ORDER_SUMS = T.StructType(
     [
         T.StructField("order_id", T.LongType()),
-        T.StructField("create_time", T.StringType()),
+        T.StructField("dt", T.StringType()),
         T.StructField("gross", T.LongType()),
         T.StructField("share", T.LongType()),
     ]
@@ -62,6 +59,7 @@ class Warehouse:
     available_now: bool = False
     files_per_trigger: int | None = None
     write_tasks: int | None = None
+    fold_every: int = 720  # an hour of micro-batches
 
     @property
     def topics(self) -> str:
@@ -91,13 +89,17 @@ class Warehouse:
         )
 
     def launch(
-        self, rows: DataFrame, job: str, handle: Callable[[DataFrame, int], None], reused: bool = True
+        self, rows: DataFrame, job: str, handle: Callable[[DataFrame, int], None], reused: bool = True,
+        fold: Callable[[int], None] | None = None,
     ) -> StreamingQuery:
         """Starts a job. `reused`: the handler looks at its batch more than once. It is then kept
         for the time of the batch, so that neither the source is read nor a stateful operator run
-        twice, and empty batches are passed over."""
+        twice, and empty batches are passed over. `fold` folds the job's tables up to a batch; it
+        is called ahead of a batch with the number of the one before, which is committed."""
 
         def keep(batch: DataFrame, n: int) -> None:
+            if fold is not None and n and n % self.fold_every == 0:
+                fold(n - 1)
             kept = batch.persist()
             try:
                 if not kept.isEmpty():
@@ -129,7 +131,7 @@ def counted(rows: DataFrame, name: str) -> DataFrame:
 
 
 def split_logs_batch(wh: Warehouse, batch: DataFrame, n: int) -> None:
-    topics.write_topic(routing.route_log(batch), wh.topics, n)
+    topics.write_topic(routing.route_log(batch), wh.topics, n, "split_logs")
     ms = F.get_json_object("value", "$.ts").cast("bigint")
     storage.archive_raw(active.with_day_hour(batch.withColumn("ts", ms)), wh.folder("archive", "applog"), n)
 
@@ -140,14 +142,17 @@ def split_logs(wh: Warehouse, logs: DataFrame) -> StreamingQuery:
 
 
 def split_changes(wh: Warehouse, changes: DataFrame, arrays: bool = False) -> StreamingQuery:
-    """Database changes (seq, value) to one topic per table."""
+    """Database changes (seq, value) to one topic per table; what is no change goes to quarantine."""
     route = routing.cdc_array_flatten if arrays else routing.cdc_filter_route
+    job = "split_changes_arrays" if arrays else "split_changes"
 
     def handle(batch: DataFrame, n: int) -> None:
         key = F.get_json_object("value", "$.id")
-        topics.write_topic(route(batch).withColumn("key", key), wh.topics, n)
+        topics.write_topic(route(batch).withColumn("key", key), wh.topics, n, job)
+        bad = routing.malformed(batch, arrays=arrays).select(F.col("value").alias("_corrupt_record"))
+        storage.write_batch(bad, wh.folder("quarantine", job), n)
 
-    return wh.launch(changes, "split_changes_arrays" if arrays else "split_changes", handle, reused=False)
+    return wh.launch(changes, job, handle)
 
 
 # -- daily actives ------------------------------------------------------------------------------
@@ -160,14 +165,14 @@ def dau_batch(wh: Warehouse, batch: DataFrame, n: int) -> None:
     rows = active.dau_project(active.with_day_hour(wh.good(batch, schemas.STARTUP_LOG, "dau", n)))
     rows = rows.select(*schemas.DAU_INFO.fieldNames(), "seq")
     path = wh.folder("docs", "dau_info")
-    days = [r.dt for r in rows.select("dt").distinct().collect()]
-    seen = storage.read_batches(wh.spark, path, schemas.DAU_INFO, before=n).filter(F.col("dt").isin(days))
+    seen = storage.read_days(wh.spark, path, schemas.DAU_INFO, rows, "dt", before=n)
     fresh = active.unseen(rows, seen, ["dt", "mid"], ["ts", "seq"]).drop("seq")
     storage.upsert_docs(fresh, path, n)
 
 
 def dau(wh: Warehouse) -> StreamingQuery:
-    return wh.launch(wh.stream(routing.STARTUP_TOPIC), "dau", lambda batch, n: dau_batch(wh, batch, n))
+    fold = lambda n: storage.fold_docs(wh.spark, wh.folder("docs", "dau_info"), schemas.DAU_INFO, "mid", upto=n)
+    return wh.launch(wh.stream(routing.STARTUP_TOPIC), "dau", lambda batch, n: dau_batch(wh, batch, n), fold=fold)
 
 
 def dau_with_expiry(wh: Warehouse, ttl: str = "24 hours") -> StreamingQuery:
@@ -205,8 +210,10 @@ def dim(wh: Warehouse, table: str, as_of: Column | str | None = None) -> Streami
     """Keeps one dimension current from its topic. Ages count up to `as_of`, by default the day
     of processing."""
     day = F.current_date() if as_of is None else as_of
-    topic = f"ODS_{table.upper()}"
-    return wh.launch(wh.stream(topic), f"dim_{table}", lambda batch, n: dim_batch(wh, table, batch, n, day))
+    schema, key = DIMENSIONS[table]
+    fold = lambda n: storage.compact_dim(wh.spark, wh.folder("dim", table), schema, key, n)
+    handle = lambda batch, n: dim_batch(wh, table, batch, n, day)
+    return wh.launch(wh.stream(f"ODS_{table.upper()}"), f"dim_{table}", handle, fold=fold)
 
 
 # -- detail layer -------------------------------------------------------------------------------
@@ -218,7 +225,7 @@ def order_batch(wh: Warehouse, batch: DataFrame, n: int) -> None:
     plain = orders.with_create_day_hour(wh.good(batch, schemas.ORDER_INFO, "order_info", n))
     before = storage.read_batches(wh.spark, state_path, schemas.USER_STATE, before=n)
     before = dimensions.dim_lookup_in(before, plain, "user_id", "user_id", BROADCAST_IDS)
-    flagged = orders.first_order_flag(plain, before)
+    flagged = orders.first_order_flag_again(plain, before)
     users = wh.dim_of("user_info", plain, "user_id")
     placed = dimensions.order_user(dimensions.order_province(flagged, wh.dim("base_province")), users)
     placed = placed.persist()
@@ -227,7 +234,7 @@ def order_batch(wh: Warehouse, batch: DataFrame, n: int) -> None:
         docs = schemas.conform(placed, schemas.ORDER_DOCUMENT)
         storage.upsert_docs(docs, wh.folder("docs", "order_info"), n, day="create_date", tasks=wh.write_tasks)
         message = schemas.conform(placed, schemas.ORDER_INFO)
-        topics.write_topic(_messages(message, DWD_ORDER_INFO), wh.topics, n)
+        topics.write_topic(_messages(message, DWD_ORDER_INFO), wh.topics, n, "order_info")
     finally:
         placed.unpersist()
 
@@ -236,14 +243,23 @@ def _messages(record: DataFrame, topic: str) -> DataFrame:
     return record.select(F.lit(topic).alias("topic"), F.col("id").alias("seq"), *schemas.encode("id", record.columns))
 
 
+def order_fold(wh: Warehouse, n: int | None = None) -> None:
+    """User state down to one row per user, order documents to the newest per day and id."""
+    storage.fold(
+        wh.spark, wh.folder("state", "user_state"), schemas.USER_STATE,
+        lambda rows: active.first_per_key(rows, ["user_id"], [F.asc("batch_id"), F.asc("order_id")]), n)
+    storage.fold_docs(wh.spark, wh.folder("docs", "order_info"), schemas.ORDER_DOCUMENT, "id", "create_date", n)
+
+
 def order_info(wh: Warehouse) -> StreamingQuery:
-    return wh.launch(wh.stream("ODS_ORDER_INFO"), "order_info", lambda batch, n: order_batch(wh, batch, n))
+    handle = lambda batch, n: order_batch(wh, batch, n)
+    return wh.launch(wh.stream("ODS_ORDER_INFO"), "order_info", handle, fold=lambda n: order_fold(wh, n))
 
 
 def detail_batch(wh: Warehouse, batch: DataFrame, n: int) -> None:
     plain = wh.good(batch, schemas.ORDER_DETAIL, "order_detail", n)
     named = schemas.conform(dimensions.detail_sku(plain, wh.dim_of("sku_info", plain, "sku_id")), schemas.ORDER_DETAIL)
-    topics.write_topic(_messages(named, DWD_ORDER_DETAIL), wh.topics, n)
+    topics.write_topic(_messages(named, DWD_ORDER_DETAIL), wh.topics, n, "order_detail")
 
 
 def order_detail(wh: Warehouse) -> StreamingQuery:
@@ -258,40 +274,60 @@ def order_docs(wh: Warehouse) -> DataFrame:
 # -- wide table ---------------------------------------------------------------------------------
 
 
-def wide_batch(wh: Warehouse, batch: DataFrame, n: int, lookback: int = LOOKBACK_BATCHES) -> None:
+def wide_batch(wh: Warehouse, batch: DataFrame, n: int) -> None:
     """Splits the paid totals of the pairs of one batch and appends them. Running sums of orders
-    whose lines came in several batches are kept as a table of increments."""
+    whose lines came in several batches are kept as a table of increments. Both tables lie by the
+    order's month; a batch reads the months of its orders, however long ago, and no others."""
     sums_path = wh.folder("state", "order_sums")
-    # A line that comes again has the time of its order, so what was stored is narrowed to the
-    # times of this batch: file statistics skip the rest.
-    times = batch.agg(F.min("create_time").alias("lo"), F.max("create_time").alias("hi")).first()
-    known = (F.col("batch_id") >= n - lookback) & F.col("create_time").between(times.lo, times.hi)
     lines = ["order_id", "order_detail_id"]
-    seen = storage.read_batches(wh.spark, wh.order_wide, schemas.ORDER_WIDE, before=n).filter(known)
+    months = storage.by_month(batch)
+    seen = storage.read_days(wh.spark, wh.order_wide, storage.monthly(schemas.ORDER_WIDE), months, "month", before=n)
     fresh = active.unseen(batch, seen, lines, ["create_time"])
-    sums = storage.read_batches(wh.spark, sums_path, ORDER_SUMS, before=n).filter(known)
+    sums = storage.read_days(wh.spark, sums_path, storage.monthly(ORDER_SUMS), months, "month", before=n)
     split = wide.pay_apportion_on(fresh, sums, sizes_from=batch).persist()
     try:
         storage.append_olap(split.select(*schemas.ORDER_WIDE.fieldNames()), wh.order_wide, n)
-        storage.write_batch(wide.order_sums(split), sums_path, n)
+        storage.write_batch(storage.by_month(wide.order_sums(split)), sums_path, n, ("month",))
     finally:
         split.unpersist()
 
 
-def order_wide(wh: Warehouse, tolerance: str = "5 seconds", watermark: str = "10 seconds", salts: int = 1) -> StreamingQuery:
-    """Joins the order and line topics and keeps the wide table."""
+def wide_fold(wh: Warehouse, n: int | None = None) -> None:
+    """Sums down to one row per order; the wide table's batches into one."""
+    def added(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("order_id", "dt", "month").agg(F.sum("gross").alias("gross"), F.sum("share").alias("share"), F.max("batch_id").alias("batch_id"))
+
+    storage.fold(wh.spark, wh.folder("state", "order_sums"), storage.monthly(ORDER_SUMS), added, n, ("month",))
+    storage.fold(wh.spark, wh.order_wide, storage.monthly(schemas.ORDER_WIDE), lambda rows: rows, n, ("month",))
+
 
-    def topic(name: str, schema: T.StructType, time: str) -> DataFrame:
-        decoded = schemas.decode(wh.stream(name).select("value"), schema)
-        good, _ = schemas.split_corrupt(decoded)
-        return good.withColumn(time, F.try_to_timestamp("create_time", F.lit("yyyy-MM-dd HH:mm:ss")))
+def order_wide(wh: Warehouse, tolerance: str = "10 seconds", watermark: str = "10 seconds", salts: int = state.SALTS) -> StreamingQuery:
+    """Joins the order and line topics and keeps the wide table.
+
+    An order and a line meet when they arrived within `tolerance` of each other, whatever their own
+    times say. A line that no order joined by then is kept with the unmatched, a message that cannot be
+    decoded in quarantine; the query's progress counts both (`wide`)."""
+
+    def topic(name: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+        return schemas.split_corrupt(schemas.decode(wh.stream(name).select("value", "arrived"), schema))
+
+    placed, bad_orders = topic(DWD_ORDER_INFO, schemas.ORDER_INFO)
+    named, bad_lines = topic(DWD_ORDER_DETAIL, schemas.ORDER_DETAIL)
+    met = state.stream_order_detail_join(placed, named, "arrived", "arrived", tolerance, watermark, salts, unmatched=True)
+    line = F.to_json(F.struct(*[F.col(f"d.{c}") for c in schemas.ORDER_DETAIL.fieldNames()]))
+    pairs = met.select(*wide.wide_columns("o", "d"), F.when(F.col("o.id").isNull(), line).alias("_unmatched"))
+    bad = bad_orders.select("_corrupt_record").unionByName(bad_lines.select("_corrupt_record"))
+    rows = pairs.unionByName(bad, allowMissingColumns=True).observe(
+        "wide", F.count(F.when(F.col("_unmatched").isNotNull(), 1)).alias("unmatched"), F.count("_corrupt_record").alias("corrupt"))
+
+    def handle(batch: DataFrame, n: int) -> None:
+        for column, kind in (("_corrupt_record", "quarantine"), ("_unmatched", "unmatched")):
+            storage.write_batch(batch.filter(F.col(column).isNotNull()).select(column), wh.folder(kind, "order_wide"), n)
+        good = batch.filter("_corrupt_record IS NULL AND _unmatched IS NULL")
+        wide_batch(wh, good.select(*schemas.ORDER_WIDE.fieldNames()), n)
 
-    placed = topic(DWD_ORDER_INFO, schemas.ORDER_INFO, "order_time")
-    named = topic(DWD_ORDER_DETAIL, schemas.ORDER_DETAIL, "detail_time")
-    pairs = state.stream_order_detail_join(placed, named, tolerance=tolerance, watermark=watermark, salts=salts)
-    rows = pairs.select(*wide.wide_columns("o", "d"))
-    return wh.launch(rows, "order_wide", lambda batch, n: wide_batch(wh, batch, n))
+    return wh.launch(rows, "order_wide", handle, fold=lambda n: wide_fold(wh, n))
 
 
 def wide_rows(wh: Warehouse) -> DataFrame:
-    return storage.read_batches(wh.spark, wh.order_wide, schemas.ORDER_WIDE).drop("batch_id")
+    return storage.read_olap(wh.spark, wh.order_wide, schemas.ORDER_WIDE)

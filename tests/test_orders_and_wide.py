@@ -141,7 +141,7 @@ def test_running_totals_blocks_span_the_bigint_range(rows):
 def test_apportion_over_two_batches(rows):
     """An order whose lines come in two batches is split as if they had come together."""
     data, want = CASES["three equal lines"]
-    first = wide.pay_apportion(rows(data[:2], WIDE)).withColumn("create_time", F.lit("2021-02-13 10:00:00"))
+    first = wide.pay_apportion(rows(data[:2], WIDE)).withColumn("dt", F.lit("2021-02-13"))
     sums = wide.order_sums(first)
     second = wide.pay_apportion_on(rows(data[2:], WIDE), sums)
     got = first.select("final_detail_amount").collect() + second.select("final_detail_amount").collect()

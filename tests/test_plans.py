@@ -7,7 +7,7 @@ import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
 
-from retailflow.operators import active, orders, serving
+from retailflow.operators import active, orders, running, serving
 from retailflow.plans import row_queries, table_queries, warehouse  # noqa: F401
 from retailflow.plans.registry import QUERIES
 
@@ -55,27 +55,39 @@ def test_one_user_loads_no_single_task(tables, no_broadcast):
 
 
 def test_wide_shuffles(tables, no_broadcast):
-    """Orders: once by user, once by id. The lines of ordinary orders: once by SKU, once by order
-    id, which serves the join and the window."""
+    """Orders: once by user, once by id. The lines: once by SKU, once by order id, which serves the
+    join and the window. Nothing is enriched twice."""
     text = plan(warehouse.order_wide(tables))
-    usual = text.split("+- Union")[1].split("\n   +- ")[0]
-    lines = usual.split("\n")
+    lines = text.split("\n")
     top = next(i for i, line in enumerate(lines) if "Window" in line)
     join = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
     assert not any("Exchange" in line for line in lines[top:join])
     # The order side: everything joined by id sits on one shuffle of the orders.
     order_side = [line for line in lines if re.search(r"Exchange hashpartitioning\(id#", line)]
     assert len(order_side) == 2  # orders, first-order ids
-    by_user = [line for line in lines if re.search(r"Exchange hashpartitioning\((user_id|_dim_key|_user|_fact_key)", line)]
-    assert by_user
-
-
-def test_hot_branch_disappears_without_hot_orders(tables):
-    frame = warehouse.order_wide(tables)
-    frame.collect()
-    final = plan(frame).split("== Initial Plan ==")[0]
-    assert "isFinalPlan=true" in final
-    assert "_block" not in final
+    assert "Union" not in text
+
+
+def test_blocks_carry_no_broadcast_hint_and_are_even(spark, tables):
+    """An id far from all others does not put the others into one block."""
+    text = plan(QUERIES["w3_pay_apportion_blocks"](spark, SF_DIR))
+    assert "hint" not in text.lower()
+    rows = spark.range(999).select(F.lit(1).alias("k"), F.col("id").alias("o")).unionByName(
+        spark.createDataFrame([(1, 10**15)], "k int, o long"))
+    for limit, most in ((10, 10), (100, 220)):
+        blocks = running.with_block(rows, running.block_borders(rows, "k", "o", limit), "k", "o").groupBy("_block").count()
+        assert max(r["count"] for r in blocks.collect()) <= most
+
+
+def test_reports_scan_the_stored_wide_table(spark, tables):
+    stored = warehouse.stored_wide(tables)
+    text = plan(serving.gender_share(stored))
+    assert text.count("Scan parquet") == 1 and text.count("Exchange") <= 2
+    assert "ReadSchema: struct<user_gender:string>" in text
+    day = stored.select("dt").first().dt
+    one = serving.dashboard_filter(warehouse.stored_wide(tables, day), day)
+    assert plan(one).count("Scan parquet") == 1 and one.count() > 0
+    assert all(f"month={day[:7]}" in name for name in one.inputFiles())
 
 
 def test_day_filter_is_a_range_on_the_raw_time(tables):

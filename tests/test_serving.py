@@ -57,13 +57,16 @@ def test_shares_and_sales(rows):
 
 
 def test_facets(rows):
-    answer = serving.facet_search(wide(rows), "2019-03-04", "", 1, 1)
-    response = serving.facet_response(answer).first()
+    response = serving.facet_response(wide(rows), "2019-03-04", "", 1, 1).first()
     assert response.total == 3
-    assert [(d.name, d.value) for d in response.detail] == [("red bolt", 3)]
+    assert [(d.sku_name, d.order_detail_id, d.rank) for d in response.detail] == [("red bolt", 3, 2)]
     assert [[(g.name, g.value) for g in part.group] for part in response.stat] == [[("a", 2), ("b", 1)], [("f", 2), ("m", 1)]]
-    beyond = serving.facet_response(serving.facet_search(wide(rows), "2019-03-04", "", 50, 10)).first()
+    long = serving.facet_search(wide(rows), "2019-03-04", "", 0, 10).where("section = 'detail'").orderBy("rank").collect()
+    assert [r.value for r in long] == [d.order_detail_id for d in serving.facet_response(wide(rows), "2019-03-04", "", 0, 10).first().detail]
+    beyond = serving.facet_response(wide(rows), "2019-03-04", "", 50, 10).first()
     assert beyond.total == 3 and beyond.detail == []
+    nothing = serving.facet_response(wide(rows), "1999-01-01", "", 0, 10).first()
+    assert nothing.total == 0 and nothing.detail == []
 
 
 def test_page_beyond_the_end(rows):

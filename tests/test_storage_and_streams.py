@@ -1,4 +1,5 @@
 import json
+import time
 import uuid
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from retailflow import schemas
 from retailflow.operators import active, orders, routing, wide
 from retailflow.plans import stream_queries
-from retailflow.session import run_dir
+from retailflow.session import run_dir, shared_root
 from retailflow.sources import storage, topics
 from retailflow.streaming import jobs, state
 
@@ -43,6 +44,12 @@ def test_dim_versions_and_compaction(spark, rows):
     assert read() == {"1": "f", "2": "d", "3": "e"}
     storage.compact_dim(spark, path, schemas.SPU_INFO)
     assert read() == {"1": "f", "2": "d", "3": "e"}
+    # A backfill after the fold fills gaps and loses to what is there.
+    storage.upsert_dim(rows([("4", "g", 0), ("1", "old", 0)], schema), path, -1)
+    assert read() == {"1": "f", "2": "d", "3": "e", "4": "g"}
+    storage.upsert_dim(rows([("5", "h", 0)], schema), path, 3)
+    storage.compact_dim(spark, path, schemas.SPU_INFO)
+    assert read() == {"1": "f", "2": "d", "3": "e", "4": "g", "5": "h"}
 
 
 def test_single_document(spark, rows):
@@ -138,20 +145,87 @@ def test_first_order_over_batches_and_replay(spark, rows, wh):
     assert topics.read_topic(spark, wh.topics, jobs.DWD_ORDER_INFO).count() == 4
 
 
+def run_wide(wh):
+    # What is sent together may arrive minutes apart on a slow machine.
+    jobs.order_wide(wh, tolerance="1 hour", watermark="1 hour").awaitTermination()
+
+
 def test_wide_job_late_line_and_repeated_line(spark, rows, wh):
-    """Three lines of one order: two with the order, one of them sent twice, the third a batch and
-    four seconds later; a line eleven seconds late has no partner."""
+    """Three lines of one order: two with the order, one of them sent twice, the third in a later
+    batch and dated a day before; with it an order of last year and its line."""
     t0 = "2021-02-13 10:00:00"
-    send(rows, wh, "ODS_ORDER_INFO", [order(1, 1, t0), order(9, 1, "2021-02-13 10:00:02", 40.0, 40.0)], 0)
+    send(rows, wh, "ODS_ORDER_INFO", [order(1, 1, t0)], 0)
     send(rows, wh, "ODS_ORDER_DETAIL", [line(1, 1, t0), line(2, 1, t0), line(2, 1, t0)], 0)
-    for job in (jobs.order_info, jobs.order_detail, jobs.order_wide):
-        job(wh).awaitTermination()
-    send(rows, wh, "ODS_ORDER_DETAIL", [line(3, 1, "2021-02-13 10:00:04"), line(4, 9, "2021-02-13 10:00:13"), line(1, 1, t0)], 1)
-    for job in (jobs.order_detail, jobs.order_wide):
-        job(wh).awaitTermination()
+    for job in (jobs.order_info, jobs.order_detail, run_wide):
+        (done := job(wh)) and done.awaitTermination()
+    send(rows, wh, "ODS_ORDER_INFO", [order(9, 1, "2020-01-01 00:00:00", 40.0, 40.0)], 1)
+    send(rows, wh, "ODS_ORDER_DETAIL", [line(3, 1, "2021-02-12 10:00:04"), line(4, 9, "2020-01-01 00:00:00"), line(1, 1, t0)], 1)
+    for job in (jobs.order_info, jobs.order_detail, run_wide):
+        (done := job(wh)) and done.awaitTermination()
     got = {r.order_detail_id: round(r.final_detail_amount * 100) for r in jobs.wide_rows(wh).collect()}
-    assert got == {1: 3333, 2: 3333, 3: 3334}
-    assert jobs.wide_rows(wh).count() == 3
+    assert got == {1: 3333, 2: 3333, 3: 3334, 4: 4000}
+    assert jobs.wide_rows(wh).count() == 4
+
+
+def test_wide_job_keeps_what_it_cannot_join(spark, rows, wh):
+    """A line without an order, and messages that are no records."""
+    def put(topic, values, n):
+        data = [(topic, None, v, i) for i, v in enumerate(values)]
+        topics.write_topic(rows(data, "topic string, key string, value string, seq bigint"), wh.topics, n)
+
+    jobs.order_wide(wh, "1 second", "1 second").awaitTermination()  # before there is any message
+    put(jobs.DWD_ORDER_INFO, [json.dumps(order(1, 1, "2021-02-13 10:00:00")), "{oops"], 0)
+    put(jobs.DWD_ORDER_DETAIL, [json.dumps(line(7, 5, "2021-02-13 10:00:00"))], 0)
+    jobs.order_wide(wh, "1 second", "1 second").awaitTermination()
+    time.sleep(3)
+    for n in (1, 2):
+        put(jobs.DWD_ORDER_INFO, [json.dumps(order(10 + n, 1, "2021-02-13 10:00:00"))], n)
+        put(jobs.DWD_ORDER_DETAIL, [json.dumps(line(10 + n, 99, "2021-02-13 10:00:00"))], n)
+        jobs.order_wide(wh, "1 second", "1 second").awaitTermination()
+        time.sleep(3)
+    bad = spark.read.parquet(wh.folder("quarantine", "order_wide"))
+    assert [r._corrupt_record for r in bad.collect()] == ["{oops"]
+    alone = spark.read.parquet(wh.folder("unmatched", "order_wide"))
+    assert 7 in {json.loads(r._unmatched)["id"] for r in alone.collect()}
+    assert jobs.wide_rows(wh).count() == 0
+
+
+def test_folds_leave_readers_what_they_read(spark, rows, wh):
+    for n, (i, user) in enumerate([(1, 1), (2, 1), (3, 2), (3, 2), (4, 3)]):
+        send(rows, wh, "ODS_ORDER_INFO", [order(i, user, f"2021-02-1{n} 00:00:00")], n)
+        jobs.order_info(wh).awaitTermination()
+        want = sorted((r.id, r.if_first_order) for r in jobs.order_docs(wh).collect())
+        jobs.order_fold(wh, n)
+        assert sorted((r.id, r.if_first_order) for r in jobs.order_docs(wh).collect()) == want
+    assert {r.id: r.if_first_order for r in jobs.order_docs(wh).collect()} == {1: "1", 2: "0", 3: "1", 4: "1"}
+    state_path = wh.folder("state", "user_state")
+    assert storage.read_batches(spark, state_path, schemas.USER_STATE).count() == 3
+    # Batches that an earlier fold took in are gone, the rest is there for readers under way.
+    assert min(storage._numbered(spark, state_path, "batch_id")) == 4
+
+
+def test_jobs_fold_by_themselves(spark, rows, wh):
+    wh.fold_every = 2
+    for n in range(4):
+        send(rows, wh, routing.STARTUP_TOPIC, [startup(f"m{n}", DAY)], n)
+        jobs.dau(wh).awaitTermination()
+    assert jobs.dau_docs(wh).count() == 4
+    assert storage.exists(spark, wh.folder("docs", "dau_info") + "-folded/upto=1")
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        shared_root(Session())
 
 
 def test_wide_batch_replay(spark, rows, wh):
@@ -175,27 +249,6 @@ def parts(frame, path, n, by):
     return frame.sparkSession.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_split_state_over_micro_batches(spark, tables):
-    from retailflow.plans.table_queries import amounts_only
-
-    lines = amounts_only(tables).filter(F.col("order_id") < 60).cache()
-    stream = parts(lines, run_dir(spark, "parts"), 3, "order_detail_id")
-    split = stream_queries.finished(state.stream_pay_apportion(stream), "parts-out")
-    sums = split.groupBy("order_id").agg(
-        F.round(F.sum("final_detail_amount"), 2).alias("got"), F.max("final_total_amount").alias("want"))
-    assert sums.filter("got <> want").count() == 0
-    assert split.count() == lines.count()
-
-
-def test_first_order_state_over_micro_batches(spark, tables):
-    placed = tables.order_heads.filter(F.col("id") < 300).cache()
-    stream = parts(placed, run_dir(spark, "first"), 3, "id")
-    flagged = stream_queries.finished(state.stream_first_order(stream), "first-out")
-    per_user = flagged.groupBy("user_id").agg(F.sum(F.col("if_first_order").cast("int")).alias("n"))
-    assert {r.n for r in per_user.collect()} == {1}
-    assert flagged.count() == placed.count()
-
-
 def test_stream_dau_over_micro_batches(spark, tables):
     starts = tables.startups.withColumn("third", F.floor((F.col("ts") - F.lit(1704067200000)) / (10 * 24 * HOUR)))
     stream = parts(starts, run_dir(spark, "dau"), 3, "third").drop("third")
@@ -220,6 +273,6 @@ def test_warehouse_in_several_batches(spark, tables):
     firsts = jobs.order_docs(wh).groupBy("user_id").agg(F.sum(F.col("if_first_order").cast("int")).alias("n"))
     assert {r.n for r in firsts.collect()} == {1}
     sums = wide.order_sums(rows)
-    state_sums = storage.read_batches(spark, wh.folder("state", "order_sums"), jobs.ORDER_SUMS).groupBy("order_id", "create_time").agg(
+    state_sums = storage.read_batches(spark, wh.folder("state", "order_sums"), storage.monthly(jobs.ORDER_SUMS)).groupBy("order_id", "dt").agg(
         F.sum("gross").alias("gross"), F.sum("share").alias("share"))
     assert sums.exceptAll(state_sums).count() == 0
