@@ -242,5 +242,11 @@ def test_linked_sets_share_a_key(size, differ, seed):
     y = np.concatenate([both, random.integers(0, 1 << 63, differ - differ // 2).astype(np.uint64)])
     if 100 * size < 80 * (len(x) + len(y) - size) or not differ:
         return
-    key, row = ngram_join.keys(ngram_join.Sets(np.r_[x, y], np.array([0, len(x), len(x) + len(y)])), join)
-    assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
+    found = ngram_join.keys(ngram_join.Sets(np.r_[x, y], np.array([0, len(x), len(x) + len(y)])), join)
+    shared = set(found.key[found.row == 0].tolist()) & set(found.key[found.row == 1].tolist())
+    assert shared
+    # And as many as each is said to need in one of its bands.
+    for row in (0, 1):
+        need = found.need[found.need_row == row]
+        assert any(sum(k in shared for k in found.key[(found.row == row) & (found.lower == lower)].tolist()) >= n
+                   for n, lower in zip(need.tolist(), found.need_lower[found.need_row == row].tolist(), strict=True))
