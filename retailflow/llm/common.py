@@ -13,7 +13,7 @@ from retailflow.session import run_dir
 #: The white space of all word rules: space and the control characters 09 to 0D.
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of one Arrow batch on its way to a Python task; what a task holds is a small multiple of it.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -159,13 +159,13 @@ def fit(docs: DataFrame) -> Model:
             order = np.argsort(shard, kind="stable")
             for at in range(0, len(order), 200_000):
                 some = order[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[some]), _signed(u[some]), _signed(v[some]), pa.array(c[some])], ["shard", "u", "v", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[some]), _signed(u[some]), _signed(v[some]), pa.array(c[some].astype(np.int64))], ["shard", "u", "v", "c"])
 
-        held = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        held = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
         for batch in batches:
             u, v, _ = sequences(scan(batch.column(0)))
             u, v = np.r_[held[0], u], np.r_[held[1], v]
-            c = np.r_[held[2], np.ones(len(u) - len(held[2]), np.int64)]
+            c = np.r_[held[2], np.ones(len(u) - len(held[2]), np.int32)]
             _, at, c = summed(pair(u, v), c)
             held = u[at], v[at], c
             if len(c) > HELD:
@@ -187,10 +187,10 @@ def fit(docs: DataFrame) -> Model:
         for kind, array in (("keys", key), ("counts", np.minimum(c, _LARGE).astype(np.uint8)), ("large_keys", key[large]), ("large_counts", c[large])):
             _stored(f"{name}-{kind}.npy", array)
         w, _, n, kinds, n1, n2, n3 = summed(
-            np.r_[v, u], np.r_[c, np.where(u == BEGIN, c, 0)], np.r_[np.ones(len(v), np.int64), np.zeros(len(u), np.int64)],
-            *(np.r_[np.zeros(len(v), np.int64), x.astype(np.int64)] for x in (c == 1, c == 2, c >= 3)))
+            np.r_[v, u], np.r_[c, np.where(u == BEGIN, c, 0)], np.r_[np.ones(len(v), np.int32), np.zeros(len(u), np.int32)],
+            *(np.r_[np.zeros(len(v), np.int32), x.astype(np.int32)] for x in (c == 1, c == 2, c >= 3)))
         counts = [int((c == i).sum()) for i in (1, 2, 3, 4)]
-        w, columns = np.r_[w, _COUNTS], [np.r_[x, y] for x, y in zip((n, kinds, n1, n2, n3), (*counts, 0), strict=True)]
+        w, columns = np.r_[w, _COUNTS], [np.r_[x, y].astype(np.int64) for x, y in zip((n, kinds, n1, n2, n3), (*counts, 0), strict=True)]
         for at in range(0, len(w), 200_000):
             some = slice(at, at + 200_000)
             yield pa.RecordBatch.from_arrays([pa.array(_token_shard(w[some], shards)), _signed(w[some]), *(pa.array(x[some]) for x in columns)],
