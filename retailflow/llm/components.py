@@ -1,7 +1,11 @@
-"""Connected components of links, by alternating star steps. Every round is written to the shared folder."""
+"""Connected components of links: every partition passes on a spanning forest of its links, then star
+steps alternate over all of them. Every round is written to the shared folder."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +33,30 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    rows = [(x, root(x)) for x in list(parent)]
+    for at in range(0, len(rows), 100_000):
+        some = rows[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) of all nodes that the links (a, b: long) name."""
-    edges = written(links.where("a != b").distinct(), "components")
+    edges = written(links.select("a", "b").where("a != b").mapInArrow(_forest, "a long, b long").where("a != b").distinct(), "components")
     before = None
     while before != (before := _state(edges)):
         edges = written(_small_star(_large_star(edges)).where("a != b").distinct(), "components")
