@@ -232,6 +232,16 @@ def test_clusters_of_repeated_rows_null_ids_and_no_rows(rows):
     assert kept.columns == docs.columns
 
 
+def test_survivors_of_components_with_repeated_and_null_ids(rows):
+    a, b, c = "a b c d e f", "p q r s t u", "k l m n o"
+    docs = table(rows, [(5, a), (5, a), (None, a), (None, "z"), (None, ""), (None, ""), (None, None), (7, b), (7, c), (9, c), (8, " "), (6, ""), (3, "Z"), (None, "only null"), (None, "only  null")])
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.deduplicated(docs).collect()), key=repr)
+    nulls = [x for x in got if x[1] in ("only null", "only  null")]
+    assert len(nulls) == 1  # one set, no id to choose by
+    assert [x for x in got if x not in nulls] == sorted([(5, a), (None, ""), (None, None), (7, b), (7, c), (8, " "), (6, ""), (3, "Z")], key=repr)
+    assert sorted(((r.doc_id, r.text) for r in ngram_join.deduplicated(docs.repartition(3)).collect()), key=repr) == got
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 400), st.integers(0, 10**6))
 def test_linked_sets_share_a_key(size, differ, seed):
