@@ -1,19 +1,18 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays in the
-shared folder, and memory-mapped by the workers that score texts.
+"""Interpolated modified Kneser-Ney model of any order from two: counted in Spark, stored as sorted hash arrays
+in the shared folder, and memory-mapped by the workers that score texts.
 
-A text is its words, A-Z lower-cased, and an end; the first token follows a begin. With c(uv) the count
-of a bigram, k(v) the number of different tokens before v, and discounts D from counts of counts,
-    p(v|u) = (c(uv) - D(c(uv))) / c(u) + g(u) q(v),     g(u): the mass that the discounts free
+A text is its words, A-Z lower-cased, and an end; as many begins as the order less one stand before the first.
+At the highest level c(hv) is the count of an n-gram, below it the number of different tokens before hv.
+With the discounts D of each level from its counts of counts, and h' being h without its first token,
+    p(v|h) = (c(hv) - D(c(hv))) / c(h) + g(h) p(v|h'),     g(h): the mass that the discounts free
     q(v)   = (k(v) - D'(k(v))) / sum k + g' / (V + 1)
-where q's last term is shared by the V training tokens and one class of unknown tokens. After a u that
-training has not met, p(v|u) = q(v).
+where q, without any h, counts the different tokens before v (k), and its last term is shared by the V training
+tokens and one class of unknown tokens. After an h that training has not met, p(v|h) = p(v|h').
 
-Bigrams are dealt to shards by their first token; those of frequent first tokens by both tokens, so that no
+N-grams are dealt to shards by their first token; those of frequent first tokens by all tokens, so that no
 shard grows with one word. A bounded sample finds frequent tokens; it decides about placement only.
 All counts cover all training texts, and nothing is pruned.
 
-Order two, as the types of higher orders outgrow the disk that the model is given (README).
-
 Defined cases: null and empty texts are one token, the end. A null id counts as the empty text in the
 choice of held-out documents. Repeated rows are counted and scored each. Without training
 texts q is 1 for the one unknown class. Empty tables give no rows. Other columns are not read.
@@ -37,12 +36,12 @@ from retailflow.session import run_dir
 
 #: Share of training texts that frequent tokens are taken from.
 SAMPLE = 0.01
-#: Bigrams that a counting task holds before it passes them on.
-HELD = 4_000_000
-#: Stands for the counts of counts in rows about tokens.
-_COUNTS = mix(np.array([3], np.uint64) << np.uint64(62))[0]
-_PLACE, _TOKEN_PLACE = np.uint64(0x51ED270B9F86A3C5), np.uint64(0x2545F4914F6CDD1D)
-#: A bigram's count is one byte; this one stands for a count kept apart.
+#: Tokens of the n-grams that a counting task holds before it passes them on.
+HELD = 8_000_000
+#: By level: stands for its counts of counts in rows about shorter n-grams.
+_COUNTS = mix((np.uint64(3) << np.uint64(62)) + np.arange(64, dtype=np.uint64))
+_SHARD_SALT, _TOKEN_SALT = np.uint64(0x51ED270B9F86A3C5), np.uint64(0x2545F4914F6CDD1D)
+#: A count is one byte; this one stands for a count kept apart.
 _LARGE = 255
 
 
@@ -54,10 +53,14 @@ class Model:
     tokens: int  # of training
     distinct: int
     types: int  # different bigrams
-    bigram: tuple[float, float, float]  # discounts of counts 1, 2, 3 and more
+    rates: tuple[tuple[float, float, float], ...]  # from level two: discounts of counts 1, 2, 3 and more
     unigram: tuple[float, float, float]
     freed: float  # g'
 
+    @property
+    def order(self) -> int:
+        return len(self.rates) + 1
+
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """From the numbers of counts 1 to 4; where one of them is zero, the usual 0.5, 1, 1.5."""
@@ -72,17 +75,28 @@ def discounted(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(count - np.array([0, *d])[np.minimum(count, 3).astype(int)], 0)
 
 
-def sequences(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The tokens of all texts with their ends, the token before each, and where each text begins."""
+def sequences(words: Words, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The tokens of all texts with their ends, after columns of the tokens before each; and where each text begins."""
     first = words.first - words.first[0] + np.arange(words.rows + 1)
     after = np.empty(len(words.hash) + words.rows, np.uint64)
     own = np.ones(len(after), bool)
     own[first[1:] - 1] = False
     after[own], after[~own] = words.hash, END
-    before = np.empty_like(after)
-    before[1:] = after[:-1]
-    before[first[:-1]] = BEGIN
-    return before, after, first
+    columns = [after]
+    while len(columns) < order:
+        before = np.empty_like(after)
+        before[1:] = columns[0][:-1]
+        before[first[:-1]] = BEGIN
+        columns.insert(0, before)
+    return columns, first
+
+
+def hashed(columns: list[np.ndarray]) -> np.ndarray:
+    """Hash of each n-gram; that of one token is its own."""
+    out = columns[-1]
+    for x in columns[-2::-1]:
+        out = pair(x, out)
+    return out
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -99,11 +113,17 @@ def _shard(u: np.ndarray, v: np.ndarray, frequent: np.ndarray, shards: int) -> n
     at[at == len(frequent)] = 0
     both = frequent[at] == u
     spread = np.where(both, pair(u, v), u)
-    return (mix(spread ^ _PLACE) % np.uint64(shards)).astype(np.int32)
+    return (mix(spread ^ _SHARD_SALT) % np.uint64(shards)).astype(np.int32)
+
+
+def _place(columns: list[np.ndarray], frequent: np.ndarray, shards: int) -> np.ndarray:
+    if len(columns) == 1:
+        return _token_shard(columns[0], shards)
+    return _shard(columns[0], hashed(columns[1:]), frequent, shards)
 
 
 def _token_shard(w: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(w ^ _TOKEN_PLACE) % np.uint64(shards)).astype(np.int32)
+    return (mix(w ^ _TOKEN_SALT) % np.uint64(shards)).astype(np.int32)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -127,6 +147,14 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
+def _pack(path: str, kind: str, key: np.ndarray, x: np.ndarray) -> None:
+    """A byte for each key, and apart the few that need more."""
+    large = x >= _LARGE
+    _stored(f"{path}-{kind}.npy", np.minimum(x, _LARGE).astype(np.uint8))
+    _stored(f"{path}-large_{kind}_keys.npy", key[large])
+    _stored(f"{path}-large_{kind}.npy", x[large])
+
+
 def _frequent(train: DataFrame, shards: int) -> np.ndarray:
     """Tokens that a sample gives a share of at least 1 / (4 shards): at most 4 shards of them."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,84 +171,102 @@ def _frequent(train: DataFrame, shards: int) -> np.ndarray:
     return np.sort(np.array([r["w"] for r in found] + [int(BEGIN.view(np.int64))], np.int64).view(np.uint64))
 
 
-def fit(docs: DataFrame) -> Model:
+def fit(docs: DataFrame, order: int = 2) -> Model:
     """Counts the column `text` of all rows."""
+    if not 2 <= order < len(_COUNTS):
+        raise ValueError(f"order {order}: 2 to {len(_COUNTS) - 1}")
     spark = docs.sparkSession
     bounded_batches(spark)
     train = docs.select("text")
-    shards = max(8, train.rdd.getNumPartitions())
+    shards = max(8, train.rdd.getNumPartitions() * (2 * order - 3))
     frequent = _frequent(train, shards)
     folder = run_dir(spark, "language-model")
     place = mounted(folder)
-
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(u: np.ndarray, v: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-            shard = _shard(u, v, frequent, shards)
-            order = np.argsort(shard, kind="stable")
-            for at in range(0, len(order), 200_000):
-                some = order[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[some]), _signed(u[some]), _signed(v[some]), pa.array(c[some].astype(np.int64))], ["shard", "u", "v", "c"])
-
-        held = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    # c: occurrences. k: different tokens before. s: total of the counts after, which c has in order two. n1 to n3: kinds after.
+    kinds = ["c", "k", *(["s"] if order > 2 else []), "n1", "n2", "n3"]
+
+    def rows(columns: list[np.ndarray], values: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+        shard = _place(columns, frequent, shards)
+        by = np.argsort(shard, kind="stable")
+        for at in range(0, len(by), 200_000):
+            some = by[at : at + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[some]), *(_signed(x[some]) for x in columns), *(pa.array(x[some].astype(np.int64)) for x in values)],
+                                             ["shard", *(f"t{i}" for i in range(len(columns))), *names])
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [np.zeros(0, np.uint64)] * order, np.zeros(0, np.int32)
         for batch in batches:
-            u, v, _ = sequences(scan(batch.column(0)))
-            u, v = np.r_[held[0], u], np.r_[held[1], v]
-            c = np.r_[held[2], np.ones(len(u) - len(held[2]), np.int32)]
-            _, at, c = summed(pair(u, v), c)
-            held = u[at], v[at], c
-            if len(c) > HELD:
-                yield from out(*held)
-                held = tuple(x[:0] for x in held)
-        order = np.argsort(held[0])  # bigrams of one first token together: smaller shuffle files
-        yield from out(*(x[order] for x in held))
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(_column(b, "u").view(np.uint64), _column(b, "v").view(np.uint64), _column(b, "c")) for b in batches]
-        if not parts:
-            return
-        u, v, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        key, at, c = summed(pair(u, v), c)
-        u, v = u[at], v[at]
-        large = c >= _LARGE
-        name = f"{place}/bigrams-{TaskContext.get().partitionId():06d}"
-        for kind, array in (("keys", key), ("counts", np.minimum(c, _LARGE).astype(np.uint8)), ("large_keys", key[large]), ("large_counts", c[large])):
-            _stored(f"{name}-{kind}.npy", array)
-        w, _, n, kinds, n1, n2, n3 = summed(
-            np.r_[v, u], np.r_[c, np.where(u == BEGIN, c, 0)], np.r_[np.ones(len(v), np.int32), np.zeros(len(u), np.int32)],
-            *(np.r_[np.zeros(len(v), np.int32), x.astype(np.int32)] for x in (c == 1, c == 2, c >= 3)))
-        counts = [int((c == i).sum()) for i in (1, 2, 3, 4)]
-        w, columns = np.r_[w, _COUNTS], [np.r_[x, y].astype(np.int64) for x, y in zip((n, kinds, n1, n2, n3), (*counts, 0), strict=True)]
-        for at in range(0, len(w), 200_000):
-            some = slice(at, at + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(_token_shard(w[some], shards)), _signed(w[some]), *(pa.array(x[some]) for x in columns)],
-                                             ["shard", "w", "c", "k", "n1", "n2", "n3"])
+            held = [np.r_[x, y] for x, y in zip(held, sequences(scan(batch.column(0)), order)[0], strict=True)]
+            _, at, count = summed(hashed(held), np.r_[count, np.ones(len(held[0]) - len(count), np.int32)])
+            held = [x[at] for x in held]
+            if len(count) * order > HELD:
+                yield from rows(held, [count], ["c"])
+                held, count = [x[:0] for x in held], count[:0]
+        by = np.lexsort(held[-2::-1])  # n-grams of one context together: smaller shuffle files
+        yield from rows([x[by] for x in held], [count[by]], ["c"])
+
+    def level(n: int):
+        """Sums n-grams, stores them, and passes on what they say about shorter ones."""
+        names = ["c"] if n == order else kinds
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [(*(_column(b, f"t{i}").view(np.uint64) for i in range(n)), *(_column(b, x) for x in names)) for b in batches]
+            if not parts:
+                return
+            found = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            del parts
+            key, at, *sums = summed(hashed(found[:n]), *found[n:])
+            tokens, values = [x[at] for x in found[:n]], dict(zip(names, sums, strict=True))
+            del found, sums
+            told = np.isin(tokens[0], _COUNTS)  # counts of counts of longer ones
+            passed = [x[told] for x in tokens[1:]], [values[x][told] if x in values else np.zeros(told.sum(), np.int64) for x in kinds]
+            key, tokens, values = key[~told], [x[~told] for x in tokens], {x: v[~told] for x, v in values.items()}
+            path = f"{place}/grams{n}-{TaskContext.get().partitionId():06d}"
+            _stored(f"{path}-keys.npy", key)
+            for kind in ["c"] if n == order else kinds[1:]:
+                _pack(path, kind, key, values[kind])
+            count = values["c" if n == order else "k"]
+            met = count > 0  # the rest are contexts only
+            tokens, raw, count = [x[met] for x in tokens], values["c"][met], count[met]
+            del key, values
+            none, ones = np.zeros(len(count), np.int32), np.ones(len(count), np.int32)
+            last = {"c": raw, "k": ones}
+            before = {"c": np.where(tokens[0] == BEGIN, count, 0) if order == 2 else none, "s": count, "n1": count == 1, "n2": count == 2, "n3": count >= 3}
+            both = [np.r_[x, y] for x, y in zip(tokens[1:], tokens[:-1], strict=True)]
+            _, at, *sums = summed(hashed(both), *(np.r_[last.get(x, none), before.get(x, none).astype(np.int64 if x in "cs" else np.int32)] for x in kinds))
+            own = dict(zip(("c", "k", "n1", "n2"), ((count == i).sum() for i in (1, 2, 3, 4)), strict=True))
+            yield from rows([np.r_[x[at], y, _COUNTS[n]] for x, y in zip(both, passed[0], strict=True)],
+                            [np.r_[x, y, own.get(kind, 0)] for x, y, kind in zip(sums, passed[1], kinds, strict=True)], kinds)
+
+        return run
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(_column(b, "w").view(np.uint64), *(_column(b, x) for x in ("c", "k", "n1", "n2", "n3"))) for b in batches]
+        parts = [(_column(b, "t0").view(np.uint64), *(_column(b, x) for x in kinds)) for b in batches]
         if not parts:
             return
-        w, _, c, k, n1, n2, n3 = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        counts = w == _COUNTS
-        of_counts = [int(x[counts].sum()) for x in (c, k, n1, n2)]
-        w, c, k, n1, n2, n3 = (x[~counts] for x in (w, c, k, n1, n2, n3))
+        w, _, *sums = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        values = dict(zip(kinds, sums, strict=True))
+        of_counts = [values[x][w == _COUNTS[n]].sum() for n in range(2, order + 1) for x in ("c", "k", "n1", "n2")]
+        tokens = ~np.isin(w, _COUNTS)
+        w, values = w[tokens], {x: v[tokens] for x, v in values.items()}
         name = f"{place}/tokens-{TaskContext.get().partitionId():06d}"
         _stored(f"{name}-keys.npy", w)
-        for kind, array in (("c", c), ("k", k), ("n1", n1), ("n2", n2), ("n3", n3)):
+        for kind, array in values.items():
             _stored(f"{name}-{kind}.npy", _narrow(array))
-        own = w != BEGIN
-        found = [int(c[own].sum()), int(own.sum()), int(k.sum()), *((k == i).sum() for i in (1, 2, 3, 4)), *of_counts]
+        own, k = w != BEGIN, values["k"]
+        found = [values["c"][own].sum(), own.sum(), k.sum(), *((k == i).sum() for i in (1, 2, 3, 4)), *of_counts]
         yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in found], names)
 
-    names = ["tokens", "distinct", "types", "u1", "u2", "u3", "u4", "b1", "b2", "b3", "b4"]
-    pairs = train.mapInArrow(bigrams, "shard int, u long, v long, c long").repartitionById(shards, F.col("shard"))
-    rows = pairs.mapInArrow(tokens, "shard int, w long, c long, k long, n1 long, n2 long, n3 long").repartitionById(shards, F.col("shard"))
-    found = rows.mapInArrow(table, ", ".join(f"{n} long" for n in names)).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
-    unigram = discounts([found[f"u{i}"] for i in (1, 2, 3, 4)])
-    once, twice = found["u1"], found["u2"]
+    names = ["tokens", "distinct", "types", *(f"l{n}_{i}" for n in range(1, order + 1) for i in (1, 2, 3, 4))]
+    schema = lambda n, values: ", ".join(["shard int", *(f"t{i} long" for i in range(n)), *(f"{x} long" for x in values)])
+    counted = train.mapInArrow(grams, schema(order, ["c"])).repartitionById(shards, F.col("shard"))
+    for n in range(order, 1, -1):
+        counted = counted.mapInArrow(level(n), schema(n - 1, kinds)).repartitionById(shards, F.col("shard"))
+    found = counted.mapInArrow(table, ", ".join(f"{n} long" for n in names)).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
+    unigram, *rates = (discounts([found[f"l{n}_{i}"] for i in (1, 2, 3, 4)]) for n in range(1, order + 1))
+    once, twice = found["l1_1"], found["l1_2"]
     freed = float(np.dot(unigram, (once, twice, found["distinct"] - once - twice)) / found["types"]) if found["types"] else 1.0
-    return Model(place, shards, frequent, found["tokens"], found["distinct"], found["types"],
-                 discounts([found[f"b{i}"] for i in (1, 2, 3, 4)]), unigram, freed)
+    return Model(place, shards, frequent, found["tokens"], found["distinct"], found["types"], tuple(rates), unigram, freed)
 
 
 class Lookup:
@@ -245,47 +291,66 @@ class Lookup:
         return at[there], there
 
     def tokens(self, w: np.ndarray) -> dict[str, np.ndarray]:
-        """c, k, n1, n2, n3 of sorted tokens."""
-        out = {x: np.zeros(len(w), np.int64) for x in ("c", "k", "n1", "n2", "n3")}
+        """c, k, s, n1, n2, n3 of sorted tokens."""
+        out = {x: np.zeros(len(w), np.int64) for x in ("c", "k", *(["s"] if self.model.order > 2 else []), "n1", "n2", "n3")}
         shard = _token_shard(w, self.model.shards)
         for s in np.unique(shard):
             own = np.flatnonzero(shard == s)
             at, there = self._found(self.array(s, "tokens-keys"), w[own])
             for x, values in out.items():
                 values[own[there]] = self.array(s, f"tokens-{x}")[at]
-        return out
+        return out if "s" in out else out | {"s": out["c"]}
 
-    def bigrams(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        key, shard = pair(u, v), _shard(u, v, self.model.frequent, self.model.shards)
+    def grams(self, columns: list[np.ndarray], kinds: list[str]) -> list[np.ndarray]:
+        """The named values of n-grams; 0 of those that are not there."""
+        n, key, shard = len(columns), hashed(columns), _place(columns, self.model.frequent, self.model.shards)
         order = np.lexsort((key, shard))
         edges = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
-        out = np.zeros(len(u), np.int64)
+        out = [np.zeros(len(key), np.int64) for _ in kinds]
         for s in np.flatnonzero(np.diff(edges)):
             own = order[edges[s] : edges[s + 1]]
-            at, there = self._found(self.array(s, "bigrams-keys"), key[own])
-            count = self.array(s, "bigrams-counts")[at].astype(np.int64)
-            large = np.flatnonzero(count == _LARGE)
-            if len(large):
-                place = np.searchsorted(self.array(s, "bigrams-large_keys"), key[own[there[large]]])
-                count[large] = self.array(s, "bigrams-large_counts")[place]
-            out[own[there]] = count
+            at, there = self._found(self.array(s, f"grams{n}-keys"), key[own])
+            for kind, values in zip(kinds, out, strict=True):
+                count = self.array(s, f"grams{n}-{kind}")[at].astype(np.int64)
+                large = np.flatnonzero(count == _LARGE)
+                if len(large):
+                    place = np.searchsorted(self.array(s, f"grams{n}-large_{kind}_keys"), key[own[there[large]]])
+                    count[large] = self.array(s, f"grams{n}-large_{kind}")[place]
+                values[own[there]] = count
         return out
 
+    def counts(self, columns: list[np.ndarray]) -> np.ndarray:
+        return self.grams(columns, ["c" if len(columns) == self.model.order else "k"])[0]
+
+
+def _longer(lookup: Lookup, columns: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+    """The rates of last tokens after all before them, from those after one token less."""
+    d = np.array(lookup.model.rates[len(columns) - 2])
+    _, first, place = np.unique(hashed(columns[:-1]), return_index=True, return_inverse=True)
+    total, *kinds = lookup.grams([x[first] for x in columns[:-1]], ["s", "n1", "n2", "n3"])
+    back = (d @ np.array(kinds)) / np.maximum(total, 1)
+    _, first, at = np.unique(hashed(columns), return_index=True, return_inverse=True)
+    count = np.zeros(len(first), np.int64)
+    ask = np.flatnonzero(total[place[first]] > 0)
+    count[ask] = lookup.counts([x[first[ask]] for x in columns])
+    total = total[place]
+    return np.where(total > 0, discounted(count, tuple(d))[at] / np.maximum(total, 1) + back[place] * p, p)
+
 
 def scores(lookup: Lookup, texts: pa.Array) -> dict[str, np.ndarray]:
     """n_tokens, n_known, base_score, score of each text."""
     m = lookup.model
     words = scan(texts)
-    before, after, first = sequences(words)
+    columns, first = sequences(words, m.order)
     del words
-    w, place = np.unique(np.r_[after, BEGIN], return_inverse=True)
+    w, place = np.unique(np.r_[columns[-1], BEGIN], return_inverse=True)
     known = lookup.tokens(w)
-    c, k = known["c"], known["k"]
+    c, k, total = known["c"], known["k"], known["s"]
     begin = int(np.searchsorted(w, BEGIN))
     own = place[:-1].astype(np.int32)
     base = np.log10((np.where(w == BEGIN, 0, c) + 0.1) / (m.tokens + 0.1 * (m.distinct + 1)))
     lower = discounted(k, m.unigram) / max(m.types, 1) + m.freed / (m.distinct + 1)
-    back = (np.array(m.bigram) @ np.array([known["n1"], known["n2"], known["n3"]])) / np.maximum(c, 1)
+    back = (np.array(m.rates[0]) @ np.array([known["n1"], known["n2"], known["n3"]])) / np.maximum(total, 1)
     previous = np.empty_like(own)
     previous[1:] = own[:-1]
     previous[first[:-1]] = begin
@@ -294,10 +359,12 @@ def scores(lookup: Lookup, texts: pa.Array) -> dict[str, np.ndarray]:
     met = (known["n1"][u] + known["n2"][u] + known["n3"][u]) > 0
     count = np.zeros(len(both), np.int64)
     ask = np.flatnonzero(met & (c[v] > 0))
-    count[ask] = lookup.bigrams(w[u[ask]], w[v[ask]])
-    p = np.where(met, discounted(count, m.bigram) / np.maximum(c[u], 1) + back[u] * lower[v], lower[v])
+    count[ask] = lookup.counts([w[u[ask]], w[v[ask]]])
+    p = np.where(met, discounted(count, m.rates[0]) / np.maximum(total[u], 1) + back[u] * lower[v], lower[v])[at]
+    for n in range(3, m.order + 1):
+        p = _longer(lookup, columns[-n:], p)
     by_text = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x[:0]
-    return {"n_tokens": np.diff(first), "n_known": by_text((c[own] > 0).astype(np.int64)), "base_score": by_text(base[own]), "score": by_text(np.log10(p)[at])}
+    return {"n_tokens": np.diff(first), "n_known": by_text((c[own] > 0).astype(np.int64)), "base_score": by_text(base[own]), "score": by_text(np.log10(p))}
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

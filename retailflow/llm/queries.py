@@ -25,12 +25,16 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+#: Tokens of the longest n-grams that are counted.
+ORDER = 3
+
+
 @query("op1_language_model")
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from nine tenths of the documents and scores all."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(fold("doc_id"), F.lit(10)) == 0
-    model = language_model.fit(docs.where(~held_out))
+    model = language_model.fit(docs.where(~held_out), ORDER)
     return language_model.scored(docs, model).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -163,6 +163,45 @@ def test_model_equals_a_plain_one_and_adds_up_to_one(rows):
         assert sum(p(v, u) for v in [*uni, "unknown"]) == pytest.approx(1)
 
 
+def brute_order(texts, order):
+    """p(v, h) by the recursion itself, over tuples."""
+    grams, raw = Counter(), Counter()
+    for t in texts:
+        run = [None] * (order - 1) + [*WORD.findall((t or "").translate(LOWER)), 0]
+        grams.update(tuple(run[i - order + 1 : i + 1]) for i in range(order - 1, len(run)))
+        raw.update(run[order - 1 :])
+    levels = {order: grams}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    rates = {n: language_model.discounts([list(c.values()).count(i) for i in (1, 2, 3, 4)]) for n, c in levels.items()}
+
+    def p(v, h):
+        c, d = levels[len(h) + 1], rates[len(h) + 1]
+        after = {g[-1]: n for g, n in c.items() if g[:-1] == h}
+        low = 1 / (len(raw) + 1) if not h else p(v, h[1:])
+        if not after:
+            return low
+        cut = {w: min(n, d[min(n, 3) - 1]) for w, n in after.items()}
+        return (after.get(v, 0) - cut.get(v, 0) + sum(cut.values()) * low) / sum(after.values())
+
+    return p, raw
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_model_of_each_order_equals_the_recursion(rows, order):
+    train = ["a b a b c", "a b d", "b b B c a", None, "", "e f", "the cat the dog the cow", "a b a b d"] * 2 + ["g h i", "h i j"] + ["a a a"] * 300
+    ask = ["a b a b c", "a b zz c", "zz zz", "", None, "the cat the", "a a a a", "g h j"]
+    model = language_model.fit(table(rows, list(enumerate(train))), order)
+    got = as_dict(language_model.scored(table(rows, list(enumerate(ask))), model), "score")
+    p, raw = brute_order(train, order)
+    for i, t in enumerate(ask):
+        run = [None] * (order - 1) + [*WORD.findall(t or ""), 0]
+        want = sum(math.log10(p(run[j], tuple(run[j - order + 1 : j]))) for j in range(order - 1, len(run)))
+        assert got[i] == pytest.approx((want,))
+    for h in (("a", "b", "a"), ("zz", "a", "b"), (None, None, None)):
+        assert sum(p(v, h[3 - order + 1 :]) for v in [*raw, "unknown"]) == pytest.approx(1)
+
+
 def test_model_of_no_rows_and_counts_above_a_byte(rows):
     empty = language_model.fit(table(rows, []))
     assert as_dict(language_model.scored(table(rows, [(1, "a")]), empty), "n_known", "score") == {1: (0, 0.0)}
