@@ -67,8 +67,10 @@ def _result(rows: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns: one row for each group."""
+    """The documents that stay, with all their columns: one row for each group, of the most code points."""
     keep = groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), digest(normal(F.col("text"))).alias("sha256"))
     same = rows["id"].eqNullSafe(keep["kept_id"]) & (rows["sha256"] == keep["kept_sha256"])
-    return rows.join(keep, same, "left_semi").dropDuplicates(["id", "sha256"]).select("row.*")
+    # Rows of one id whose texts differ in white space: the longest, then one that is the same in every run.
+    best = F.struct(F.length(F.coalesce("row.text", F.lit(""))), F.col("row.text").isNotNull(), F.xxhash64("row.text"))
+    return rows.join(keep, same, "left_semi").groupBy("id", "sha256").agg(F.max_by("row", best).alias("row")).select("row.*")

@@ -75,6 +75,18 @@ def test_exact_dedup_of_repeated_rows_null_ids_and_no_rows(rows):
     assert exact_dedup.groups(table(rows, [])).count() == 0
 
 
+def test_the_longest_of_repeated_ids_stays(rows):
+    texts = ["a b", "ab", " a  b ", "a \tb", "a\nb", "ab    "]
+    for order in (texts, texts[::-1], texts[3:] + texts[:3]):
+        docs = table(rows, [(i, t) for t in order for i in (4, 9)] + [(2, None), (2, ""), (None, "x"), (None, "x ")])
+        got = sorted(((r.doc_id, r.text) for r in exact_dedup.deduplicated(docs).collect()), key=repr)
+        longest = [t for t in texts if len(t) == 6]
+        assert len(got) == 3 and got[1] == (4, got[1][1]) and got[1][1] in longest
+        assert got[0] == (2, "") and got[2] == (None, "x ")
+        assert order == texts or got == before
+        before = got
+
+
 # token counts
 
 
