@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailflow.llm import embedding_forest, exact_dedup, language_model, line_dedup, mixing, ngram_join, packing, quality, tokens, url_filter, warc
+from retailflow.llm import alignment, embedding_forest, exact_dedup, language_model, line_dedup, mixing, ngram_join, packing, quality, tokens, url_filter, warc
 from retailflow.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,4 +137,12 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
