@@ -22,7 +22,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_a_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES if n != "pipeline") == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
