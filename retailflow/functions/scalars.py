@@ -94,6 +94,11 @@ def number_id(columns: list[Column]) -> Column:
     return halves[0] * 1073741824 + halves[1]
 
 
+#: A word: a letter of a script written without spaces, or a run of letters, marks and digits of others.
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+_WORD = rf"[{_ALONE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_ALONE}]]+"
+
+
 def words(text: Column | str) -> Column:
-    """Lower-case word list of a text, as a standard text analyser gives it."""
-    return F.split(F.lower(_col(text)), r"\W+")
+    """Lower-case word list of a text, in any script, as a standard text analyser gives it; null for a null."""
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(_WORD), F.lit(0))

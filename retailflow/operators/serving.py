@@ -244,8 +244,7 @@ def doc_search(
 ) -> DataFrame:
     """Documents whose analysed text contains any word of `match` and whose nested list has an
     entry of exactly this name; optionally a number must match as well."""
-    wanted = [w for w in match.lower().split() if w]
-    found = docs.filter(F.arrays_overlap(words(text), F.array(*[F.lit(w) for w in wanted])))
+    found = docs.filter(F.arrays_overlap(words(text), words(F.lit(match))))
     found = found.filter(F.exists(nested, lambda entry: entry["name"] == term))
     return found if number is None else found.filter(F.col(number_column) == number)
 
