@@ -21,16 +21,17 @@ def cube(finest_level: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, meas
     """All levels from the finest, with `level`: a bit for each dimension that is summed over, the first one the highest. A NULL
     of a dimension that is not is a value of its own.
 
-    Levels derive from finer ones, dimension by dimension: each step halves what is left to sum up, so the finest rows are
-    expanded by one more row for each step and not by one for each of the 2^n levels."""
+    Levels derive from finer ones, dimension by dimension: a step gives each row once as it is and once with one dimension
+    summed over, and combines these before its shuffle. So the wide table is scanned once, and no row is expanded by
+    the 2^n levels there are."""
     rows = finest_level.withColumn("level", F.lit(0))
     for place, name in enumerate(dimensions):
         bit = 1 << (len(dimensions) - 1 - place)
-        others = [d for d in dimensions if d != name]
-        summed = rows.groupBy(*others, "level").agg(*[F.sum(m).alias(m) for m in measures])
         kind = finest_level.schema[name].dataType
-        summed = summed.withColumn(name, F.lit(None).cast(kind)).withColumn("level", F.col("level") + bit)
-        rows = rows.unionByName(summed)
+        both = F.array(F.struct(F.col(name).alias("value"), F.col("level")), F.struct(F.lit(None).cast(kind).alias("value"), (F.col("level") + bit).alias("level")))
+        others = [d for d in dimensions if d != name]
+        rows = rows.select(*others, *measures, F.inline(both)).withColumnRenamed("value", name)
+        rows = rows.groupBy(*dimensions, "level").agg(*[F.sum(m).alias(m) for m in measures])
     return rows.select(*dimensions, "level", *measures)
 
 

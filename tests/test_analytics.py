@@ -141,6 +141,13 @@ def test_cube_has_every_level_and_tells_missing_values_from_totals(rows):
     assert sorted(map(tuple, some.collect()), key=repr) == sorted((r for r in got if r[2] in (1, 3)), key=repr)
 
 
+def test_cube_scans_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).select(*[F.col("id").alias(d) for d in cube.DIMENSIONS], F.col("id").alias("sku_num"), F.lit(1.0).alias("final_detail_amount")).write.parquet(path)
+    plan = cube.cube(cube.finest(spark.read.parquet(path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
+
+
 # -- versions -----------------------------------------------------------------------------------
 
 
