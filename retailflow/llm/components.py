@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from retailflow.llm.common import written
 
 
+#: Nodes of one task's forest, about.
+MOST_NODES = 1_000_000
+
+
 def _least(edges: DataFrame) -> DataFrame:
     """Adds m, the least node that a is linked to, or a itself."""
     least = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -44,14 +48,20 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, parent[x]
         return top
 
+    def passed_on() -> Iterator[pa.RecordBatch]:
+        rows = [(x, root(x)) for x in list(parent)]
+        for at in range(0, len(rows), 100_000):
+            some = rows[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], pa.int64()) for i in (0, 1)], ["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
             low, high = sorted((root(a), root(b)))
             parent[high] = low
-    rows = [(x, root(x)) for x in list(parent)]
-    for at in range(0, len(rows), 100_000):
-        some = rows[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], pa.int64()) for i in (0, 1)], ["a", "b"])
+        if len(parent) > MOST_NODES:  # the rest of the partition has a forest of its own
+            yield from passed_on()
+            parent.clear()
+    yield from passed_on()
 
 
 def components(links: DataFrame) -> DataFrame:

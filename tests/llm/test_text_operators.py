@@ -233,11 +233,16 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
 # n-gram join
 
 
-def brute_clusters(texts):
+def brute_sets(texts):
     sets = {}
     for i, t in texts:
         w = WORD.findall((t or "").translate(LOWER))
         sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    return sets
+
+
+def brute_clusters(texts):
+    sets = brute_sets(texts)
     root = {i: i for i in sets}
 
     def find(x):
@@ -261,8 +266,7 @@ def edited(random, base, edits):
     return out or ["x"]
 
 
-def test_clusters_of_near_copies(rows, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+def family_texts():
     random = np.random.default_rng(1)
     texts = [(0, None), (1, ""), (2, "Only Two"), (3, "only two"), (4, "a b c d e"), (5, "a b c d f")]
     for size in (5, 8, 9, 12, 30, 80, 200):
@@ -271,9 +275,56 @@ def test_clusters_of_near_copies(rows, monkeypatch):
     # A chain: neighbours are similar, the ends are not.
     chain = [f"c{x}" for x in range(60)]
     texts += [(len(texts) + j, " ".join(chain[j * 3 : j * 3 + 40])) for j in range(6)]
+    # A family whose members are just below and above the bound to one another.
+    base = [f"f{x}" for x in range(120)]
+    return texts + [(len(texts) + j, " ".join(edited(random, base, 3))) for j in range(40)]
+
+
+@pytest.mark.parametrize(("frequent", "most", "nodes"), [(256, 16, 2000), (3, 16, 5), (3, 2, 5)])
+def test_clusters_of_near_copies(rows, monkeypatch, frequent, most, nodes):
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "MOST_BLOCKS", most)
+    monkeypatch.setattr(ngram_join, "LEADERS", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", nodes)
+    texts = family_texts()
     assert as_dict(ngram_join.clusters(table(rows, texts)), "n_shingles", "component_id") == brute_clusters(texts)
 
 
+def test_links_and_their_numbers(rows):
+    texts = family_texts()
+    pairs, documents = ngram_join.links(table(rows, texts))
+    sets = brute_sets(texts)
+    similar = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    want = {i: sum(j != i and bool(sets[i]) and bool(sets[j]) and similar(sets[i], sets[j]) for j in sets) for i in sets}
+    got = as_dict(ngram_join.with_links(table(rows, texts)), "n_shingles", "n_links")
+    assert got == {i: (len(sets[i]), n) for i, n in want.items()}
+    node = {r.doc_id: r.node for r in documents.collect()}
+    linked = {(r.a, r.b) for r in pairs.collect()}
+    assert linked == {tuple(sorted((node[i], node[j]))) for i in sets for j in sets if node[i] != node[j] and sets[i] and sets[j] and similar(sets[i], sets[j])}
+    assert pairs.count() == len(linked) > 50
+
+
+def test_blocks_pass_on_no_more_than_a_spanning_forest(rows, monkeypatch):
+    random = np.random.default_rng(2)
+    base = np.arange(300)
+    sets = [np.sort(np.unique(np.r_[random.choice(base, 280, False), 1000 + random.integers(0, 3000, random.integers(0, 60))])) for _ in range(120)]
+    some = np.arange(120) % 3
+    for left, right in ((some == 0, some == 0), (some == 0, some == 1), (some >= 0, some >= 0)):
+        component = np.arange(120) // 2  # known so far
+        found = ngram_join.spanning(sets, component.copy(), left, right, 80)
+        similar = [(i, j) for i in np.flatnonzero(left) for j in np.flatnonzero(right)
+                   if i != j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        assert set(found) <= {*similar} and 0 < len(found) < 120 < len(similar)
+
+        def roots(pairs, component=component):
+            root = component.copy()
+            for a, b in pairs:
+                root[root == root[b]] = root[a]
+            return [int(np.flatnonzero(root == r)[0]) for r in root]
+
+        assert roots(found) == roots(similar)
+
+
 def test_clusters_of_repeated_rows_null_ids_and_no_rows(rows):
     docs = table(rows, [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, "z"), (None, "")])
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.clusters(docs).collect()), key=repr)
