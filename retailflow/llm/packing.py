@@ -7,7 +7,10 @@ that it leaves least room in, whatever that bin's length. Where none has room, a
 all permitted lengths that hold the piece the one of least expected cost for each place used. At the end every bin is
 downsized to the least permitted length that holds its contents.
 
-Cost: room expected to stay unfilled, plus `overhead` for each bin.
+Cost of a bin: its length, its square by `attention` (a sequence's places meet one another), and `overhead`. Expected use: what the
+piece leaves is filled with the pieces to come, longest first, as long as one fits; the bin then counts as downsized.
+So short pieces open long bins only where nothing shorter would be filled as well. A group is packed so by all lengths and
+by every run of neighbouring ones, and the cheapest packing is taken: no single length would have been cheaper.
 
 Defined cases: null and empty texts take one place, for the end. A null id, and repeated rows, are
 documents of their own; `piece` counts from 0 within a row. Empty tables give no rows. Other columns
@@ -19,6 +22,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +37,12 @@ from retailflow.llm.words import scan
 class Packing:
     lengths: Sequence[int] = (256, 512, 1024, 2048, 4096)
     overhead: float = 4.0
+    attention: float = 32_768.0
     group: int = 20_000
 
+    def cost(self, length: int) -> float:
+        return length + length * length / self.attention + self.overhead
+
 
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, size of every document: words and the end."""
@@ -49,36 +57,60 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long")
 
 
-def pack(pieces: Sequence[int], packing: Packing) -> tuple[list[int], list[int]]:
-    """Bin number of each piece, and each bin's length. Pieces must come longest first."""
+class Fill:
+    """Pieces, longest first, and what of those to come would fill a room."""
+
+    def __init__(self, pieces: Sequence[int]):
+        self.shorter = [-p for p in pieces]  # in ascending order
+        self.upto = list(accumulate(pieces, initial=0))
+
+    def expected(self, room: int, after: int) -> int:
+        """Places that pieces from `after` on would take of the room."""
+        left, at = room, after
+        while left:
+            at = bisect.bisect_left(self.shorter, -left, at)
+            if at == len(self.shorter):
+                break
+            # All of those that follow one another and fit together.
+            end = bisect.bisect_right(self.upto, self.upto[at] + left) - 1
+            left -= self.upto[end] - self.upto[at]
+            at = end
+        return room - left
+
+
+def _packed(pieces: Sequence[int], fill: Fill, menu: Sequence[int], packing: Packing) -> tuple[list[int], list[int]]:
+    """Bin number of each piece, and each bin's length, where bins of the menu's lengths may be opened."""
     lengths = sorted(packing.lengths)
+    least = lambda used: lengths[bisect.bisect_left(lengths, used)]
     rooms: list[tuple[int, int]] = []  # (room left, bin), in order
-    sizes_: list[int] = []
     filled: list[int] = []
-    to_come = int(sum(pieces))
     chosen = []
-    for piece in pieces:
-        to_come -= piece
+    for number, piece in enumerate(pieces):
         at = bisect.bisect_left(rooms, (piece, -1))
         if at < len(rooms):
             room, bin_ = rooms.pop(at)
         else:
             def cost(length: int) -> float:
-                """Expected waste and overhead for each place used: room that nothing to come can fill,
-                and half of what is too little for the shortest piece."""
-                rest = length - piece
-                waste = max(0, rest - to_come)
-                return (waste + min(rest, pieces[-1]) / 2 + packing.overhead) / (length - waste)
-
-            room = min((x for x in lengths if x >= piece), key=cost)
-            bin_ = len(sizes_)
-            sizes_.append(room)
+                used = piece + fill.expected(length - piece, number + 1)
+                return packing.cost(least(used)) / used
+
+            room = min((x for x in menu if x >= piece), key=cost)
+            bin_ = len(filled)
             filled.append(0)
         filled[bin_] += piece
         chosen.append(bin_)
         if room > piece:
             bisect.insort(rooms, (room - piece, bin_))
-    return chosen, [lengths[bisect.bisect_left(lengths, f)] for f in filled]
+    return chosen, [least(f) for f in filled]
+
+
+def pack(pieces: Sequence[int], packing: Packing) -> tuple[list[int], list[int]]:
+    """Bin number of each piece, and each bin's length: the cheapest of the packings by all lengths, and by every run of
+    neighbouring lengths that holds the longest piece. Pieces must come longest first."""
+    lengths, fill = sorted(packing.lengths), Fill(pieces)
+    menus = [lengths[i:j] for j in range(len(lengths), 0, -1) for i in range(j) if not pieces or lengths[j - 1] >= pieces[0]]
+    plans = (_packed(pieces, fill, menu, packing) for menu in menus)
+    return min(plans, key=lambda plan: sum(map(packing.cost, plan[1])))
 
 
 def packed(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
