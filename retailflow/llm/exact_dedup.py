@@ -36,8 +36,8 @@ def digest(normalised: Column) -> Column:
 
 
 def _group(rows: DataFrame, *keys: str) -> DataFrame:
-    stays = F.struct("code_points", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("before"))
-    return rows.groupBy(*keys).agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("group_size"))
+    stays = F.struct((-F.col("code_points")).alias("fewer"), F.col("doc_id").isNull().alias("unknown"), "doc_id")
+    return rows.groupBy(*keys).agg(F.min(stays).alias("stays"), F.count(F.lit(1)).alias("group_size"))
 
 
 def groups(docs: DataFrame, hashed=content_hash) -> DataFrame:
@@ -62,7 +62,7 @@ def groups(docs: DataFrame, hashed=content_hash) -> DataFrame:
 
 
 def _result(rows: DataFrame) -> DataFrame:
-    keep = -F.col("stays.before")
+    keep = F.col("stays.doc_id")
     return rows.select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
