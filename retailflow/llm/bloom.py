@@ -1,7 +1,7 @@
 """Blocked Bloom filter as a table: a block is 512 bits in eight longs, a key sets one bit of each.
 
-A filter has at most MAX_BLOCKS rows of nine longs (5 MB), whatever the number of keys, and may so
-be broadcast. Beyond 16 bits a key it only gets less selective: it never misses a key.
+A filter is sized to its keys, 16 bits each, and has at most MAX_BLOCKS rows of nine longs (38 MB, for 17 million
+keys), so that it may be broadcast. Beyond that it only gets less selective: it never misses a key.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BLOCKS = 1 << 16
+MAX_BLOCKS = 1 << 19
 KEYS_A_BLOCK = 32
 _WORDS = 8
 

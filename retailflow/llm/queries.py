@@ -44,8 +44,8 @@ def op2_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_forest.linked(table(spark, sf_dir, "embeddings"))
 
 
-#: Hosts with one of these in their name are listed, page by page.
-LISTED_HOSTS = "ads-track|cheap-pills"
+#: Canonical URLs whose digest begins so are listed: an eighth of all.
+LISTED_DIGESTS = "^[4c]"
 
 
 @query("op3_url_filter", r"""
@@ -53,19 +53,27 @@ WITH parts AS (
     SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 page AS (
     SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts)
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query FROM parts),
+named AS (
+    SELECT *, CASE WHEN starts_with(host, 'www.') THEN substr(host, 5) ELSE host END || rtrim(path, '/') AS place,
+           array_to_string(list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref)(=|$)'))), '&') AS kept
+    FROM page),
+judged AS (
+    SELECT page_id, host, path, host <> '' AND regexp_matches(md5(place || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END), '^[4c]') AS listed FROM named)
 SELECT *, CASE WHEN starts_with(coalesce(rule, ''), 'example.net') OR starts_with(coalesce(rule, ''), 'org') THEN 'allow'
                WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict
-FROM (SELECT page_id, host, path, regexp_matches(host, 'ads-track|cheap-pills') AS listed,
+FROM (SELECT page_id, host, path, listed,
              CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
                   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
                   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
                   WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
-      FROM page)""")
+      FROM judged)""")
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judges every page. The list: the canonical URLs of all pages on hosts named by LISTED_HOSTS."""
+    """Judges every page. The list: an eighth of all canonical URLs, by their digests; a page is listed
+    in whatever spelling its url comes."""
     pages = table(spark, sf_dir, "pages")
-    listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select(url_filter.canonical(F.col("url")).alias("canonical"))
+    canonical = url_filter.canonical(F.col("url"))
+    listed = pages.select(canonical.alias("canonical")).where(F.md5("canonical").rlike(LISTED_DIGESTS))
     return url_filter.judge(pages, listed)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailflow.llm import bloom
-from retailflow.llm.common import renamed
+from retailflow.llm.common import renamed, written
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Query parameters that do not name another page.
@@ -71,11 +71,12 @@ def rule_columns(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
 
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, listed of every page. `listed` has canonical URLs in `canonical`."""
-    listed = renamed(listed, ["canonical"]).where("canonical IS NOT NULL").distinct()
+    listed = written(renamed(listed, ["canonical"]).where("canonical IS NOT NULL").distinct(), "url-list")
     page = renamed(pages, ["page_id", "url"])
     page = page.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("canonical"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     page = bloom.marked(page.withColumn("rule", rule).withColumn("by_rule", verdict), F.col("canonical"), bloom.build(listed, "canonical"), "possible")
+    page = written(page, "url-pages")  # urls only, judged once
     # Most pages end here, without a shuffle.
     passed = page.where("NOT possible").withColumn("listed", F.lit(False))
     exact = listed.withColumn("listed", F.lit(True)).hint("shuffle_hash")
