@@ -8,9 +8,11 @@ of w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j; the pairs take time linear i
 Fitting uses at most `rows` labelled documents, those of least hash (a documented, bounded sample);
 scoring reads every text whole. Labels, lang, source and doc_id are no features.
 
+Fitting goes through the driver in sparse rows, a batch of which is made dense at a time.
+
 Defined cases: null and empty texts have no words and statistics 0 and are scored like any other; a null
 n_chars counts as missing, a feature of its own. Of several labels of one document the mean is learnt,
-null labels not at all. Null ids are not learnt from. Without labels every score is 0.5. Repeated
+null labels not at all. Null ids are not learnt from. Of several rows of one labelled id one is, that of the greatest hash. Without labels every score is 0.5. Repeated
 rows are scored each. Empty tables give no rows. Other columns are not read.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailflow.llm.common import bounded_batches
-from retailflow.llm.words import PIECE, Words, scan
+from retailflow.llm.words import PIECE, Words, ranges, scan
 
 BUCKETS = 1 << 12
 #: Kinds of bytes: space, line end, A-Z, a-z, digit, other ASCII, not ASCII.
@@ -133,20 +135,39 @@ def scores(machine: Machine, texts: pa.Array, n_chars: np.ndarray) -> np.ndarray
     return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
 
 
-def train(x: np.ndarray, target: np.ndarray, statistics: np.ndarray, fit: Fit) -> Machine:
-    """x: texts x BUCKETS word values. Adam steps on the logistic loss, with weight decay."""
+@dataclass
+class Rows:
+    """Word values of texts, those of text i from first[i] on."""
+
+    first: np.ndarray
+    bucket: np.ndarray
+    value: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        count = np.diff(self.first)[rows]
+        at = np.repeat(self.first[rows], count) + ranges(np.r_[0, np.cumsum(count)])
+        out = np.zeros((len(rows), BUCKETS), np.float32)
+        out[np.repeat(np.arange(len(rows)), count), self.bucket[at]] = self.value[at]
+        return out
+
+
+def train(x: Rows, target: np.ndarray, statistics: np.ndarray, fit: Fit) -> Machine:
+    """Adam steps on the logistic loss, with weight decay."""
     mean, scale = statistics.mean(0), statistics.std(0)
     scale = np.where(scale > 1e-9, scale, 1)
-    x = np.hstack([x, ((statistics - mean) / scale).astype(np.float32)])
+    z = ((statistics - mean) / scale).astype(np.float32)
     random = np.random.default_rng(fit.seed)
     share = np.clip(target.mean(), 0.01, 0.99)
-    values = [np.array(np.log(share / (1 - share)), np.float32), np.zeros(x.shape[1], np.float32),
-              random.normal(0, 0.02, (x.shape[1], fit.rank)).astype(np.float32)]
+    values = [np.array(np.log(share / (1 - share)), np.float32), np.zeros(BUCKETS + STATISTICS, np.float32),
+              random.normal(0, 0.02, (BUCKETS + STATISTICS, fit.rank)).astype(np.float32)]
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
     order = np.concatenate([random.permutation(len(x)) for _ in range(-(-fit.steps * fit.batch // len(x)))])
     for step in range(1, fit.steps + 1):
         rows = order[(step - 1) * fit.batch : step * fit.batch]
-        b, t = x[rows], target[rows]
+        b, t = np.hstack([x.dense(rows), z[rows]]), target[rows]
         bias, w, v = values
         s, b2 = b @ v, b * b
         raw = bias + b @ w + 0.5 * (s**2 - b2 @ v**2).sum(1)
@@ -179,6 +200,8 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Machine:
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), known.schema)
     chosen = F.broadcast(chosen.withColumnRenamed("doc_id", "known"))
     rows = _read(docs).join(chosen, F.col("doc_id") == F.col("known")).drop("known")
+    # As many rows as ids, whatever repeats.
+    rows = rows.groupBy("doc_id").agg(F.max_by(F.struct("text", "n_chars", "target"), F.xxhash64("text", "n_chars")).alias("row")).select("doc_id", "row.*")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,13 +213,11 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Machine:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = rows.mapInArrow(sparse, f"doc_id {kind}, target double, bucket array<int>, value array<float>, statistics array<double>") \
-        .orderBy("doc_id").limit(2 * fit.rows).toArrow()
+        .orderBy("doc_id").toArrow()
     if not table.num_rows:
         return Machine(0.0, np.zeros(BUCKETS + STATISTICS), np.zeros((BUCKETS + STATISTICS, fit.rank)), np.zeros(STATISTICS), np.ones(STATISTICS))
     bucket, value = table["bucket"].combine_chunks(), table["value"].combine_chunks()
-    first = bucket.offsets.to_numpy()
-    x = np.zeros((table.num_rows, BUCKETS), np.float32)
-    x[np.repeat(np.arange(table.num_rows), np.diff(first)), bucket.flatten().to_numpy()] = value.flatten().to_numpy()
+    x = Rows(bucket.offsets.to_numpy().astype(np.int64), bucket.flatten().to_numpy(), value.flatten().to_numpy())
     statistics = table["statistics"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, STATISTICS)
     return train(x, table["target"].to_numpy(), statistics, fit)
 
