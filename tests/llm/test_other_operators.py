@@ -230,6 +230,39 @@ def test_packing_wastes_little(spark):
     assert bins.n.sum() / bins.length.sum() > 0.98
 
 
+def partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for i in range(len(rest)):
+            yield [*rest[:i], [items[0], *rest[i]], *rest[i + 1 :]]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=7), st.sampled_from([0.0, 4.0, 20.0]), st.sampled_from([32.0, 200.0, 1e9]))
+def test_bins_cost_little_more_than_the_best_there_are(pieces, overhead, attention):
+    packing_ = packing.Packing((16, 32, 64), overhead, attention)
+    least = lambda n: min(x for x in packing_.lengths if x >= n)
+    best = min(sum(packing_.cost(least(sum(b))) for b in p) for p in partitions(pieces) if max(map(sum, p)) <= 64)
+    found = sum(map(packing_.cost, packing.pack(sorted(pieces, reverse=True), packing_)[1]))
+    assert best - 1e-6 <= found <= 1.3 * best
+
+
+def test_documents_open_several_lengths_and_no_single_one_is_cheaper(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pieces = sorted((r.length for r in packing.packed(docs).select("length").collect()), reverse=True)
+    packing_ = packing.Packing()
+    total = lambda p: sum(map(packing_.cost, packing.pack(pieces, p)[1]))
+    assert len(set(packing.pack(pieces, packing_)[1])) >= 4
+    assert total(packing_) < 0.97 * total(packing.Packing((4096,)))
+    short = [n for n in pieces if n <= 1024]
+    for length in packing_.lengths[2:]:
+        alone = packing.pack(short, packing.Packing((length,)))[1]
+        assert sum(map(packing_.cost, packing.pack(short, packing_)[1])) <= sum(map(packing_.cost, alone))
+
+
 # quality
 
 

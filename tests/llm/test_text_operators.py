@@ -75,6 +75,14 @@ def test_exact_dedup_of_repeated_rows_null_ids_and_no_rows(rows):
     assert exact_dedup.groups(table(rows, [])).count() == 0
 
 
+def test_exact_dedup_of_any_kind_of_id(spark, rows):
+    least = -(1 << 63)
+    got = as_dict(exact_dedup.groups(rows([(least, "a b"), (0, "ab"), (1, "ab ")], "doc_id long, text string")), "keep_id", "group_size", "kept")
+    assert got == {least: (least, 3, True), 0: (least, 3, False), 1: (least, 3, False)}
+    got = as_dict(exact_dedup.groups(rows([("x", "ab"), ("w", "a b"), ("v", "ab")], "doc_id string, text string")), "keep_id", "kept")
+    assert got == {"x": ("w", False), "w": ("w", True), "v": ("w", False)}
+
+
 def test_the_longest_of_repeated_ids_stays(rows):
     texts = ["a b", "ab", " a  b ", "a \tb", "a\nb", "ab    "]
     for order in (texts, texts[::-1], texts[3:] + texts[:3]):
