@@ -69,14 +69,28 @@ def first_order_flag(orders: DataFrame, user_state: DataFrame | None = None) ->
     return set_first_flag(orders, first_orders(orders, user_state))
 
 
-def first_order_flag_again(orders: DataFrame, user_state: DataFrame) -> DataFrame:
-    """The same where an order may come again after its user's state was written: the state names
-    the first order, whose repetition is "1" as before."""
-    known = user_state.filter(F.col("order_id").isNotNull()).select(F.col("order_id").alias("id"))
-    firsts = first_orders(orders, user_state).select("id").unionByName(known).distinct()
-    return set_first_flag(orders, firsts)
+def user_firsts(user_state: DataFrame) -> DataFrame:
+    """What the state says of each user: `known` (consumed before all orders there are) or the first order so far,
+    as (create_time, id). A user may have several rows, of orders found to be earlier and earlier."""
+    order = F.struct("create_time", F.col("order_id").alias("id"))
+    consumed = user_state.filter(F.col("if_consumed") == "1")
+    return consumed.groupBy(_number("user_id").alias("_user")).agg(
+        F.bool_or(F.col("order_id").isNull()).alias("_known"), F.min(F.when(F.col("order_id").isNotNull(), order)).alias("_so_far"))
+
+
+def flags_and_corrections(orders: DataFrame, user_state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The orders with their flags, and the orders (id, create_time) that lose theirs to an earlier order of this batch.
+
+    "1" is on the earliest order (create_time, then id) of a user of all that came so far, whatever order
+    they came in. An order that comes again keeps its flag, unless it has lost it since."""
+    earliest = orders.groupBy("user_id").agg(F.min(F.struct("create_time", "id")).alias("_first"))
+    both = earliest.join(user_firsts(user_state), F.col("user_id") == F.col("_user"), "left").where("NOT coalesce(_known, false)")
+    first = F.when(F.col("_so_far").isNull() | (F.col("_first") < F.col("_so_far")), F.col("_first")).otherwise(F.col("_so_far"))
+    flagged = set_first_flag(orders, both.select(first["id"].alias("id")))
+    lost = both.where(F.col("_first") < F.col("_so_far")).select("_so_far.id", "_so_far.create_time")
+    return flagged, lost
 
 
 def new_consumers(orders: DataFrame) -> DataFrame:
     first = orders.filter(F.col("if_first_order") == "1")
-    return first.select(F.col("user_id").cast("string").alias("user_id"), F.lit("1").alias("if_consumed"), F.col("id").alias("order_id"))
+    return first.select(F.col("user_id").cast("string").alias("user_id"), F.lit("1").alias("if_consumed"), F.col("id").alias("order_id"), "create_time")

@@ -256,6 +256,85 @@ def wide_late_orders(t: Tables) -> DataFrame:
     return wide_result(wh)
 
 
+def heartbeat(t: Tables, wh: jobs.Warehouse, batch_id: int, days: int) -> None:
+    """Some orders and their lines once more, days later: time goes on, and with it what waits."""
+    later = F.current_timestamp() + F.expr(f"INTERVAL {days} DAYS")
+    placed = orders.with_create_day_hour(t.order_info).filter(F.col("id") % 50 == 0)
+    some = t.order_detail.filter(F.col("order_id") % 50 == 0)
+    to_topic(order_messages(placed).withColumn("arrived", later), wh, jobs.DWD_ORDER_INFO, batch_id)
+    to_topic(order_messages(some).withColumn("arrived", later), wh, jobs.DWD_ORDER_DETAIL, batch_id)
+    jobs.order_wide(wh).awaitTermination()
+
+
+_NONE_WAITS = sql("""
+    SELECT 'wide' AS sink, order_id, order_detail_id, paid AS final_total_cents, final_cents AS final_detail_cents FROM split""", "split")
+
+
+def wide_and_waiting(wh: jobs.Warehouse) -> DataFrame:
+    """The wide rows, and the lines that still wait, which should be none."""
+    done = wide_result(wh).select(F.lit("wide").alias("sink"), "order_id", "order_detail_id", "final_total_cents", "final_detail_cents")
+    nothing = F.lit(None).cast("bigint")
+    waiting = jobs.waiting_lines(wh).select(
+        F.lit("waiting").alias("sink"), "order_id", F.col("id").alias("order_detail_id"), nothing.alias("final_total_cents"), nothing.alias("final_detail_cents"))
+    return done.unionByName(waiting)
+
+
+@query("t10_late_partners", _NONE_WAITS)
+def late_partners(t: Tables) -> DataFrame:
+    """Half of the orders come a day after their lines, the others a day before them; the job runs with its own settings. All
+    lines find their orders, once each, and none waits in the end."""
+    wh = warehouse_at(t, "t10p")
+    placed, even = orders.with_create_day_hour(t.order_info), F.col("id") % 2 == 0
+    lines, of_even = t.order_detail, F.col("order_id") % 2 == 0
+    for n, (some_orders, some_lines) in enumerate([(placed.filter(~even), lines.filter(of_even)), (placed.filter(even), lines.filter(~of_even))]):
+        arrived = F.current_timestamp() + F.expr(f"INTERVAL {n} DAYS")
+        to_topic(order_messages(some_orders).withColumn("arrived", arrived), wh, jobs.DWD_ORDER_INFO, n)
+        to_topic(order_messages(some_lines).withColumn("arrived", arrived), wh, jobs.DWD_ORDER_DETAIL, n)
+        jobs.order_wide(wh).awaitTermination()
+    heartbeat(t, wh, 2, 3)
+    heartbeat(t, wh, 3, 5)
+    return wide_and_waiting(wh)
+
+
+@query("s13_order_backfill", sql("""
+    SELECT 'document' AS sink, id, if_first_order FROM flagged
+    UNION ALL SELECT 'message', id, if_first_order FROM flagged
+    UNION ALL SELECT DISTINCT 'wide', order_id, if_first_order FROM details JOIN flagged f ON order_id = f.id""", "flagged", "details"))
+def order_backfill(t: Tables) -> DataFrame:
+    """Orders come youngest third first, each user's, and all from before as bootstrap rows of the change log. Documents,
+    newest messages and wide rows hold the flags that all orders together give."""
+    wh = warehouse_at(t, "s13o")
+    known = schemas.conform(t.user_state, schemas.USER_STATE)
+    storage.write_batch(known, wh.folder("state", "user_state"), topics.BACKFILL_BATCH)
+    to_topic(order_messages(t.order_detail), wh, jobs.DWD_ORDER_DETAIL)
+    third = F.ntile(3).over(Window.partitionBy("user_id").orderBy(F.desc("create_time"), F.desc("id")))
+    placed = t.order_info.withColumn("third", third).persist()
+    for n in range(3):
+        part = placed.filter(F.col("third") == n + 1).drop("third")
+        envelope = F.struct(F.lit("order_info").alias("table"), F.lit("bootstrap-insert").alias("type"), F.struct(*part.columns).alias("data"))
+        changes = part.select(F.col("id").alias("seq"), F.to_json(envelope).alias("value"))
+        routed = routing.cdc_filter_route(changes, order_kinds=("insert", "bootstrap-insert"))
+        topics.write_topic(routed, wh.topics, n, "backfill")
+        jobs.order_info(wh).awaitTermination()
+        jobs.order_wide(wh).awaitTermination()
+    placed.unpersist()
+    # Time goes on, by messages of no consequence.
+    for n, days in ((10, 2), (11, 4)):
+        for topic in (jobs.DWD_ORDER_INFO, jobs.DWD_ORDER_DETAIL):
+            last = topics.read_topic(t.spark, wh.topics, topic).filter(F.col("seq") % 50 == 0)
+            newest = Window.partitionBy("key").orderBy(F.desc("arrived"))
+            again = last.withColumn("place", F.row_number().over(newest)).filter("place = 1")
+            again = again.select("key", "value", "seq", (F.current_timestamp() + F.expr(f"INTERVAL {days} DAYS")).alias("arrived"))
+            to_topic(again, wh, topic, n)
+        jobs.order_wide(wh).awaitTermination()
+    documents = jobs.order_docs(wh).select(F.lit("document").alias("sink"), "id", "if_first_order")
+    messages = topics.read_topic(t.spark, wh.topics, jobs.DWD_ORDER_INFO)
+    decoded = schemas.decode(messages.select("value", "arrived"), schemas.ORDER_INFO)
+    newest = decoded.groupBy("id").agg(F.max_by("if_first_order", "arrived").alias("if_first_order"))
+    rows = jobs.wide_rows(wh).select(F.lit("wide").alias("sink"), F.col("order_id").alias("id"), "if_first_order").distinct()
+    return documents.unionByName(newest.select(F.lit("message").alias("sink"), "id", "if_first_order")).unionByName(rows)
+
+
 def dims_ready(t: Tables, wh: jobs.Warehouse) -> None:
     storage.upsert_dim(t.province, wh.folder("dim", "base_province"), 0)
     storage.upsert_dim(warehouse.users(t), wh.folder("dim", "user_info"), 0)

@@ -74,7 +74,7 @@ SPU_INFO = _schema("id string, spu_name string")
 TRADEMARK = _schema("tm_id string, tm_name string")
 CATEGORY3 = _schema("id string, name string, category2_id string")
 # `order_id` is the order that was the user's first; unknown for users taken over from elsewhere.
-USER_STATE = _schema("user_id string, if_consumed string, order_id bigint")
+USER_STATE = _schema("user_id string, if_consumed string, order_id bigint, create_time string")
 
 # One message of a topic in the file backend. `producer`, `batch_id` and `seq` are its position,
 # `arrived` the time at which it was written.

@@ -20,15 +20,16 @@ BACKFILL_BATCH = -1
 
 
 def write_topic(messages: DataFrame, root: str, batch_id: int, producer: str = "main") -> None:
-    """Appends messages (topic, key, value and optionally seq) as batch `batch_id` of this
+    """Appends messages (topic, key, value and optionally seq and arrived) as batch `batch_id` of this
     producer. Writing the same batch again replaces it, so a replayed micro-batch changes nothing;
     other producers' batches stay."""
     seq = F.col("seq") if "seq" in messages.columns else F.monotonically_increasing_id()
     key = F.col("key") if "key" in messages.columns else F.lit(None).cast("string")
+    arrived = F.col("arrived") if "arrived" in messages.columns else F.current_timestamp()
     # One file per topic and micro-batch rather than one per task; a large topic is split again.
     (
         messages.hint("rebalance", F.col("topic")).select(
-            "topic", key.alias("key"), "value", seq.cast("bigint").alias("seq"), F.current_timestamp().alias("arrived"),
+            "topic", key.alias("key"), "value", seq.cast("bigint").alias("seq"), arrived.alias("arrived"),
             F.lit(producer).alias("producer"), F.lit(batch_id).cast("bigint").alias("batch_id"),
         )
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -225,20 +225,36 @@ def order_batch(wh: Warehouse, batch: DataFrame, n: int) -> None:
     plain = orders.with_create_day_hour(wh.good(batch, schemas.ORDER_INFO, "order_info", n))
     before = storage.read_batches(wh.spark, state_path, schemas.USER_STATE, before=n)
     before = dimensions.dim_lookup_in(before, plain, "user_id", "user_id", BROADCAST_IDS)
-    flagged = orders.first_order_flag_again(plain, before)
+    flagged, lost = orders.flags_and_corrections(plain, before)
     users = wh.dim_of("user_info", plain, "user_id")
     placed = dimensions.order_user(dimensions.order_province(flagged, wh.dim("base_province")), users)
     placed = placed.persist()
     try:
         storage.write_batch(orders.new_consumers(placed), state_path, n)
-        docs = schemas.conform(placed, schemas.ORDER_DOCUMENT)
+        corrected = corrected_orders(wh, lost, placed, n)
+        docs = schemas.conform(placed, schemas.ORDER_DOCUMENT).unionByName(corrected)
         storage.upsert_docs(docs, wh.folder("docs", "order_info"), n, day="create_date", tasks=wh.write_tasks)
-        message = schemas.conform(placed, schemas.ORDER_INFO)
+        message = schemas.conform(placed, schemas.ORDER_INFO).unionByName(schemas.conform(corrected, schemas.ORDER_INFO))
         topics.write_topic(_messages(message, DWD_ORDER_INFO), wh.topics, n, "order_info")
     finally:
         placed.unpersist()
 
 
+def corrected_orders(wh: Warehouse, lost: DataFrame, batch: DataFrame, n: int) -> DataFrame:
+    """The documents of orders that lost the first-order flag to an earlier one, without it: they replace the documents of
+    before and go out as messages once more. Orders that this batch holds itself have their flags already."""
+    lost = orders.with_create_day_hour(lost).select("id", "create_date").join(batch.select("id"), "id", "left_anti").persist()
+    try:
+        if lost.isEmpty():
+            return wh.spark.createDataFrame([], schemas.ORDER_DOCUMENT)
+        stored = storage.read_days(wh.spark, wh.folder("docs", "order_info"), schemas.ORDER_DOCUMENT, lost, "create_date", before=n)
+        stored = dimensions.dim_lookup_in(stored, lost, "id", "id", BROADCAST_IDS)
+        newest = active.first_per_key(stored, ["create_date", "id"], [F.desc("batch_id")])
+        return schemas.conform(newest.withColumn("if_first_order", F.lit("0")), schemas.ORDER_DOCUMENT)
+    finally:
+        lost.unpersist()
+
+
 def _messages(record: DataFrame, topic: str) -> DataFrame:
     return record.select(F.lit(topic).alias("topic"), F.col("id").alias("seq"), *schemas.encode("id", record.columns))
 
@@ -247,7 +263,7 @@ def order_fold(wh: Warehouse, n: int | None = None) -> None:
     """User state down to one row per user, order documents to the newest per day and id."""
     storage.fold(
         wh.spark, wh.folder("state", "user_state"), schemas.USER_STATE,
-        lambda rows: active.first_per_key(rows, ["user_id"], [F.asc("batch_id"), F.asc("order_id")]), n)
+        lambda rows: active.first_per_key(rows, ["user_id"], [F.asc_nulls_first("create_time"), F.asc_nulls_first("order_id")]), n)
     storage.fold_docs(wh.spark, wh.folder("docs", "order_info"), schemas.ORDER_DOCUMENT, "id", "create_date", n)
 
 
@@ -301,12 +317,64 @@ def wide_fold(wh: Warehouse, n: int | None = None) -> None:
     storage.fold(wh.spark, wh.order_wide, storage.monthly(schemas.ORDER_WIDE), lambda rows: rows, n, ("month",))
 
 
+WIDE_ORDERS = T.StructType([*schemas.ORDER_INFO.fields, T.StructField("arrived", T.TimestampType())])
+LINE_IDS = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("id", T.LongType())])
+FLAGS = T.StructType([T.StructField("id", T.LongType()), T.StructField("if_first_order", T.StringType())])
+
+
+def _newest_orders(rows: DataFrame) -> DataFrame:
+    return active.first_per_key(rows, ["id"], [F.desc("batch_id"), F.desc("arrived")])
+
+
+def waiting_lines(wh: Warehouse, before: int | None = None) -> DataFrame:
+    """Lines without an order so far: those that no order met in time, less those that one met since."""
+    texts = storage.read_batches(wh.spark, wh.folder("unmatched", "order_wide"), T.StructType([T.StructField("_unmatched", T.StringType())]), before)
+    line = F.from_json("_unmatched", schemas.ORDER_DETAIL).alias("d")
+    met = storage.read_batches(wh.spark, wh.folder("state", "wide_met"), LINE_IDS, before).select("order_id", "id").distinct()
+    return texts.select("batch_id", "_unmatched", line).select("d.*", "batch_id", "_unmatched").join(met, ["order_id", "id"], "left_anti")
+
+
+def late_pairs(wh: Warehouse, placed: DataFrame, lines: DataFrame, n: int) -> DataFrame:
+    """Wide rows of the orders and lines that missed each other: lines that wait, with this batch's orders, and this batch's
+    unmatched lines, with all orders so far. Each pair comes up in the batch that brings the later of the two, and
+    what it reads lies before that batch or in it: a batch that is run again gives the same."""
+    waiting = dimensions.dim_lookup_in(waiting_lines(wh, before=n), placed, "order_id", "id", BROADCAST_IDS)
+    earlier = storage.read_batches(wh.spark, wh.folder("state", "wide_orders"), WIDE_ORDERS, before=n)
+    known = dimensions.dim_lookup_in(earlier, lines, "id", "order_id", BROADCAST_IDS)
+    known = _newest_orders(known.unionByName(placed.withColumn("batch_id", F.lit(n).cast("bigint"))))
+    both = [wide.wide_merge(known, lines), wide.wide_merge(placed, waiting)]
+    return both[0].unionByName(both[1]).dropDuplicates(["order_id", "order_detail_id"])
+
+
+def changed_flags(wh: Warehouse, versions: DataFrame, placed: DataFrame, n: int) -> DataFrame:
+    """(id, if_first_order) of orders that came with another flag before, in this batch or an earlier one."""
+    earlier = storage.read_batches(wh.spark, wh.folder("state", "wide_orders"), WIDE_ORDERS, before=n)
+    earlier = dimensions.dim_lookup_in(earlier, placed, "id", "id", BROADCAST_IDS).select("id", "if_first_order")
+    before = earlier.unionByName(versions.select("id", "if_first_order")).select("id", F.col("if_first_order").alias("_before"))
+    now = placed.select("id", "if_first_order")
+    return now.join(before, "id").filter(~F.col("_before").eqNullSafe(F.col("if_first_order"))).select("id", "if_first_order").distinct()
+
+
+def late_fold(wh: Warehouse, n: int | None = None) -> None:
+    """Orders down to their newest versions, waiting lines down to those that still wait, flags to the last."""
+    storage.fold(wh.spark, wh.folder("state", "wide_orders"), WIDE_ORDERS, _newest_orders, n)
+    met = storage.read_batches(wh.spark, wh.folder("state", "wide_met"), LINE_IDS).select("order_id", "id").distinct()
+
+    def waiting(rows: DataFrame) -> DataFrame:
+        line = F.from_json("_unmatched", schemas.ORDER_DETAIL)
+        return rows.withColumns({"order_id": line["order_id"], "id": line["id"]}).join(met, ["order_id", "id"], "left_anti").drop("order_id", "id")
+
+    storage.fold(wh.spark, wh.folder("unmatched", "order_wide"), T.StructType([T.StructField("_unmatched", T.StringType())]), waiting, n)
+    storage.fold(wh.spark, wh.folder("state", "wide_flags"), FLAGS, lambda rows: active.first_per_key(rows, ["id"], [F.desc("batch_id")]), n)
+
+
 def order_wide(wh: Warehouse, tolerance: str = "10 seconds", watermark: str = "10 seconds", salts: int = state.SALTS) -> StreamingQuery:
     """Joins the order and line topics and keeps the wide table.
 
     An order and a line meet when they arrived within `tolerance` of each other, whatever their own
-    times say. A line that no order joined by then is kept with the unmatched, a message that cannot be
-    decoded in quarantine; the query's progress counts both (`wide`)."""
+    times say. A line that no order joined by then waits among the unmatched, until its order comes or, if that was there
+    before, at once (`late_pairs`). An order that comes again with another first-order flag corrects its wide rows. A
+    message that cannot be decoded is kept in quarantine; the query's progress counts both (`wide`)."""
 
     def topic(name: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
         return schemas.split_corrupt(schemas.decode(wh.stream(name).select("value", "arrived"), schema))
@@ -317,17 +385,42 @@ def order_wide(wh: Warehouse, tolerance: str = "10 seconds", watermark: str = "1
     line = F.to_json(F.struct(*[F.col(f"d.{c}") for c in schemas.ORDER_DETAIL.fieldNames()]))
     pairs = met.select(*wide.wide_columns("o", "d"), F.when(F.col("o.id").isNull(), line).alias("_unmatched"))
     bad = bad_orders.select("_corrupt_record").unionByName(bad_lines.select("_corrupt_record"))
-    rows = pairs.unionByName(bad, allowMissingColumns=True).observe(
+    # The orders as they come, for lines that come too early or too late for them.
+    orders_ = placed.select(F.struct(*WIDE_ORDERS.fieldNames()).alias("_order"))
+    rows = pairs.unionByName(bad, allowMissingColumns=True).unionByName(orders_, allowMissingColumns=True).observe(
         "wide", F.count(F.when(F.col("_unmatched").isNotNull(), 1)).alias("unmatched"), F.count("_corrupt_record").alias("corrupt"))
 
     def handle(batch: DataFrame, n: int) -> None:
         for column, kind in (("_corrupt_record", "quarantine"), ("_unmatched", "unmatched")):
             storage.write_batch(batch.filter(F.col(column).isNotNull()).select(column), wh.folder(kind, "order_wide"), n)
-        good = batch.filter("_corrupt_record IS NULL AND _unmatched IS NULL")
-        wide_batch(wh, good.select(*schemas.ORDER_WIDE.fieldNames()), n)
+        versions = batch.filter("_order IS NOT NULL").select("_order.*").persist()
+        try:
+            placed = _newest_orders(versions.withColumn("batch_id", F.lit(n))).drop("batch_id")
+            storage.write_batch(placed, wh.folder("state", "wide_orders"), n)
+            storage.write_batch(changed_flags(wh, versions, placed, n), wh.folder("state", "wide_flags"), n)
+            unmatched = batch.filter("_unmatched IS NOT NULL").select(F.from_json("_unmatched", schemas.ORDER_DETAIL).alias("d")).select("d.*")
+            late = late_pairs(wh, placed, unmatched, n).persist()
+            try:
+                storage.write_batch(late.select("order_id", F.col("order_detail_id").alias("id")), wh.folder("state", "wide_met"), n)
+                good = batch.filter("_corrupt_record IS NULL AND _unmatched IS NULL AND _order IS NULL")
+                fields = schemas.ORDER_WIDE.fieldNames()
+                wide_batch(wh, good.select(*fields).unionByName(late.select(*fields)), n)
+            finally:
+                late.unpersist()
+        finally:
+            versions.unpersist()
+
+    def fold(n: int) -> None:
+        wide_fold(wh, n)
+        late_fold(wh, n)
 
-    return wh.launch(rows, "order_wide", handle, fold=lambda n: wide_fold(wh, n))
+    return wh.launch(rows, "order_wide", handle, fold=fold)
 
 
 def wide_rows(wh: Warehouse) -> DataFrame:
-    return storage.read_olap(wh.spark, wh.order_wide, schemas.ORDER_WIDE)
+    """The wide table, with the first-order flags of orders that were corrected since their lines came."""
+    rows = storage.read_olap(wh.spark, wh.order_wide, schemas.ORDER_WIDE)
+    changes = storage.read_batches(wh.spark, wh.folder("state", "wide_flags"), FLAGS)
+    newest = active.first_per_key(changes, ["id"], [F.desc("batch_id")]).select(F.col("id").alias("_id"), F.col("if_first_order").alias("_flag"))
+    flag = F.coalesce("_flag", "if_first_order").alias("if_first_order")
+    return rows.join(newest, F.col("order_id") == F.col("_id"), "left").select(*[flag if c == "if_first_order" else c for c in schemas.ORDER_WIDE.fieldNames()])
