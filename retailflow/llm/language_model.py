@@ -9,9 +9,10 @@ With the discounts D of each level from its counts of counts, and h' being h wit
 where q, without any h, counts the different tokens before v (k), and its last term is shared by the V training
 tokens and one class of unknown tokens. After an h that training has not met, p(v|h) = p(v|h').
 
-N-grams are dealt to shards by their first token; those of frequent first tokens by all tokens, so that no
-shard grows with one word. A bounded sample finds frequent tokens; it decides about placement only.
-All counts cover all training texts, and nothing is pruned.
+N-grams are dealt to shards by the hash of all their tokens, so that no shard grows with one word. What a task has for a shard
+goes as one row of bytes: the n-grams in order, their tokens as places in a list of the different ones, a plane for each byte, compressed.
+A shard's arrays of one length are one file: sorted 64-bit hashes, of which the leading bits are places in a table and 32 more
+are kept, and their values. A worker keeps at most MAPS files mapped. All counts cover all training texts, and nothing is pruned.
 
 Defined cases: null and empty texts are one token, the end. A null id counts as the empty text in the
 choice of held-out documents. Repeated rows are counted and scored each. Without training
@@ -20,7 +21,10 @@ texts q is 1 for the one unknown class. Empty tables give no rows. Other columns
 
 from __future__ import annotations
 
+import json
+import mmap
 import os
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,13 +38,13 @@ from retailflow.llm.common import bounded_batches, mounted
 from retailflow.llm.words import BEGIN, END, Words, mix, pair, scan
 from retailflow.session import run_dir
 
-#: Share of training texts that frequent tokens are taken from.
-SAMPLE = 0.01
+#: Files that a worker keeps mapped.
+MAPS = 2000
 #: Tokens of the n-grams that a counting task holds before it passes them on.
 HELD = 8_000_000
 #: By level: stands for its counts of counts in rows about shorter n-grams.
 _COUNTS = mix((np.uint64(3) << np.uint64(62)) + np.arange(64, dtype=np.uint64))
-_SHARD_SALT, _TOKEN_SALT = np.uint64(0x51ED270B9F86A3C5), np.uint64(0x2545F4914F6CDD1D)
+_SHARD_SALT = np.uint64(0x51ED270B9F86A3C5)
 #: A count is one byte; this one stands for a count kept apart.
 _LARGE = 255
 
@@ -49,7 +53,6 @@ _LARGE = 255
 class Model:
     folder: str
     shards: int
-    frequent: np.ndarray
     tokens: int  # of training
     distinct: int
     types: int  # different bigrams
@@ -108,67 +111,96 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (k[heads], order[heads], *sums)
 
 
-def _shard(u: np.ndarray, v: np.ndarray, frequent: np.ndarray, shards: int) -> np.ndarray:
-    at = np.searchsorted(frequent, u)
-    at[at == len(frequent)] = 0
-    both = frequent[at] == u
-    spread = np.where(both, pair(u, v), u)
-    return (mix(spread ^ _SHARD_SALT) % np.uint64(shards)).astype(np.int32)
-
-
-def _place(columns: list[np.ndarray], frequent: np.ndarray, shards: int) -> np.ndarray:
-    if len(columns) == 1:
-        return _token_shard(columns[0], shards)
-    return _shard(columns[0], hashed(columns[1:]), frequent, shards)
-
-
-def _token_shard(w: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(w ^ _TOKEN_SALT) % np.uint64(shards)).astype(np.int32)
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _place(columns: list[np.ndarray], shards: int) -> np.ndarray:
+    return (mix(hashed(columns) ^ _SHARD_SALT) % np.uint64(shards)).astype(np.int32)
+
+
+def packed(columns: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+    """N-grams and their values as compressed bytes; equal tokens are written once."""
+    order = np.lexsort(columns[::-1])
+    names, codes = np.unique(np.concatenate([x[order] for x in columns]), return_inverse=True)
+    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1))
+    values = [_narrow(x[order]) for x in values]
+    body = b"".join([names.tobytes(), planes.tobytes(), *(x.tobytes() for x in values)])
+    head = np.array([len(order), len(names), len(body), *(x.dtype.itemsize for x in values)], np.int64)
+    return head.tobytes() + pa.compress(body, "zstd", asbytes=True)
+
+
+def unpacked(row: bytes, columns: int, values: int) -> list[np.ndarray]:
+    """The columns and values of `packed`, in the n-grams' order."""
+    head = np.frombuffer(row, np.int64, 3 + values)
+    n, tokens, size = head[:3].tolist()
+    body = np.frombuffer(pa.decompress(row[head.nbytes :], size, "zstd", asbytes=True), np.uint8)
+    names, at = body[: 8 * tokens].view(np.uint64), 8 * tokens
+    planes = body[at : at + 4 * n * columns].reshape(columns, 4, n)
+    out = [names[np.ascontiguousarray(p.T).view("<u4").ravel()] for p in planes]
+    at += 4 * n * columns
+    for width in head[3:].tolist():
+        out.append(np.frombuffer(body[at : at + width * n].tobytes(), f"<u{width}").astype(np.int64))
+        at += width * n
+    return out
 
 
-def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch[name].to_numpy(zero_copy_only=False)
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
-def _stored(path: str, array: np.ndarray) -> None:
-    """Written under another name first: a task that runs again replaces whole files by equal ones."""
+def _stored(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file of arrays: its head's length, a head of (name, type, place, length), and the arrays. Written under another
+    name first: a task that runs again replaces a whole file by an equal one."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{TaskContext.get().taskAttemptId()}"
+    part, at, head = f"{path}.{TaskContext.get().taskAttemptId()}", 0, []
+    for name, x in arrays.items():
+        head.append((name, x.dtype.str, at, len(x)))
+        at += -(-x.nbytes // 8) * 8
+    text = json.dumps(head).encode()
+    text += b" " * (-len(text) % 8)
     with open(part, "wb") as out:
-        np.save(out, array)
+        out.write(np.int64(len(text)).tobytes() + text)
+        for x in arrays.values():
+            out.write(x.tobytes() + bytes(-x.nbytes % 8))
     os.replace(part, path)
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+def _mapped(path: str) -> dict[str, np.ndarray]:
+    if not os.path.exists(path):
+        return {}
+    with open(path, "rb") as file:
+        data = np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
+    size = 8 + int(data[:8].view(np.int64)[0])
+    return {name: data[size + at : size + at + n * np.dtype(kind).itemsize].view(kind) for name, kind, at, n in json.loads(data[8:size].tobytes())}
 
 
-def _pack(path: str, kind: str, key: np.ndarray, x: np.ndarray) -> None:
-    """A byte for each key, and apart the few that need more."""
-    large = x >= _LARGE
-    _stored(f"{path}-{kind}.npy", np.minimum(x, _LARGE).astype(np.uint8))
-    _stored(f"{path}-large_{kind}_keys.npy", key[large])
-    _stored(f"{path}-large_{kind}.npy", x[large])
+def _keys(key: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted hashes as arrays: `heads`, where those of each value of the leading bits begin, and 32 bits more of each."""
+    bits = max(1, len(key).bit_length() - 4)
+    heads = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    return {"heads": _narrow(heads), "keys": (key >> np.uint64(32 - bits)).astype(np.uint32)}
 
 
-def _frequent(train: DataFrame, shards: int) -> np.ndarray:
-    """Tokens that a sample gives a share of at least 1 / (4 shards): at most 4 shards of them."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, n = np.unique(scan(batch.column(0)).hash, return_counts=True)
-            often = n * 8 * shards >= n.sum()
-            yield pa.RecordBatch.from_arrays([_signed(np.r_[key[often], np.uint64(0)]), pa.array(np.r_[n[often], n.sum()])], ["w", "n"])
+def _found(arrays: dict[str, np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted hashes that are there, and which those are."""
+    if not arrays or not len(arrays["keys"]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    heads, keys = arrays["heads"], arrays["keys"]
+    bits = (len(heads) - 1).bit_length() - 1
+    lead, rest = (wanted >> np.uint64(64 - bits)).astype(np.int64), (wanted >> np.uint64(32 - bits)).astype(np.uint32)
+    low, high = heads[lead].astype(np.int64), heads[lead + 1].astype(np.int64)
+    ends = high
+    for _ in range(int((high - low).max(initial=0)).bit_length()):  # all searched at once
+        middle = (low + high) // 2
+        less = (low < high) & (keys[np.minimum(middle, len(keys) - 1)] < rest)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(middle, high))
+    there = np.flatnonzero(low < ends)
+    there = there[keys[low[there]] == rest[there]]
+    return low[there], there
 
-    counts = train.sample(SAMPLE, 11).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    total = counts.where("w = 0").select("n").first()
-    if total is None:
-        return np.sort(np.array([BEGIN]))
-    found = counts.where(F.col("n") * 4 * shards >= total[0]).where("w != 0").orderBy(F.desc("n"), "w").limit(4 * shards).collect()
-    return np.sort(np.array([r["w"] for r in found] + [int(BEGIN.view(np.int64))], np.int64).view(np.uint64))
+
+def _small(arrays: dict[str, np.ndarray], kind: str, x: np.ndarray) -> None:
+    """Adds a byte for each key, and apart the places and values of the few that need more."""
+    large = np.flatnonzero(x >= _LARGE)
+    arrays[kind] = np.minimum(x, _LARGE).astype(np.uint8)
+    arrays[f"{kind}-places"], arrays[f"{kind}-large"] = _narrow(large), _narrow(x[large])
 
 
 def fit(docs: DataFrame, order: int = 2) -> Model:
@@ -179,19 +211,22 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
     bounded_batches(spark)
     train = docs.select("text")
     shards = max(8, train.rdd.getNumPartitions() * (2 * order - 3))
-    frequent = _frequent(train, shards)
     folder = run_dir(spark, "language-model")
     place = mounted(folder)
     # c: occurrences. k: different tokens before. s: total of the counts after, which c has in order two. n1 to n3: kinds after.
     kinds = ["c", "k", *(["s"] if order > 2 else []), "n1", "n2", "n3"]
 
-    def rows(columns: list[np.ndarray], values: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
-        shard = _place(columns, frequent, shards)
+    def rows(columns: list[np.ndarray], values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        shard = _place(columns, shards)
         by = np.argsort(shard, kind="stable")
-        for at in range(0, len(by), 200_000):
-            some = by[at : at + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(shard[some]), *(_signed(x[some]) for x in columns), *(pa.array(x[some].astype(np.int64)) for x in values)],
-                                             ["shard", *(f"t{i}" for i in range(len(columns))), *names])
+        edges = np.searchsorted(shard[by], np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            own = by[edges[s] : edges[s + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([packed([x[own] for x in columns], [x[own] for x in values])], pa.binary())], ["shard", "grams"])
+
+    def read(batches: Iterator[pa.RecordBatch], columns: int, values: int) -> list[np.ndarray] | None:
+        parts = [unpacked(row.as_py(), columns, values) for b in batches for row in b.column(1)]
+        return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else None
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [np.zeros(0, np.uint64)] * order, np.zeros(0, np.int32)
@@ -200,31 +235,29 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
             _, at, count = summed(hashed(held), np.r_[count, np.ones(len(held[0]) - len(count), np.int32)])
             held = [x[at] for x in held]
             if len(count) * order > HELD:
-                yield from rows(held, [count], ["c"])
+                yield from rows(held, [count])
                 held, count = [x[:0] for x in held], count[:0]
-        by = np.lexsort(held[-2::-1])  # n-grams of one context together: smaller shuffle files
-        yield from rows([x[by] for x in held], [count[by]], ["c"])
+        if len(count):
+            yield from rows(held, [count])
 
     def level(n: int):
         """Sums n-grams, stores them, and passes on what they say about shorter ones."""
         names = ["c"] if n == order else kinds
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = [(*(_column(b, f"t{i}").view(np.uint64) for i in range(n)), *(_column(b, x) for x in names)) for b in batches]
-            if not parts:
+            found = read(batches, n, len(names))
+            if found is None:
                 return
-            found = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            del parts
             key, at, *sums = summed(hashed(found[:n]), *found[n:])
             tokens, values = [x[at] for x in found[:n]], dict(zip(names, sums, strict=True))
             del found, sums
             told = np.isin(tokens[0], _COUNTS)  # counts of counts of longer ones
             passed = [x[told] for x in tokens[1:]], [values[x][told] if x in values else np.zeros(told.sum(), np.int64) for x in kinds]
             key, tokens, values = key[~told], [x[~told] for x in tokens], {x: v[~told] for x, v in values.items()}
-            path = f"{place}/grams{n}-{TaskContext.get().partitionId():06d}"
-            _stored(f"{path}-keys.npy", key)
+            arrays = _keys(key)
             for kind in ["c"] if n == order else kinds[1:]:
-                _pack(path, kind, key, values[kind])
+                _small(arrays, kind, values[kind])
+            _stored(f"{place}/grams{n}-{TaskContext.get().partitionId():06d}", arrays)
             count = values["c" if n == order else "k"]
             met = count > 0  # the rest are contexts only
             tokens, raw, count = [x[met] for x in tokens], values["c"][met], count[met]
@@ -236,87 +269,83 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
             _, at, *sums = summed(hashed(both), *(np.r_[last.get(x, none), before.get(x, none).astype(np.int64 if x in "cs" else np.int32)] for x in kinds))
             own = dict(zip(("c", "k", "n1", "n2"), ((count == i).sum() for i in (1, 2, 3, 4)), strict=True))
             yield from rows([np.r_[x[at], y, _COUNTS[n]] for x, y in zip(both, passed[0], strict=True)],
-                            [np.r_[x, y, own.get(kind, 0)] for x, y, kind in zip(sums, passed[1], kinds, strict=True)], kinds)
+                            [np.r_[x, y, own.get(kind, 0)] for x, y, kind in zip(sums, passed[1], kinds, strict=True)])
 
         return run
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(_column(b, "t0").view(np.uint64), *(_column(b, x) for x in kinds)) for b in batches]
-        if not parts:
+        found = read(batches, 1, len(kinds))
+        if found is None:
             return
-        w, _, *sums = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        w, _, *sums = summed(*found)
         values = dict(zip(kinds, sums, strict=True))
         of_counts = [values[x][w == _COUNTS[n]].sum() for n in range(2, order + 1) for x in ("c", "k", "n1", "n2")]
         tokens = ~np.isin(w, _COUNTS)
         w, values = w[tokens], {x: v[tokens] for x, v in values.items()}
-        name = f"{place}/tokens-{TaskContext.get().partitionId():06d}"
-        _stored(f"{name}-keys.npy", w)
+        arrays = _keys(w)
         for kind, array in values.items():
-            _stored(f"{name}-{kind}.npy", _narrow(array))
+            arrays[kind] = _narrow(array)
+        _stored(f"{place}/tokens-{TaskContext.get().partitionId():06d}", arrays)
         own, k = w != BEGIN, values["k"]
         found = [values["c"][own].sum(), own.sum(), k.sum(), *((k == i).sum() for i in (1, 2, 3, 4)), *of_counts]
         yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in found], names)
 
     names = ["tokens", "distinct", "types", *(f"l{n}_{i}" for n in range(1, order + 1) for i in (1, 2, 3, 4))]
-    schema = lambda n, values: ", ".join(["shard int", *(f"t{i} long" for i in range(n)), *(f"{x} long" for x in values)])
-    counted = train.mapInArrow(grams, schema(order, ["c"])).repartitionById(shards, F.col("shard"))
+    schema = "shard int, grams binary"
+    counted = train.mapInArrow(grams, schema).repartitionById(shards, F.col("shard"))
     for n in range(order, 1, -1):
-        counted = counted.mapInArrow(level(n), schema(n - 1, kinds)).repartitionById(shards, F.col("shard"))
+        counted = counted.mapInArrow(level(n), schema).repartitionById(shards, F.col("shard"))
     found = counted.mapInArrow(table, ", ".join(f"{n} long" for n in names)).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
     unigram, *rates = (discounts([found[f"l{n}_{i}"] for i in (1, 2, 3, 4)]) for n in range(1, order + 1))
     once, twice = found["l1_1"], found["l1_2"]
     freed = float(np.dot(unigram, (once, twice, found["distinct"] - once - twice)) / found["types"]) if found["types"] else 1.0
-    return Model(place, shards, frequent, found["tokens"], found["distinct"], found["types"], tuple(rates), unigram, freed)
+    return Model(place, shards, found["tokens"], found["distinct"], found["types"], tuple(rates), unigram, freed)
 
 
 class Lookup:
     """The model's arrays, mapped into memory; the pages that are read are shared by all workers of a machine."""
 
     def __init__(self, model: Model):
-        self.model, self.maps = model, {}
+        self.model, self.maps = model, OrderedDict()
 
-    def array(self, shard: int, kind: str) -> np.ndarray:
-        key = (shard, kind)
+    def arrays(self, shard: int, what: str) -> dict[str, np.ndarray]:
+        key = (shard, what)
         if key not in self.maps:
-            what, _, column = kind.partition("-")
-            path = f"{self.model.folder}/{what}-{shard:06d}-{column}.npy"
-            self.maps[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
+            self.maps[key] = _mapped(f"{self.model.folder}/{what}-{shard:06d}")
+            if len(self.maps) > MAPS:
+                self.maps.popitem(last=False)
+        self.maps.move_to_end(key)
         return self.maps[key]
 
-    def _found(self, keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the wanted keys that are there, and which those are."""
-        at = np.searchsorted(keys, wanted)
-        inside = at < len(keys)
-        there = np.flatnonzero(inside)[keys[at[inside]] == wanted[inside]]
-        return at[there], there
+    def _by_shard(self, columns: list[np.ndarray], what: str) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+        """The arrays of each shard, places in them, and which n-grams these are of."""
+        key, shard = hashed(columns), _place(columns, self.model.shards)
+        order = np.lexsort((key, shard))
+        edges = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            own, arrays = order[edges[s] : edges[s + 1]], self.arrays(s, what)
+            at, there = _found(arrays, key[own])
+            if len(at):
+                yield arrays, at, own[there]
 
     def tokens(self, w: np.ndarray) -> dict[str, np.ndarray]:
-        """c, k, s, n1, n2, n3 of sorted tokens."""
+        """c, k, s, n1, n2, n3 of tokens."""
         out = {x: np.zeros(len(w), np.int64) for x in ("c", "k", *(["s"] if self.model.order > 2 else []), "n1", "n2", "n3")}
-        shard = _token_shard(w, self.model.shards)
-        for s in np.unique(shard):
-            own = np.flatnonzero(shard == s)
-            at, there = self._found(self.array(s, "tokens-keys"), w[own])
+        for arrays, at, own in self._by_shard([w], "tokens"):
             for x, values in out.items():
-                values[own[there]] = self.array(s, f"tokens-{x}")[at]
+                values[own] = arrays[x][at]
         return out if "s" in out else out | {"s": out["c"]}
 
     def grams(self, columns: list[np.ndarray], kinds: list[str]) -> list[np.ndarray]:
         """The named values of n-grams; 0 of those that are not there."""
-        n, key, shard = len(columns), hashed(columns), _place(columns, self.model.frequent, self.model.shards)
-        order = np.lexsort((key, shard))
-        edges = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
-        out = [np.zeros(len(key), np.int64) for _ in kinds]
-        for s in np.flatnonzero(np.diff(edges)):
-            own = order[edges[s] : edges[s + 1]]
-            at, there = self._found(self.array(s, f"grams{n}-keys"), key[own])
+        out = [np.zeros(len(columns[0]), np.int64) for _ in kinds]
+        for arrays, at, own in self._by_shard(columns, f"grams{len(columns)}"):
             for kind, values in zip(kinds, out, strict=True):
-                count = self.array(s, f"grams{n}-{kind}")[at].astype(np.int64)
+                count = arrays[kind][at].astype(np.int64)
                 large = np.flatnonzero(count == _LARGE)
                 if len(large):
-                    place = np.searchsorted(self.array(s, f"grams{n}-large_{kind}_keys"), key[own[there[large]]])
-                    count[large] = self.array(s, f"grams{n}-large_{kind}")[place]
-                values[own[there]] = count
+                    count[large] = arrays[f"{kind}-large"][np.searchsorted(arrays[f"{kind}-places"], at[large])]
+                values[own] = count
         return out
 
     def counts(self, columns: list[np.ndarray]) -> np.ndarray:

@@ -231,6 +231,30 @@ def test_model_of_no_rows_and_counts_above_a_byte(rows):
     assert as_dict(language_model.scored(table(rows, [(1, "a a")]), model), "score")[1] == pytest.approx((want,))
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.integers(0, 1 << 30), st.integers(1, 4), st.integers(0, 400))
+def test_packed_rows_and_sorted_arrays_keep_everything(seed, columns, n):
+    random = np.random.default_rng(seed)
+    grams = [random.integers(0, 1 << 63, 50).astype(np.uint64)[random.integers(0, 50, n)] for _ in range(columns)]
+    values = [random.choice([0, 1, 2, 300, 1 << 40], n) for _ in range(3)]
+    if n:
+        got = language_model.unpacked(language_model.packed(grams, values), columns, 3)
+        assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(zip(*(x.tolist() for x in (*grams, *values)), strict=True))
+    keys = np.unique(random.integers(0, (1 << 64) - 1, n, dtype=np.uint64))
+    others = random.integers(0, (1 << 64) - 1, 50, dtype=np.uint64)
+    at, there = language_model._found(language_model._keys(keys), np.r_[others, keys])
+    assert (there >= 50).all() and at.tolist() == list(range(len(keys)))
+
+
+def test_few_maps_and_null_ids(rows, monkeypatch):
+    monkeypatch.setattr(language_model, "MAPS", 2)
+    texts = [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None), (None, "x y")]
+    model = language_model.fit(table(rows, texts), 3)
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.score, 9)) for r in language_model.scored(table(rows, texts), model).collect()), key=repr)
+    assert len(got) == 5 and got[0] == got[1] and got[2][:3] == (2, 1, 1)
+    assert got[4][3] == got[0][3]
+
+
 def test_language_model_beats_the_base_on_held_out_texts(spark):
     from retailflow.llm.queries import QUERIES
 
