@@ -14,17 +14,15 @@ Every draw and permutation is a hash of names and numbers: reruns agree.
 Defined cases: null and empty texts have size 0 and are taken 0 times; a source of size 0 has
 target 0; null is a source of its own. Repeated rows are documents of their own, each laid down once.
 With no words at all nothing is taken. Columns of other names are kept by mixed_documents, not read.
-A mix names its sources: above MAX_SOURCES of them it ends with an error. The table of sources is
-therefore bounded, and broadcast.
+There may be any number of sources: they are a table, which shares meet by ranges; a row for each source passes through one task.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -32,9 +30,10 @@ from retailflow.llm.common import renamed, written
 
 #: Prime multipliers of the permutations; one of them does not divide a source's number of blocks.
 PRIMES = (33554393, 33554383, 33554371, 33554347, 33554341, 33554317, 33554311, 33554291)
-MAX_SOURCES = 10_000
-#: Documents of one running sum.
-BUCKET = 10_000
+#: Documents of one running sum, and shards of one.
+BUCKET, SHARDS = 10_000, 1024
+#: Cells that ranges are cut at, at least; four for each range.
+CELLS = 1024
 
 
 def size_of(text: Column) -> Column:
@@ -54,9 +53,9 @@ class Mix:
 
 @dataclass
 class Mixed:
-    """documents: doc_id, copy, size, source_no, first (place of its first word in the source).
+    """documents: doc_id, ident (hash of the text), copy, size, source_no, first (place of its first word in the source).
     sources: source_no, source, source_size, target, blocks, slots. slots: shard, slot, source_no,
-    block. parts: doc_id, copy, start, words, times: which words of a document are taken how often."""
+    block. parts: _ROW, size, start, words, times: which words of a document are taken how often."""
 
     documents: DataFrame
     sources: DataFrame
@@ -68,15 +67,15 @@ def placed(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """Adds `first`: running sums within buckets of a source, and over its buckets. A source of any
     size is spread over tasks; the sums over buckets are BUCKET times fewer rows."""
     numbers = sources.select("source_no", F.col("source").alias("s"), F.greatest(F.lit(1), F.ceil(F.col("source_rows") / BUCKET)).alias("buckets"))
-    docs = docs.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("s"))) \
-        .select("doc_id", "copy", "size", "source_no", F.pmod(F.xxhash64("doc_id", "copy"), "buckets").alias("bucket"))
+    docs = docs.join(numbers, F.col("source").eqNullSafe(F.col("s"))) \
+        .select("doc_id", "ident", "copy", "size", "source_no", F.pmod(F.xxhash64("doc_id", "ident", "copy"), "buckets").alias("bucket"))
     keys = ["source_no", "bucket"]
     upto = (W.unboundedPreceding, -1)
     base = F.sum("bucket_size").over(W.partitionBy("source_no").orderBy("bucket").rowsBetween(*upto))
     sums = docs.groupBy(keys).agg(F.sum("size").alias("bucket_size")).select(*keys, F.coalesce(base, F.lit(0)).alias("base"))
-    inside = F.sum("size").over(W.partitionBy(keys).orderBy(F.col("doc_id").asc_nulls_last(), "copy", "size").rowsBetween(*upto))
+    inside = F.sum("size").over(W.partitionBy(keys).orderBy(F.col("doc_id").asc_nulls_last(), "ident", "copy").rowsBetween(*upto))
     return docs.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sums, keys) \
-        .select("doc_id", "copy", "size", "source_no", (F.col("base") + F.col("inside")).cast("long").alias("first"))
+        .select("doc_id", "ident", "copy", "size", "source_no", (F.col("base") + F.col("inside")).cast("long").alias("first"))
 
 
 def targets(sources: DataFrame, mix: Mix) -> DataFrame:
@@ -116,67 +115,75 @@ def permuted(index: Column, n: Column, source: Column, epoch: Column, seed: int)
     return x
 
 
-def _at(values: list[int], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v).cast("long") for v in values]), index)
+def located(rows: DataFrame, at: str, ranges: DataFrame, total: int, number: int) -> DataFrame:
+    """Rows with the columns of the range (low to high, without high) that holds their number `at`. The ranges, `number` of
+    them, cover 0 to total and are cut at the borders of equal cells, by which both sides meet: a row meets the ranges of its cell."""
+    width = max(1, total // max(CELLS, 4 * number))
+    cells = F.sequence(F.expr(f"low div {width}"), F.expr(f"(high - 1) div {width}"))
+    pieces = ranges.where("high > low").withColumn("cell", F.explode(cells))
+    met = rows.withColumn("cell", F.expr(f"{at} div {width}")).join(pieces, "cell")
+    return met.where((F.col(at) >= F.col("low")) & (F.col(at) < F.col("high"))).drop("cell")
 
 
-def _below(values: list[int], x: Column) -> Column:
-    """How many of the values are at most x."""
-    return F.size(F.filter(F.array(*[F.lit(v).cast("long") for v in values]), lambda e: e <= x))
+def _cumulated(values: str) -> Column:
+    """Sum over the sources before, in order of their numbers."""
+    return F.coalesce(F.sum(values).over(W.orderBy("source_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
 
 
-def draw(spark: SparkSession, wanted: dict[int, int], mix: Mix) -> DataFrame:
+def _places(counts: DataFrame) -> DataFrame:
+    """shard, source_no, before: how many slots of the source earlier shards have. Sums within SHARDS shards, and over these."""
+    counts = counts.withColumn("part", F.expr(f"shard div {SHARDS}"))
+    upto = (W.unboundedPreceding, -1)
+    base = F.sum("m").over(W.partitionBy("source_no").orderBy("part").rowsBetween(*upto))
+    parts = counts.groupBy("source_no", "part").agg(F.sum("n").alias("m")).select("source_no", "part", F.coalesce(base, F.lit(0)).alias("base"))
+    inside = F.sum("n").over(W.partitionBy("source_no", "part").orderBy("shard").rowsBetween(*upto))
+    return counts.withColumn("inside", F.coalesce(inside, F.lit(0))).join(parts, ["source_no", "part"]) \
+        .select("shard", "source_no", (F.col("base") + F.col("inside")).alias("before"))
+
+
+def draw(wanted: DataFrame, mix: Mix) -> DataFrame:
     """shard, slot, source_no, place of every slot of the output: the place-th slot of its source, from
-    0 to wanted - 1. wanted: slots by source_no."""
-    total = sum(wanted.values())
+    0 to wanted - 1. wanted: source_no, slots of each source."""
+    spark = wanted.sparkSession
+    number, total = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum("slots"), F.lit(0))).first()
     if not total:
         return spark.createDataFrame([], "shard long, slot long, source_no int, place long")
     # The draw: the slot's hash falls into a source's share of all slots.
-    numbers = sorted(no for no, n in wanted.items() if n)
-    edges = list(itertools.accumulate(wanted[no] for no in numbers))
+    edges = wanted.select("source_no", _cumulated("slots").alias("low"), "slots").select("source_no", "low", (F.col("low") + F.col("slots")).alias("high"))
     slots = spark.range(total).select(F.col("id").alias("slot"), F.expr(f"id div {mix.shard}").alias("shard"))
-    u = F.pmod(F.xxhash64("slot", F.lit(mix.seed)), F.lit(total))
-    drawn = slots.withColumn("source_no", _at(numbers, _below(edges, u)).cast("int"))
+    slots = slots.withColumn("u", F.pmod(F.xxhash64("slot", F.lit(mix.seed)), F.lit(total)))
+    drawn = written(located(slots, "u", edges, total, number).select("shard", "slot", "source_no"), "mix-drawn")
     # Counts by shard and source; the slots of a source are numbered through all shards.
     counts = written(drawn.groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
-    upto = F.sum("n").over(W.partitionBy("source_no").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
-    before = counts.select("shard", "source_no", F.coalesce(upto, F.lit(0)).alias("before"))
-    number = F.row_number().over(W.partitionBy("shard", "source_no").orderBy("slot")) - 1
-    drawn = drawn.withColumn("number", number).join(before, ["shard", "source_no"]) \
+    order = F.row_number().over(W.partitionBy("shard", "source_no").orderBy("slot")) - 1
+    drawn = drawn.withColumn("number", order).join(_places(counts), ["shard", "source_no"]) \
         .select("shard", "slot", "source_no", (F.col("before") + F.col("number")).cast("long").alias("place"))
     # Draws beyond a source's slots are given, in order, to the places that no draw has filled.
-    found = {r["source_no"]: r["n"] for r in counts.groupBy("source_no").agg(F.sum("n").alias("n")).collect()}
-    over = [(no, found.get(no, 0) - wanted[no]) for no in numbers if found.get(no, 0) > wanted[no]]
-    under = [(no, wanted[no] - found.get(no, 0)) for no in numbers if found.get(no, 0) < wanted[no]]
-    if not over:
-        return drawn
-    ends = [wanted[no] for no in numbers]
-    limit = _at(ends, _below(numbers, F.col("source_no")) - 1)
-    skipped = list(itertools.accumulate((n for _, n in over), initial=0))[:-1]
-    spare = F.col("place") - limit + _at(skipped, _below([no for no, _ in over], F.col("source_no")) - 1)
-    begins = list(itertools.accumulate((n for _, n in under), initial=0))[:-1]
-    free = drawn.where(F.col("place") >= limit).select("shard", "slot", spare.alias("spare"))
-    free = free.withColumn("to", _below(begins, F.col("spare")) - 1)
-    place = F.col("spare") - _at(begins, F.col("to")) + _at([found.get(no, 0) for no, _ in under], F.col("to"))
-    moved = free.select("shard", "slot", _at([no for no, _ in under], F.col("to")).cast("int").alias("source_no"), place.alias("place"))
-    return drawn.where(F.col("place") < limit).unionByName(moved)
+    found = counts.groupBy("source_no").agg(F.sum("n").alias("found"))
+    balance = wanted.select("source_no", "slots").join(found, "source_no", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    balance = balance.withColumns({"over": F.greatest(F.col("found") - F.col("slots"), F.lit(0)), "under": F.greatest(F.col("slots") - F.col("found"), F.lit(0))})
+    balance = written(balance.withColumns({"skipped": _cumulated("over"), "begins": _cumulated("under")}), "mix-balance")
+    spare = balance.agg(F.sum("over")).first()[0]
+    drawn = drawn.join(balance.select("source_no", "slots", "skipped"), "source_no")
+    kept = drawn.where(F.col("place") < F.col("slots")).select("shard", "slot", "source_no", "place")
+    if not spare:
+        return kept
+    free = drawn.where(F.col("place") >= F.col("slots")).select("shard", "slot", (F.col("place") - F.col("slots") + F.col("skipped")).alias("spare"))
+    gaps = balance.select("source_no", "found", F.col("begins").alias("low"), (F.col("begins") + F.col("under")).alias("high"))
+    moved = located(free, "spare", gaps, spare, number)
+    return kept.unionByName(moved.select("shard", "slot", "source_no", (F.col("found") + F.col("spare") - F.col("low")).alias("place")))
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> Mixed:
-    spark = docs.sparkSession
-    docs = renamed(docs, ["doc_id", "source", "text"]).select("doc_id", "source", size_of(F.col("text")).alias("size"))
-    docs = docs.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies"))
-    docs = written(docs.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")), "mix-sizes")
+    text = F.col("text")
+    docs = renamed(docs, ["doc_id", "source", "text"]).select("doc_id", "source", F.xxhash64(text).alias("ident"), size_of(text).alias("size"))
+    docs = docs.groupBy("doc_id", "source", "ident", "size").agg(F.count(F.lit(1)).alias("copies"))
+    docs = written(docs.select("doc_id", "source", "ident", "size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")), "mix-sizes")
     by_source = docs.groupBy("source").agg(F.count(F.lit(1)).alias("source_rows"), F.sum("size").alias("source_size"))
-    if by_source.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found = targets(by_source, mix)
-    rows = found.collect()
-    sources = spark.createDataFrame(rows, found.schema)
+    sources = written(targets(by_source, mix), "mix-sources")
     docs = written(placed(docs, sources), "mix-placed")
 
-    small = F.broadcast(sources.select("source_no", "blocks"))
-    slots = draw(spark, {r["source_no"]: r["slots"] for r in rows}, mix).join(small, "source_no")
+    slots = draw(sources.select("source_no", "slots"), mix).join(sources.select("source_no", "blocks"), "source_no")
     block = permuted(F.expr("place % blocks"), F.col("blocks"), F.col("source_no"), F.expr("place div blocks"), mix.seed)
     slots = slots.select("shard", "slot", "source_no", block.alias("block"))
     times = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
@@ -187,24 +194,24 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> Mixed:
     start = F.greatest(F.col("first"), F.col("block") * mix.block) - F.col("first")
     end = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * mix.block) - F.col("first")
     parts = spans.withColumn("start", start).withColumn("words", end - start).join(times, ["source_no", "block"])
-    return Mixed(docs, sources, slots, parts.select("doc_id", "copy", "size", "source_no", "start", "words", "times"))
+    return Mixed(docs, sources, slots, parts.select(*_ROW, "size", "start", "words", "times"))
 
 
 #: What tells the rows of `documents` apart.
-_ROW = ["doc_id", "copy", "size", "source_no"]
+_ROW = ["doc_id", "ident", "copy", "source_no"]
 
 
-def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
-    right = right.select(*[F.col(k).alias(f"_{k}") if k in _ROW else F.col(k) for k in right.columns])
-    same = [left[k].eqNullSafe(right[f"_{k}"]) for k in _ROW]
-    return left.join(right, same, "left").drop(*[f"_{k}" for k in _ROW])
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    right = right.select(*[F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in right.columns])
+    same = [left[k].eqNullSafe(right[f"_{k}"]) for k in keys]
+    return left.join(right, same, how).drop(*[f"_{k}" for k in keys])
 
 
 def taken(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """doc_id, size, source_size, target, taken: a row per document."""
     got = mixed(docs, mix)
     words = got.parts.groupBy(_ROW).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    rows = _joined(got.documents, words).join(F.broadcast(got.sources.select("source_no", "source_size", "target")), "source_no")
+    rows = _joined(got.documents, words, _ROW, "left").join(got.sources.select("source_no", "source_size", "target"), "source_no")
     return rows.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -214,12 +221,21 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     parts of a text are joined by single spaces. n_chars, where there is one, is that of the new text."""
     got = mixed(docs, mix)
     part = F.struct("start", "words", "times")
-    plan = got.parts.groupBy(_ROW).agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max("times").alias("passes"))
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.col("source").alias("s"), size_of(F.col("text")).alias("size"))
-    small = got.sources.select("source_no", F.col("source").alias("of"))
-    rows = rows.join(F.broadcast(small), F.col("s").eqNullSafe(F.col("of"))).drop("s", "of")
-    rows = rows.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "size", "source_no").orderBy(F.lit(1))))
-    rows = _joined(rows, plan).where("passes IS NOT NULL")
+    plan = got.parts.groupBy(*_ROW, "size").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max("times").alias("passes"))
+    # Rows of equal id, source and text share a plan row, which has what each of them gives.
+    key = [k for k in _ROW if k != "copy"]
+    number = got.documents.groupBy(*key).agg(F.max("copy").alias("copies"))
+    plan = plan.groupBy(*key, "size").agg(F.collect_list(F.struct("copy", "parts", "passes")).alias("plans"))
+    plan = _joined(plan, number, key, "inner").join(got.sources.select("source_no", F.col("source").alias("s")), "source_no")
+    plan = plan.select("doc_id", "ident", "s", F.col("size").alias("words_in"), "plans", "copies")
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("row"), "doc_id", "text", F.xxhash64("text").alias("ident"), F.col("source").alias("s"))
+    rows = _joined(rows, plan, ["doc_id", "ident", "s"], "inner")
+    alone = rows.where("copies = 1").withColumn("copy", F.lit(1))
+    order = W.partitionBy("doc_id", "ident", "s").orderBy(F.xxhash64("row"))
+    rows = alone.unionByName(rows.where("copies > 1").withColumn("copy", F.row_number().over(order)))
+    rows = rows.withColumn("plan", F.get(F.filter("plans", lambda p: p["copy"] == F.col("copy")), F.lit(0)))
+    rows = rows.where("plan IS NOT NULL").select("row", "text", F.col("words_in").alias("size"), "plan.parts", "plan.passes")
     rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
     rows = rows.withColumn("taken", F.filter("parts", lambda p: p["times"] >= F.col("turn")))
     length = F.aggregate("taken", F.lit(0).cast("long"), lambda n, p: n + p["words"])

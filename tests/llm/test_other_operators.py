@@ -182,15 +182,60 @@ def test_mix(rows):
     assert mixing.taken(frame.limit(0)).count() == 0
 
 
+def test_many_sources_and_what_is_taken_by_a_plain_version(spark):
+    docs = spark.range(9000).select(
+        (F.col("id") % 8990).alias("doc_id"), F.concat(F.lit("s"), F.pow(F.lit(1.0009), F.col("id")).cast("int")).alias("source"),
+        F.expr("repeat('w ', cast(id * 7919 % 300 as int))").alias("text"))
+    mix = mixing.Mix(block=16, shard=50)
+    got = mixing.mixed(docs, mix)
+    sources = {r.source_no: r for r in got.sources.collect()}
+    assert len(sources) > 1000
+    slots = got.slots.collect()
+    total = sum(r.slots for r in sources.values())
+    assert sorted(r.slot for r in slots) == list(range(total))
+    times = {}
+    for r in slots:
+        times.setdefault(r.source_no, {}).setdefault(r.block, []).append(r.slot)
+    for no, r in sources.items():
+        own = times.get(no, {})
+        assert sum(map(len, own.values())) == r.slots and all(0 <= b < r.blocks for b in own)
+        if r.slots:  # every block once before any a second time
+            assert {len(own.get(b, [])) for b in range(r.blocks)} <= {r.slots // r.blocks, -(-r.slots // r.blocks)}
+    # The documents of a source, end to end; a block gives its words as often as it has slots.
+    want, place = {}, {}
+    for r in sorted(got.documents.collect(), key=lambda r: (r.source_no, r.first, r.size)):
+        assert r.first == place.get(r.source_no, 0)
+        place[r.source_no] = r.first + r.size
+        taken = sum(len(times.get(r.source_no, {}).get(word // 16, [])) for word in range(r.first, r.first + r.size))
+        want[r.doc_id, r.size, taken] = want.get((r.doc_id, r.size, taken), 0) + 1
+    found = {}
+    for r in mixing.taken(docs, mix).collect():
+        found[r.doc_id, r.size, r.taken] = found.get((r.doc_id, r.size, r.taken), 0) + 1
+    assert found == want
+
+
+def test_equal_ids_and_sizes_of_unlike_texts_stay_apart(rows):
+    docs = [(1, f"a{i} b{i} c{i}", "s", i) for i in range(30)] + [(1, "x y z", "s", 100), (1, "x y z", "s", 101), (2, None, "s", 1)]
+    frame = rows(docs, "doc_id long, text string, source string, n_chars int")
+    taken = sum(r.taken for r in mixing.taken(frame, mixing.Mix(block=2)).collect())
+    texts = [r.text for r in mixing.mixed_documents(frame, mixing.Mix(block=2)).collect()]
+    assert sum(len(t.split()) for t in texts) == taken
+    assert {w for t in texts for w in t.split()} <= {w for _, t, _, _ in docs for w in (t or "").split()}
+    assert all(len({w[1:] for w in t.split()}) == 1 for t in texts if not set(t.split()) & set("xyz"))
+    again = [r.text for r in mixing.mixed_documents(frame.repartition(5), mixing.Mix(block=2)).collect()]
+    assert sorted(again) == sorted(texts)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 997, 4096])
 def test_permutations_are_one_to_one(spark, n):
     rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit(1), 17).alias("p")).collect()
     assert sorted(r.p for r in rows) == list(range(n))
 
 
-def test_draws_fill_every_place_once(spark):
+def test_draws_fill_every_place_once(spark, monkeypatch):
     wanted = {1: 500, 2: 3, 3: 0, 4: 1200}
-    got = mixing.draw(spark, wanted, mixing.Mix(shard=100)).collect()
+    monkeypatch.setattr(mixing, "SHARDS", 3)
+    got = mixing.draw(spark.createDataFrame(list(wanted.items()), "source_no int, slots long"), mixing.Mix(shard=100)).collect()
     assert sorted(r.slot for r in got) == list(range(1703))
     assert sorted((r.source_no, r.place) for r in got) == [(s, p) for s, n in wanted.items() for p in range(n)]
 
