@@ -9,10 +9,12 @@ With the discounts D of each level from its counts of counts, and h' being h wit
 where q, without any h, counts the different tokens before v (k), and its last term is shared by the V training
 tokens and one class of unknown tokens. After an h that training has not met, p(v|h) = p(v|h').
 
-N-grams are dealt to shards by the hash of all their tokens, so that no shard grows with one word. What a task has for a shard
-goes as one row of bytes: the n-grams in order, their tokens as places in a list of the different ones, a plane for each byte, compressed.
-A shard's arrays of one length are one file: sorted 64-bit hashes, of which the leading bits are places in a table and 32 more
-are kept, and their values. A worker keeps at most MAPS files mapped. All counts cover all training texts, and nothing is pruned.
+Tokens are numbers, the most frequent first, by a vocabulary that is counted before all else and stored like the model. N-grams are
+dealt to shards by their first token; those of the 4 x shards most frequent tokens, and so of every token with a quarter of a
+shard's share, by all tokens: no shard grows with one word. What a task has for a shard goes as one row of bytes: the n-grams
+in order, a plane for each byte of their numbers, compressed. A shard's arrays of one length are one file: sorted 64-bit
+hashes, of which the leading bits are places in a table and 32 more are kept, and their values. A worker keeps at
+most MAPS files mapped. All counts cover all training texts, and nothing is pruned.
 
 Defined cases: null and empty texts are one token, the end. A null id counts as the empty text in the
 choice of held-out documents. Repeated rows are counted and scored each. Without training
@@ -34,16 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from retailflow.llm.common import bounded_batches, mounted
-from retailflow.llm.words import BEGIN, END, Words, mix, pair, scan
+from retailflow.llm.common import bounded_batches, mounted, written
+from retailflow.llm.words import END, Words, mix, pair, scan
 from retailflow.session import run_dir
 
 #: Files that a worker keeps mapped.
 MAPS = 2000
 #: Tokens of the n-grams that a counting task holds before it passes them on.
 HELD = 8_000_000
-#: By level: stands for its counts of counts in rows about shorter n-grams.
-_COUNTS = mix((np.uint64(3) << np.uint64(62)) + np.arange(64, dtype=np.uint64))
+#: Numbers that are no words: the begin, by level what stands for its counts of counts in rows about shorter n-grams, what
+#: training has not met. Words and the end are numbered from FIRST on.
+_BEGIN, _COUNTS, FIRST, _UNKNOWN = 0, np.arange(64, dtype=np.uint32), 100, (1 << 32) - 1
 _SHARD_SALT = np.uint64(0x51ED270B9F86A3C5)
 #: A count is one byte; this one stands for a count kept apart.
 _LARGE = 255
@@ -78,27 +81,28 @@ def discounted(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(count - np.array([0, *d])[np.minimum(count, 3).astype(int)], 0)
 
 
-def sequences(words: Words, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The tokens of all texts with their ends, after columns of the tokens before each; and where each text begins."""
+def sequences(words: Words, number: np.ndarray, end: int, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The tokens of all texts with their ends, after columns of the tokens before each; and where each text begins.
+    number: of each word."""
     first = words.first - words.first[0] + np.arange(words.rows + 1)
-    after = np.empty(len(words.hash) + words.rows, np.uint64)
+    after = np.empty(len(words.hash) + words.rows, np.uint32)
     own = np.ones(len(after), bool)
     own[first[1:] - 1] = False
-    after[own], after[~own] = words.hash, END
+    after[own], after[~own] = number, end
     columns = [after]
     while len(columns) < order:
         before = np.empty_like(after)
         before[1:] = columns[0][:-1]
-        before[first[:-1]] = BEGIN
+        before[first[:-1]] = _BEGIN
         columns.insert(0, before)
     return columns, first
 
 
 def hashed(columns: list[np.ndarray]) -> np.ndarray:
-    """Hash of each n-gram; that of one token is its own."""
-    out = columns[-1]
+    """Hash of each n-gram."""
+    out = mix(columns[-1].astype(np.uint64) + np.uint64(1))
     for x in columns[-2::-1]:
-        out = pair(x, out)
+        out = pair(x.astype(np.uint64), out)
     return out
 
 
@@ -111,31 +115,39 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (k[heads], order[heads], *sums)
 
 
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(key ^ _SHARD_SALT) % np.uint64(shards)).astype(np.int32)
+
+
 def _place(columns: list[np.ndarray], shards: int) -> np.ndarray:
-    return (mix(hashed(columns) ^ _SHARD_SALT) % np.uint64(shards)).astype(np.int32)
+    spread = hashed(columns)
+    if len(columns) > 1:
+        spread = np.where(columns[0] < FIRST + 4 * shards, spread, columns[0].astype(np.uint64))
+    return _shard(spread, shards)
 
 
 def packed(columns: list[np.ndarray], values: list[np.ndarray]) -> bytes:
-    """N-grams and their values as compressed bytes; equal tokens are written once."""
+    """N-grams and their values as compressed bytes."""
     order = np.lexsort(columns[::-1])
-    names, codes = np.unique(np.concatenate([x[order] for x in columns]), return_inverse=True)
+    codes = np.stack([x[order] for x in columns])
+    codes[0, 1:] -= codes[0, :-1].copy()  # steps of the first, which comes in order
     planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1))
     values = [_narrow(x[order]) for x in values]
-    body = b"".join([names.tobytes(), planes.tobytes(), *(x.tobytes() for x in values)])
-    head = np.array([len(order), len(names), len(body), *(x.dtype.itemsize for x in values)], np.int64)
+    body = b"".join([planes.tobytes(), *(x.tobytes() for x in values)])
+    head = np.array([len(order), len(body), *(x.dtype.itemsize for x in values)], np.int64)
     return head.tobytes() + pa.compress(body, "zstd", asbytes=True)
 
 
 def unpacked(row: bytes, columns: int, values: int) -> list[np.ndarray]:
     """The columns and values of `packed`, in the n-grams' order."""
-    head = np.frombuffer(row, np.int64, 3 + values)
-    n, tokens, size = head[:3].tolist()
+    head = np.frombuffer(row, np.int64, 2 + values)
+    n, size = head[:2].tolist()
     body = np.frombuffer(pa.decompress(row[head.nbytes :], size, "zstd", asbytes=True), np.uint8)
-    names, at = body[: 8 * tokens].view(np.uint64), 8 * tokens
-    planes = body[at : at + 4 * n * columns].reshape(columns, 4, n)
-    out = [names[np.ascontiguousarray(p.T).view("<u4").ravel()] for p in planes]
-    at += 4 * n * columns
-    for width in head[3:].tolist():
+    at = 4 * n * columns
+    planes = body[:at].reshape(columns, 4, n)
+    out = [np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes]
+    out[0] = np.cumsum(out[0], dtype=np.uint32)
+    for width in head[2:].tolist():
         out.append(np.frombuffer(body[at : at + width * n].tobytes(), f"<u{width}").astype(np.int64))
         at += width * n
     return out
@@ -203,6 +215,47 @@ def _small(arrays: dict[str, np.ndarray], kind: str, x: np.ndarray) -> None:
     arrays[f"{kind}-places"], arrays[f"{kind}-large"] = _narrow(large), _narrow(x[large])
 
 
+def _vocabulary(train: DataFrame, place: str, shards: int) -> int:
+    """Stores the number of every training token and of the end, by its hash, and returns how many there are."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = scan(batch.column(0))
+            key, n = np.unique(words.hash, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[key, END].view(np.int64)), pa.array(np.r_[n, words.rows])], ["w", "n"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(at, at + len(batch))), pa.array(np.full(len(batch), part, np.int32))], ["w", "at", "part"])
+            at += len(batch)
+
+    counts = train.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    ordered = written(counts, "lm-counts").repartitionByRange(F.desc("n"), "w").sortWithinPartitions(F.desc("n"), "w")
+    rows = written(ordered.mapInArrow(number, "w long, at long, part int"), "lm-numbers")
+    sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
+    parts = np.zeros(max(sizes, default=0) + 2, np.int64)
+    parts[np.array(list(sizes), np.int64) + 1] = list(sizes.values())
+    base = np.cumsum(parts) + FIRST
+    if base[-1] >= _UNKNOWN:
+        raise ValueError(f"{base[-1]} different tokens")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, at, part = (batch[c].to_numpy() for c in ("w", "at", "part"))
+            yield pa.RecordBatch.from_arrays([pa.array(_shard(w.view(np.uint64), shards)), batch["w"], pa.array(base[part] + at)], ["shard", "w", "number"])
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b["w"].to_numpy().view(np.uint64), b["number"].to_numpy()) for b in batches]
+        if parts:
+            w, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(w)
+            _stored(f"{place}/words-{TaskContext.get().partitionId():06d}", _keys(w[order]) | {"number": numbers[order].astype(np.uint32)})
+        yield pa.RecordBatch.from_arrays([pa.array([len(parts)], pa.int64())], ["done"])
+
+    rows.mapInArrow(deal, "shard int, w long, number long").repartitionById(shards, F.col("shard")).mapInArrow(store, "done long").agg(F.sum("done")).first()
+    return int(base[-1]) - FIRST
+
+
 def fit(docs: DataFrame, order: int = 2) -> Model:
     """Counts the column `text` of all rows."""
     if not 2 <= order < len(_COUNTS):
@@ -213,6 +266,7 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
     shards = max(8, train.rdd.getNumPartitions() * (2 * order - 3))
     folder = run_dir(spark, "language-model")
     place = mounted(folder)
+    _vocabulary(train, place, shards)
     # c: occurrences. k: different tokens before. s: total of the counts after, which c has in order two. n1 to n3: kinds after.
     kinds = ["c", "k", *(["s"] if order > 2 else []), "n1", "n2", "n3"]
 
@@ -229,9 +283,11 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
         return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else None
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [np.zeros(0, np.uint64)] * order, np.zeros(0, np.int32)
+        held, count, vocabulary = [np.zeros(0, np.uint32)] * order, np.zeros(0, np.int32), Maps(place, shards)
         for batch in batches:
-            held = [np.r_[x, y] for x, y in zip(held, sequences(scan(batch.column(0)), order)[0], strict=True)]
+            words = scan(batch.column(0))
+            number = vocabulary.numbers(np.r_[words.hash, END])
+            held = [np.r_[x, y] for x, y in zip(held, sequences(words, number[:-1], int(number[-1]), order)[0], strict=True)]
             _, at, count = summed(hashed(held), np.r_[count, np.ones(len(held[0]) - len(count), np.int32)])
             held = [x[at] for x in held]
             if len(count) * order > HELD:
@@ -251,7 +307,7 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
             key, at, *sums = summed(hashed(found[:n]), *found[n:])
             tokens, values = [x[at] for x in found[:n]], dict(zip(names, sums, strict=True))
             del found, sums
-            told = np.isin(tokens[0], _COUNTS)  # counts of counts of longer ones
+            told = (tokens[0] > _BEGIN) & (tokens[0] < FIRST)  # counts of counts of longer ones
             passed = [x[told] for x in tokens[1:]], [values[x][told] if x in values else np.zeros(told.sum(), np.int64) for x in kinds]
             key, tokens, values = key[~told], [x[~told] for x in tokens], {x: v[~told] for x, v in values.items()}
             arrays = _keys(key)
@@ -264,11 +320,11 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
             del key, values
             none, ones = np.zeros(len(count), np.int32), np.ones(len(count), np.int32)
             last = {"c": raw, "k": ones}
-            before = {"c": np.where(tokens[0] == BEGIN, count, 0) if order == 2 else none, "s": count, "n1": count == 1, "n2": count == 2, "n3": count >= 3}
+            before = {"c": np.where(tokens[0] == _BEGIN, count, 0) if order == 2 else none, "s": count, "n1": count == 1, "n2": count == 2, "n3": count >= 3}
             both = [np.r_[x, y] for x, y in zip(tokens[1:], tokens[:-1], strict=True)]
             _, at, *sums = summed(hashed(both), *(np.r_[last.get(x, none), before.get(x, none).astype(np.int64 if x in "cs" else np.int32)] for x in kinds))
             own = dict(zip(("c", "k", "n1", "n2"), ((count == i).sum() for i in (1, 2, 3, 4)), strict=True))
-            yield from rows([np.r_[x[at], y, _COUNTS[n]] for x, y in zip(both, passed[0], strict=True)],
+            yield from rows([np.r_[x[at], y, _COUNTS[n : n + 1]] for x, y in zip(both, passed[0], strict=True)],
                             [np.r_[x, y, own.get(kind, 0)] for x, y, kind in zip(sums, passed[1], kinds, strict=True)])
 
         return run
@@ -277,16 +333,17 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
         found = read(batches, 1, len(kinds))
         if found is None:
             return
-        w, _, *sums = summed(*found)
+        key, at, *sums = summed(hashed(found[:1]), *found[1:])
+        w = found[0][at]
         values = dict(zip(kinds, sums, strict=True))
         of_counts = [values[x][w == _COUNTS[n]].sum() for n in range(2, order + 1) for x in ("c", "k", "n1", "n2")]
-        tokens = ~np.isin(w, _COUNTS)
-        w, values = w[tokens], {x: v[tokens] for x, v in values.items()}
-        arrays = _keys(w)
+        tokens = (w == _BEGIN) | (w >= FIRST)
+        key, w, values = key[tokens], w[tokens], {x: v[tokens] for x, v in values.items()}
+        arrays = _keys(key)
         for kind, array in values.items():
             arrays[kind] = _narrow(array)
         _stored(f"{place}/tokens-{TaskContext.get().partitionId():06d}", arrays)
-        own, k = w != BEGIN, values["k"]
+        own, k = w != _BEGIN, values["k"]
         found = [values["c"][own].sum(), own.sum(), k.sum(), *((k == i).sum() for i in (1, 2, 3, 4)), *of_counts]
         yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in found], names)
 
@@ -302,36 +359,51 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
     return Model(place, shards, found["tokens"], found["distinct"], found["types"], tuple(rates), unigram, freed)
 
 
-class Lookup:
-    """The model's arrays, mapped into memory; the pages that are read are shared by all workers of a machine."""
+class Maps:
+    """A model's files, mapped into memory; the pages that are read are shared by all workers of a machine."""
 
-    def __init__(self, model: Model):
-        self.model, self.maps = model, OrderedDict()
+    def __init__(self, folder: str, shards: int):
+        self.folder, self.shards, self.maps = folder, shards, OrderedDict()
 
     def arrays(self, shard: int, what: str) -> dict[str, np.ndarray]:
         key = (shard, what)
         if key not in self.maps:
-            self.maps[key] = _mapped(f"{self.model.folder}/{what}-{shard:06d}")
+            self.maps[key] = _mapped(f"{self.folder}/{what}-{shard:06d}")
             if len(self.maps) > MAPS:
                 self.maps.popitem(last=False)
         self.maps.move_to_end(key)
         return self.maps[key]
 
-    def _by_shard(self, columns: list[np.ndarray], what: str) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
-        """The arrays of each shard, places in them, and which n-grams these are of."""
-        key, shard = hashed(columns), _place(columns, self.model.shards)
+    def found(self, key: np.ndarray, shard: np.ndarray, what: str) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+        """The arrays of each shard, places of the keys in them, and which keys these are of."""
         order = np.lexsort((key, shard))
-        edges = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
+        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(edges)).tolist():
             own, arrays = order[edges[s] : edges[s + 1]], self.arrays(s, what)
             at, there = _found(arrays, key[own])
             if len(at):
                 yield arrays, at, own[there]
 
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each token."""
+        w, place = np.unique(hashes, return_inverse=True)
+        out = np.full(len(w), _UNKNOWN, np.uint32)
+        for arrays, at, own in self.found(w, _shard(w, self.shards), "words"):
+            out[own] = arrays["number"][at]
+        return out[place]
+
+
+class Lookup(Maps):
+    """The values of n-grams."""
+
+    def __init__(self, model: Model):
+        super().__init__(model.folder, model.shards)
+        self.model = model
+
     def tokens(self, w: np.ndarray) -> dict[str, np.ndarray]:
         """c, k, s, n1, n2, n3 of tokens."""
         out = {x: np.zeros(len(w), np.int64) for x in ("c", "k", *(["s"] if self.model.order > 2 else []), "n1", "n2", "n3")}
-        for arrays, at, own in self._by_shard([w], "tokens"):
+        for arrays, at, own in self.found(hashed([w]), _place([w], self.shards), "tokens"):
             for x, values in out.items():
                 values[own] = arrays[x][at]
         return out if "s" in out else out | {"s": out["c"]}
@@ -339,7 +411,7 @@ class Lookup:
     def grams(self, columns: list[np.ndarray], kinds: list[str]) -> list[np.ndarray]:
         """The named values of n-grams; 0 of those that are not there."""
         out = [np.zeros(len(columns[0]), np.int64) for _ in kinds]
-        for arrays, at, own in self._by_shard(columns, f"grams{len(columns)}"):
+        for arrays, at, own in self.found(hashed(columns), _place(columns, self.shards), f"grams{len(columns)}"):
             for kind, values in zip(kinds, out, strict=True):
                 count = arrays[kind][at].astype(np.int64)
                 large = np.flatnonzero(count == _LARGE)
@@ -370,14 +442,15 @@ def scores(lookup: Lookup, texts: pa.Array) -> dict[str, np.ndarray]:
     """n_tokens, n_known, base_score, score of each text."""
     m = lookup.model
     words = scan(texts)
-    columns, first = sequences(words, m.order)
+    number = lookup.numbers(np.r_[words.hash, END])
+    columns, first = sequences(words, number[:-1], int(number[-1]), m.order)
     del words
-    w, place = np.unique(np.r_[columns[-1], BEGIN], return_inverse=True)
+    w, place = np.unique(np.r_[columns[-1], np.uint32(_BEGIN)], return_inverse=True)
     known = lookup.tokens(w)
     c, k, total = known["c"], known["k"], known["s"]
-    begin = int(np.searchsorted(w, BEGIN))
+    begin = int(np.searchsorted(w, _BEGIN))
     own = place[:-1].astype(np.int32)
-    base = np.log10((np.where(w == BEGIN, 0, c) + 0.1) / (m.tokens + 0.1 * (m.distinct + 1)))
+    base = np.log10((np.where(w == _BEGIN, 0, c) + 0.1) / (m.tokens + 0.1 * (m.distinct + 1)))
     lower = discounted(k, m.unigram) / max(m.types, 1) + m.freed / (m.distinct + 1)
     back = (np.array(m.rates[0]) @ np.array([known["n1"], known["n2"], known["n3"]])) / np.maximum(total, 1)
     previous = np.empty_like(own)
