@@ -145,8 +145,11 @@ def dashboard_filter(wide: DataFrame, date: str | None = None, keyword: str = ""
 
 
 def _shares(rows: DataFrame, column: str) -> DataFrame:
-    counts = rows.groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("value"))
-    # One row per group (two genders, three age groups) is what the window sees.
+    return with_share(rows.groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("value")))
+
+
+def with_share(counts: DataFrame) -> DataFrame:
+    """Adds each value's share of all. One row per group (two genders, three age groups) is what the window sees."""
     return counts.withColumn("share", F.col("value") / F.sum("value").over(Window.partitionBy()))
 
 

@@ -139,6 +139,17 @@ def olap_append(t: Tables) -> DataFrame:
     return stored.select("order_id", "order_detail_id", to_cents("final_detail_amount").alias("final_cents"))
 
 
+@query("s8_lookup_sorted", sql("""
+    SELECT CAST(user_id AS VARCHAR) AS id, user_level, age_group, gender_name FROM users
+    WHERE user_id IN (SELECT user_id FROM heads WHERE substr(create_time, 1, 10) IN ('1998-03-04', '1995-06-17'))""", "users", "heads"))
+def lookup_sorted(t: Tables) -> DataFrame:
+    """The users of two days' orders, from a table sorted by id whose row groups can tell what they hold."""
+    path = run_dir(t.spark, "s8-sorted")
+    storage.write_sorted(schemas.conform(warehouse.users(t), schemas.USER_INFO), path)
+    placed = t.order_heads.filter(F.substring("create_time", 1, 10).isin("1998-03-04", "1995-06-17"))
+    return storage.lookup_sorted(t.spark, path, schemas.USER_INFO, placed, "user_id").select("id", "user_level", "age_group", "gender_name")
+
+
 @query("s13_backfill", sql("""
     SELECT CAST(user_id AS VARCHAR) AS id,
            CASE WHEN user_id % 10 IN (1, 2) THEN 'CHANGED' ELSE user_level END AS user_level, age_group, gender_name

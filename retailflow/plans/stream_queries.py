@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from retailflow import schemas
 from retailflow.functions import to_cents
-from retailflow.operators import orders, routing, wide
+from retailflow.operators import orders, reports, routing, wide
 from retailflow.plans import warehouse
 from retailflow.plans.oracle import change_kind, sql
 from retailflow.plans.registry import query
@@ -16,7 +16,7 @@ from retailflow.plans.row_queries import database_changes
 from retailflow.session import run_dir
 from retailflow.sources import storage, tables, topics
 from retailflow.sources.tables import AS_OF, Tables
-from retailflow.streaming import jobs, state
+from retailflow.streaming import jobs, keyed, state
 
 
 def finished(rows: DataFrame, name: str) -> DataFrame:
@@ -505,3 +505,66 @@ def run_all(t: Tables, wh: jobs.Warehouse, batches: int) -> None:
         jobs.order_info(wh).awaitTermination()
         jobs.order_detail(wh).awaitTermination()
     jobs.order_wide(wh, tolerance="1 hour", watermark="1 hour").awaitTermination()
+
+
+@query("t3_touch_expiry", sql("""
+    SELECT mid, ms AS ts FROM (SELECT *, lag(ms) OVER (PARTITION BY mid ORDER BY ms) AS before FROM (SELECT DISTINCT mid, ms FROM logs))
+    WHERE before IS NULL OR ms - before >= 86400000""", "logs"))
+def touch_expiry(t: Tables) -> DataFrame:
+    """Devices that start after a day or more without a touch, by the state store; the stream comes in three parts, by time, and
+    the query starts again for each."""
+    path = run_dir(t.spark, "t3-touch")
+    logs = t.startups.select(F.col("common.mid").alias("mid"), "ts")
+    bounds = logs.agg(F.min("ts"), F.max("ts")).first()
+    step = (bounds[1] - bounds[0]) // 3 + 1 if bounds[0] is not None else 1
+    for n in range(3):
+        part = logs.filter(F.expr(f"(ts - {bounds[0] or 0}) div {step}") == n)
+        part.write.mode("append").parquet(f"{path}/in")
+        rows = keyed.stream_active(t.spark.readStream.schema(logs.schema).parquet(f"{path}/in"))
+        writer = rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("mid string, ts bigint").parquet(f"{path}/out")
+
+
+@query("t5_state_from_table", sql("""
+    SELECT user_id, id, false AS known FROM flagged WHERE if_first_order = '1'
+    UNION ALL SELECT CAST(c_custkey AS BIGINT), NULL, true FROM customer WHERE c_custkey % 10 = 0""", "flagged"))
+def state_from_table(t: Tables) -> DataFrame:
+    """Users' first orders as keyed state that starts from the table of known users, over three runs of the query, the youngest
+    orders first; then the state itself, read as a table."""
+    path = run_dir(t.spark, "t5-table")
+    known = schemas.conform(t.user_state, schemas.USER_STATE)
+    third = F.ntile(3).over(Window.partitionBy("user_id").orderBy(F.desc("create_time"), F.desc("id")))
+    placed = t.order_heads.select("user_id", "create_time", "id", third.alias("third")).persist()
+    for n in range(3):
+        placed.filter(F.col("third") == n + 1).drop("third").write.mode("append").parquet(f"{path}/in")
+        arriving = t.spark.readStream.schema(placed.drop("third").schema).parquet(f"{path}/in")
+        writer = keyed.stream_first_orders(arriving, known).writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint")
+        writer.foreachBatch(lambda batch, n: storage.write_batch(batch, f"{path}/out", n)).trigger(availableNow=True).start().awaitTermination()
+    placed.unpersist()
+    rows = keyed.read_state(t.spark, f"{path}/checkpoint", "first")
+    return rows.select(F.col("key.user_id").alias("user_id"), F.col("value.id").alias("id"), F.col("value.known").alias("known"))
+
+
+@query("a12_reports_by_deltas", sql("""
+    SELECT 'gender' AS report, user_gender AS name, count(*) AS value FROM wide GROUP BY 2
+    UNION ALL SELECT 'age', user_age_group, count(*) FROM wide GROUP BY 2
+    UNION ALL SELECT 'province', province_name, CAST(sum(sku_num) AS BIGINT) FROM wide GROUP BY 2
+    UNION ALL SELECT 'sku', sku_name, CAST(sum(sku_num) AS BIGINT) FROM wide GROUP BY 2""", "wide"))
+def reports_by_deltas(t: Tables) -> DataFrame:
+    """The wide rows in three batches. The second is run twice, the first time with rows of the third as well, as after a failure;
+    contributions are folded in between. The reports equal those of the whole table."""
+    path = run_dir(t.spark, "reports")
+    third = F.pmod(F.xxhash64("order_id", "order_detail_id"), F.lit(3))
+    rows = warehouse.stored_wide(t).withColumn("third", third)
+    reports.keep(rows.filter("third = 0"), path, 0)
+    reports.fold(t.spark, path)
+    reports.keep(rows.filter("third >= 1"), path, 1)
+    reports.keep(rows.filter("third = 1"), path, 1)
+    reports.fold(t.spark, path)
+    reports.keep(rows.filter("third = 2"), path, 2)
+    sums = reports.kept(t.spark, path)
+    parts = {"gender": reports.shares(sums, "user_gender"), "age": reports.shares(sums, "user_age_group"),
+             "province": reports.province_sales(sums), "sku": reports.name_num_bars(sums).withColumnRenamed("num", "value")}
+    named = [rows.select(F.lit(name).alias("report"), "name", "value") for name, rows in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])

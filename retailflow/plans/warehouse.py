@@ -37,15 +37,20 @@ def order_wide(t: Tables) -> DataFrame:
     return wide.order_wide(dwd_orders(t), dwd_details(t), sizes_from=t.order_detail)
 
 
-_STORED: dict[tuple[str, str], str] = {}
+#: Source tables of the wide table.
+WIDE_SOURCES = ("orders", "customer", "lineitem", "part", "nation", "region")
+_STORED: dict[tuple, str] = {}
 
 
 def stored_wide(t: Tables, date: str | None = None) -> DataFrame:
-    """The wide table as the analytical store holds it, by month: what the reports read. Built once per
-    application and source folder, by the first report that asks."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    """The wide table as the analytical store holds it, by month: what the reports read. Built by the first report of an
+    application that asks, and again when a source table's files are others."""
+    sources = tuple(storage.signature(t.spark, f"{t.sf_dir}/{name}.parquet") for name in WIDE_SOURCES)
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, sources)
     if key not in _STORED:
         path = run_dir(t.spark, "order-wide")
         storage.append_olap(order_wide(t), path, 0)
+        for old in [k for k in _STORED if k[:2] == key[:2]]:
+            del _STORED[old]
         _STORED[key] = path
     return storage.read_olap(t.spark, _STORED[key], schemas.ORDER_WIDE, date)

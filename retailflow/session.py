@@ -19,6 +19,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A lookup of some ids asks row groups for each of them, not for the range between the least and the greatest.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
     # Keyed state lives in RocksDB, so it may outgrow the executor heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

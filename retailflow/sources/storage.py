@@ -28,6 +28,16 @@ def _place(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def signature(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: another value when the table was replaced."""
+    files, target = _place(spark, path)
+    listed, found = files.listFiles(target, True), []
+    while listed.hasNext():
+        status = listed.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     files, target = _place(spark, path)
     return files.exists(target)
@@ -192,6 +202,31 @@ def compact_dim(spark: SparkSession, path: str, schema: T.StructType, key: str =
     fold(spark, f"{path}/changes", _with_seq(schema), lambda rows: _newest(rows, key), upto)
 
 
+#: Up to so many ids of a lookup are named to the scan; more are joined.
+NAMED_IDS = 1000
+#: Bytes of a row group of a sorted table: what a lookup of one id reads.
+ROW_GROUP = 4 << 20
+
+
+def write_sorted(rows: DataFrame, path: str, key: str = "id") -> None:
+    """A table whose files lie in order of the key, in small row groups with bounds and a Bloom filter of the key each:
+    a lookup reads the row groups that may hold its ids."""
+    (
+        rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite")
+        .option("parquet.block.size", ROW_GROUP).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+    )
+
+
+def lookup_sorted(spark: SparkSession, path: str, schema: T.StructType, ids: DataFrame, id_column: str, key: str = "id") -> DataFrame:
+    """The rows of a sorted table whose key is among the ids (made distinct with map-side combine)."""
+    table = spark.read.schema(schema).parquet(path)
+    wanted = ids.select(F.col(id_column).cast(schema[key].dataType).alias("_wanted")).where("_wanted IS NOT NULL").distinct()
+    named = [r[0] for r in wanted.limit(NAMED_IDS + 1).collect()]
+    if len(named) <= NAMED_IDS:
+        return table.filter(F.col(key).isin(named))
+    return table.join(wanted, F.col(key) == F.col("_wanted"), "left_semi")
+
+
 def write_bucketed(rows: DataFrame, name: str, path: str, key: str = "id", buckets: int | None = None) -> None:
     """A table spread over hash buckets of its key, sorted within: joins on the key with a table
     bucketed alike need no shuffle. A bucket is one task of such a join; by default there are as many as

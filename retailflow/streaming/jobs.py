@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from retailflow import schemas
-from retailflow.operators import active, dimensions, orders, routing, wide
+from retailflow.operators import active, dimensions, orders, reports, routing, wide
 from retailflow.sources import storage, topics
 from retailflow.streaming import state
 
@@ -60,6 +60,7 @@ class Warehouse:
     files_per_trigger: int | None = None
     write_tasks: int | None = None
     fold_every: int = 720  # an hour of micro-batches
+    reports: bool = False  # whether the wide job keeps the reports as well
 
     @property
     def topics(self) -> str:
@@ -304,6 +305,8 @@ def wide_batch(wh: Warehouse, batch: DataFrame, n: int) -> None:
     try:
         storage.append_olap(split.select(*schemas.ORDER_WIDE.fieldNames()), wh.order_wide, n)
         storage.write_batch(storage.by_month(wide.order_sums(split)), sums_path, n, ("month",))
+        if wh.reports:
+            reports.keep(split, wh.folder("reports", "sales"), n)
     finally:
         split.unpersist()
 
@@ -413,6 +416,8 @@ def order_wide(wh: Warehouse, tolerance: str = "10 seconds", watermark: str = "1
     def fold(n: int) -> None:
         wide_fold(wh, n)
         late_fold(wh, n)
+        if wh.reports:
+            reports.fold(wh.spark, wh.folder("reports", "sales"), n)
 
     return wh.launch(rows, "order_wide", handle, fold=fold)
 
