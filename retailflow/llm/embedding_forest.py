@@ -2,10 +2,11 @@
 
 Vectors are compared only within a label (and length). Each tree splits the vectors of a label at the median
 of their projection on a random direction, with an overlap: those near the median go to both sides.
-Splitting ends at leaves of `leaf` vectors. Trees are fitted on a bounded sample (`sample` vectors of
-least hash, and at most SAMPLE_BYTES); every vector is then sent down every tree. Vectors are compared
-exactly, in double precision, within leaves; a leaf that turns out larger than `most` is compared in blocks,
-pair of blocks by pair of blocks. A pair that several leaves hold counts in the first of them.
+Splitting ends at leaves of `leaf` vectors. Trees are begun on a bounded sample (`sample` vectors of
+least hash over all labels, and at most SAMPLE_BYTES); every vector is then sent down every tree. Leaves that turn out larger
+than `most` are split further, each by a tree on a sample of its own (LEAF_SAMPLE vectors), as often as it takes; so leaves are
+of bounded size whatever the number of vectors and labels. Vectors are compared exactly, in double precision, within leaves; a leaf
+that no direction splits is compared in blocks, pair of blocks by pair of blocks. A pair that several leaves hold counts in the first of them.
 
 Equal vectors are one node with a number of copies, so groups of copies of any size are compared once.
 Links count without being written out; each leaf passes on a root per vector for the components.
@@ -19,6 +20,7 @@ Pairs are found with a probability that rises with the number of trees; none is
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +31,11 @@ from pyspark.sql import functions as F
 
 from retailflow.llm.common import bounded_batches, renamed, written
 from retailflow.llm.components import components
+from retailflow.llm.words import pair
 
 SAMPLE_BYTES = 32 << 20
+#: Vectors that a large leaf is split by, and rows of one task of its routing.
+LEAF_SAMPLE, LEAF_ROWS = 4000, 100_000
 
 
 @dataclass(frozen=True)
@@ -81,6 +86,15 @@ def visited(tree: Split | int, vectors: np.ndarray, rows: np.ndarray) -> Iterato
     yield from visited(tree.right, vectors, rows[at >= tree.low])
 
 
+def _plain(tree: Split | int) -> tuple | int:
+    """A tree as tuples, which travel without their class."""
+    return tree if isinstance(tree, int) else (tree.direction, tree.low, tree.high, _plain(tree.left), _plain(tree.right))
+
+
+def _tree(plain: tuple | int) -> Split | int:
+    return plain if isinstance(plain, int) else Split(*plain[:3], _tree(plain[3]), _tree(plain[4]))
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     vectors = vectors.astype(float)
     vectors /= np.abs(vectors).max(axis=1, keepdims=True)
@@ -122,6 +136,70 @@ def fitted(nodes: DataFrame, forest: Forest) -> dict[tuple, list[Split | int]]:
     return out
 
 
+_LEAF = ["label", "length", "leaf"]
+
+
+def regrown(routed: DataFrame, forest: Forest) -> DataFrame:
+    """Rows (node, label, copies, embedding, length, leaf, leaves) with leaves of at most `most` rows, as far as directions split them."""
+    before, turn = None, 0
+    while True:
+        sizes = routed.groupBy(*_LEAF).agg(F.count(F.lit(1)).alias("rows"))
+        large = written(sizes.where(F.col("rows") > forest.most), "forest-large")
+        state = tuple(large.agg(F.count(F.lit(1)), F.sum("rows")).first())
+        if not state[0] or state == before:
+            break
+        routed, before, turn = written(_split_further(routed, large, forest, turn), "forest-leaves"), state, turn + 1
+    if not turn:
+        return routed
+    every = routed.groupBy(F.col("node").alias("of")).agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
+    return written(routed.drop("leaves").join(every, F.col("node") == F.col("of")).drop("of"), "forest-leaves")
+
+
+def _split_further(routed: DataFrame, large: DataFrame, forest: Forest, turn: int) -> DataFrame:
+    rows = routed.join(large, _LEAF)
+    kinds = {c: routed.schema[c].dataType.simpleString() for c in ("label", "embedding")}
+    chosen = rows.where(F.pmod(F.xxhash64("node", F.lit(turn)), "rows") < LEAF_SAMPLE).select(*_LEAF, "embedding", "rows")
+
+    def fit(key: tuple, sample: pa.Table) -> pa.Table:
+        vectors = unit(matrix(sample["embedding"].combine_chunks(), np.arange(sample.num_rows)))
+        random = np.random.default_rng([forest.seed, turn, key[2].as_py() % (1 << 63)])
+        tree = grow(vectors, sample["rows"][0].as_py() / sample.num_rows, forest, random, [0])
+        return pa.table({"label": sample["label"].slice(0, 1), "length": sample["length"].slice(0, 1), "leaf": sample["leaf"].slice(0, 1),
+                         "tree": pa.array([pickle.dumps(_plain(tree))], pa.binary())})
+
+    trees = written(chosen.groupBy(*_LEAF).applyInArrow(fit, f"label {kinds['label']}, length int, leaf long, tree binary"), "forest-trees")
+    parts = F.ceil(F.col("rows") / LEAF_ROWS).cast("int")
+    given = trees.join(large, _LEAF).select(*_LEAF, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "tree")
+    dealt = rows.select(*_LEAF, F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "copies", "embedding")
+    dealt = given.unionByName(dealt, allowMissingColumns=True).repartition(*_LEAF, "part").sortWithinPartitions(*_LEAF, "part", F.col("tree").isNull())
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: Split | int = 0
+        for batch in batches:
+            given = np.flatnonzero(batch["tree"].is_valid().to_numpy(zero_copy_only=False)).tolist()  # ahead of their rows
+            for at, end in zip([-1, *given], [*given, len(batch)], strict=True):
+                if at >= 0:
+                    tree = _tree(pickle.loads(batch["tree"][at].as_py()))
+                part = batch.slice(at + 1, end - at - 1)
+                if not len(part):
+                    continue
+                found = list(visited(tree, unit(matrix(part["embedding"], np.arange(len(part)))), np.arange(len(part))))
+                leaf = np.repeat(np.array([f[0] for f in found], np.uint64), [len(f[1]) for f in found])
+                pick = np.concatenate([f[1] for f in found])
+                old = part["leaf"].to_numpy().view(np.uint64)[pick]
+                new = pair(old, leaf + (np.uint64(turn) << np.uint64(32))).view(np.int64)
+                for some in range(0, len(pick), 20_000):
+                    cut = slice(some, some + 20_000)
+                    taken = part.take(pa.array(pick[cut]))
+                    yield pa.RecordBatch.from_arrays([taken["node"], taken["label"], taken["copies"], taken["embedding"], taken["length"], pa.array(new[cut])],
+                                                     ["node", "label", "copies", "embedding", "length", "leaf"])
+
+    schema = f"node long, label {kinds['label']}, copies long, embedding {kinds['embedding']}, length int, leaf long"
+    again = dealt.select("node", "label", "copies", "embedding", "length", "leaf", "tree").mapInArrow(route, schema)
+    small = routed.join(large.select(*_LEAF), _LEAF, "left_anti")
+    return small.unionByName(again.withColumn("leaves", F.array().cast("array<long>")))
+
+
 def _least_reachable(linked: np.ndarray) -> np.ndarray:
     """The least row that links lead to, for each row."""
     root = np.arange(len(linked))
@@ -154,11 +232,24 @@ def _compared(table: pa.Table, least: float, leaf: int) -> tuple[np.ndarray, np.
     return counts, _least_reachable(near)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds node: a hash of label and vector that no two unlike ones share, null where the vector is of no use. Vectors that share
+    the first hash, of which there are next to none, take another."""
+    hashes = rows.withColumn("node", F.when(F.col("usable"), F.xxhash64("label", "embedding")))
+    other = F.xxhash64(F.lit(1), "label", "embedding")
+    bounds = hashes.where("usable").groupBy(F.col("node").alias("shared")).agg(F.min(other).alias("low"), F.max(other).alias("high"))
+    shared = written(bounds.where("low != high").select("shared"), "forest-shared")
+    if shared.isEmpty():
+        return hashes
+    return hashes.join(shared, F.col("node") == F.col("shared"), "left") \
+        .withColumn("node", F.when(F.col("shared").isNull(), F.col("node")).otherwise(other)).drop("shared")
+
+
 def linked(vectors: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     bounded_batches(vectors.sparkSession)
     rows = renamed(vectors, ["vec_id", "embedding", "label"])
-    rows = rows.withColumn("node", F.when(usable(F.col("embedding"), F.col("label")), F.xxhash64("label", "embedding")))
+    rows = _numbered(rows.withColumn("usable", usable(F.col("embedding"), F.col("label")))).drop("usable")
     usable_rows = rows.where("node IS NOT NULL")
     nodes = written(usable_rows.groupBy("node").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"),
                                                     F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")), "forest-nodes")
@@ -191,7 +282,7 @@ def linked(vectors: DataFrame, forest: Forest = Forest()) -> DataFrame:
 
     routed = nodes.select("node", "label", "copies", "embedding").mapInArrow(
         route, f"node long, label {kinds['label']}, copies long, embedding {kinds['embedding']}, leaf long, leaves array<long>")
-    routed = written(routed.select("*", F.size("embedding").alias("length")), "forest-leaves")
+    routed = regrown(written(routed.select("*", F.size("embedding").alias("length")), "forest-leaves"), forest)
     sizes = routed.groupBy("label", "length", "leaf").agg(F.count(F.lit(1)).alias("rows"))
     large = sizes.where(F.col("rows") > forest.most).withColumn("blocks", F.ceil(F.col("rows") / forest.most).cast("int")).drop("rows")
     routed = routed.join(large, ["label", "length", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

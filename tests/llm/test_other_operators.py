@@ -57,6 +57,26 @@ def test_vectors_of_no_rows_repeated_rows_and_null_ids(rows):
     assert got == sorted([(4, 2, 4, True), (4, 2, 4, True), (None, 2, 4, False)], key=repr)
 
 
+def test_leaves_are_bounded_whatever_the_number_of_labels(spark, monkeypatch):
+    """No label has enough vectors in the first sample for a split; large leaves are split by samples of their own."""
+    monkeypatch.setattr(embedding_forest, "LEAF_ROWS", 70)  # several tasks a leaf
+    tables = []
+    kept = embedding_forest.written
+    monkeypatch.setattr(embedding_forest, "written", lambda frame, name: tables.append((name, kept(frame, name))) or tables[-1][1])
+    random = np.random.default_rng(6)
+    base = np.repeat(random.normal(size=(900, 16)), 3, axis=0) + random.normal(size=(2700, 16)) * 0.15
+    label = np.repeat(np.arange(900), 3) % 15
+    frame = spark.createDataFrame([(i, v.tolist(), int(own)) for i, (v, own) in enumerate(zip(base, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    forest = embedding_forest.Forest(leaf=32, most=64, sample=200, trees=8)
+    found = embedding_forest.linked(frame, forest).agg(F.sum("n_links")).first()[0]
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    true = int(((unit @ unit.T >= 0.93) & (label[:, None] == label)).sum()) - len(base)
+    assert 0.9 * true <= found <= true and true > 1000
+    leaves = [t for name, t in tables if name == "forest-leaves"]
+    sizes = [leaves[i].groupBy("label", "length", "leaf").count().agg(F.max("count")).first()[0] for i in (0, -1)]
+    assert sizes[0] == 180 and sizes[1] <= 64
+
+
 def test_recall_of_the_forest(spark):
     """Against brute force, with leaves far smaller than labels: at least 0.9."""
     random = np.random.default_rng(4)
