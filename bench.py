@@ -40,6 +40,10 @@ HEADLINE = [
     "a9_gender_share",
     "a11_province_sales",
     "a13_facet_search",
+    "a11_sales_cube",
+    "t8_dim_as_of",
+    "a1_actives_of_ranges",
+    "t2_device_sessions",
 ]
 
 
@@ -60,7 +64,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
     if any(n.startswith(("a9", "a1", "p15")) for n in names):
-        # The reports read the stored wide table; building it is timed by itself.
+        # The reports read the stored wide table; building it is timed by itself, and warm like the rest.
+        QUERIES["wide_fact"](spark, sf_dir).write.format("noop").mode("overwrite").save()
         start = time.perf_counter()
         stored_wide(Tables(spark, sf_dir))
         times["stored_wide_build"] = round(time.perf_counter() - start, 3)
