@@ -24,7 +24,18 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, and again by nobody when executors are lost."""
     path = run_dir(frame.sparkSession, name)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    table = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    table.__dict__["_folder"] = path
+    return table
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of written tables that nothing reads any more: what was made of them is written itself."""
+    for frame in frames:
+        path = frame.__dict__.pop("_folder")
+        spark = frame.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailflow.llm.common import written
+from retailflow.llm.common import discard, written
 
 
 #: Nodes of one task's forest, about.
@@ -69,6 +69,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select("a", "b").where("a != b").mapInArrow(_forest, "a long, b long").where("a != b").distinct(), "components")
     before = None
     while before != (before := _state(edges)):
-        edges = written(_small_star(_large_star(edges)).where("a != b").distinct(), "components")
+        spent, edges = edges, written(_small_star(_large_star(edges)).where("a != b").distinct(), "components")
+        discard(spent)
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.withColumn("component", F.col("node")))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailflow.llm.common import bounded_batches, renamed, written
+from retailflow.llm.common import bounded_batches, discard, renamed, written
 from retailflow.llm.components import components
 from retailflow.llm.words import pair
 
@@ -148,7 +148,9 @@ def regrown(routed: DataFrame, forest: Forest) -> DataFrame:
         state = tuple(large.agg(F.count(F.lit(1)), F.sum("rows")).first())
         if not state[0] or state == before:
             break
-        routed, before, turn = written(_split_further(routed, large, forest, turn), "forest-leaves"), state, turn + 1
+        spent, routed = routed, written(_split_further(routed, large, forest, turn), "forest-leaves")
+        discard(spent)
+        before, turn = state, turn + 1
     if not turn:
         return routed
     every = routed.groupBy(F.col("node").alias("of")).agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))

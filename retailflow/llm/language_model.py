@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from retailflow.llm.common import bounded_batches, mounted, written
+from retailflow.llm.common import bounded_batches, discard, mounted, written
 from retailflow.llm.words import END, Words, mix, pair, scan
 from retailflow.session import run_dir
 
@@ -230,7 +230,8 @@ def _vocabulary(train: DataFrame, place: str, shards: int) -> int:
             at += len(batch)
 
     counts = train.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    ordered = written(counts, "lm-counts").repartitionByRange(F.desc("n"), "w").sortWithinPartitions(F.desc("n"), "w")
+    counts = written(counts, "lm-counts")
+    ordered = counts.repartitionByRange(F.desc("n"), "w").sortWithinPartitions(F.desc("n"), "w")
     rows = written(ordered.mapInArrow(number, "w long, at long, part int"), "lm-numbers")
     sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
     parts = np.zeros(max(sizes, default=0) + 2, np.int64)
@@ -253,6 +254,7 @@ def _vocabulary(train: DataFrame, place: str, shards: int) -> int:
         yield pa.RecordBatch.from_arrays([pa.array([len(parts)], pa.int64())], ["done"])
 
     rows.mapInArrow(deal, "shard int, w long, number long").repartitionById(shards, F.col("shard")).mapInArrow(store, "done long").agg(F.sum("done")).first()
+    discard(counts, rows)
     return int(base[-1]) - FIRST
 
 

@@ -60,9 +60,15 @@ def test_vectors_of_no_rows_repeated_rows_and_null_ids(rows):
 def test_leaves_are_bounded_whatever_the_number_of_labels(spark, monkeypatch):
     """No label has enough vectors in the first sample for a split; large leaves are split by samples of their own."""
     monkeypatch.setattr(embedding_forest, "LEAF_ROWS", 70)  # several tasks a leaf
-    tables = []
-    kept = embedding_forest.written
-    monkeypatch.setattr(embedding_forest, "written", lambda frame, name: tables.append((name, kept(frame, name))) or tables[-1][1])
+    sizes, kept = [], embedding_forest.written
+
+    def written(frame, name):
+        table = kept(frame, name)
+        if name == "forest-leaves":
+            sizes.append(table.groupBy("label", "length", "leaf").count().agg(F.max("count")).first()[0])
+        return table
+
+    monkeypatch.setattr(embedding_forest, "written", written)
     random = np.random.default_rng(6)
     base = np.repeat(random.normal(size=(900, 16)), 3, axis=0) + random.normal(size=(2700, 16)) * 0.15
     label = np.repeat(np.arange(900), 3) % 15
@@ -72,9 +78,7 @@ def test_leaves_are_bounded_whatever_the_number_of_labels(spark, monkeypatch):
     unit = base / np.linalg.norm(base, axis=1, keepdims=True)
     true = int(((unit @ unit.T >= 0.93) & (label[:, None] == label)).sum()) - len(base)
     assert 0.9 * true <= found <= true and true > 1000
-    leaves = [t for name, t in tables if name == "forest-leaves"]
-    sizes = [leaves[i].groupBy("label", "length", "leaf").count().agg(F.max("count")).first()[0] for i in (0, -1)]
-    assert sizes[0] == 180 and sizes[1] <= 64
+    assert sizes[0] == 180 and sizes[-1] <= 64
 
 
 def test_recall_of_the_forest(spark):
