@@ -66,6 +66,11 @@ def _numbered(spark: SparkSession, path: str, name: str, nested: bool = False) -
     return found
 
 
+def _bases(spark: SparkSession, path: str) -> list[int]:
+    """The folds that are whole; one that is being written, or was left unfinished, is none yet."""
+    return [n for n in _numbered(spark, f"{path}-folded", "upto") if exists(spark, f"{path}-folded/upto={n}/_SUCCESS")]
+
+
 def write_batch(
     rows: DataFrame, path: str, batch_id: int, partitions: tuple[str, ...] = (), tasks: int | None = None
 ) -> None:
@@ -104,7 +109,7 @@ def read_batches(
         return spark.read.option("basePath", root).schema(schema).parquet(*paths)
 
     rows = read(path, full)
-    levels = [n for n in _numbered(spark, f"{path}-folded", "upto") if before is None or n < before]
+    levels = [n for n in _bases(spark, path) if before is None or n < before]
     if levels:
         # What came in before its time after the fold (backfills) is not in the base yet.
         level = max(levels)
@@ -139,17 +144,17 @@ def fold(
     leaves of them; `batch_id` stays theirs. Batches that the fold before this one took in, and
     older bases, are deleted: readers under way since then still find theirs."""
     batches = _numbered(spark, path, "batch_id", nested=True)
-    earlier = sorted(_numbered(spark, f"{path}-folded", "upto"))
+    earlier = sorted(_bases(spark, path))
     known = [n for n in batches if n >= 0] + earlier
     if upto is None:
         upto = max(known, default=None)
-    if upto is None or not any(n <= upto for n in batches):
-        return
+    if upto is None or upto in earlier or not any(n <= upto for n in batches):
+        return  # also when a batch is run again: its fold is there
     backfills = [n for n in batches if n < 0]
     rows = reduce(read_batches(spark, path, schema, before=upto + 1))
-    rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}-folded/upto={upto}")
     if backfills:
         spark.createDataFrame([(n,) for n in backfills], "batch_id bigint").write.mode("overwrite").parquet(f"{path}-folded-backfills/upto={upto}")
+    rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}-folded/upto={upto}")
     last = max((n for n in earlier if n < upto), default=None)
     if last is not None:
         for n, places in batches.items():
@@ -213,7 +218,9 @@ def write_sorted(rows: DataFrame, path: str, key: str = "id") -> None:
     a lookup reads the row groups that may hold its ids."""
     (
         rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite")
-        .option("parquet.block.size", ROW_GROUP).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+        .option("parquet.block.size", ROW_GROUP).option(f"parquet.bloom.filter.enabled#{key}", "true")
+        # A filter is sized by what a row group may hold of rows of 64 bytes; by default it takes a megabyte.
+        .option(f"parquet.bloom.filter.expected.ndv#{key}", max(64, ROW_GROUP // 64)).parquet(path)
     )
 
 
