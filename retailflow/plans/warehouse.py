@@ -49,7 +49,8 @@ def stored_wide(t: Tables, date: str | None = None) -> DataFrame:
     key = (t.spark.sparkContext.applicationId, t.sf_dir, sources)
     if key not in _STORED:
         path = run_dir(t.spark, "order-wide")
-        storage.append_olap(order_wide(t), path, 0)
+        # Tasks hold all months' rows in quantity: bringing these together would be the largest shuffle of all.
+        storage.append_olap(order_wide(t), path, 0, as_dealt=True)
         for old in [k for k in _STORED if k[:2] == key[:2]]:
             del _STORED[old]
         _STORED[key] = path

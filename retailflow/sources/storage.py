@@ -72,19 +72,20 @@ def _bases(spark: SparkSession, path: str) -> list[int]:
 
 
 def write_batch(
-    rows: DataFrame, path: str, batch_id: int, partitions: tuple[str, ...] = (), tasks: int | None = None
+    rows: DataFrame, path: str, batch_id: int, partitions: tuple[str, ...] = (), tasks: int | None = None, as_dealt: bool = False
 ) -> None:
     """Writes rows as batch `batch_id`. The batch has a folder of its own, below one folder per value
     of `partitions`, and is replaced as a whole.
 
     With partition columns the rows are brought together by folder first, so that there are not as
     many files as tasks times folders; a folder with much data is split over several tasks again.
-    `tasks` sets the number of writing tasks for batches that fill very many small folders.
+    `tasks` sets the number of writing tasks for batches that fill very many small folders. With `as_dealt` the rows are
+    written from where they are: for loads whose tasks hold enough rows of each folder for a file of its own.
     """
     if partitions and tasks:
         row_hash = F.xxhash64(*rows.columns)
         rows = rows.repartitionByRange(tasks, *[F.col(p) for p in partitions], row_hash)
-    elif partitions:
+    elif partitions and not as_dealt:
         rows = rows.hint("rebalance", *[F.col(p) for p in partitions])
     if not partitions:
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
@@ -284,9 +285,9 @@ def monthly(schema: T.StructType) -> T.StructType:
     return T.StructType(schema.fields + [T.StructField("month", T.StringType())])
 
 
-def append_olap(rows: DataFrame, path: str, batch_id: int) -> None:
+def append_olap(rows: DataFrame, path: str, batch_id: int, as_dealt: bool = False) -> None:
     """Wide rows into the analytical table, by month; a replayed batch replaces itself."""
-    write_batch(by_month(rows), path, batch_id, ("month",))
+    write_batch(by_month(rows), path, batch_id, ("month",), as_dealt=as_dealt)
 
 
 def read_olap(spark: SparkSession, path: str, schema: T.StructType, date: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from retailflow.operators import active, orders, running, serving
 from retailflow.plans import row_queries, table_queries, warehouse  # noqa: F401
 from retailflow.plans.registry import QUERIES
+from retailflow.sources import storage
 
 SINKS = ("s1_", "s2_", "s4_", "s6_", "s7_", "s9_", "s11_", "s12_", "s13_", "s14_", "s15_", "t", "j6_", "a1_index", "a2_index")
 BATCH = sorted(n for n in QUERIES if not n.startswith(SINKS) or n.startswith(("t2_sliding_window",)) and "stream" not in n)
@@ -79,6 +80,23 @@ def test_blocks_carry_no_broadcast_hint_and_are_even(spark, tables):
         assert max(r["count"] for r in blocks.collect()) <= most
 
 
+def test_the_wide_table_is_written_from_where_its_lines_are(spark, tables, monkeypatch):
+    """After the join by order id nothing brings the wide rows together once more."""
+    written = []
+    monkeypatch.setattr(storage, "append_olap", lambda rows, path, batch_id, as_dealt=False: written.append(as_dealt))
+    monkeypatch.setattr(storage, "read_olap", lambda *args: None)
+    monkeypatch.setattr(warehouse, "_STORED", {})
+    warehouse.stored_wide(tables)
+    assert written == [True]
+
+
+def test_rows_written_as_dealt(spark, tmp_path):
+    rows = spark.range(600).select((F.col("id") % 200).cast("string").alias("n"), F.when(F.col("id") < 300, "2020-01").alias("month")).repartition(3)
+    storage.write_batch(rows, str(tmp_path / "t"), 0, ("month",), as_dealt=True)
+    got = spark.read.parquet(str(tmp_path / "t"))
+    assert len(got.inputFiles()) == 6 and got.count() == 600 and got.where("month IS NULL").count() == 300
+
+
 def test_reports_scan_the_stored_wide_table(spark, tables):
     stored = warehouse.stored_wide(tables)
     text = plan(serving.gender_share(stored))
