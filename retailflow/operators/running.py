@@ -11,35 +11,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000
 #: Sampled rows of a block, by which its borders are set.
 SAMPLED = 16
 
 
+def large_groups(rows: DataFrame, key: str, limit: int = HOT_ROWS) -> DataFrame | None:
+    """(key, _n) of the groups above `limit` rows, None if there are none."""
+    if rows.count() <= limit:
+        return None
+    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    return None if large.isEmpty() else large
+
+
 def block_borders(rows: DataFrame, key: str, order: str, limit: int = HOT_ROWS) -> DataFrame | None:
     """(key, _borders) of the groups above `limit` rows, None if there are none: values of the order
     column that cut a group into blocks of about `limit` rows, wherever its values lie.
 
     The borders are taken from the rows whose order value has a hash of few, so they are the same
-    in every run. There are at most rows/limit borders in all, which go through the driver: a million
-    for 10**12 rows.
+    in every run. They stay a table, which the plan joins: there may be as many of them as rows/limit.
     """
     limit = max(int(limit), 1)
-    if rows.count() <= limit:
+    large = large_groups(rows, key, limit)
+    if large is None:
         return None
-    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(key)
     drawn = F.pmod(F.xxhash64(order), F.lit(limit)) < SAMPLED
     values = F.array_sort(F.collect_list(F.when(drawn, F.col(order))))
     step = max(1, min(SAMPLED, limit))
     borders = F.filter(values, lambda v, i: i % step == step - 1)
-    found = rows.select(key, order).join(large, key, "left_semi").groupBy(key).agg(borders.alias("_borders"))
-    kept = found.collect()
-    if not kept:
-        return None
-    kind = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("_borders", T.ArrayType(rows.schema[order].dataType))])
-    return rows.sparkSession.createDataFrame([tuple(r) for r in kept], kind)
+    return rows.select(key, order).join(large, key, "left_semi").groupBy(key).agg(borders.alias("_borders"))
 
 
 def with_block(rows: DataFrame, borders: DataFrame, key: str, order: str) -> DataFrame:

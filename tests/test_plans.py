@@ -80,6 +80,12 @@ def test_blocks_carry_no_broadcast_hint_and_are_even(spark, tables):
         assert max(r["count"] for r in blocks.collect()) <= most
 
 
+def test_borders_stay_on_the_executors(spark):
+    rows = spark.range(999).select((F.col("id") % 100).alias("k"), F.col("id").alias("o"))
+    text = running.block_borders(rows, "k", "o", 3)._jdf.queryExecution().analyzed().toString()
+    assert "LogicalRDD" not in text and "LocalRelation" not in text
+
+
 def test_the_wide_table_is_written_from_where_its_lines_are(spark, tables, monkeypatch):
     """After the join by order id nothing brings the wide rows together once more."""
     written = []
