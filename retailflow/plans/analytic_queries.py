@@ -87,7 +87,7 @@ def dim_as_of(t: Tables) -> DataFrame:
     created = t.order_heads.select(F.col("id").alias("order_id"), "create_time")
     lines = t.order_detail.select("order_id", F.col("id").alias("detail_id"), "sku_id").join(created, "order_id")
     prices = price_versions(t).withColumn("since", F.col("changed"))
-    return versions.as_of(lines, prices, "sku_id", "create_time", "sku_id", "changed", ["list_cents", "since"])
+    return versions.as_of(lines, prices, "sku_id", "create_time", "sku_id", "changed", ["list_cents", "since"], sizes_from=t.order_detail)
 
 
 @query("t8_version_validity", sql("""

@@ -175,6 +175,19 @@ def test_facts_of_a_hot_key_lie_in_many_tasks(spark):
     assert got.where("v != t - t % 7").count() == 0
 
 
+def test_versions_are_copied_for_hot_keys_only_and_no_more_than_there_are_facts(spark):
+    facts = spark.range(900).select("id", F.when(F.col("id") < 300, "hot").when(F.col("id") < 600, "many").otherwise(F.col("id").cast("string")).alias("k"), (F.col("id") % 100).alias("t"))
+    at = spark.range(100).select(F.col("id").alias("at"), F.col("id").alias("v"))
+    hot, many = at.where("at % 50 = 0").withColumn("k", F.lit("hot")), at.unionByName(at.select((F.col("at") + 100).alias("at"), "v")).withColumn("k", F.lit("many"))
+    rest = spark.range(600, 900).select(F.col("id").cast("string").alias("k"), F.lit(0).alias("at"), F.lit(0).alias("v"))
+    changes = hot.unionByName(many).unionByName(rest)
+    for limit in (100, 10_000):
+        got = versions.as_of(facts, changes, "k", "t", "k", "at", ["v"], 16, limit)
+        assert {r.k: r.n for r in got.groupBy(F.when(F.col("id") < 300, "hot").when(F.col("id") < 600, "many").alias("k")).agg(F.count("v").alias("n")).collect()} == {"hot": 300, "many": 300, None: 300}
+        assert got.where("k = 'hot' and v != t - t % 50 or k = 'many' and v != t").count() == 0
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_validity_ends_where_the_next_version_begins(rows):
     got = versions.with_validity(rows([("k", 1, 1, "a"), ("k", 5, 1, "b"), ("k", 5, 2, "c"), ("h", 3, 1, "d")], "k string, at int, n int, v string"), "k", "at", "n")
     assert sorted((r.k, r.v, r.valid_from, r.valid_to) for r in got.collect()) == [("h", "d", 3, None), ("k", "a", 1, 5), ("k", "c", 5, None)]
