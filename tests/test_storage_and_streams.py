@@ -276,3 +276,39 @@ def test_warehouse_in_several_batches(spark, tables):
     state_sums = storage.read_batches(spark, wh.folder("state", "order_sums"), storage.monthly(jobs.ORDER_SUMS)).groupBy("order_id", "dt").agg(
         F.sum("gross").alias("gross"), F.sum("share").alias("share"))
     assert sums.exceptAll(state_sums).count() == 0
+
+
+def test_a_batch_of_a_stream_writes_few_files_a_folder(spark, tmp_path):
+    """The batches of a stream run without adaptive execution; their tasks do not all write into all folders."""
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    rows = spark.range(6400).select((F.col("id") % 2).cast("string").alias("month"), F.col("id").cast("string").alias("value")).repartition(64)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        storage.write_batch(rows, str(tmp_path / "table"), 3, ("month",))
+        topics.write_topic(rows.withColumnRenamed("month", "topic"), str(tmp_path / "topics"), 3)
+        storage.archive_raw(rows.withColumnRenamed("month", "dt"), str(tmp_path / "archive"), 3)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    for place, read in (("table", spark.read.parquet), ("topics", spark.read.parquet), ("archive/batch_id=3", spark.read.text)):
+        got = read(str(tmp_path / place))
+        assert len(got.inputFiles()) <= 2 * storage.SPREAD, place
+        assert got.select("value").distinct().count() == 6400
+
+
+def test_a_join_of_streams_keeps_one_store_a_partition(spark, tmp_path):
+    from retailflow.streaming import state
+
+    at = F.timestamp_seconds(F.col("id") + 1704067200)
+    spark.range(100).select("id", at.alias("order_time")).write.parquet(str(tmp_path / "orders"))
+    spark.range(100).select("id", F.col("id").alias("order_id"), at.alias("detail_time")).write.parquet(str(tmp_path / "details"))
+    placed = spark.readStream.schema("id long, order_time timestamp").parquet(str(tmp_path / "orders"))
+    lines = spark.readStream.schema("id long, order_id long, detail_time timestamp").parquet(str(tmp_path / "details"))
+    pairs = state.stream_order_detail_join(placed, lines).select("d.order_id")
+    writer = pairs.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 100
+    joins = [s for p in query.recentProgress for s in p["stateOperators"] if s["operatorName"] == "symmetricHashJoin"]
+    assert joins and all(s["numStateStoreInstances"] == s["numShufflePartitions"] for s in joins)
