@@ -115,6 +115,24 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (k[heads], order[heads], *sums)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, where one of each stands, and the place of each key among them."""
+    order = np.argsort(keys)  # not stable, as np.unique has it with these results: several times as fast
+    k = keys[order]
+    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return k[new], order[new], place
+
+
+def _dealt(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that is met, and the places it is met at, in order."""
+    order = np.argsort(shard.astype(np.min_scalar_type(shards)), kind="stable")  # by radix up to 16 bits
+    edges = np.r_[0, np.cumsum(np.bincount(shard, minlength=shards))]
+    for s in np.flatnonzero(np.diff(edges)).tolist():
+        yield s, order[edges[s] : edges[s + 1]]
+
+
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
     return (mix(key ^ _SHARD_SALT) % np.uint64(shards)).astype(np.int32)
 
@@ -128,7 +146,14 @@ def _place(columns: list[np.ndarray], shards: int) -> np.ndarray:
 
 def packed(columns: list[np.ndarray], values: list[np.ndarray]) -> bytes:
     """N-grams and their values as compressed bytes."""
-    order = np.lexsort(columns[::-1])
+    bits = [int(x.max(initial=0)).bit_length() for x in columns]
+    if sum(bits) <= 64:  # one number each, in the same order
+        code = columns[0].astype(np.uint64)
+        for x, n in zip(columns[1:], bits[1:], strict=True):
+            code = code << np.uint64(n) | x
+        order = np.argsort(code)
+    else:
+        order = np.lexsort(columns[::-1])
     codes = np.stack([x[order] for x in columns])
     codes[0, 1:] -= codes[0, :-1].copy()  # steps of the first, which comes in order
     planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1))
@@ -200,9 +225,10 @@ def _found(arrays: dict[str, np.ndarray], wanted: np.ndarray) -> tuple[np.ndarra
     low, high = heads[lead].astype(np.int64), heads[lead + 1].astype(np.int64)
     ends = high
     for _ in range(int((high - low).max(initial=0)).bit_length()):  # all searched at once
-        middle = (low + high) // 2
-        less = (low < high) & (keys[np.minimum(middle, len(keys) - 1)] < rest)
-        low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(middle, high))
+        middle = (low + high) >> 1
+        less = keys.take(middle, mode="clip") < rest
+        less &= low < high
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
     there = np.flatnonzero(low < ends)
     there = there[keys[low[there]] == rest[there]]
     return low[there], there
@@ -273,11 +299,7 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
     kinds = ["c", "k", *(["s"] if order > 2 else []), "n1", "n2", "n3"]
 
     def rows(columns: list[np.ndarray], values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        shard = _place(columns, shards)
-        by = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[by], np.arange(shards + 1))
-        for s in np.flatnonzero(np.diff(edges)).tolist():
-            own = by[edges[s] : edges[s + 1]]
+        for s, own in _dealt(_place(columns, shards), shards):
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([packed([x[own] for x in columns], [x[own] for x in values])], pa.binary())], ["shard", "grams"])
 
     def read(batches: Iterator[pa.RecordBatch], columns: int, values: int) -> list[np.ndarray] | None:
@@ -285,16 +307,25 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
         return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else None
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, vocabulary = [np.zeros(0, np.uint32)] * order, np.zeros(0, np.int32), Maps(place, shards)
+        held, count, waiting, vocabulary = [np.zeros(0, np.uint32)] * order, np.zeros(0, np.int32), [], Maps(place, shards)
+
+        def added() -> None:
+            nonlocal held, count, waiting
+            both = [np.concatenate(x) for x in zip(held, *waiting, strict=True)]
+            _, at, count = summed(hashed(both), np.r_[count, np.ones(len(both[0]) - len(count), np.int32)])
+            held, waiting = [x[at] for x in both], []
+
         for batch in batches:
             words = scan(batch.column(0))
             number = vocabulary.numbers(np.r_[words.hash, END])
-            held = [np.r_[x, y] for x, y in zip(held, sequences(words, number[:-1], int(number[-1]), order)[0], strict=True)]
-            _, at, count = summed(hashed(held), np.r_[count, np.ones(len(held[0]) - len(count), np.int32)])
-            held = [x[at] for x in held]
-            if len(count) * order > HELD:
-                yield from rows(held, [count])
-                held, count = [x[:0] for x in held], count[:0]
+            waiting.append(sequences(words, number[:-1], int(number[-1]), order)[0])
+            if sum(len(x[0]) for x in waiting) * order > HELD:  # summed once for many batches, not with each
+                added()
+                if len(count) * order > HELD // 2:
+                    yield from rows(held, [count])
+                    held, count = [x[:0] for x in held], count[:0]
+        if waiting:
+            added()
         if len(count):
             yield from rows(held, [count])
 
@@ -378,17 +409,15 @@ class Maps:
 
     def found(self, key: np.ndarray, shard: np.ndarray, what: str) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
         """The arrays of each shard, places of the keys in them, and which keys these are of."""
-        order = np.lexsort((key, shard))
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(edges)).tolist():
-            own, arrays = order[edges[s] : edges[s + 1]], self.arrays(s, what)
+        for s, own in _dealt(shard, self.shards):
+            arrays = self.arrays(s, what)
             at, there = _found(arrays, key[own])
             if len(at):
                 yield arrays, at, own[there]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each token."""
-        w, place = np.unique(hashes, return_inverse=True)
+        w, _, place = distinct(hashes)
         out = np.full(len(w), _UNKNOWN, np.uint32)
         for arrays, at, own in self.found(w, _shard(w, self.shards), "words"):
             out[own] = arrays["number"][at]
@@ -422,23 +451,6 @@ class Lookup(Maps):
                 values[own] = count
         return out
 
-    def counts(self, columns: list[np.ndarray]) -> np.ndarray:
-        return self.grams(columns, ["c" if len(columns) == self.model.order else "k"])[0]
-
-
-def _longer(lookup: Lookup, columns: list[np.ndarray], p: np.ndarray) -> np.ndarray:
-    """The rates of last tokens after all before them, from those after one token less."""
-    d = np.array(lookup.model.rates[len(columns) - 2])
-    _, first, place = np.unique(hashed(columns[:-1]), return_index=True, return_inverse=True)
-    total, *kinds = lookup.grams([x[first] for x in columns[:-1]], ["s", "n1", "n2", "n3"])
-    back = (d @ np.array(kinds)) / np.maximum(total, 1)
-    _, first, at = np.unique(hashed(columns), return_index=True, return_inverse=True)
-    count = np.zeros(len(first), np.int64)
-    ask = np.flatnonzero(total[place[first]] > 0)
-    count[ask] = lookup.counts([x[first[ask]] for x in columns])
-    total = total[place]
-    return np.where(total > 0, discounted(count, tuple(d))[at] / np.maximum(total, 1) + back[place] * p, p)
-
 
 def scores(lookup: Lookup, texts: pa.Array) -> dict[str, np.ndarray]:
     """n_tokens, n_known, base_score, score of each text."""
@@ -447,26 +459,27 @@ def scores(lookup: Lookup, texts: pa.Array) -> dict[str, np.ndarray]:
     number = lookup.numbers(np.r_[words.hash, END])
     columns, first = sequences(words, number[:-1], int(number[-1]), m.order)
     del words
-    w, place = np.unique(np.r_[columns[-1], np.uint32(_BEGIN)], return_inverse=True)
+    # One n-gram of begins alone in the end: what stands before the first token of a text.
+    columns = [np.r_[x, np.uint32(_BEGIN)] for x in columns]
+    w, _, at = distinct(columns[-1])
     known = lookup.tokens(w)
-    c, k, total = known["c"], known["k"], known["s"]
-    begin = int(np.searchsorted(w, _BEGIN))
-    own = place[:-1].astype(np.int32)
+    c, k = known["c"], known["k"]
+    own = at[:-1]
     base = np.log10((np.where(w == _BEGIN, 0, c) + 0.1) / (m.tokens + 0.1 * (m.distinct + 1)))
-    lower = discounted(k, m.unigram) / max(m.types, 1) + m.freed / (m.distinct + 1)
-    back = (np.array(m.rates[0]) @ np.array([known["n1"], known["n2"], known["n3"]])) / np.maximum(total, 1)
-    previous = np.empty_like(own)
-    previous[1:] = own[:-1]
-    previous[first[:-1]] = begin
-    both, at = np.unique(previous.astype(np.int64) * len(w) + own, return_inverse=True)
-    u, v = both // len(w), both % len(w)
-    met = (known["n1"][u] + known["n2"][u] + known["n3"][u]) > 0
-    count = np.zeros(len(both), np.int64)
-    ask = np.flatnonzero(met & (c[v] > 0))
-    count[ask] = lookup.counts([w[u[ask]], w[v[ask]]])
-    p = np.where(met, discounted(count, m.rates[0]) / np.maximum(total[u], 1) + back[u] * lower[v], lower[v])[at]
-    for n in range(3, m.order + 1):
-        p = _longer(lookup, columns[-n:], p)
+    p = (discounted(k, m.unigram) / max(m.types, 1) + m.freed / (m.distinct + 1))[at]
+    total, *kinds = (known[x] for x in ("s", "n1", "n2", "n3"))
+    for n in range(2, m.order + 1):
+        # What stands before a token ends one place earlier: its totals are those found for the level below.
+        before = np.r_[at[-1:], at[:-1]]
+        before[first[:-1]] = at[-1]
+        d = m.rates[n - 2]
+        met, back = sum(kinds) > 0, sum(x * y for x, y in zip(d, kinds, strict=True)) / np.maximum(total, 1)
+        _, one, at = distinct(hashed(columns[-n:]))
+        count, *after = lookup.grams([x[one] for x in columns[-n:]], ["c"] if n == m.order else ["k", "s", "n1", "n2", "n3"])
+        p = np.where(met[before], discounted(count, d)[at] / np.maximum(total, 1)[before] + back[before] * p, p)
+        if after:
+            total, *kinds = after
+    p = p[:-1]
     by_text = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x[:0]
     return {"n_tokens": np.diff(first), "n_known": by_text((c[own] > 0).astype(np.int64)), "base_score": by_text(base[own]), "score": by_text(np.log10(p))}
 

@@ -394,3 +394,25 @@ def test_linked_sets_share_a_key(size, differ, seed):
         need = found.need[found.need_row == row]
         assert any(sum(k in shared for k in found.key[(found.row == row) & (found.lower == lower)].tolist()) >= n
                    for n, lower in zip(need.tolist(), found.need_lower[found.need_row == row].tolist(), strict=True))
+
+
+def test_a_batch_looks_each_level_of_ngrams_up_once(rows, monkeypatch):
+    texts = [(1, "a b c a b"), (2, "a b d"), (3, None)]
+    model = language_model.fit(table(rows, texts), 4)
+    asked, grams = [], language_model.Lookup.grams
+
+    def counted(self, columns, kinds):
+        asked.append(len(columns))
+        return grams(self, columns, kinds)
+
+    monkeypatch.setattr(language_model.Lookup, "grams", counted)
+    language_model.scores(language_model.Lookup(model), pa.array([t for _, t in texts]))
+    assert asked == [2, 3, 4]
+
+
+def test_packed_rows_lie_in_the_order_of_their_numbers():
+    grams = [np.array(x, np.uint32) for x in ([9, 2, 2, 9, 0], [1, 8, 3, 0, 7], [5, 5, 6, 1, 2])]
+    wide = [grams[0], grams[1] + np.uint32((1 << 32) - 100), grams[2] + np.uint32((1 << 32) - 100)]  # more than 64 bits in all
+    for columns in (grams, wide):
+        got = language_model.unpacked(language_model.packed(columns, [np.ones(5, np.int64)]), 3, 1)
+        assert list(zip(*(x.tolist() for x in got[:3]), strict=True)) == sorted(zip(*(x.tolist() for x in columns), strict=True))
