@@ -107,6 +107,12 @@ def write_batch(
     numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batch_id").parquet(path)
 
 
+def nothing(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, and the optimizer knows it: joins with them go before anything is shuffled. (Of the rows of a list it does not
+    know how many there are.)"""
+    return spark.createDataFrame([], schema).filter(F.lit(False))
+
+
 def read_batches(
     spark: SparkSession, path: str, schema: T.StructType, before: int | None = None,
     day: str | None = None, days: list[str | None] | None = None,
@@ -119,7 +125,7 @@ def read_batches(
         paths = [root] if days is None else [f"{root}/{day}={_NO_DAY if d is None else d}" for d in days]
         paths = [p for p in paths if exists(spark, p)]
         if not paths:
-            return spark.createDataFrame([], schema)
+            return nothing(spark, schema)
         return spark.read.option("basePath", root).schema(schema).parquet(*paths)
 
     rows = read(path, full)

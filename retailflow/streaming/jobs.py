@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from retailflow import schemas
 from retailflow.operators import active, dimensions, orders, reports, routing, wide
+from retailflow.session import setting
 from retailflow.sources import storage, topics
 from retailflow.streaming import state
 
@@ -294,7 +295,15 @@ def order_docs(wh: Warehouse) -> DataFrame:
 def wide_batch(wh: Warehouse, batch: DataFrame, n: int) -> None:
     """Splits the paid totals of the pairs of one batch and appends them. Running sums of orders
     whose lines came in several batches are kept as a table of increments. Both tables lie by the
-    order's month; a batch reads the months of its orders, however long ago, and no others."""
+    order's month; a batch reads the months of its orders, however long ago, and no others.
+
+    Rows that lie by order stay where they are: seen lines and sums come to them, by order alone. Rows that
+    lie otherwise are shuffled by all keys."""
+    with setting(batch.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        _wide_batch(wh, batch, n)
+
+
+def _wide_batch(wh: Warehouse, batch: DataFrame, n: int) -> None:
     sums_path = wh.folder("state", "order_sums")
     lines = ["order_id", "order_detail_id"]
     months = storage.by_month(batch)

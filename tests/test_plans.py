@@ -6,11 +6,13 @@ import re
 import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retailflow.operators import active, orders, running, serving
-from retailflow.plans import row_queries, table_queries, warehouse  # noqa: F401
+from retailflow.plans import row_queries, stream_queries, table_queries, warehouse  # noqa: F401
 from retailflow.plans.registry import QUERIES
 from retailflow.sources import storage
+from retailflow.streaming import jobs
 
 SINKS = ("s1_", "s2_", "s4_", "s6_", "s7_", "s9_", "s11_", "s12_", "s13_", "s14_", "s15_", "t", "j6_", "a1_index", "a2_index")
 BATCH = sorted(n for n in QUERIES if not n.startswith(SINKS) or n.startswith(("t2_sliding_window",)) and "stream" not in n)
@@ -131,3 +133,27 @@ def test_day_of_the_index_is_a_partition_filter(spark, tables):
 
     text = plan(serving.index_total(stored_dau(tables, "plan"), "2024-01-03"))
     assert re.search(r"PartitionFilters: \[[^\]]*dt[^\]]*2024-01-03", text)
+
+
+def test_wide_batches_stay_where_their_orders_lie(spark, tables, no_broadcast, tmp_path, monkeypatch):
+    plans, append = [], storage.append_olap
+
+    def seen(frame, *others):
+        plans.append(plan(frame))
+        append(frame, *others)
+
+    monkeypatch.setattr(storage, "append_olap", seen)
+    wh = jobs.Warehouse(spark, str(tmp_path))
+    rows = stream_queries.line_thirds(tables).persist()
+    for n in range(2):
+        jobs.wide_batch(wh, rows.filter(F.col("third") == n + 1).drop("third"), n)
+    rows.unpersist()
+    by_line = re.compile(r"hashpartitioning\(order_id\S*, order_detail_id")
+    assert len(plans) == 2 and not any(by_line.search(p) for p in plans)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_joins_with_nothing_are_planned_away(spark, no_broadcast, tmp_path):
+    rows = spark.range(10).withColumnRenamed("id", "order_id")
+    empty = storage.read_batches(spark, str(tmp_path / "none"), T.StructType([T.StructField("order_id", T.LongType())]))
+    assert "Exchange" not in plan(rows.join(empty, "order_id", "left_anti")) and empty.count() == 0
