@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailflow.llm.common import bounded_batches, renamed, written
+from retailflow.llm.common import bounded_batches, pieces, renamed, written
 from retailflow.llm.words import scan
 
 
@@ -49,7 +49,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             n = np.diff(scan(batch.column(1)).first) + 1
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "size"])
 

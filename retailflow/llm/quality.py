@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailflow.llm.common import bounded_batches
+from retailflow.llm.common import bounded_batches, pieces
 from retailflow.llm.words import PIECE, Words, ranges, scan
 
 BUCKETS = 1 << 12
@@ -204,7 +204,7 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Machine:
     rows = rows.groupBy("doc_id").agg(F.max_by(F.struct("text", "n_chars", "target"), F.xxhash64("text", "n_chars")).alias("row")).select("doc_id", "row.*")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             first, bucket, value, statistics = features(batch.column(1), _numbers(batch.column(2)))
             lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x, kind))
             yield pa.RecordBatch.from_arrays(
@@ -227,7 +227,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(machine, batch.column(1), _numbers(batch.column(2))))], ["doc_id", "score"])
 
     return _read(docs).mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
@@ -240,7 +240,7 @@ def kept(docs: DataFrame, machine: Machine, least: float) -> DataFrame:
     rows = docs if "n_chars" in docs.columns else docs.withColumn("n_chars", F.lit(None).cast("double"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, read[1]):
             by_name = dict(zip(batch.schema.names, batch.columns, strict=True))
             high = scores(machine, by_name[read[1]], _numbers(by_name[read[2]])) >= least
             yield batch.filter(pa.array(high))

@@ -2,16 +2,18 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from retailflow.llm import exact_dedup, language_model, ngram_join, tokens, words
+from retailflow.llm import common, exact_dedup, language_model, ngram_join, tokens, words
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -416,3 +418,26 @@ def test_packed_rows_lie_in_the_order_of_their_numbers():
     for columns in (grams, wide):
         got = language_model.unpacked(language_model.packed(columns, [np.ones(5, np.int64)]), 3, 1)
         assert list(zip(*(x.tolist() for x in got[:3]), strict=True)) == sorted(zip(*(x.tolist() for x in columns), strict=True))
+
+
+def test_a_task_takes_the_texts_of_a_batch_apart_piece_by_piece(monkeypatch):
+    random = np.random.default_rng(3)
+    texts = [None, "", *(" ".join(map(str, random.integers(0, 1000, random.integers(1, 300)))) for _ in range(60)), "w " * 2000, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts + texts, pa.string())], ["text"])
+    whole = ngram_join._batch_keys(batch, ngram_join.Join())
+    monkeypatch.setattr(common, "PIECE_BYTES", 1000)
+    got = list(common.pieces([batch, batch.slice(0, 0)]))
+    assert pa.Table.from_batches(got)["text"].to_pylist() == texts + texts
+    assert len(got) > 20 and all(pc.sum(pc.binary_length(piece["text"][:-1])).as_py() < 1000 for piece in got if piece.num_rows > 1)
+    for a, b in zip(whole, ngram_join._batch_keys(batch, ngram_join.Join()), strict=True):
+        assert sorted(a.tolist()) == sorted(b.tolist())
+
+
+def test_the_sets_of_a_batch_of_full_size_take_little_memory():
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(map(str, range(i, i + 400))) for i in range(0, 400_000, 100)])], ["text"])
+    assert batch.nbytes > common.BATCH_BYTES
+    tracemalloc.start()
+    ngram_join._batch_keys(batch, ngram_join.Join())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
