@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -77,17 +77,22 @@ class FirstOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first", "known boolean, create_time string, id bigint")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        known = pd.isna(row["order_id"])
-        self.first.update((bool(known), None if known else row["create_time"], None if known else int(row["order_id"])))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        if not self.first.exists():
+            known = initialState.order_id is None
+            self.first.update((known, None if known else initialState.create_time, None if known else int(initialState.order_id)))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.first.get() if self.first.exists() else None
-        best = min((tuple(r) for piece in rows for r in [min(zip(piece["create_time"], piece["id"], strict=True))]), default=None)
-        if best is not None and (state is None or (not state[0] and best < (state[1], state[2]))):
-            self.first.update((False, best[0], int(best[1])))
-            yield pd.DataFrame({"user_id": [key[0]], "create_time": [best[0]], "id": [int(best[1])]})
+    @staticmethod
+    def _time(order: tuple) -> tuple:
+        """Orders by time and id; what is missing comes last."""
+        return tuple(item for x, none in zip(order, ("", 0), strict=True) for item in (x is None, none if x is None else x))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        best = min(((r.create_time, r.id) for r in rows), key=self._time, default=None)
+        state = self.first.get()
+        if best is not None and (state is None or (not state[0] and self._time(best) < self._time((state[1], state[2])))):
+            self.first.update((False, *best))
+            yield Row(user_id=key[0], create_time=best[0], id=best[1])
 
     def close(self) -> None:
         pass
@@ -97,7 +102,7 @@ def stream_first_orders(placed: DataFrame, user_state: DataFrame) -> DataFrame:
     """(user_id, create_time, id) whenever a user's first order becomes known or an earlier one comes. `user_state` (user_id,
     order_id, create_time) is where a new query starts from; one that is restarted goes on with its own state."""
     start = user_state.select(F.expr("try_cast(user_id AS bigint)").alias("user_id"), "order_id", "create_time")
-    return placed.select("user_id", "create_time", "id").groupBy("user_id").transformWithStateInPandas(
+    return placed.select("user_id", "create_time", "id").groupBy("user_id").transformWithState(
         FirstOrder(), "user_id bigint, create_time string, id bigint", "Update", "None", initialState=start.groupBy("user_id"))
 
 

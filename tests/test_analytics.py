@@ -227,3 +227,24 @@ def test_sketches_stay_within_their_error(spark):
     exact = days.where("dt <= '2024-01-07'").select("mid").distinct().count()
     last = reach.estimated_reach(reach.daily_sketches(days), (7,)).where("dt = '2024-01-07'").first().estimate
     assert abs(last - exact) <= 4 * 1.04 / 2 ** (reach.LG / 2) * exact
+
+
+def test_a_posting_travels_once_for_all_searches_and_blocks_agree(rows, tmp_path, monkeypatch):
+    docs = [(i, " ".join(["red"] * (i % 3 + 1) + ["ball"] * (i % 2) + [f"w{i % 7}"])) for i in range(200)]
+    built = search.build_index(rows(docs, "doc_id long, text string").repartition(3), str(tmp_path / "i"))
+    asked = rows([(i, f"red ball w{i % 7} red") for i in range(40)], "search_id int, text string")
+    plain = sorted(map(tuple, search.search(built, asked, 7, 2).collect()))
+    assert len(plain) == 40 * 7
+    monkeypatch.setattr(search, "BLOCK_POSTINGS", 20)
+    found = search.search(built, asked, 7, 2)
+    assert sorted(map(tuple, found.collect())) == plain
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Below the tasks that rank, no join brings searches and documents together.
+    below = plan[plan.index("MapInArrow"):]
+    assert not [line for line in below.splitlines() if "Join" in line and "search_id" in line]
+
+
+def test_equal_documents_beyond_the_page_stay_in_their_block(rows, tmp_path):
+    built = search.build_index(rows([(i, "red ball") for i in range(500)], "doc_id long, text string"), str(tmp_path / "i"))
+    found = search.search(built, rows([(None, "ball"), (1, "red blue")], "search_id int, text string"), 3, 2).collect()
+    assert sorted(((r.search_id or 0), r["rank"], r.doc_id) for r in found) == [(s, k, k - 1) for s in (0, 1) for k in (3, 4, 5)]
