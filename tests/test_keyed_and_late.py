@@ -3,6 +3,7 @@
 import shutil
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_analytics import scanned_rows
 
@@ -212,3 +213,33 @@ def test_topics_keep_the_time_they_are_given(spark, rows, tmp_path):
     at = F.timestamp_seconds(F.lit(1_000_000))
     topics.write_topic(rows([("t", "v")], "topic string, value string").withColumn("arrived", at), str(tmp_path), 0)
     assert topics.read_topic(spark, str(tmp_path), "t").select(F.unix_seconds("arrived")).first()[0] == 1_000_000
+
+
+class Kept:
+    """A value state in memory that counts the calls to it."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_a_users_orders_of_a_batch_cost_two_calls_to_the_state_at_most():
+    processor, state = keyed.FirstOrder(), Kept()
+    processor.first = state
+    order = lambda time, number: Row(create_time=time, id=number)
+    out = lambda orders: [tuple(r) for r in processor.handleInputRows((7,), iter(orders), None)]
+    assert out([order("b", 2), order("a", 9), order("a", 3), order(None, 1)]) == [(7, "a", 3)] and state.calls == 2
+    assert out([order("a", 4)]) == [] and out([order("a", 2)]) == [(7, "a", 2)] and state.calls == 5
+    processor.handleInitialState((7,), Row(order_id=1, create_time="0"), None)  # an earlier row of the table stays
+    assert state.value == (False, "a", 2)
