@@ -526,6 +526,10 @@ def touch_expiry(t: Tables) -> DataFrame:
     return t.spark.read.schema("mid string, ts bigint").parquet(f"{path}/out")
 
 
+#: Blocks of users that lie in one state each.
+USER_BLOCKS = 2048
+
+
 @query("t5_state_from_table", sql("""
     SELECT user_id, id, false AS known FROM flagged WHERE if_first_order = '1'
     UNION ALL SELECT CAST(c_custkey AS BIGINT), NULL, true FROM customer WHERE c_custkey % 10 = 0""", "flagged"))
@@ -539,11 +543,10 @@ def state_from_table(t: Tables) -> DataFrame:
     for n in range(3):
         placed.filter(F.col("third") == n + 1).drop("third").write.mode("append").parquet(f"{path}/in")
         arriving = t.spark.readStream.schema(placed.drop("third").schema).parquet(f"{path}/in")
-        writer = keyed.stream_first_orders(arriving, known).writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint")
+        writer = keyed.stream_first_orders(arriving, known, USER_BLOCKS).writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint")
         writer.foreachBatch(lambda batch, n: storage.write_batch(batch, f"{path}/out", n)).trigger(availableNow=True).start().awaitTermination()
     placed.unpersist()
-    rows = keyed.read_state(t.spark, f"{path}/checkpoint", "first")
-    return rows.select(F.col("key.user_id").alias("user_id"), F.col("value.id").alias("id"), F.col("value.known").alias("known"))
+    return keyed.read_first_orders(t.spark, f"{path}/checkpoint").select("user_id", "id", "known")
 
 
 @query("a12_reports_by_deltas", sql("""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, GroupedData, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -98,12 +98,68 @@ class FirstOrder(StatefulProcessor):
         pass
 
 
-def stream_first_orders(placed: DataFrame, user_state: DataFrame) -> DataFrame:
+class FirstOrders(FirstOrder):
+    """The first orders of a block of users, as FirstOrder keeps them, in one state: calls to the state, and rows on their way to it, go by
+    blocks. Of a batch's orders a task holds one for each user of the block."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "users array<struct<user_id bigint, known boolean, create_time string, id bigint>>")
+
+    def _users(self) -> dict:
+        state = self.first.get()
+        return {user: (known, *order) for user, known, *order in state[0]} if state else {}
+
+    def _keep(self, users: dict) -> None:
+        self.first.update(([(user, *value) for user, value in users.items()],))
+
+    @staticmethod
+    def _rows(piece: pd.DataFrame) -> Iterator[tuple]:
+        """User, time and id. Numbers come as texts: pandas would make those of a column with nulls inexact."""
+        number = lambda x: None if x is None else int(x)
+        return zip(map(number, piece["user_id"]), piece["create_time"], map(number, piece["id"]), strict=True)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        if not initialState.empty:
+            users = self._users()
+            for user, time, number in self._rows(initialState):
+                users.setdefault(user, (number is None, None if number is None else time, number))
+            self._keep(users)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best: dict = {}
+        for piece in rows:
+            for user, time, number in self._rows(piece):
+                order = (time is None, time or "", number is None, number or 0)
+                if user not in best or order < best[user]:
+                    best[user] = order
+        users = self._users()
+        earlier = {}
+        for user, (no_time, time, no_number, number) in best.items():
+            order = (None if no_time else time, None if no_number else number)
+            if user not in users or (not users[user][0] and self._time(order) < self._time(users[user][1:])):
+                earlier[user] = order
+        if earlier:
+            self._keep(users | {user: (False, *order) for user, order in earlier.items()})
+            times, numbers = zip(*earlier.values(), strict=True)
+            yield pd.DataFrame({"user_id": pd.array(list(earlier), "Int64"), "create_time": pd.Series(times, dtype=object), "id": pd.array(numbers, "Int64")})
+
+
+def stream_first_orders(placed: DataFrame, user_state: DataFrame, blocks: int | None = None) -> DataFrame:
     """(user_id, create_time, id) whenever a user's first order becomes known or an earlier one comes. `user_state` (user_id,
-    order_id, create_time) is where a new query starts from; one that is restarted goes on with its own state."""
+    order_id, create_time) is where a new query starts from; one that is restarted goes on with its own state. State lies by user or, with
+    `blocks`, by that many blocks of a hash of the user: for batches that meet many users. A checkpoint keeps to its number of blocks."""
     start = user_state.select(F.expr("try_cast(user_id AS bigint)").alias("user_id"), "order_id", "create_time")
-    return placed.select("user_id", "create_time", "id").groupBy("user_id").transformWithState(
-        FirstOrder(), "user_id bigint, create_time string, id bigint", "Update", "None", initialState=start.groupBy("user_id"))
+    placed = placed.select("user_id", "create_time", "id")
+    schema, mode = "user_id bigint, create_time string, id bigint", ("Update", "None")
+    if blocks is None:
+        return placed.groupBy("user_id").transformWithState(FirstOrder(), schema, *mode, initialState=start.groupBy("user_id"))
+
+    def by_block(rows: DataFrame, number: str) -> GroupedData:
+        user = F.col("user_id").cast("long")
+        block = F.pmod(F.hash(user), F.lit(blocks))
+        return rows.select(block.alias("block"), user.cast("string").alias("user_id"), "create_time", F.col(number).cast("string").alias("id")).groupBy("block")
+
+    return by_block(placed, "id").transformWithStateInPandas(FirstOrders(), schema, *mode, initialState=by_block(start, "order_id"))
 
 
 def read_state(spark: SparkSession, checkpoint: str, variable: str, batch_id: int | None = None) -> DataFrame:
@@ -112,3 +168,8 @@ def read_state(spark: SparkSession, checkpoint: str, variable: str, batch_id: in
     if batch_id is not None:
         reader = reader.option("batchId", batch_id)
     return reader.load(checkpoint)
+
+
+def read_first_orders(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
+    """user_id, known, create_time, id: the state that stream_first_orders keeps by blocks, a row for each user."""
+    return read_state(spark, checkpoint, "first", batch_id).select(F.explode("value.users").alias("user")).select("user.*")

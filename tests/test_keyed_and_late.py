@@ -81,6 +81,32 @@ def test_first_orders_start_from_a_table_and_go_on_after_a_restart(spark, rows,
     assert before[2] == 50 and before[3] == 8
 
 
+def test_first_orders_kept_by_blocks_are_those_kept_by_user(spark, rows, tmp_path):
+    great = 2**60
+    frames = [
+        rows([(1, "2020-01-01", 7), (2, "2020-01-06", great), (2, "2020-01-06", great + 1), (3, "2020-01-03", 9), (None, None, 4), (5, None, None)], PLACED),
+        rows([(2, "2020-01-04", 40), (3, "2020-01-03", 8), (great + 1, "2020-01-01", great + 3), (1, "2019-01-01", 1)], PLACED),
+    ]
+    start = rows([("1", None, None), ("2", great + 5, "2020-01-06"), (str(great), None, None), ("1", 6, "2018-01-01")], STATE)
+    kept = {}
+    for blocks in (None, 2):
+        path = tmp_path / str(blocks)
+        out = []
+        for n, frame in enumerate(frames):
+            frame.write.mode("append").parquet(f"{path}/in")
+            stream = keyed.stream_first_orders(spark.readStream.schema(frame.schema).parquet(f"{path}/in"), start.coalesce(1), blocks)
+            writer = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint")
+            writer.foreachBatch(lambda batch, _, n=n: out.extend((n, *r) for r in batch.collect())).trigger(availableNow=True).start().awaitTermination()
+        if blocks:
+            state = keyed.read_first_orders(spark, f"{path}/checkpoint")
+            assert keyed.read_state(spark, f"{path}/checkpoint", "first").count() == 2  # one state a block, not one a user
+        else:
+            state = keyed.read_state(spark, f"{path}/checkpoint", "first").select("key.user_id", "value.*")
+        kept[blocks] = sorted(out, key=repr), sorted(map(tuple, state.select("user_id", "known", "create_time", "id").collect()), key=repr)
+    assert kept[2] == kept[None]
+    assert (0, 2, "2020-01-06", great) in kept[2][0] and (great, True, None, None) in kept[2][1] and (1, True, None, None) in kept[2][1]
+
+
 # -- corrected flags ----------------------------------------------------------------------------
 
 
