@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from retailflow.llm.common import renamed, written
+from retailflow.llm.common import discard, renamed, written
 
 #: Prime multipliers of the permutations; one of them does not divide a source's number of blocks.
 PRIMES = (33554393, 33554383, 33554371, 33554347, 33554341, 33554317, 33554311, 33554291)
@@ -156,15 +156,17 @@ def draw(wanted: DataFrame, mix: Mix) -> DataFrame:
     # Counts by shard and source; the slots of a source are numbered through all shards.
     counts = written(drawn.groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     order = F.row_number().over(W.partitionBy("shard", "source_no").orderBy("slot")) - 1
-    drawn = drawn.withColumn("number", order).join(_places(counts), ["shard", "source_no"]) \
+    numbered = drawn.withColumn("number", order).join(_places(counts), ["shard", "source_no"]) \
         .select("shard", "slot", "source_no", (F.col("before") + F.col("number")).cast("long").alias("place"))
+    numbered = written(numbered, "mix-numbered")  # read twice below
+    discard(drawn)
     # Draws beyond a source's slots are given, in order, to the places that no draw has filled.
     found = counts.groupBy("source_no").agg(F.sum("n").alias("found"))
     balance = wanted.select("source_no", "slots").join(found, "source_no", "left").withColumn("found", F.coalesce("found", F.lit(0)))
     balance = balance.withColumns({"over": F.greatest(F.col("found") - F.col("slots"), F.lit(0)), "under": F.greatest(F.col("slots") - F.col("found"), F.lit(0))})
     balance = written(balance.withColumns({"skipped": _cumulated("over"), "begins": _cumulated("under")}), "mix-balance")
     spare = balance.agg(F.sum("over")).first()[0]
-    drawn = drawn.join(balance.select("source_no", "slots", "skipped"), "source_no")
+    drawn = numbered.join(balance.select("source_no", "slots", "skipped"), "source_no")
     kept = drawn.where(F.col("place") < F.col("slots")).select("shard", "slot", "source_no", "place")
     if not spare:
         return kept
@@ -227,7 +229,8 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     number = got.documents.groupBy(*key).agg(F.max("copy").alias("copies"))
     plan = plan.groupBy(*key, "size").agg(F.collect_list(F.struct("copy", "parts", "passes")).alias("plans"))
     plan = _joined(plan, number, key, "inner").join(got.sources.select("source_no", F.col("source").alias("s")), "source_no")
-    plan = plan.select("doc_id", "ident", "s", F.col("size").alias("words_in"), "plans", "copies")
+    # A table of its own: what follows reads it twice, and the driver would plan all that leads to it for each.
+    plan = written(plan.select("doc_id", "ident", "s", F.col("size").alias("words_in"), "plans", "copies"), "mix-plan")
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*others).alias("row"), "doc_id", "text", F.xxhash64("text").alias("ident"), F.col("source").alias("s"))
     rows = _joined(rows, plan, ["doc_id", "ident", "s"], "inner")

@@ -250,6 +250,12 @@ def test_equal_ids_and_sizes_of_unlike_texts_stay_apart(rows):
     assert sorted(again) == sorted(texts)
 
 
+def test_the_mix_is_planned_once_for_documents_and_their_repeats(rows):
+    frame = rows([(i, "abc"[i % 3], f"w{i} x{i} y{i} z") for i in range(40)] + [(1, "b", "w1 x1 y1 z")], "doc_id long, source string, text string")
+    plan = mixing.mixed_documents(frame, mixing.Mix(block=2))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 2 and plan.count("Relation ") <= 4  # documents and what the mix takes of each, once for each of the two
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 997, 4096])
 def test_permutations_are_one_to_one(spark, n):
     rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit(1), 17).alias("p")).collect()
