@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from retailflow.llm.common import bounded_batches, discard, mounted, written
-from retailflow.llm.words import END, Words, mix, pair, scan
+from retailflow.llm.words import END, Words, mix, scan
 from retailflow.session import run_dir
 
 #: Files that a worker keeps mapped.
@@ -47,7 +47,7 @@ HELD = 8_000_000
 #: Numbers that are no words: the begin, by level what stands for its counts of counts in rows about shorter n-grams, what
 #: training has not met. Words and the end are numbered from FIRST on.
 _BEGIN, _COUNTS, FIRST, _UNKNOWN = 0, np.arange(64, dtype=np.uint32), 100, (1 << 32) - 1
-_SHARD_SALT = np.uint64(0x51ED270B9F86A3C5)
+_STEP, _SPREAD = np.uint64(0x9DDFEA08EB382D69), np.uint64(0x9E3779B97F4A7C15)
 #: A count is one byte; this one stands for a count kept apart.
 _LARGE = 255
 
@@ -99,10 +99,13 @@ def sequences(words: Words, number: np.ndarray, end: int, order: int) -> tuple[l
 
 
 def hashed(columns: list[np.ndarray]) -> np.ndarray:
-    """Hash of each n-gram."""
-    out = mix(columns[-1].astype(np.uint64) + np.uint64(1))
-    for x in columns[-2::-1]:
-        out = pair(x.astype(np.uint64), out)
+    """Hash of each n-gram. That of a pair is one to one."""
+    out = columns[-1].astype(np.uint64)
+    if len(columns) == 1:
+        return mix(out + np.uint64(1))
+    out = mix(out | columns[-2].astype(np.uint64) << np.uint64(32))
+    for x in columns[-3::-1]:
+        out = mix(out + x * _STEP)
     return out
 
 
@@ -115,6 +118,12 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (k[heads], order[heads], *sums)
 
 
+def encoded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys as they are first met, and the place of each key among them: where keys repeat often, without a sort."""
+    found = pa.array(keys).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, where one of each stands, and the place of each key among them."""
     order = np.argsort(keys)  # not stable, as np.unique has it with these results: several times as fast
@@ -134,30 +143,39 @@ def _dealt(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(key ^ _SHARD_SALT) % np.uint64(shards)).astype(np.int32)
+    return ((key * _SPREAD >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
 
-def _place(columns: list[np.ndarray], shards: int) -> np.ndarray:
-    spread = hashed(columns)
-    if len(columns) > 1:
-        spread = np.where(columns[0] < FIRST + 4 * shards, spread, columns[0].astype(np.uint64))
+def _place(columns: list[np.ndarray], shards: int, key: np.ndarray | None = None) -> np.ndarray:
+    """key: the hashes of the n-grams, where they are known."""
+    if len(columns) == 1:
+        return _shard(hashed(columns) if key is None else key, shards)
+    spread = columns[0].astype(np.uint64)
+    common = np.flatnonzero(columns[0] < FIRST + 4 * shards)
+    spread[common] = hashed([x[common] for x in columns]) if key is None else key[common]
     return _shard(spread, shards)
 
 
-def packed(columns: list[np.ndarray], values: list[np.ndarray]) -> bytes:
-    """N-grams and their values as compressed bytes."""
+def packed(columns: list[np.ndarray], values: list[np.ndarray], add: bool = False) -> bytes:
+    """N-grams and their values as compressed bytes; with `add` each n-gram once, with the sums of its values."""
     bits = [int(x.max(initial=0)).bit_length() for x in columns]
     if sum(bits) <= 64:  # one number each, in the same order
         code = columns[0].astype(np.uint64)
         for x, n in zip(columns[1:], bits[1:], strict=True):
             code = code << np.uint64(n) | x
         order = np.argsort(code)
+        new = np.diff(code[order]) != 0 if add else None
     else:
         order = np.lexsort(columns[::-1])
+        new = np.logical_or.reduce([np.diff(x[order]) != 0 for x in columns]) if add else None
+    values = [x[order] for x in values]
+    if add:
+        heads = np.flatnonzero(np.r_[True, new])
+        order, values = order[heads], [np.add.reduceat(x, heads) for x in values]
     codes = np.stack([x[order] for x in columns])
     codes[0, 1:] -= codes[0, :-1].copy()  # steps of the first, which comes in order
     planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1))
-    values = [_narrow(x[order]) for x in values]
+    values = [_narrow(x) for x in values]
     body = b"".join([planes.tobytes(), *(x.tobytes() for x in values)])
     head = np.array([len(order), len(body), *(x.dtype.itemsize for x in values)], np.int64)
     return head.tobytes() + pa.compress(body, "zstd", asbytes=True)
@@ -223,13 +241,12 @@ def _found(arrays: dict[str, np.ndarray], wanted: np.ndarray) -> tuple[np.ndarra
     bits = (len(heads) - 1).bit_length() - 1
     lead, rest = (wanted >> np.uint64(64 - bits)).astype(np.int64), (wanted >> np.uint64(32 - bits)).astype(np.uint32)
     low, high = heads[lead].astype(np.int64), heads[lead + 1].astype(np.int64)
-    ends = high
-    for _ in range(int((high - low).max(initial=0)).bit_length()):  # all searched at once
-        middle = (low + high) >> 1
-        less = keys.take(middle, mode="clip") < rest
-        less &= low < high
-        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
-    there = np.flatnonzero(low < ends)
+    for n in range(int((high - low).max(initial=0)).bit_length(), 0, -1):  # all searched at once, by steps of powers of two
+        last = low + ((1 << n - 1) - 1)
+        less = keys.take(last, mode="clip") < rest
+        less &= last < high
+        np.add(last, 1, out=low, where=less)
+    there = np.flatnonzero(low < high)
     there = there[keys[low[there]] == rest[there]]
     return low[there], there
 
@@ -246,7 +263,8 @@ def _vocabulary(train: DataFrame, place: str, shards: int) -> int:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = scan(batch.column(0))
-            key, n = np.unique(words.hash, return_counts=True)
+            key, at = encoded(words.hash)
+            n = np.bincount(at, minlength=len(key))
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[key, END].view(np.int64)), pa.array(np.r_[n, words.rows])], ["w", "n"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,34 +318,28 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
 
     def rows(columns: list[np.ndarray], values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for s, own in _dealt(_place(columns, shards), shards):
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([packed([x[own] for x in columns], [x[own] for x in values])], pa.binary())], ["shard", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([packed([x[own] for x in columns], [x[own] for x in values], add=True)], pa.binary())], ["shard", "grams"])
 
     def read(batches: Iterator[pa.RecordBatch], columns: int, values: int) -> list[np.ndarray] | None:
         parts = [unpacked(row.as_py(), columns, values) for b in batches for row in b.column(1)]
         return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else None
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, waiting, vocabulary = [np.zeros(0, np.uint32)] * order, np.zeros(0, np.int32), [], Maps(place, shards)
+        waiting, vocabulary = [], Maps(place, shards)
 
-        def added() -> None:
-            nonlocal held, count, waiting
-            both = [np.concatenate(x) for x in zip(held, *waiting, strict=True)]
-            _, at, count = summed(hashed(both), np.r_[count, np.ones(len(both[0]) - len(count), np.int32)])
-            held, waiting = [x[at] for x in both], []
+        def counted() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            waiting.clear()
+            yield from rows(columns, [np.ones(len(columns[0]), np.int32)])
 
         for batch in batches:
             words = scan(batch.column(0))
             number = vocabulary.numbers(np.r_[words.hash, END])
             waiting.append(sequences(words, number[:-1], int(number[-1]), order)[0])
-            if sum(len(x[0]) for x in waiting) * order > HELD:  # summed once for many batches, not with each
-                added()
-                if len(count) * order > HELD // 2:
-                    yield from rows(held, [count])
-                    held, count = [x[:0] for x in held], count[:0]
+            if sum(len(x[0]) for x in waiting) * order > HELD:  # counted once for many batches, not with each
+                yield from counted()
         if waiting:
-            added()
-        if len(count):
-            yield from rows(held, [count])
+            yield from counted()
 
     def level(n: int):
         """Sums n-grams, stores them, and passes on what they say about shorter ones."""
@@ -354,10 +366,9 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
             none, ones = np.zeros(len(count), np.int32), np.ones(len(count), np.int32)
             last = {"c": raw, "k": ones}
             before = {"c": np.where(tokens[0] == _BEGIN, count, 0) if order == 2 else none, "s": count, "n1": count == 1, "n2": count == 2, "n3": count >= 3}
-            both = [np.r_[x, y] for x, y in zip(tokens[1:], tokens[:-1], strict=True)]
-            _, at, *sums = summed(hashed(both), *(np.r_[last.get(x, none), before.get(x, none).astype(np.int64 if x in "cs" else np.int32)] for x in kinds))
+            sums = [np.r_[last.get(x, none), before.get(x, none).astype(np.int64 if x in "cs" else np.int32)] for x in kinds]
             own = dict(zip(("c", "k", "n1", "n2"), ((count == i).sum() for i in (1, 2, 3, 4)), strict=True))
-            yield from rows([np.r_[x[at], y, _COUNTS[n : n + 1]] for x, y in zip(both, passed[0], strict=True)],
+            yield from rows([np.r_[x, y, z, _COUNTS[n : n + 1]] for x, y, z in zip(tokens[1:], tokens[:-1], passed[0], strict=True)],
                             [np.r_[x, y, own.get(kind, 0)] for x, y, kind in zip(sums, passed[1], kinds, strict=True)])
 
         return run
@@ -417,7 +428,7 @@ class Maps:
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each token."""
-        w, _, place = distinct(hashes)
+        w, place = encoded(hashes)
         out = np.full(len(w), _UNKNOWN, np.uint32)
         for arrays, at, own in self.found(w, _shard(w, self.shards), "words"):
             out[own] = arrays["number"][at]
@@ -441,8 +452,9 @@ class Lookup(Maps):
 
     def grams(self, columns: list[np.ndarray], kinds: list[str]) -> list[np.ndarray]:
         """The named values of n-grams; 0 of those that are not there."""
+        key = hashed(columns)
         out = [np.zeros(len(columns[0]), np.int64) for _ in kinds]
-        for arrays, at, own in self.found(hashed(columns), _place(columns, self.shards), f"grams{len(columns)}"):
+        for arrays, at, own in self.found(key, _place(columns, self.shards, key), f"grams{len(columns)}"):
             for kind, values in zip(kinds, out, strict=True):
                 count = arrays[kind][at].astype(np.int64)
                 large = np.flatnonzero(count == _LARGE)
@@ -461,7 +473,7 @@ def scores(lookup: Lookup, texts: pa.Array) -> dict[str, np.ndarray]:
     del words
     # One n-gram of begins alone in the end: what stands before the first token of a text.
     columns = [np.r_[x, np.uint32(_BEGIN)] for x in columns]
-    w, _, at = distinct(columns[-1])
+    w, at = encoded(columns[-1])
     known = lookup.tokens(w)
     c, k = known["c"], known["k"]
     own = at[:-1]
@@ -473,10 +485,11 @@ def scores(lookup: Lookup, texts: pa.Array) -> dict[str, np.ndarray]:
         before = np.r_[at[-1:], at[:-1]]
         before[first[:-1]] = at[-1]
         d = m.rates[n - 2]
-        met, back = sum(kinds) > 0, sum(x * y for x, y in zip(d, kinds, strict=True)) / np.maximum(total, 1)
+        total = np.maximum(total, 1)
+        back = np.where(sum(kinds) > 0, sum(x * y for x, y in zip(d, kinds, strict=True)) / total, 1)  # an h that is not met has no count
         _, one, at = distinct(hashed(columns[-n:]))
         count, *after = lookup.grams([x[one] for x in columns[-n:]], ["c"] if n == m.order else ["k", "s", "n1", "n2", "n3"])
-        p = np.where(met[before], discounted(count, d)[at] / np.maximum(total, 1)[before] + back[before] * p, p)
+        p = discounted(count, d)[at] / total[before] + back[before] * p
         if after:
             total, *kinds = after
     p = p[:-1]

@@ -420,6 +420,28 @@ def test_packed_rows_lie_in_the_order_of_their_numbers():
         assert list(zip(*(x.tolist() for x in got[:3]), strict=True)) == sorted(zip(*(x.tolist() for x in columns), strict=True))
 
 
+def test_rows_of_ngrams_are_summed_where_they_are_sorted():
+    random = np.random.default_rng(5)
+    for size in (1 << 10, 1 << 32):  # 30 and 96 bits
+        kinds = random.integers(size // 2, size, (3, 20)).astype(np.uint32)
+        columns, values = list(kinds[:, random.integers(0, 20, 300)]), [random.integers(0, 9, 300), np.full(300, 1 << 40)]
+        *grams, first, second = (x.tolist() for x in language_model.unpacked(language_model.packed(columns, values, add=True), 3, 2))
+        want = {}
+        for *gram, a, b in zip(*(x.tolist() for x in (*columns, *values)), strict=True):
+            x, y = want.get(tuple(gram), (0, 0))
+            want[tuple(gram)] = x + a, y + b
+        assert list(zip(zip(*grams, strict=True), zip(first, second, strict=True), strict=True)) == sorted(want.items())
+
+
+def test_hashes_of_pairs_are_one_to_one_and_shards_even():
+    a, b = (x.ravel().astype(np.uint32) for x in np.meshgrid(np.arange(300), np.r_[np.arange(300), (1 << 32) - np.arange(1, 300)]))
+    key = language_model.hashed([a, b])
+    assert len(np.unique(key)) == len(key)
+    for keys in (key, np.arange(100, 20_000, dtype=np.uint64)):
+        dealt = np.bincount(language_model._shard(keys, 96), minlength=96)
+        assert len(dealt) == 96 and dealt.min() > 0.75 * len(keys) / 96 and dealt.max() < 1.25 * len(keys) / 96
+
+
 def test_a_task_takes_the_texts_of_a_batch_apart_piece_by_piece(monkeypatch):
     random = np.random.default_rng(3)
     texts = [None, "", *(" ".join(map(str, random.integers(0, 1000, random.integers(1, 300)))) for _ in range(60)), "w " * 2000, None]
