@@ -312,3 +312,81 @@ def test_a_join_of_streams_keeps_one_store_a_partition(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
     joins = [s for p in query.recentProgress for s in p["stateOperators"] if s["operatorName"] == "symmetricHashJoin"]
     assert joins and all(s["numStateStoreInstances"] == s["numShufflePartitions"] for s in joins)
+
+
+def test_handlers_of_a_stream_run_adaptively_and_its_state_in_few_partitions(spark, rows, wh, tmp_path):
+    before, seen, names = spark.conf.get("spark.sql.shuffle.partitions"), [], ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    spark.range(100).select(F.timestamp_seconds(F.col("id") + 1704067200).alias("at"), "id").write.parquet(str(tmp_path / "in"))
+    once = spark.readStream.schema("at timestamp, id long").parquet(str(tmp_path / "in")).withWatermark("at", "1 hour").dropDuplicatesWithinWatermark(["id"])
+
+    def handle(batch, n):
+        seen.append(([batch.sparkSession.conf.get(c) for c in names], batch.count(), batch.count()))
+
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        wh.launch(once, "adaptive", handle, held=True).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == [(["true", "64"], 100, 100)]
+    offsets = spark.read.text(f"{wh.folder('checkpoint', 'adaptive')}/offsets/0").filter("value LIKE '{%'").first()[0]
+    assert int(json.loads(offsets)["conf"]["spark.sql.shuffle.partitions"]) == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_held_rows_are_worked_out_once_whatever_is_written(spark, tmp_path):
+    place = str(tmp_path / "table")
+    storage.write_batch(spark.range(10), place, 0)
+    drawn = storage.read_batches(spark, place, spark.range(1).schema).withColumn("drawn", F.expr("uuid()"))
+    with storage.held(drawn, str(tmp_path)) as kept:
+        first = {r.id: r.drawn for r in kept.collect()}
+        storage.write_batch(kept.select("id"), place, 1)
+        assert {r.id: r.drawn for r in kept.collect()} == first and len(first) == 10
+    assert not list((tmp_path / "held").iterdir())
+
+
+def test_routers_neither_keep_nor_shuffle_the_texts(spark, rows, wh, monkeypatch):
+    kept, write = [], topics.write_topic
+
+    def written(messages, *others, **named):
+        kept.append(spark._jsc.sc().getPersistentRDDs().size())
+        assert "Exchange" not in messages._jdf.queryExecution().executedPlan().toString()
+        write(messages, *others, **named)
+
+    def shuffled(*_):
+        raise AssertionError("messages are brought together by topic")
+
+    monkeypatch.setattr(topics, "write_topic", written)
+    monkeypatch.setattr(topics, "together", shuffled)
+    before = spark._jsc.sc().getPersistentRDDs().size()
+    change = json.dumps({"table": "user_info", "type": "insert", "data": {"id": "7"}})
+    changes = rows([(0, change), (1, '{"table": ')], "seq long, value string")
+    logs = rows([(0, json.dumps({"start": {"entry": "a"}, "ts": DAY})), (1, json.dumps({"action": {}, "ts": DAY}))], "seq long, value string")
+    jobs.split_changes(wh, parts(changes, f"{wh.root}/in/changes", 1, "seq")).awaitTermination()
+    query = jobs.split_logs(wh, parts(logs, f"{wh.root}/in/logs", 1, "seq"))
+    query.awaitTermination()
+    assert kept == [before, before]
+    assert {(r.topic, r.seq) for r in spark.read.parquet(wh.topics).collect()} == {("ODS_USER_INFO", 0), (routing.STARTUP_TOPIC, 0), (routing.EVENT_TOPIC, 1)}
+    assert spark.read.parquet(wh.folder("quarantine", "split_changes")).count() == 1
+    assert sorted(r.value for r in spark.read.text(wh.folder("archive", "applog")).collect()) == sorted(r.value for r in logs.collect())
+    assert [p["observedMetrics"]["logs"].rows for p in query.recentProgress if p["numInputRows"]] == [2]
+
+
+def test_a_wide_batch_keeps_no_rows_in_memory(spark, tables, tmp_path, monkeypatch):
+    """A write drops cached rows that were read from the same table: they would be worked out twice."""
+    kept, append = [], storage.append_olap
+
+    def seen(frame, *others):
+        kept.append(spark._jsc.sc().getPersistentRDDs().size())
+        append(frame, *others)
+        kept.append(spark._jsc.sc().getPersistentRDDs().size())
+
+    monkeypatch.setattr(storage, "append_olap", seen)
+    wh, before = jobs.Warehouse(spark, str(tmp_path)), spark._jsc.sc().getPersistentRDDs().size()
+    rows = stream_queries.line_thirds(tables).filter("order_id < 100")
+    for n in range(2):
+        jobs.wide_batch(wh, rows.filter(F.col("third") == n + 1).drop("third"), n)
+    assert kept == [before] * 4
+    stored = storage.read_batches(spark, wh.folder("state", "order_sums"), storage.monthly(jobs.ORDER_SUMS))
+    sums = stored.groupBy("order_id").agg(F.sum("gross").alias("gross"), F.sum("share").alias("share"))
+    want = wide.order_sums(jobs.wide_rows(wh)).select("order_id", "gross", "share")
+    assert sums.exceptAll(want).count() == 0 and want.exceptAll(sums).count() == 0
