@@ -216,10 +216,9 @@ def line_thirds(t: Tables) -> DataFrame:
 def order_split_state(t: Tables) -> DataFrame:
     """The lines of every order over three micro-batches, in line order: line by line what one batch gives."""
     wh = warehouse_at(t, "t6")
-    rows = line_thirds(t).persist()
-    for n in range(3):
-        jobs.wide_batch(wh, rows.filter(F.col("third") == n + 1).drop("third"), n)
-    rows.unpersist()
+    with storage.held(line_thirds(t), wh.root) as rows:
+        for n in range(3):
+            jobs.wide_batch(wh, rows.filter(F.col("third") == n + 1).drop("third"), n)
     return wide_result(wh)
 
 
@@ -228,13 +227,12 @@ def wide_repeats_after_weeks(t: Tables) -> DataFrame:
     """After more than two weeks of micro-batches lines come again, with the ones that close their
     orders; the tables have been folded twice by then."""
     wh = warehouse_at(t, "t4w")
-    rows = line_thirds(t).persist()
-    jobs.wide_batch(wh, rows.filter("third = 1").drop("third"), 0)
-    jobs.wide_fold(wh, 0)
-    jobs.wide_batch(wh, rows.filter("third <= 2").drop("third"), 300_000)
-    jobs.wide_fold(wh, 300_000)
-    jobs.wide_batch(wh, rows.drop("third"), 600_000)
-    rows.unpersist()
+    with storage.held(line_thirds(t), wh.root) as rows:
+        jobs.wide_batch(wh, rows.filter("third = 1").drop("third"), 0)
+        jobs.wide_fold(wh, 0)
+        jobs.wide_batch(wh, rows.filter("third <= 2").drop("third"), 300_000)
+        jobs.wide_fold(wh, 300_000)
+        jobs.wide_batch(wh, rows.drop("third"), 600_000)
     return wide_result(wh)
 
 
