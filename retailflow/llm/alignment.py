@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailflow.llm.common import bounded_batches, renamed, written
+from retailflow.llm.common import LARGE_ROWS, bounded_batches, renamed, written
 from retailflow.llm.tokens import byte_names, located
 from retailflow.llm.words import ranges
 
@@ -254,7 +254,7 @@ def _units(docs: DataFrame, a: str, b: str) -> DataFrame:
     counts = ", ".join(f"{c} array<long>" for c in _COUNTS)
     rows = docs.mapInArrow(align, f"unit long, pairs array<long>, documents array<int>, ids array<{kind}>, {counts}, "
                                   "digest array<string>, pairs_held array<int>, place array<int>, times array<int>")
-    return written(rows, "align-units")
+    return written(rows, "align-units", LARGE_ROWS)
 
 
 def scored(docs: DataFrame, a: str, b: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailflow.session import run_dir
+from retailflow.session import SPENT_SHUFFLES, run_dir, setting
 
 #: The white space of all word rules: space and the control characters 09 to 0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -25,10 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, and again by nobody when executors are lost."""
+#: For tables of rows of a megabyte and more: row groups of few rows, whose size is looked at after each. A task buffers a row group
+#: when it writes, and reads it as one batch; by default a size is looked at after a hundred rows.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def written(frame: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and again by nobody when executors are lost. The
+    shuffles that made them are spent then."""
     path = run_dir(frame.sparkSession, name)
-    frame.write.parquet(path)
+    with setting(frame.sparkSession, SPENT_SHUFFLES, "true"):
+        frame.write.options(**(options or {})).option("compression", "zstd").parquet(path)
     table = frame.sparkSession.read.schema(frame.schema).parquet(path)
     table.__dict__["_folder"] = path
     return table

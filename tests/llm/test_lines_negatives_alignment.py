@@ -4,12 +4,13 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from retailflow.llm import alignment, cuckoo, line_dedup, negatives
+from retailflow.llm import alignment, common, cuckoo, line_dedup, negatives
 
 SPACES = " \t\n\x0b\x0c\r"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -308,3 +309,17 @@ def test_groups_with_their_byte_ranges(rows, both):
         assert b"".join(whole[g.start : g.end] for g in r.groups) == whole
         for g in r.groups:
             assert a.spell(np.array(g.a)) == b.spell(np.array(g.b)) == whole[g.start : g.end]
+
+
+def test_rows_of_a_megabyte_lie_in_small_row_groups(spark, rows, monkeypatch):
+    """A task buffers a row group when it writes and reads it as one batch; 60 rows of 2.4 MB were one."""
+    asked = []
+    monkeypatch.setattr(alignment, "written", lambda frame, name, options=None: asked.append((name, options)))
+    alignment._units(rows([(1, "a")], "doc_id long, text string"), "a", "b")
+    assert asked == [("align-units", common.LARGE_ROWS)]
+    large = spark.range(0, 60, 1, 1).select("id", F.transform(F.sequence(F.lit(1), F.lit(300_000)), lambda x: F.xxhash64(x, "id")).alias("v"))
+    table = common.written(large, "large", common.LARGE_ROWS)
+    (path,) = table.inputFiles()
+    file = pq.ParquetFile(path.removeprefix("file://"))
+    assert max(file.metadata.row_group(i).num_rows for i in range(file.num_row_groups)) <= 8
+    assert table.select(F.sum(F.size("v"))).first()[0] == 60 * 300_000
