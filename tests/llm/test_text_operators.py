@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import tracemalloc
 from collections import Counter
 
@@ -463,3 +464,35 @@ def test_the_sets_of_a_batch_of_full_size_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100 << 20
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x.split("/")[-1] for x in found.splitlines()}
+
+    before = files()
+    sums = common.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "spent")
+    for _ in range(50):
+        left = {f for f in files() - before if f.startswith("shuffle_")}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and sums.count() == 7
+
+
+def test_ngram_dedup_deals_texts_out_once(spark, rows, no_small_joins):
+    texts = ["a b c d e f g", "a b c d e f g", "x y", "", ""]
+    docs = rows([(1, texts[0]), (2, texts[1]), (None, texts[2]), (None, texts[2]), (3, texts[3]), (3, texts[4])], "doc_id long, text string")
+    found = ngram_join.deduplicated(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((coalesce\()?id#", plan)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == [(1, texts[0]), (3, ""), (None, "x y")]
+
+
+@pytest.fixture
+def no_small_joins(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
